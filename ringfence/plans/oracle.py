@@ -23,15 +23,29 @@ _VIEWS = {
     "xfer": """SELECT DISTINCT l_orderkey AS order_id, o_custkey AS src_account,
                       l_suppkey AS dst_account, l_extendedprice AS amount, l_shipdate AS ts
                FROM lines WHERE o_custkey <> l_suppkey""",
+    "ev": """SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""",
     "txn": """SELECT event_id AS transaction_id, user_id AS account_id, value AS amount,
-                     event_type AS merchant_category,
-                     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-                     ts
-              FROM events""",
+                     event_type AS merchant_category, k AS device_id,
+                     '198.51.' || CAST(k // 10 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip_address,
+                     ts,
+                     CASE WHEN k % 2 = 0 THEN 'IN_STORE_POS' ELSE 'E_COMMERCE' END AS channel,
+                     CAST(k % 25 AS DOUBLE) * 3.0 - 36.0 AS latitude,
+                     floor(k / 4) * 12.0 - 150.0 AS longitude,
+                     lpad(CAST(k AS VARCHAR), 6, '4') AS card_bin,
+                     lpad(CAST(k AS VARCHAR), 6, '4') || '******'
+                       || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS card_pan_masked,
+                     CASE WHEN event_type = 'error' THEN 'DECLINED_CVV' ELSE 'APPROVED' END AS auth_response_code,
+                     k
+              FROM ev""",
+    "auth": """SELECT event_id, user_id AS account_id, k AS device_id,
+                      '198.51.' || CAST(k // 10 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip_address,
+                      CASE event_type WHEN 'signup' THEN 'PASSWORD_RESET' ELSE '2FA_PHONE_CHANGED' END AS event_type,
+                      ts
+               FROM ev WHERE event_type IN ('signup', 'error')""",
 }
 
 _DEPENDS = {
-    "ud": ["lines"], "st": ["lines"], "xfer": ["lines"],
+    "ud": ["lines"], "st": ["lines"], "xfer": ["lines"], "txn": ["ev"], "auth": ["ev"],
 }
 
 
@@ -103,3 +117,113 @@ walks AS (
 SELECT origin, destination, hop_count, COUNT(*) AS n_paths
 FROM walks GROUP BY origin, destination, hop_count
 """
+
+DAY_US = 86_400_000_000
+
+SQL["spend_spike"] = with_views("txn") + f"""
+, b AS (
+  SELECT transaction_id, account_id, amount,
+         COUNT(*) OVER w AS baseline_n,
+         SUM(CAST(amount AS DECIMAL(18,2))) OVER w AS baseline_total
+  FROM txn
+  WINDOW w AS (PARTITION BY account_id ORDER BY epoch_us(ts)
+               RANGE BETWEEN {90 * DAY_US} PRECEDING AND 1 PRECEDING))
+SELECT transaction_id, account_id, amount, baseline_n,
+       CAST(baseline_total AS DECIMAL(38,2)) AS baseline_total
+FROM b
+WHERE baseline_n > 0 AND CAST(amount AS DECIMAL(18,2)) * baseline_n >= 5.0 * baseline_total
+"""
+
+SQL["geo_velocity"] = with_views("txn") + """
+, p AS (
+  SELECT transaction_id, account_id, latitude, longitude, epoch_us(ts) AS t,
+         LAG(transaction_id) OVER w AS prev_transaction_id,
+         LAG(latitude) OVER w AS plat, LAG(longitude) OVER w AS plon,
+         LAG(epoch_us(ts)) OVER w AS pt
+  FROM txn WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+  WINDOW w AS (PARTITION BY account_id ORDER BY ts, transaction_id)),
+d AS (
+  SELECT *, 12742.0176 * asin(sqrt(pow(sin(radians(latitude - plat) / 2), 2)
+              + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2))) AS dist,
+         CAST(t - pt AS DOUBLE) / 1000000.0 AS elapsed_s
+  FROM p)
+SELECT transaction_id, account_id, prev_transaction_id, round(dist, 3) AS distance_km, elapsed_s,
+       round(CASE WHEN pt IS NULL THEN 0.0 WHEN elapsed_s > 0 THEN dist / (elapsed_s / 3600.0) END, 3)
+         AS calculated_speed_kmh,
+       CASE WHEN pt IS NULL THEN false WHEN elapsed_s > 0 THEN dist / (elapsed_s / 3600.0) > 900
+            ELSE dist > 100 END AS is_impossible_travel
+FROM d
+"""
+
+SQL["bin_velocity_rows"] = with_views("txn") + f"""
+, c AS (
+  SELECT transaction_id, card_bin,
+         COUNT(*) OVER (PARTITION BY card_bin ORDER BY epoch_us(ts)
+                        RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW) AS n_attempts
+  FROM txn WHERE amount < 10)
+SELECT transaction_id, card_bin, n_attempts FROM c WHERE n_attempts >= 3
+"""
+
+SQL["ato_fan_in_rows"] = with_views("auth") + f"""
+, a AS (SELECT event_id, device_id, account_id, epoch_us(ts) AS t FROM auth)
+SELECT * FROM (
+  SELECT x.event_id, x.device_id, x.account_id,
+         (SELECT COUNT(DISTINCT y.account_id) FROM a y
+          WHERE y.device_id = x.device_id AND y.t BETWEEN x.t - {DAY_US // 2} AND x.t) AS n_accounts
+  FROM a x)
+WHERE n_accounts >= 3
+"""
+
+SQL["dormant_bust_out"] = with_views("txn") + f"""
+, g AS (
+  SELECT transaction_id, account_id, amount,
+         epoch_us(ts) - LAG(epoch_us(ts)) OVER (PARTITION BY account_id ORDER BY ts, transaction_id) AS gap
+  FROM txn)
+SELECT transaction_id, account_id, amount, round(CAST(gap AS DOUBLE) / {DAY_US}.0, 6) AS idle_days
+FROM g WHERE gap > {2 * DAY_US} AND amount > 50
+"""
+
+SQL["sequential_pan"] = with_views("txn") + """
+, s AS (
+  SELECT transaction_id, card_bin, device_id, card_pan_masked,
+         CAST(right(card_pan_masked, 4) AS INTEGER) AS l4,
+         LAG(CAST(right(card_pan_masked, 4) AS INTEGER)) OVER w AS pl4,
+         LAG(transaction_id) OVER w AS prev_transaction_id
+  FROM txn WINDOW w AS (PARTITION BY card_bin, device_id ORDER BY ts, transaction_id))
+SELECT transaction_id, card_bin, device_id, card_pan_masked, prev_transaction_id
+FROM s WHERE l4 - pl4 = 1
+"""
+
+SQL["ato_fan_in"] = with_views("auth") + """
+SELECT date_trunc('day', ts) AS window_start, device_id,
+       COUNT(DISTINCT account_id) AS n_accounts, COUNT(*) AS n_events,
+       min(ts) AS first_seen, max(ts) AS last_seen
+FROM auth GROUP BY 1, 2 HAVING COUNT(DISTINCT account_id) >= 3
+"""
+
+SQL["bin_velocity"] = with_views("txn") + """
+SELECT date_trunc('day', ts) AS window_start, card_bin,
+       COUNT(*) AS n_attempts, COUNT(DISTINCT card_pan_masked) AS n_cards
+FROM txn WHERE amount < 10 GROUP BY 1, 2 HAVING COUNT(*) >= 3
+"""
+
+SQL["subnet_spread"] = with_views("txn") + """
+SELECT date_trunc('day', ts) AS window_start,
+       regexp_extract(ip_address, '^([^.]*[.][^.]*[.][^.]*)', 1) AS subnet,
+       COUNT(DISTINCT card_pan_masked) AS n_cards,
+       CAST(SUM(CASE WHEN auth_response_code LIKE 'DECLINED%' THEN 1 ELSE 0 END) AS BIGINT) AS n_declines,
+       COUNT(*) AS n_attempts
+FROM txn GROUP BY 1, 2
+"""
+
+SQL["smurfing"] = with_views("xfer") + """
+, t AS (SELECT DISTINCT order_id, src_account, dst_account, amount, ts FROM xfer)
+SELECT i.order_id, i.src_account, i.dst_account, i.amount, i.ts AS "timestamp",
+       COUNT(*) AS n_splits,
+       CAST(SUM(CAST(o.amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS split_total
+FROM t i JOIN t o
+  ON o.src_account = i.dst_account AND o.ts >= i.ts AND o.ts <= i.ts + INTERVAL 30 DAY
+     AND o.amount < i.amount
+GROUP BY i.order_id, i.src_account, i.dst_account, i.amount, i.ts
+HAVING COUNT(*) >= 3
+"""

@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decimal import Decimal
+
+from ..operators import detectors as DT
 from ..operators import graph as G
+from ..operators.sliced import DAY_US, HOUR_US
 from ..operators import triage as TR
 from ..sources import testdata as td
 
@@ -52,3 +56,57 @@ def q_exposure_by_account(spark, sf_dir):
 @register("transfer_paths")
 def q_transfer_paths(spark, sf_dir):
     return G.transfer_paths(td.graph(spark, sf_dir), lo=1, hi=3)
+
+
+# ------------------------------------------------------------ detectors
+# Wider parameters than the reference's literals (4 minutes, 80/s, 30x):
+# the driver's events are sparse, see FIXTURES.md section 2.
+
+@register("spend_spike")
+def q_spend_spike(spark, sf_dir):
+    return DT.spend_spike(td.transactions(spark, sf_dir), days=90, factor=Decimal("5.0"))
+
+
+@register("geo_velocity")
+def q_geo_velocity(spark, sf_dir):
+    return DT.geo_velocity(td.transactions(spark, sf_dir), max_kmh=900.0)
+
+
+@register("bin_velocity_rows")
+def q_bin_velocity_rows(spark, sf_dir):
+    return DT.bin_velocity_rows(td.transactions(spark, sf_dir), 24 * HOUR_US, 10.0, 3)
+
+
+@register("ato_fan_in_rows")
+def q_ato_fan_in_rows(spark, sf_dir):
+    return DT.ato_fan_in_rows(td.auth_events(spark, sf_dir), 12 * HOUR_US, 3)
+
+
+@register("dormant_bust_out")
+def q_dormant_bust_out(spark, sf_dir):
+    return DT.dormant_bust_out(td.transactions(spark, sf_dir), 2 * DAY_US, 50.0)
+
+
+@register("sequential_pan")
+def q_sequential_pan(spark, sf_dir):
+    return DT.sequential_pan(td.transactions(spark, sf_dir))
+
+
+@register("ato_fan_in")
+def q_ato_fan_in(spark, sf_dir):
+    return DT.ato_fan_in(td.auth_events(spark, sf_dir), "1 day", 3)
+
+
+@register("bin_velocity")
+def q_bin_velocity(spark, sf_dir):
+    return DT.bin_velocity(td.transactions(spark, sf_dir), "1 day", 10.0, 3)
+
+
+@register("subnet_spread")
+def q_subnet_spread(spark, sf_dir):
+    return DT.subnet_spread(td.transactions(spark, sf_dir), "1 day")
+
+
+@register("smurfing")
+def q_smurfing(spark, sf_dir):
+    return DT.smurfing(td.graph(spark, sf_dir).transferred, 30 * DAY_US, 3)
