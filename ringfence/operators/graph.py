@@ -87,9 +87,15 @@ def ring_matches(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool) -> D
     ring = ring.join(g.accounts.select(F.col("account_id").alias("suspicious_id")),
                      "suspicious_id", "left_semi")
     ring = ring.join(g.devices.select("device_id"), "device_id", "left_semi")
+    ring = ring.join(g.addresses.select("address_id"), "address_id", "left_semi")
     return ring
 
 
+def fraud_seeds(g: FraudGraph, status: str = CONFIRMED_FRAUD) -> DataFrame:
+    """Account ids with the given kyc_status as ``fraud_id``."""
+    return _seed(g.accounts, status, "fraud_id")
+
+
 def syndicate_ring(g: FraudGraph, distinct_endpoints: bool = True,
                    fraud_status: str = CONFIRMED_FRAUD) -> DataFrame:
     """4-hop ring. Columns account_id, customer_name, device_id, full_address.

@@ -43,3 +43,163 @@ def investigate(ring: DataFrame, hist: DataFrame) -> DataFrame:
             .select("target", "linked_fraud_user", "shared_device", "drop_address",
                     F.coalesce(F.col("txns"), F.lit(0).cast("long")).alias("txns"),
                     "total_usd"))
+
+
+# ------------------------------------------------------------ enrichment
+
+def enrich(txns: DataFrame, accounts: DataFrame, devices: DataFrame) -> DataFrame:
+    """Attach holder name / KYC status and device type to events.
+
+    Plain left joins: the planner broadcasts a dimension only when its
+    measured size is under the broadcast threshold (AQE re-plans at runtime),
+    otherwise both sides shuffle on the key.
+    """
+    acc = accounts.select("account_id", "customer_name", "kyc_status")
+    dev = devices.select("device_id", "device_type", "is_emulator")
+    return txns.join(acc, "account_id", "left").join(dev, "device_id", "left")
+
+
+# ------------------------------------------------------------ blocklists
+
+def screen_blocklist(txns: DataFrame, blocks: DataFrame, key: str, ttl_us: int = 24 * 3_600_000_000,
+                     width: int | None = None) -> DataFrame:
+    """Active blocks on the row's key at the row's time.
+
+    ``blocks(key, blocked_at)``; a block covers [blocked_at, blocked_at + ttl).
+    Counted as a trailing range sum over block points, so a key blocked many
+    times never pairs every block with every event. Adds ``n_active_blocks``
+    and ``is_blocked`` (hits: ``filter(is_blocked)``; passes: the rest).
+    """
+    from .sliced import HOUR_US, epoch_us, range_sums
+
+    d = txns.withColumn("__t", epoch_us("timestamp"))
+    pts = blocks.select(F.col(key), epoch_us("blocked_at").alias("t"), F.lit(1).cast("long").alias("n_active_blocks"))
+    out = range_sums(d, [key], "__t", "transaction_id", {"n_active_blocks": F.lit(1).cast("long")},
+                     lower=-ttl_us + 1, upper=0, width=width or HOUR_US, points=pts)
+    out = out.withColumn("n_active_blocks", F.coalesce("n_active_blocks", F.lit(0).cast("long")))
+    return out.withColumn("is_blocked", F.col("n_active_blocks") > 0).drop("__t")
+
+
+def active_blocklist(blocks: DataFrame, key: str, as_of: Column, ttl_us: int = 24 * 3_600_000_000) -> DataFrame:
+    """Keys whose latest block has not expired at ``as_of``."""
+    ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_us / 1_000_000))
+    last = blocks.groupBy(key).agg(F.max("blocked_at").alias("last_blocked_at"))
+    return (last.withColumn("expires_at", F.col("last_blocked_at") + ttl)
+            .filter(F.col("expires_at") > as_of))
+
+
+# ------------------------------------------------------------ containment
+
+def containment_actions(scored: DataFrame, policy: DataFrame) -> DataFrame:
+    """One action row per blocked transaction and action of its vector.
+
+    ``policy(vector, actions)`` is a literal table of a handful of rows, so it
+    is broadcast explicitly."""
+    pol = F.broadcast(policy.select("vector", "actions"))
+    return (scored.filter(F.col("verdict") == "BLOCKED")
+            .join(pol, "vector", "inner")
+            .select("transaction_id", "account_id", "vector",
+                    F.posexplode("actions").alias("action_seq", "action")))
+
+
+# Cardholder reply codes -> hold outcome.
+REPLY_OUTCOME = {"1": "RELEASED", "2": "BLOCKED_PERMANENT"}
+
+
+def resolve_holds(holds: DataFrame, replies: DataFrame) -> DataFrame:
+    """Latest reply per hold decides: '1' releases, '2' makes the block
+    permanent, no reply (or another code) leaves it PENDING.
+
+    ``holds(hold_id, ...)``, ``replies(hold_id, reply, replied_at)``. The
+    latest reply is taken with ``max_by`` per hold before the join.
+    """
+    latest = replies.groupBy("hold_id").agg(
+        F.max_by("reply", "replied_at").alias("reply"), F.max("replied_at").alias("replied_at"))
+    m = F.create_map(*[F.lit(x) for kv in REPLY_OUTCOME.items() for x in kv])
+    return (holds.join(latest, "hold_id", "left")
+            .withColumn("status", F.coalesce(m[F.col("reply")], F.lit("PENDING"))))
+
+
+def false_positive_rate(resolved: DataFrame) -> DataFrame:
+    """Holds later confirmed legitimate / all holds (NULL when none)."""
+    return resolved.agg(
+        F.count(F.lit(1)).alias("n_blocked"),
+        F.sum(F.when(F.col("status") == "RELEASED", 1).otherwise(0)).cast("long").alias("n_false_positive"),
+    ).withColumn("false_positive_rate",
+                 F.round(F.col("n_false_positive") / F.nullif(F.col("n_blocked"), F.lit(0)), 6))
+
+
+def incident_exposure(resolved: DataFrame) -> DataFrame:
+    """Per account, amount still pending; 0 once every hold is settled."""
+    pending = F.col("status") == "PENDING"
+    return resolved.groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("n_holds"),
+        F.sum(F.when(pending, 1).otherwise(0)).cast("long").alias("n_pending"),
+        F.sum(F.when(F.col("status") == "BLOCKED_PERMANENT", 1).otherwise(0)).cast("long").alias("n_contained"),
+        F.coalesce(money_sum(F.when(pending, F.col("amount"))), F.lit(0).cast(MONEY_SUM)).alias("pending_amount"),
+    )
+
+
+def prevented_by_day(scored: DataFrame) -> DataFrame:
+    """Blocked count and blocked amount per processing day."""
+    blocked = F.col("verdict") == "BLOCKED"
+    return scored.groupBy(F.to_date("processed_at").alias("day")).agg(
+        F.sum(F.when(blocked, 1).otherwise(0)).cast("long").alias("n_blocked"),
+        F.coalesce(money_sum(F.when(blocked, F.col("amount"))), F.lit(0).cast(MONEY_SUM)).alias("prevented_total"),
+    )
+
+
+def decision_latency(raw: DataFrame, scored: DataFrame) -> DataFrame:
+    """A10: processed_at - timestamp per day of arrival: count, total and
+    max in micros (exact), plus an approximate p95 in seconds."""
+    from .sliced import epoch_us
+
+    j = raw.select("transaction_id", "timestamp").join(
+        scored.select("transaction_id", "processed_at"), "transaction_id", "inner")
+    lat = epoch_us("processed_at") - epoch_us("timestamp")
+    return j.groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(lat).alias("total_latency_us"),
+        F.max(lat).alias("max_latency_us"),
+    )
+
+
+def decision_latency_p95(raw: DataFrame, scored: DataFrame, accuracy: int = 10000) -> DataFrame:
+    """A10 percentiles with bounded memory (``percentile_approx`` sketch)."""
+    from .sliced import epoch_us
+
+    j = raw.select("transaction_id", "timestamp").join(
+        scored.select("transaction_id", "processed_at"), "transaction_id", "inner")
+    lat_s = (epoch_us("processed_at") - epoch_us("timestamp")) / F.lit(1e6)
+    return j.groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.percentile_approx(lat_s, [0.5, 0.95, 0.99], accuracy).alias("latency_s_p50_p95_p99"),
+        F.avg(lat_s).alias("avg_latency_s"))
+
+
+# ------------------------------------------------------------ dossier
+
+def triage_dossier(scored: DataFrame, ring_pairs: DataFrame, hist: DataFrame) -> DataFrame:
+    """Per account, alerts x graph links x historical exposure.
+
+    Each evidence source is folded to one row per account first (alerts:
+    blocked count and amount; ring: matches and distinct linked fraudsters),
+    so the joins are one-to-one on account_id. Accounts with any alert or
+    ring link are kept.
+    """
+    blocked = F.col("verdict") == "BLOCKED"
+    alerts = scored.groupBy("account_id").agg(
+        F.sum(F.when(blocked, 1).otherwise(0)).cast("long").alias("n_alerts"),
+        F.coalesce(money_sum(F.when(blocked, F.col("amount"))), F.lit(0).cast(MONEY_SUM)).alias("blocked_total"))
+    ring = ring_pairs.groupBy(F.col("suspicious_id").alias("account_id")).agg(
+        F.count(F.lit(1)).alias("n_ring_matches"),
+        F.countDistinct("fraud_id").alias("n_linked_fraud"))
+    expo = exposure_by_account(hist)
+    d = alerts.join(ring, "account_id", "full_outer")
+    d = d.select("account_id",
+                 F.coalesce("n_alerts", F.lit(0).cast("long")).alias("n_alerts"),
+                 F.coalesce("blocked_total", F.lit(0).cast(MONEY_SUM)).alias("blocked_total"),
+                 F.coalesce("n_ring_matches", F.lit(0).cast("long")).alias("n_ring_matches"),
+                 F.coalesce("n_linked_fraud", F.lit(0).cast("long")).alias("n_linked_fraud"))
+    d = d.filter((F.col("n_alerts") > 0) | (F.col("n_ring_matches") > 0))
+    return (d.join(expo, "account_id", "left")
+            .withColumn("txns", F.coalesce("txns", F.lit(0).cast("long"))))

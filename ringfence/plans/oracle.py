@@ -227,3 +227,337 @@ FROM t i JOIN t o
 GROUP BY i.order_id, i.src_account, i.dst_account, i.amount, i.ts
 HAVING COUNT(*) >= 3
 """
+
+
+def _nested(key: str, *views: str) -> str:
+    """A registered statement minus its view prefix, usable as a CTE body."""
+    body = SQL[key][len(with_views(*views)):].strip()
+    return "WITH " + body.lstrip(",").strip() if body.startswith(",") else body
+
+
+def _policy_values() -> str:
+    from ..operators.scoring import VECTOR_POLICY
+
+    rows = ", ".join(f"('{v}', '{c}', {s})" for v, c, s, _ in VECTOR_POLICY)
+    return (f"SELECT vector, status_code, CAST(risk_score AS DOUBLE) AS risk_score "
+            f"FROM (VALUES {rows}) p(vector, status_code, risk_score)")
+
+
+def _action_values() -> str:
+    from ..operators.scoring import VECTOR_POLICY
+
+    rows = ", ".join(f"('{v}', {i}, '{a}')" for v, _, _, acts in VECTOR_POLICY for i, a in enumerate(acts))
+    return f"SELECT * FROM (VALUES {rows}) p(vector, action_seq, action)"
+
+
+SCORED = with_views("txn") + f""",
+dev AS (SELECT p_partkey AS device_id FROM part WHERE p_name LIKE '%ring%'),
+travel AS ({_nested("geo_velocity", "txn")}),
+bins AS ({_nested("bin_velocity_rows", "txn")}),
+spike AS ({_nested("spend_spike", "txn")}),
+dormant AS ({_nested("dormant_bust_out", "txn")}),
+flags AS (
+  SELECT t.transaction_id, t.account_id, t.amount, t.merchant_category, t.device_id, t.ts, t.k,
+         COALESCE(tr.is_impossible_travel, false) AS is_impossible_travel,
+         tr.calculated_speed_kmh,
+         b.transaction_id IS NOT NULL AS is_bin_attack,
+         s.transaction_id IS NOT NULL AS is_spend_spike,
+         d.transaction_id IS NOT NULL AS is_dormant_bust_out,
+         COALESCE(t.amount >= 500, false) AS is_high_risk_amount,
+         (CAST(t.device_id AS VARCHAR) LIKE '%emulator%' OR CAST(t.device_id AS VARCHAR) LIKE '%ring%'
+          OR dv.device_id IS NOT NULL) AS is_emu
+  FROM txn t
+  LEFT JOIN travel tr ON tr.transaction_id = t.transaction_id
+  LEFT JOIN bins b ON b.transaction_id = t.transaction_id
+  LEFT JOIN spike s ON s.transaction_id = t.transaction_id
+  LEFT JOIN dormant d ON d.transaction_id = t.transaction_id
+  LEFT JOIN dev dv ON dv.device_id = t.device_id),
+f2 AS (SELECT *, (is_emu OR is_bin_attack OR is_impossible_travel) AS is_suspicious_device FROM flags),
+f3 AS (
+  SELECT *,
+         CASE WHEN is_suspicious_device OR is_high_risk_amount OR is_bin_attack OR is_impossible_travel
+              THEN 'BLOCKED' ELSE 'APPROVED' END AS verdict,
+         CASE WHEN is_bin_attack THEN 'BIN_ATTACK'
+              WHEN is_impossible_travel THEN 'IMPOSSIBLE_TRAVEL'
+              WHEN is_spend_spike OR is_dormant_bust_out OR is_suspicious_device OR is_high_risk_amount
+              THEN 'SYNDICATE' ELSE 'CLEAN' END AS vector
+  FROM f2),
+policy AS ({_policy_values()}),
+scored AS (
+  SELECT f3.transaction_id, f3.account_id, f3.amount, f3.merchant_category, f3.device_id,
+         is_suspicious_device, is_high_risk_amount, is_bin_attack, is_impossible_travel,
+         calculated_speed_kmh, false AS is_ato, is_spend_spike, is_dormant_bust_out,
+         f3.ts + to_seconds(f3.k) AS processed_at, verdict, f3.vector, p.status_code, p.risk_score,
+         CASE WHEN p.risk_score >= 98.0 THEN 'Critical' WHEN p.risk_score >= 50.0 THEN 'High'
+              ELSE 'Low' END AS risk_level,
+         concat_ws('; ',
+           CASE WHEN is_spend_spike THEN 'Extreme Spending Spike' END,
+           CASE WHEN is_dormant_bust_out THEN 'Dormant Account Bust-Out' END,
+           CASE WHEN is_suspicious_device THEN 'Rooted Hardware Signature' END,
+           CASE WHEN is_bin_attack THEN 'High-Velocity BIN Brute Force' END,
+           CASE WHEN is_impossible_travel THEN 'Impossible Travel Velocity' END,
+           CASE WHEN is_high_risk_amount THEN 'High-Risk Amount' END) AS evidence
+  FROM f3 LEFT JOIN policy p ON p.vector = f3.vector)
+"""
+
+RESOLVED = SCORED + """,
+holds AS (SELECT transaction_id AS hold_id, account_id, amount, vector FROM scored WHERE verdict = 'BLOCKED'),
+nxt AS (
+  SELECT transaction_id, LEAD(merchant_category) OVER w AS next_type, LEAD(ts) OVER w AS next_ts
+  FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY ts, transaction_id)),
+replies AS (
+  SELECT n.transaction_id AS hold_id,
+         CASE n.next_type WHEN 'click' THEN '1' WHEN 'error' THEN '2' END AS reply,
+         n.next_ts AS replied_at
+  FROM nxt n JOIN holds h ON h.hold_id = n.transaction_id),
+resolved AS (
+  SELECT h.hold_id, h.account_id, h.amount, h.vector, r.reply, r.replied_at,
+         CASE r.reply WHEN '1' THEN 'RELEASED' WHEN '2' THEN 'BLOCKED_PERMANENT' ELSE 'PENDING' END AS status
+  FROM holds h LEFT JOIN (SELECT * FROM replies WHERE reply IS NOT NULL) r ON r.hold_id = h.hold_id)
+"""
+
+SQL["verdict"] = SCORED + """
+SELECT transaction_id, is_suspicious_device, is_high_risk_amount, is_bin_attack, is_impossible_travel, verdict
+FROM scored
+"""
+
+SQL["score_batch"] = SCORED + "SELECT * FROM scored"
+
+SQL["row_class"] = SCORED + """,
+latest AS (SELECT transaction_id FROM txn ORDER BY ts DESC, transaction_id DESC LIMIT 100)
+SELECT s.transaction_id, s.verdict, l.transaction_id IS NOT NULL AS is_new,
+       CASE WHEN l.transaction_id IS NOT NULL THEN 'row-new'
+            WHEN s.verdict = 'BLOCKED' THEN 'row-fraud' ELSE 'row-clean' END AS row_class
+FROM scored s LEFT JOIN latest l ON l.transaction_id = s.transaction_id
+"""
+
+SQL["raw_feed_latest"] = with_views("txn") + """
+SELECT transaction_id, account_id, amount, merchant_category,
+       COALESCE(card_bin, 'N/A') AS bin, COALESCE(channel, 'POS') AS channel
+FROM txn ORDER BY ts DESC, transaction_id DESC LIMIT 5
+"""
+
+SQL["scored_feed_latest"] = SCORED + """
+SELECT transaction_id, account_id, amount, is_bin_attack, is_impossible_travel,
+       is_suspicious_device, is_high_risk_amount
+FROM scored ORDER BY processed_at DESC, transaction_id DESC LIMIT 5
+"""
+
+SQL["unified_feed"] = with_views("txn", "auth") + """
+SELECT transaction_id, account_id, amount, merchant_category, COALESCE(card_bin, 'N/A') AS bin,
+       COALESCE(channel, 'POS') AS channel, ts AS "timestamp"
+FROM txn WHERE merchant_category NOT IN ('signup', 'error')
+UNION ALL
+SELECT event_id, account_id, CAST(0.0 AS DOUBLE),
+       CASE event_type WHEN 'PASSWORD_RESET' THEN 'auth_password_reset'
+                       WHEN '2FA_PHONE_CHANGED' THEN 'auth_2fa_phone_change' END,
+       'N/A', 'MOBILE_AUTH', ts
+FROM auth
+"""
+
+SQL["enrich"] = with_views("txn", "accounts") + """
+SELECT t.transaction_id, t.account_id, t.device_id, t.amount, a.customer_name, a.kyc_status,
+       p.p_type AS device_type, p.p_name LIKE '%ring%' AS is_emulator
+FROM txn t LEFT JOIN accounts a ON a.account_id = t.account_id
+LEFT JOIN part p ON p.p_partkey = t.device_id
+"""
+
+SQL["screen_blocklist"] = with_views("txn") + f""",
+blocks AS (SELECT k AS device_id, epoch_us(ts) AS b FROM ev WHERE event_type = 'error' AND value > 200)
+SELECT * FROM (
+  SELECT t.transaction_id, t.device_id,
+         (SELECT COUNT(*) FROM blocks x WHERE x.device_id = t.device_id
+            AND x.b > epoch_us(t.ts) - {DAY_US} AND x.b <= epoch_us(t.ts)) AS n_active_blocks
+  FROM txn t)
+WHERE n_active_blocks > 0
+"""
+
+SQL["active_blocklist"] = with_views("ev") + """,
+blocks AS (SELECT k AS device_id, ts AS blocked_at FROM ev WHERE event_type = 'error' AND value > 200)
+SELECT device_id, max(blocked_at) AS last_blocked_at, max(blocked_at) + INTERVAL 24 HOUR AS expires_at
+FROM blocks GROUP BY device_id
+HAVING max(blocked_at) + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)
+"""
+
+SQL["containment_actions"] = SCORED + f""",
+pol AS ({_action_values()})
+SELECT s.transaction_id, s.account_id, s.vector, p.action_seq, p.action
+FROM scored s JOIN pol p ON p.vector = s.vector WHERE s.verdict = 'BLOCKED'
+"""
+
+SQL["resolve_holds"] = RESOLVED + "SELECT * FROM resolved"
+
+SQL["false_positive_rate"] = RESOLVED + """,
+c AS (SELECT COUNT(*) AS n_blocked,
+             CAST(SUM(CASE WHEN status = 'RELEASED' THEN 1 ELSE 0 END) AS BIGINT) AS n_false_positive
+      FROM resolved)
+SELECT n_blocked, n_false_positive, round(n_false_positive / NULLIF(n_blocked, 0), 6) AS false_positive_rate
+FROM c
+"""
+
+SQL["incident_exposure"] = RESOLVED + """
+SELECT account_id, COUNT(*) AS n_holds,
+       CAST(SUM(CASE WHEN status = 'PENDING' THEN 1 ELSE 0 END) AS BIGINT) AS n_pending,
+       CAST(SUM(CASE WHEN status = 'BLOCKED_PERMANENT' THEN 1 ELSE 0 END) AS BIGINT) AS n_contained,
+       COALESCE(CAST(SUM(CASE WHEN status = 'PENDING' THEN CAST(amount AS DECIMAL(18,2)) END)
+                     AS DECIMAL(38,2)), 0) AS pending_amount
+FROM resolved GROUP BY account_id
+"""
+
+SQL["prevented_by_day"] = SCORED + """
+SELECT CAST(processed_at AS DATE) AS day,
+       CAST(SUM(CASE WHEN verdict = 'BLOCKED' THEN 1 ELSE 0 END) AS BIGINT) AS n_blocked,
+       COALESCE(CAST(SUM(CASE WHEN verdict = 'BLOCKED' THEN CAST(amount AS DECIMAL(18,2)) END)
+                     AS DECIMAL(38,2)), 0) AS prevented_total
+FROM scored GROUP BY 1
+"""
+
+SQL["decision_latency"] = SCORED + """
+SELECT CAST(t.ts AS DATE) AS day, COUNT(*) AS n,
+       CAST(SUM(epoch_us(s.processed_at) - epoch_us(t.ts)) AS BIGINT) AS total_latency_us,
+       MAX(epoch_us(s.processed_at) - epoch_us(t.ts)) AS max_latency_us
+FROM txn t JOIN scored s ON s.transaction_id = t.transaction_id GROUP BY 1
+"""
+
+SQL["triage_dossier"] = SCORED + f""",
+{with_views("accounts", "ud", "st")[5:]},
+ring AS (
+  SELECT a.account_id AS suspicious_id, f.account_id AS fraud_id
+  FROM accounts a
+  JOIN ud e1 ON e1.account_id = a.account_id
+  JOIN part d ON d.p_partkey = e1.device_id
+  JOIN ud e2 ON e2.device_id = e1.device_id
+  JOIN accounts f ON f.account_id = e2.account_id
+  JOIN st e3 ON e3.account_id = f.account_id
+  JOIN supplier ad ON ad.s_suppkey = e3.address_id
+  JOIN st e4 ON e4.address_id = e3.address_id AND e4.account_id = a.account_id
+  WHERE f.kyc_status = 'CONFIRMED_FRAUD' AND a.account_id <> f.account_id),
+alerts AS (
+  SELECT account_id, CAST(SUM(CASE WHEN verdict = 'BLOCKED' THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts,
+         COALESCE(CAST(SUM(CASE WHEN verdict = 'BLOCKED' THEN CAST(amount AS DECIMAL(18,2)) END)
+                       AS DECIMAL(38,2)), 0) AS blocked_total
+  FROM scored GROUP BY account_id),
+rs AS (SELECT suspicious_id AS account_id, COUNT(*) AS n_ring_matches,
+              COUNT(DISTINCT fraud_id) AS n_linked_fraud FROM ring GROUP BY 1),
+d AS (
+  SELECT COALESCE(a.account_id, r.account_id) AS account_id,
+         COALESCE(n_alerts, 0) AS n_alerts, COALESCE(blocked_total, 0) AS blocked_total,
+         COALESCE(n_ring_matches, 0) AS n_ring_matches, COALESCE(n_linked_fraud, 0) AS n_linked_fraud
+  FROM alerts a FULL OUTER JOIN rs r ON r.account_id = a.account_id),
+expo AS ({EXPOSURE_BODY})
+SELECT d.*, COALESCE(x.txns, 0) AS txns, x.total_usd
+FROM d LEFT JOIN expo x ON x.account_id = d.account_id
+WHERE d.n_alerts > 0 OR d.n_ring_matches > 0
+"""
+
+_ASSESS = """
+SELECT 'doc://kyc/' || CAST(doc_id AS VARCHAR) AS document_uri,
+       NOT COALESCE(quality <> 0, false) AS is_tampered,
+       concat_ws(',', CASE WHEN NOT COALESCE(toxic <> 1, false) THEN 'portrait' END,
+                      CASE WHEN NOT COALESCE(quality <> 0, false) THEN 'document' END) AS failed_checks,
+       CASE WHEN NOT COALESCE(toxic <> 1, false) THEN 'REJECT_DEEPFAKE_PORTRAIT'
+            WHEN NOT COALESCE(quality <> 0, false) THEN 'REJECT_FORGED_ID' ELSE 'APPROVE' END AS decision
+FROM labels
+"""
+
+SQL["kyc_assess"] = f"""
+SELECT *, CASE WHEN decision LIKE '%REJECT%' THEN 'REJECT' ELSE 'APPROVE' END AS kyc_verdict
+FROM ({_ASSESS})
+"""
+
+SQL["kyc_summary"] = f"""
+SELECT decision, COUNT(*) AS n_documents,
+       CAST(SUM(CASE WHEN is_tampered THEN 1 ELSE 0 END) AS BIGINT) AS n_tampered,
+       AVG(CAST(NULL AS DOUBLE)) AS avg_confidence
+FROM ({_ASSESS}) GROUP BY decision
+"""
+
+
+def _norm_sql(x: str) -> str:
+    a = f"upper(trim({x}))"
+    a = f"regexp_replace({a}, ',.*$', '')"
+    a = f"regexp_replace({a}, '\\s+(STE|SUITE|UNIT|APT|#)\\s*\\.?\\s*[A-Z0-9-]+$', '')"
+    a = f"regexp_replace({a}, '\\s+', ' ', 'g')"
+    return f"trim({a})"
+
+
+SQL["kyc_graph_link"] = with_views("accounts", "st") + f""",
+fa AS (
+  SELECT st.address_id, COUNT(DISTINCT st.account_id) AS n, MIN(a.customer_name) AS fraud_name
+  FROM st JOIN accounts a ON a.account_id = st.account_id
+  WHERE a.kyc_status = 'CONFIRMED_FRAUD' GROUP BY st.address_id),
+fk AS (
+  SELECT {_norm_sql("s.s_name")} AS address_key, CAST(SUM(n) AS BIGINT) AS n_linked_fraud,
+         MIN(fraud_name) AS fraud_name
+  FROM fa JOIN supplier s ON s.s_suppkey = fa.address_id GROUP BY 1),
+docs AS (
+  SELECT 'doc://kyc/' || CAST(l.doc_id AS VARCHAR) AS document_uri, s.s_name AS extracted_address
+  FROM labels l LEFT JOIN supplier s ON s.s_suppkey = l.doc_id % 100)
+SELECT d.document_uri, d.extracted_address, COALESCE(fk.n_linked_fraud, 0) AS n_linked_fraud,
+       CASE WHEN COALESCE(fk.n_linked_fraud, 0) > 0
+            THEN 'Direct Link to ' || fk.fraud_name || ' via ' || d.extracted_address
+            ELSE 'No adverse graph links.' END AS graph_syndicate_link
+FROM docs d LEFT JOIN fk ON fk.address_key = {_norm_sql("d.extracted_address")}
+"""
+
+SQL["graph_violations"] = """
+SELECT 'duplicate_key' AS violation, 'lineitem' AS table_name,
+       concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS key_text,
+       COUNT(*) AS n_rows
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'dangling_o_custkey', 'orders', CAST(o_custkey AS VARCHAR), COUNT(*) FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey) GROUP BY o_custkey
+UNION ALL
+SELECT 'dangling_l_orderkey', 'lineitem', CAST(l_orderkey AS VARCHAR), COUNT(*) FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) GROUP BY l_orderkey
+UNION ALL
+SELECT 'dangling_l_partkey', 'lineitem', CAST(l_partkey AS VARCHAR), COUNT(*) FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey) GROUP BY l_partkey
+UNION ALL
+SELECT 'dangling_l_suppkey', 'lineitem', CAST(l_suppkey AS VARCHAR), COUNT(*) FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey) GROUP BY l_suppkey
+"""
+
+_EMU = """,
+emu AS (SELECT ud.* FROM ud JOIN part p ON p.p_partkey = ud.device_id WHERE p.p_name LIKE '%ring%')
+"""
+
+SQL["shared_device_pairs"] = with_views("accounts", "ud") + _EMU + """,
+seeds AS (SELECT account_id FROM accounts WHERE kyc_status = 'CONFIRMED_FRAUD')
+SELECT s.account_id AS seed_account, e2.account_id AS linked_account, COUNT(*) AS shared_devices
+FROM seeds s JOIN emu e1 ON e1.account_id = s.account_id JOIN emu e2 ON e2.device_id = e1.device_id
+WHERE e2.account_id <> s.account_id GROUP BY 1, 2
+"""
+
+SQL["blast_radius"] = with_views("ud") + _EMU + """
+SELECT device_id, COUNT(DISTINCT account_id) AS n_accounts FROM emu GROUP BY device_id
+"""
+
+SQL["device_fan_in"] = with_views("auth", "accounts") + """
+SELECT a.device_id, a.account_id, c.customer_name, a.event_type, a.ts AS "timestamp"
+FROM auth a JOIN accounts c ON c.account_id = a.account_id
+WHERE a.device_id IN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%')
+"""
+
+SQL["scalar_formats"] = """
+WITH s AS (
+  SELECT c_custkey, c_acctbal, c_mktsegment,
+         '4' || lpad(CAST(c_custkey AS VARCHAR), 15, '0') AS pan,
+         concat_ws('.', '10', CAST(c_nationkey AS VARCHAR), CAST(c_custkey % 256 AS VARCHAR),
+                   CAST(c_custkey % 7 AS VARCHAR)) AS ip_address,
+         (c_custkey % 1000) / 1000.0 AS ratio
+  FROM customer)
+SELECT c_custkey,
+       CASE WHEN c_acctbal IS NULL THEN NULL
+            ELSE (CASE WHEN c_acctbal < 0 THEN '-$' ELSE '$' END) || format('{:,.2f}', abs(c_acctbal)) END
+         AS balance_text,
+       format('{:,.1f}', ratio * 100) || '%' AS ratio_text,
+       substr(pan, 1, 6) AS card_bin,
+       substr(pan, 1, 6) || '******' || right(pan, 4) AS pan_masked,
+       '•••• •••• •••• ' || right(pan, 4) AS pan_display,
+       regexp_extract(ip_address, '^([^.]*[.][^.]*[.][^.]*)', 1) AS subnet,
+       COALESCE(c_mktsegment, 'UNKNOWN') AS segment,
+       contains(c_mktsegment, 'BUILD') AS is_building
+FROM s
+"""

@@ -110,3 +110,198 @@ def q_subnet_spread(spark, sf_dir):
 @register("smurfing")
 def q_smurfing(spark, sf_dir):
     return DT.smurfing(td.graph(spark, sf_dir).transferred, 30 * DAY_US, 3)
+
+
+# ------------------------------------------------------------ scoring
+
+from ..functions import scalars as SC  # noqa: E402
+from ..operators import feeds as FD  # noqa: E402
+from ..operators import kyc as KY  # noqa: E402
+from ..operators import scoring as SCR  # noqa: E402
+
+P = SCR.TESTDATA_PARAMS
+
+
+def scored(spark, sf_dir):
+    """R6 over the stand-in stream (processed_at = event time + k seconds)."""
+    txns = td.with_processed_at(td.transactions(spark, sf_dir))
+    return SCR.score_batch(spark, txns, td.devices(spark, sf_dir), P, processed_at="processed_at")
+
+
+def resolved_holds(spark, sf_dir):
+    sc = scored(spark, sf_dir)
+    holds = sc.filter(F.col("verdict") == "BLOCKED").select(
+        F.col("transaction_id").alias("hold_id"), "account_id", "amount", "vector")
+    replies = td.cardholder_replies(td.transactions(spark, sf_dir), holds)
+    return TR.resolve_holds(holds, replies)
+
+
+@register("verdict")
+def q_verdict(spark, sf_dir):
+    f = SCR.flags(td.transactions(spark, sf_dir), td.devices(spark, sf_dir), P)
+    return f.select("transaction_id", "is_suspicious_device", "is_high_risk_amount",
+                    "is_bin_attack", "is_impossible_travel", SCR.verdict(f).alias("verdict"))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    return scored(spark, sf_dir)
+
+
+@register("row_class")
+def q_row_class(spark, sf_dir):
+    latest_ids = FD.latest(td.transactions(spark, sf_dir), "timestamp", 100, tie="transaction_id")
+    m = SCR.mark_new(scored(spark, sf_dir), latest_ids.select("transaction_id"))
+    return m.select("transaction_id", "verdict", "is_new", SCR.row_class(m).alias("row_class"))
+
+
+@register("raw_feed_latest")
+def q_raw_feed_latest(spark, sf_dir):
+    return FD.raw_feed(FD.latest(td.transactions(spark, sf_dir), "timestamp", 5, tie="transaction_id"))
+
+
+@register("scored_feed_latest")
+def q_scored_feed_latest(spark, sf_dir):
+    return FD.scored_feed(FD.latest(scored(spark, sf_dir), "processed_at", 5, tie="transaction_id"))
+
+
+@register("unified_feed")
+def q_unified_feed(spark, sf_dir):
+    card = td.transactions(spark, sf_dir).filter(~F.col("merchant_category").isin(*td.AUTH_EVENT_TYPES))
+    return FD.unified_feed(card, td.auth_events(spark, sf_dir))
+
+
+@register("enrich")
+def q_enrich(spark, sf_dir):
+    g = td.graph(spark, sf_dir)
+    t = td.transactions(spark, sf_dir).select("transaction_id", "account_id", "device_id", "amount")
+    return TR.enrich(t, g.accounts, g.devices)
+
+
+@register("screen_blocklist")
+def q_screen_blocklist(spark, sf_dir):
+    t = td.transactions(spark, sf_dir).select("transaction_id", "device_id", "timestamp")
+    out = TR.screen_blocklist(t, td.blocks(spark, sf_dir), "device_id", 24 * HOUR_US)
+    return out.filter("is_blocked").select("transaction_id", "device_id", "n_active_blocks")
+
+
+@register("active_blocklist")
+def q_active_blocklist(spark, sf_dir):
+    as_of = td.table(spark, sf_dir, "events").select(F.max("ts")).scalar()
+    return TR.active_blocklist(td.blocks(spark, sf_dir), "device_id", as_of, 24 * HOUR_US)
+
+
+@register("containment_actions")
+def q_containment_actions(spark, sf_dir):
+    return TR.containment_actions(scored(spark, sf_dir), SCR.policy_table(spark))
+
+
+@register("resolve_holds")
+def q_resolve_holds(spark, sf_dir):
+    return resolved_holds(spark, sf_dir)
+
+
+@register("false_positive_rate")
+def q_false_positive_rate(spark, sf_dir):
+    return TR.false_positive_rate(resolved_holds(spark, sf_dir))
+
+
+@register("incident_exposure")
+def q_incident_exposure(spark, sf_dir):
+    return TR.incident_exposure(resolved_holds(spark, sf_dir))
+
+
+@register("prevented_by_day")
+def q_prevented_by_day(spark, sf_dir):
+    return TR.prevented_by_day(scored(spark, sf_dir))
+
+
+@register("decision_latency")
+def q_decision_latency(spark, sf_dir):
+    return TR.decision_latency(td.transactions(spark, sf_dir), scored(spark, sf_dir))
+
+
+@register("triage_dossier")
+def q_triage_dossier(spark, sf_dir):
+    g = td.graph(spark, sf_dir)
+    pairs = G.ring_matches(g, G.fraud_seeds(g), distinct_endpoints=True)
+    return TR.triage_dossier(scored(spark, sf_dir), pairs, td.historical_transactions(spark, sf_dir))
+
+
+# ------------------------------------------------------------ KYC
+
+def kyc_docs(spark, sf_dir):
+    """Check results with the extracted address text (supplier name)."""
+    addr = td.graph(spark, sf_dir).addresses.select(
+        "address_id", F.col("full_address").alias("extracted_address"))
+    return td.kyc_checks(spark, sf_dir).join(addr, "address_id", "left")
+
+
+@register("kyc_assess")
+def q_kyc_assess(spark, sf_dir):
+    return KY.kyc_assess(td.kyc_checks(spark, sf_dir)).select(
+        "document_uri", "is_tampered", "failed_checks", "decision", "kyc_verdict")
+
+
+@register("kyc_graph_link")
+def q_kyc_graph_link(spark, sf_dir):
+    out = KY.kyc_graph_link(kyc_docs(spark, sf_dir), td.graph(spark, sf_dir))
+    return out.select("document_uri", "extracted_address", "n_linked_fraud", "graph_syndicate_link")
+
+
+@register("kyc_summary")
+def q_kyc_summary(spark, sf_dir):
+    audit = KY.kyc_assess(td.kyc_checks(spark, sf_dir)).withColumn(
+        "confidence_score", F.lit(None).cast("double"))
+    return KY.kyc_summary(audit)
+
+
+# ------------------------------------------------------------ graph extras
+
+@register("graph_violations")
+def q_graph_violations(spark, sf_dir):
+    t = lambda n: td.table(spark, sf_dir, n)
+    return G.graph_violations([
+        G.key_violations(t("lineitem"), ["l_orderkey", "l_linenumber"], "lineitem"),
+        G.dangling_refs(t("orders"), "o_custkey", t("customer"), "c_custkey", "orders"),
+        G.dangling_refs(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "lineitem"),
+        G.dangling_refs(t("lineitem"), "l_partkey", t("part"), "p_partkey", "lineitem"),
+        G.dangling_refs(t("lineitem"), "l_suppkey", t("supplier"), "s_suppkey", "lineitem"),
+    ])
+
+
+@register("shared_device_pairs")
+def q_shared_device_pairs(spark, sf_dir):
+    g = td.graph(spark, sf_dir)
+    seeds = G.fraud_seeds(g).select(F.col("fraud_id").alias("account_id"))
+    return G.shared_device_pairs(g, seeds, emulator_only=True)
+
+
+@register("blast_radius")
+def q_blast_radius(spark, sf_dir):
+    return G.blast_radius(td.graph(spark, sf_dir), emulator_only=True)
+
+
+@register("device_fan_in")
+def q_device_fan_in(spark, sf_dir):
+    g = td.graph(spark, sf_dir)
+    anchors = g.devices.filter(F.col("is_emulator")).select("device_id")
+    return G.device_fan_in(td.auth_events(spark, sf_dir), g.accounts, anchors)
+
+
+# ------------------------------------------------------------ scalars
+
+@register("scalar_formats")
+def q_scalar_formats(spark, sf_dir):
+    s = td.scalar_inputs(spark, sf_dir)
+    return s.select(
+        "c_custkey",
+        SC.money_text("c_acctbal").alias("balance_text"),
+        SC.percent_text("ratio").alias("ratio_text"),
+        SC.card_bin("pan").alias("card_bin"),
+        SC.mask_pan("pan").alias("pan_masked"),
+        SC.last4_display("pan").alias("pan_display"),
+        SC.ipv4_subnet("ip_address").alias("subnet"),
+        F.coalesce(F.col("c_mktsegment"), F.lit("UNKNOWN")).alias("segment"),
+        F.col("c_mktsegment").contains("BUILD").alias("is_building"),
+    )

@@ -174,3 +174,58 @@ def kyc_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quality") != 0).alias("document_ok"),
         (F.col("doc_id") % KYC_ADDRESS_MODULUS).alias("address_id"),
     )
+
+
+def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device nodes (part): emulator = name contains 'ring'."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("device_id"), F.col("p_type").alias("device_type"),
+        F.col("p_name").like(EMULATOR_NAME_PATTERN).alias("is_emulator"))
+
+
+def with_processed_at(txns: DataFrame) -> DataFrame:
+    """Processing time of the stand-in stream: event time + k seconds."""
+    return txns.withColumn("processed_at", F.expr("timestampadd(SECOND, k, timestamp)"))
+
+
+# Fixed values of the reply mapping: next event type -> reply code.
+REPLY_CODES = {"click": "1", "error": "2"}
+
+
+def cardholder_replies(txns: DataFrame, holds: DataFrame) -> DataFrame:
+    """Replies to holds: the account's next event after the held one;
+    'click' answers 1 (legitimate), 'error' answers 2 (fraud), other types
+    leave the hold unanswered. Next events come from the sliced lead, so a
+    busy account is not one task."""
+    from ..operators.sliced import epoch_us, sliced_next
+
+    ev = txns.select("transaction_id", "account_id", "merchant_category",
+                     "timestamp", epoch_us("timestamp").alias("__t"))
+    nxt = sliced_next(ev, ["account_id"], "__t", "transaction_id",
+                      ["merchant_category", "timestamp"])
+    codes = F.create_map(*[F.lit(x) for kv in REPLY_CODES.items() for x in kv])
+    rep = (nxt.join(holds.select(F.col("hold_id").alias("transaction_id")), "transaction_id", "left_semi")
+           .select(F.col("transaction_id").alias("hold_id"),
+                   codes[F.col("next_merchant_category")].alias("reply"),
+                   F.col("next_timestamp").alias("replied_at")))
+    return rep.filter(F.col("reply").isNotNull())
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocklist entries: device k is blocked when an 'error' event on it
+    carries value > 200."""
+    return (table(spark, sf_dir, "events")
+            .filter((F.col("event_type") == "error") & (F.col("value") > 200))
+            .select(prop_k().alias("device_id"), F.col("ts").alias("blocked_at")))
+
+
+def scalar_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers and IPv4 addresses built from customer keys."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey", "c_acctbal", "c_mktsegment",
+        F.concat(F.lit("4"), F.lpad(F.col("c_custkey").cast("string"), 15, "0")).alias("pan"),
+        F.concat_ws(".", F.lit("10"), F.col("c_nationkey").cast("string"),
+                    (F.col("c_custkey") % 256).cast("string"),
+                    (F.col("c_custkey") % 7).cast("string")).alias("ip_address"),
+        ((F.col("c_custkey") % 1000) / F.lit(1000.0)).alias("ratio"))
