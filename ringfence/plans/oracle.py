@@ -561,3 +561,65 @@ SELECT c_custkey,
        contains(c_mktsegment, 'BUILD') AS is_building
 FROM s
 """
+
+SQL["modernize_roundtrip"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id, CAST(o_custkey AS VARCHAR) AS account_id,
+       o_totalprice AS amount, o_orderstatus AS merchant_category, CAST(NULL AS VARCHAR) AS device_id,
+       date_trunc('second', o_orderdate) AS "timestamp"
+FROM orders
+"""
+
+SQL["conform_append"] = with_views("ev") + """
+SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(user_id AS VARCHAR) AS account_id,
+       value AS amount, event_type AS merchant_category, CAST(k AS VARCHAR) AS device_id,
+       CAST(NULL AS VARCHAR) AS ip_address, CAST(NULL AS VARCHAR) AS shipping_address, ts AS "timestamp",
+       CAST(NULL AS VARCHAR) AS channel, CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude,
+       CAST(NULL AS VARCHAR) AS card_bin, CAST(NULL AS VARCHAR) AS card_pan_masked,
+       CAST(NULL AS VARCHAR) AS auth_response_code
+FROM ev
+"""
+
+SQL["fraud_features"] = """
+SELECT l.l_orderkey, l.l_partkey, l.l_extendedprice AS amount,
+       CASE WHEN p.p_name LIKE '%emulator%' OR p.p_name LIKE '%ring%' THEN 1 ELSE 0 END AS is_emulator,
+       CASE WHEN p.p_type IN ('high_risk_electronics') THEN 1 ELSE 0 END AS is_high_risk,
+       CASE WHEN c.c_acctbal < -900 THEN 1 ELSE 0 END AS is_fraud
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+JOIN part p ON p.p_partkey = l.l_partkey JOIN customer c ON c.c_custkey = o.o_custkey
+"""
+
+SQL["stream_score"] = with_views("txn") + """
+SELECT t.transaction_id, t.account_id, t.amount,
+       (CAST(t.device_id AS VARCHAR) LIKE '%emulator%' OR CAST(t.device_id AS VARCHAR) LIKE '%ring%'
+        OR p.p_partkey IS NOT NULL) AS is_suspicious_device,
+       COALESCE(t.amount >= 500, false) AS is_high_risk_amount
+FROM txn t LEFT JOIN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%') p ON p.p_partkey = t.device_id
+"""
+
+SQL["stream_bin"] = with_views("txn") + """,
+m AS (SELECT card_bin, ts, time_bucket(INTERVAL 12 HOUR, ts) AS b FROM txn WHERE amount < 10),
+w AS (SELECT card_bin, b AS window_start FROM m UNION ALL SELECT card_bin, b - INTERVAL 12 HOUR FROM m)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, card_bin, COUNT(*) AS n_attempts
+FROM w GROUP BY window_start, card_bin
+HAVING COUNT(*) >= 3
+   AND window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM txn) - INTERVAL 1 HOUR
+"""
+
+SQL["stream_ato"] = with_views("auth") + """
+SELECT * FROM (
+  SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+         device_id, COUNT(DISTINCT account_id) AS n_accounts, COUNT(*) AS n_events
+  FROM auth GROUP BY 1, 2, 3)
+WHERE n_accounts >= 3 AND window_end <= (SELECT max(ts) FROM auth) - INTERVAL 1 HOUR
+"""
+
+SQL["stream_geo"] = SQL["geo_velocity"]
+
+SQL["stream_spike"] = with_views("txn") + """,
+prof AS (SELECT account_id, COUNT(*) AS baseline_n, SUM(CAST(amount AS DECIMAL(18,2))) AS baseline_total
+         FROM txn GROUP BY account_id)
+SELECT t.transaction_id, t.account_id, t.amount, p.baseline_n,
+       CAST(p.baseline_total AS DECIMAL(38,2)) AS baseline_total
+FROM txn t JOIN prof p ON p.account_id = t.account_id
+WHERE CAST(t.amount AS DECIMAL(18,2)) * p.baseline_n >= 5.0 * p.baseline_total
+"""

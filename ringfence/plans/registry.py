@@ -305,3 +305,152 @@ def q_scalar_formats(spark, sf_dir):
         F.coalesce(F.col("c_mktsegment"), F.lit("UNKNOWN")).alias("segment"),
         F.col("c_mktsegment").contains("BUILD").alias("is_building"),
     )
+
+
+# ------------------------------------------------------------ sources / sinks
+
+from .. import schemas as SCH  # noqa: E402
+from ..operators import ml as ML  # noqa: E402
+from ..session import ensure_checkpoint_dir, scratch_path  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+
+
+@register("modernize_roundtrip")
+def q_modernize_roundtrip(spark, sf_dir):
+    """S1-S3 + F10: land the archive (text timestamps) as an overwrite, expose
+    it under a name, read it back with the declared schema and type the
+    timestamp."""
+    ensure_checkpoint_dir(spark)
+    hist = td.historical_transactions(spark, sf_dir).select(
+        F.col("transaction_id").cast("string").alias("transaction_id"),
+        F.col("account_id").cast("string").alias("account_id"),
+        "amount", "merchant_category",
+        F.lit(None).cast("string").alias("device_id"),
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
+    path = scratch_path(spark, "archive")
+    IO.modernize(hist, path)
+    IO.register_archive(spark, path, "historical_transactions")
+    return IO.parse_legacy_timestamp(IO.read_transactions(spark, path))
+
+
+@register("conform_append")
+def q_conform_append(spark, sf_dir):
+    """Append partial rows to the live stream table; absent columns NULL."""
+    ensure_checkpoint_dir(spark)
+    ev = td.table(spark, sf_dir, "events")
+    part = ev.select(F.col("event_id").cast("string").alias("transaction_id"),
+                     F.col("user_id").cast("string").alias("account_id"),
+                     F.col("value").alias("amount"), F.col("event_type").alias("merchant_category"),
+                     td.prop_k().cast("string").alias("device_id"),
+                     F.col("ts").cast("timestamp").alias("timestamp"))
+    path = scratch_path(spark, "live")
+    IO.append_conformed(part, SCH.LIVE_TRANSACTIONS, path)
+    out = spark.read.schema(SCH.LIVE_TRANSACTIONS).parquet(path)
+    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@register("document_manifest")
+def q_document_manifest(spark, sf_dir):
+    """Manifest of the table files (no content read)."""
+    m = IO.document_manifest(spark, f"{sf_dir.rstrip('/')}/*.parquet")
+    return m.select(F.element_at(F.split("document_uri", "/"), -1).alias("file_name"), "size_bytes")
+
+
+# ------------------------------------------------------------ ML
+
+def feature_table(spark, sf_dir):
+    """M1 over order lines: device = part name, category = part type,
+    label = the buyer is a confirmed fraud account."""
+    lines = td.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    orders = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = td.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    cust = td.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    hist = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+            .join(part, lines.l_partkey == part.p_partkey)
+            .join(cust, orders.o_custkey == cust.c_custkey)
+            .select("l_orderkey", "l_partkey", F.col("l_extendedprice").alias("amount"),
+                    F.col("p_name").alias("device_id"), F.col("p_type").alias("merchant_category"),
+                    (F.col("c_acctbal") < td.FRAUD_BALANCE).alias("label")))
+    return ML.fraud_features(hist, label=F.col("label"), keep=("l_orderkey", "l_partkey"))
+
+
+@register("fraud_features")
+def q_fraud_features(spark, sf_dir):
+    return feature_table(spark, sf_dir)
+
+
+@register("predict")
+def q_predict(spark, sf_dir):
+    """M2 + M3: train the boosted-tree classifier, score the same rows."""
+    feats = feature_table(spark, sf_dir)
+    model = ML.train_classifier(feats, max_iter=10)
+    return ML.predict(model, feats, keep=("l_orderkey", "l_partkey", "is_fraud"))
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf_dir):
+    """M2 + M3 evaluation: one row of ROC / PR area."""
+    feats = feature_table(spark, sf_dir)
+    return ML.evaluate(ML.train_classifier(feats, max_iter=10), feats)
+
+
+# ------------------------------------------------------------ streaming
+
+def _stream_txns(spark, sf_dir):
+    return ST.event_time(td.transactions(spark, sf_dir, td.events_stream(spark, sf_dir)))
+
+
+def _run(spark, df, name):
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, name)
+    return ST.run_to_table(spark, df, f"{base}/out", f"{base}/checkpoint")
+
+
+def _ntz(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """R1 + S4 + S8: stateless scoring with a stream-static device join."""
+    s = ST.score_stateless(_stream_txns(spark, sf_dir), td.devices(spark, sf_dir), P.high_risk_amount)
+    out = _run(spark, s, "stream-score")
+    return out.select("transaction_id", "account_id", "amount", "is_suspicious_device", "is_high_risk_amount")
+
+
+@register("stream_bin")
+def q_stream_bin(spark, sf_dir):
+    """R2: sliding 1-day windows every 12 hours, micro amounts < 10."""
+    s = ST.bin_attack_stream(_stream_txns(spark, sf_dir), "1 day", "12 hours", "1 hour", 10.0, 3)
+    return _ntz(_run(spark, s, "stream-bin"), "window_start", "window_end")
+
+
+@register("stream_ato")
+def q_stream_ato(spark, sf_dir):
+    """R3 + S5: distinct accounts per device per day from the auth stream."""
+    auth = ST.event_time(td.auth_events(spark, sf_dir, td.events_stream(spark, sf_dir)))
+    s = ST.ato_stream(auth, "1 day", "1 hour", 3)
+    return _ntz(_run(spark, s, "stream-ato"), "window_start", "window_end")
+
+
+@register("stream_geo")
+def q_stream_geo(spark, sf_dir):
+    """Stateful geo-velocity over the transaction stream."""
+    s = ST.geo_velocity_stream(_stream_txns(spark, sf_dir), 900.0, 100.0, "1 hour")
+    return _run(spark, s, "stream-geo")
+
+
+@register("stream_spike")
+def q_stream_spike(spark, sf_dir):
+    """Events against a batch per-account profile (stream-static join)."""
+    from ..operators.triage import MONEY
+
+    profile = (td.transactions(spark, sf_dir).groupBy("account_id")
+               .agg(F.count(F.lit(1)).alias("baseline_n"),
+                    F.sum(F.col("amount").cast(MONEY)).alias("baseline_total")))
+    s = ST.spike_stream(_stream_txns(spark, sf_dir), profile, 5.0)
+    out = _run(spark, s, "stream-spike")
+    return out.withColumn("baseline_total", F.col("baseline_total").cast("decimal(38,2)"))

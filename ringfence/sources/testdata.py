@@ -34,7 +34,15 @@ def prop_k() -> Column:
     return F.get_json_object(F.col("props"), "$.k").cast("int")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as an append-only stream: the table's folder, restricted to
+    the table's file, with the schema taken from the parquet footer."""
+    schema = table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .parquet(sf_dir.rstrip("/")))
+
+
+def transactions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Card transactions from ``events``.
 
     transaction_id=event_id, account_id=user_id, amount=value,
@@ -43,7 +51,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts on one BIN look like sequential card probing.
     """
     k = prop_k()
-    ev = table(spark, sf_dir, "events")
+    ev = events if events is not None else table(spark, sf_dir, "events")
     bin6 = F.lpad(k.cast("string"), 6, "4")
     last4 = F.lpad((F.col("user_id") % 10000).cast("string"), 4, "0")
     return ev.select(
@@ -66,11 +74,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def auth_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Authentication events: ``signup`` and ``error`` rows of ``events``."""
     k = prop_k()
     mapping = F.create_map(*[F.lit(x) for kv in AUTH_EVENT_TYPES.items() for x in kv])
-    return (table(spark, sf_dir, "events")
+    return ((events if events is not None else table(spark, sf_dir, "events"))
             .filter(F.col("event_type").isin(*AUTH_EVENT_TYPES))
             .select(F.col("event_id"), F.col("user_id").alias("account_id"),
                     k.alias("device_id"),
