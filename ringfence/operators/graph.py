@@ -13,8 +13,6 @@ a sort-merge join, with AQE splitting hot device / address keys, when not.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,6 @@ CONFIRMED_FRAUD = "CONFIRMED_FRAUD"
 VICTIM_COMPROMISED = "VICTIM_COMPROMISED"
 
 
-@dataclass(frozen=True)
 class FraudGraph:
     """G1: node and edge tables of the fraud graph.
 
@@ -32,14 +29,25 @@ class FraudGraph:
     used_device(account_id, device_id, ...)      label USED_DEVICE
     shipped_to(account_id, address_id)           label SHIPPED_TO
     transferred(src_account, dst_account, amount, timestamp, ...) label TRANSFERRED
+
+    Each table is a DataFrame or a zero-argument function producing one;
+    functions run on first use only (e.g. an edge table that is built and
+    written once when a pattern needs it).
     """
 
-    accounts: DataFrame
-    devices: DataFrame
-    addresses: DataFrame
-    used_device: DataFrame
-    shipped_to: DataFrame
-    transferred: DataFrame | None = None
+    _FIELDS = ("accounts", "devices", "addresses", "used_device", "shipped_to", "transferred")
+
+    def __init__(self, accounts, devices, addresses, used_device, shipped_to, transferred=None):
+        self._src = dict(zip(self._FIELDS, (accounts, devices, addresses, used_device, shipped_to, transferred)))
+        self._done: dict[str, DataFrame | None] = {}
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self._FIELDS:
+            raise AttributeError(name)
+        if name not in self._done:
+            v = self._src[name]
+            self._done[name] = v() if callable(v) else v
+        return self._done[name]
 
 
 def _seed(accounts: DataFrame, status: str, id_alias: str, name_alias: str | None = None) -> DataFrame:
@@ -175,9 +183,12 @@ def transfer_paths(g: FraudGraph, lo: int = 1, hi: int = 3,
     """
     if lo < 1 or hi < lo:
         raise ValueError("need 1 <= lo <= hi")
-    edges = (valid_transfers(g)
-             .groupBy(F.col("src_account").alias("src"), F.col("dst_account").alias("dst"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    from ..session import materialize
+
+    # Parallel edges pre-counted; written once, read by every hop.
+    edges = materialize(valid_transfers(g)
+                        .groupBy(F.col("src_account").alias("src"), F.col("dst_account").alias("dst"))
+                        .agg(F.count(F.lit(1)).alias("n")), "transfer-edges")
     frontier = _seed(g.accounts, seed_status, "origin").select(
         "origin", F.col("origin").alias("node"), F.lit(1).cast("long").alias("paths"))
     results = []

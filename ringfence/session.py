@@ -87,3 +87,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str, partition_by: list[str] | None = None):
+    """Write ``df`` once to a fresh folder under the shared checkpoint folder
+    and read it back.
+
+    Used where one derived table feeds several branches of a plan: the
+    branches then scan the written files instead of each re-running the
+    joins that produced it, and the lineage is cut, so a lost executor only
+    recomputes from the files."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, name)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path)
