@@ -623,3 +623,16 @@ SELECT t.transaction_id, t.account_id, t.amount, p.baseline_n,
 FROM txn t JOIN prof p ON p.account_id = t.account_id
 WHERE CAST(t.amount AS DECIMAL(18,2)) * p.baseline_n >= 5.0 * p.baseline_total
 """
+
+SQL["stream_blocklist"] = with_views("ev") + f""",
+b AS (SELECT k AS device_id, ts AS blocked_at FROM ev WHERE event_type = 'error' AND value > 200),
+g AS (SELECT *, CASE WHEN epoch_us(blocked_at) - LAG(epoch_us(blocked_at)) OVER w < {DAY_US}
+                     THEN 0 ELSE 1 END AS new_episode
+      FROM b WINDOW w AS (PARTITION BY device_id ORDER BY blocked_at)),
+e AS (SELECT *, SUM(new_episode) OVER (PARTITION BY device_id ORDER BY blocked_at
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM g)
+SELECT device_id, MIN(blocked_at) AS blocked_from, MAX(blocked_at) + INTERVAL 24 HOUR AS expires_at,
+       COUNT(*) AS n_blocks
+FROM e GROUP BY device_id, episode
+HAVING MAX(blocked_at) + INTERVAL 24 HOUR <= (SELECT MAX(blocked_at) FROM b) - INTERVAL 1 HOUR
+"""

@@ -454,3 +454,13 @@ def q_stream_spike(spark, sf_dir):
     s = ST.spike_stream(_stream_txns(spark, sf_dir), profile, 5.0)
     out = _run(spark, s, "stream-spike")
     return out.withColumn("baseline_total", F.col("baseline_total").cast("decimal(38,2)"))
+
+
+@register("stream_blocklist")
+def q_stream_blocklist(spark, sf_dir):
+    """R8 streaming: 24-hour block episodes per device from the event stream."""
+    ev = td.events_stream(spark, sf_dir)
+    blocks = (ev.filter((F.col("event_type") == "error") & (F.col("value") > 200))
+              .select(td.prop_k().alias("device_id"), F.col("ts").cast("timestamp").alias("blocked_at")))
+    s = ST.blocklist_stream(blocks, "device_id", "24 hours", "1 hour")
+    return _ntz(_run(spark, s, "stream-blocklist"), "blocked_from", "expires_at")

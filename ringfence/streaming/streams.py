@@ -210,3 +210,17 @@ def run_to_table(spark: SparkSession, df: DataFrame, path: str, checkpoint: str,
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(path)
+
+
+def blocklist_stream(blocks: DataFrame, key: str, ttl: str = "24 hours",
+                     watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """R8 on a stream: block episodes of a key.
+
+    A block lasts ``ttl`` and a new block inside it extends it, which is a
+    session window with gap = ttl. Each closed episode is emitted once when
+    the watermark passes its expiry: key, blocked_from, expires_at and the
+    number of blocks in it."""
+    return (blocks.withWatermark("blocked_at", watermark)
+            .groupBy(F.session_window("blocked_at", ttl).alias("s"), key)
+            .agg(F.count(F.lit(1)).alias("n_blocks"))
+            .select(key, F.col("s.start").alias("blocked_from"), F.col("s.end").alias("expires_at"), "n_blocks"))
