@@ -78,26 +78,50 @@ def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 1
         flag.alias("is_impossible_travel"))
 
 
+def episode_rows(rows: DataFrame, flagged: DataFrame, keys: list[str], row_id: str,
+                 window_us: int, width: int = HOUR_US) -> DataFrame:
+    """Rows that belong to a flagged row's trailing window.
+
+    A row at t is in the episode of a flagged row at t' when t <= t' <= t + w
+    (same keys): a forward range count over the flagged rows as points, so no
+    row is paired with every flagged row. ``rows`` and ``flagged`` carry
+    (keys, row_id, __t)."""
+    pts = flagged.select(*keys, F.col("__t").alias("t"), F.lit(1).cast("long").alias("n_flagged"))
+    out = range_sums(rows, keys, "__t", row_id, {"n_flagged": F.lit(1).cast("long")},
+                     lower=0, upper=window_us, width=width, points=pts)
+    return out.filter(F.col("n_flagged") > 0).drop("n_flagged")
+
+
 def bin_velocity_rows(txns: DataFrame, window_us: int = 24 * HOUR_US, max_amount: float = 10.0,
-                      min_count: int = 3, width: int = HOUR_US) -> DataFrame:
+                      min_count: int = 3, width: int = HOUR_US, episode: bool = False) -> DataFrame:
     """Micro-amount attempts on the row's BIN within [t - window, t];
-    rows reaching ``min_count`` are returned with the count."""
+    rows reaching ``min_count`` are returned with the count. With
+    ``episode`` every micro row inside a triggering window is returned
+    (the earlier attempts of a burst too), without the count."""
     d = _with_t(txns.filter(F.col("amount") < F.lit(max_amount)))
     d = d.select("transaction_id", "card_bin", "__t")
     out = range_sums(d, ["card_bin"], "__t", "transaction_id",
                      {"n_attempts": F.lit(1).cast("long")}, lower=-window_us, upper=0, width=width)
-    return out.filter(F.col("n_attempts") >= min_count).select("transaction_id", "card_bin", "n_attempts")
+    flagged = out.filter(F.col("n_attempts") >= min_count)
+    if episode:
+        return episode_rows(d, flagged, ["card_bin"], "transaction_id", window_us, width).select(
+            "transaction_id", "card_bin")
+    return flagged.select("transaction_id", "card_bin", "n_attempts")
 
 
 def ato_fan_in_rows(auth: DataFrame, window_us: int = 12 * HOUR_US, min_accounts: int = 3,
-                    width: int = HOUR_US) -> DataFrame:
+                    width: int = HOUR_US, episode: bool = False) -> DataFrame:
     """Distinct accounts that hit the row's device within [t - window, t];
-    rows reaching ``min_accounts`` are returned."""
+    rows reaching ``min_accounts`` are returned. With ``episode`` every event
+    inside a triggering window is returned (all accounts of the fan-in)."""
     d = _with_t(auth).select("event_id", "device_id", "account_id", "__t")
     out = trailing_distinct(d, ["device_id"], "account_id", "__t", "event_id", window_us,
                             width=width, out="n_accounts")
-    return out.filter(F.col("n_accounts") >= min_accounts).select(
-        "event_id", "device_id", "account_id", "n_accounts")
+    flagged = out.filter(F.col("n_accounts") >= min_accounts)
+    if episode:
+        return episode_rows(d, flagged, ["device_id"], "event_id", window_us, width).select(
+            "event_id", "device_id", "account_id")
+    return flagged.select("event_id", "device_id", "account_id", "n_accounts")
 
 
 def dormant_bust_out(txns: DataFrame, gap_us: int = 2 * DAY_US, min_amount: float = 50.0,

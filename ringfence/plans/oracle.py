@@ -636,3 +636,22 @@ SELECT device_id, MIN(blocked_at) AS blocked_from, MAX(blocked_at) + INTERVAL 24
 FROM e GROUP BY device_id, episode
 HAVING MAX(blocked_at) + INTERVAL 24 HOUR <= (SELECT MAX(blocked_at) FROM b) - INTERVAL 1 HOUR
 """
+
+SQL["bin_velocity_episodes"] = with_views("txn") + f""",
+m AS (SELECT transaction_id, card_bin, epoch_us(ts) AS t FROM txn WHERE amount < 10),
+c AS (SELECT *, COUNT(*) OVER (PARTITION BY card_bin ORDER BY t
+                               RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW) AS n FROM m),
+f AS (SELECT card_bin, t FROM c WHERE n >= 3)
+SELECT m.transaction_id, m.card_bin FROM m
+WHERE EXISTS (SELECT 1 FROM f WHERE f.card_bin = m.card_bin AND f.t BETWEEN m.t AND m.t + {DAY_US})
+"""
+
+SQL["ato_fan_in_episodes"] = with_views("auth") + f""",
+a AS (SELECT event_id, device_id, account_id, epoch_us(ts) AS t FROM auth),
+c AS (SELECT x.*, (SELECT COUNT(DISTINCT y.account_id) FROM a y
+                   WHERE y.device_id = x.device_id AND y.t BETWEEN x.t - {DAY_US // 2} AND x.t) AS n
+      FROM a x),
+f AS (SELECT device_id, t FROM c WHERE n >= 3)
+SELECT a.event_id, a.device_id, a.account_id FROM a
+WHERE EXISTS (SELECT 1 FROM f WHERE f.device_id = a.device_id AND f.t BETWEEN a.t AND a.t + {DAY_US // 2})
+"""

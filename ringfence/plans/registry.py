@@ -464,3 +464,15 @@ def q_stream_blocklist(spark, sf_dir):
               .select(td.prop_k().alias("device_id"), F.col("ts").cast("timestamp").alias("blocked_at")))
     s = ST.blocklist_stream(blocks, "device_id", "24 hours", "1 hour")
     return _ntz(_run(spark, s, "stream-blocklist"), "blocked_from", "expires_at")
+
+
+@register("bin_velocity_episodes")
+def q_bin_velocity_episodes(spark, sf_dir):
+    """W3 with episode flagging: every attempt of a triggering burst."""
+    return DT.bin_velocity_rows(td.transactions(spark, sf_dir), 24 * HOUR_US, 10.0, 3, episode=True)
+
+
+@register("ato_fan_in_episodes")
+def q_ato_fan_in_episodes(spark, sf_dir):
+    """W4 with episode flagging: every auth event of a fan-in."""
+    return DT.ato_fan_in_rows(td.auth_events(spark, sf_dir), 12 * HOUR_US, 3, episode=True)
