@@ -72,10 +72,24 @@ def policy_table(spark: SparkSession) -> DataFrame:
         VECTOR_POLICY, "vector string, status_code string, risk_score double, actions array<string>")
 
 
+INPUT_COLUMNS = ("transaction_id", "account_id", "amount", "merchant_category", "device_id",
+                 "timestamp", "latitude", "longitude", "card_bin")
+
+
 def flags(txns: DataFrame, devices: DataFrame | None = None,
-          p: ScoringParams = ScoringParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+          p: ScoringParams = ScoringParams(), keep: tuple[str, ...] = (),
+          materialize_input: bool = False) -> DataFrame:
     """Per-transaction detector flags (NULL-free booleans) plus speed.
-    ``keep`` names extra transaction columns to carry along."""
+    ``keep`` names extra transaction columns to carry along.
+
+    The four detectors each read the transactions (column-pruned). When
+    the source is expensive to decode (e.g. fields parsed out of JSON text),
+    ``materialize_input`` writes the narrow input once to the checkpoint
+    folder so it is decoded once instead of four times."""
+    if materialize_input:
+        from ..session import materialize
+
+        txns = materialize(txns.select(*INPUT_COLUMNS, *keep), "scoring-input")
     base = txns.select("transaction_id", "account_id", "amount", "merchant_category",
                        "device_id", "timestamp", *keep)
     travel = DT.geo_velocity(txns, p.max_kmh).select(

@@ -50,7 +50,9 @@ def _neighbour(df: DataFrame, keys: Sequence[str], t: str, tie: str,
     w_in = Window.partitionBy(*keys, sl).orderBy(t, tie)
     near = F.lead("__rec").over(w_in) if forward else F.lag("__rec").over(w_in)
     d = d.withColumn("__near", near)
-    # One row per non-empty (key, slice): its first and last record.
+    # One row per non-empty (key, slice): its first and last record. A grouped
+    # aggregate, so each task combines its rows map-side before the (small)
+    # shuffle; a hot key contributes one row per slice per task.
     summ = d.groupBy(*keys, sl).agg(F.min("__rec").alias("__first"), F.max("__rec").alias("__last"))
     w_sl = Window.partitionBy(*keys).orderBy(sl)
     edge = F.lead("__first").over(w_sl) if forward else F.lag("__last").over(w_sl)
