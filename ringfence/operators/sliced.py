@@ -96,14 +96,14 @@ def sliced_prefix(points: DataFrame, queries: DataFrame, keys: Sequence[str],
     q = queries.select(*keys, F.col("t").alias("__t"),
                        *[F.lit(0).cast(zero_types[n]).alias(n) for n in vnames],
                        F.col("qid").alias("__qid"), F.col("sign").cast("int").alias("__sign"))
-    e = p.unionByName(q).withColumn(sl, _slice("__t", width))
-    w_part = Window.partitionBy(*keys, sl)
-    w_before = w_part.orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-    e = e.select(*keys, sl, "__qid", "__sign",
-                 *[F.sum(n).over(w_before).alias(f"{n}_in") for n in vnames],
-                 *[F.sum(n).over(w_part).alias(f"{n}_tot") for n in vnames])
-    # Slice totals, then the running total of all earlier slices per key.
-    summ = e.groupBy(*keys, sl).agg(*[F.first(f"{n}_tot").alias(f"{n}_tot") for n in vnames])
+    e0 = p.unionByName(q).withColumn(sl, _slice("__t", width))
+    w_before = Window.partitionBy(*keys, sl).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+    e = e0.select(*keys, sl, "__qid", "__sign",
+                  *[F.sum(n).over(w_before).alias(f"{n}_in") for n in vnames])
+    # Slice totals (a grouped sum: combined map-side, so the shuffle carries
+    # one row per (key, slice) per task; query rows add 0 but make their
+    # slices exist), then the running total of all earlier slices per key.
+    summ = e0.groupBy(*keys, sl).agg(*[F.sum(n).alias(f"{n}_tot") for n in vnames])
     w_key = Window.partitionBy(*keys).orderBy(sl).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*keys, sl, *[F.sum(f"{n}_tot").over(w_key).alias(f"{n}_before") for n in vnames])
     qs = e.filter(F.col("__qid").isNotNull()).join(summ, [*keys, sl], "inner")
