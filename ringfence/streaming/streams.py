@@ -224,3 +224,10 @@ def blocklist_stream(blocks: DataFrame, key: str, ttl: str = "24 hours",
             .groupBy(F.session_window("blocked_at", ttl).alias("s"), key)
             .agg(F.count(F.lit(1)).alias("n_blocks"))
             .select(key, F.col("s.start").alias("blocked_from"), F.col("s.end").alias("expires_at"), "n_blocks"))
+
+
+def dedupe_replays(stream: DataFrame, key: str = "transaction_id",
+                   watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """Drop replayed events: the first row per ``key`` is kept while its
+    event time is within the watermark (state is bounded by the delay)."""
+    return stream.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark([key])
