@@ -184,33 +184,110 @@ def subnet_spread(txns: DataFrame, window: str = "1 day") -> DataFrame:
                  F.count(F.lit(1)).alias("n_attempts")))
 
 
-def smurfing(transfers: DataFrame, window_us: int = 30 * DAY_US, min_splits: int = 3) -> DataFrame:
+AMOUNT_BITS = 48  # order-preserving code of cents: |amount| < 2**47 cents
+
+
+def _amount_code(amount: Column) -> Column:
+    """Cents shifted to a non-negative long, so bit order = amount order."""
+    cents = (amount.cast(MONEY) * 100).cast("long")
+    return cents + F.lit(1 << (AMOUNT_BITS - 1))
+
+
+def smurfing(transfers: DataFrame, window_us: int = 30 * DAY_US, min_splits: int = 3,
+             max_pairs_per_group: int = 2_000_000) -> DataFrame:
     """An inflow to an account followed, within ``window_us``, by at least
     ``min_splits`` smaller outflows from that account.
 
-    Interval join bucketed by time: each inflow is joined to the outflows of
-    the same account in its own bucket and the next one (bucket width =
-    window), then the range and amount conditions filter the candidates, and
-    the per-inflow counts are aggregated in the join's own stage. Transfers
-    are compared as distinct rows. Columns: the inflow's columns plus
-    n_splits and split_total.
+    Transfers are compared as distinct rows. Columns: the inflow's columns
+    plus n_splits and split_total.
+
+    Two exact paths, chosen per (account, time bucket) group by a measured
+    candidate count (a grouped count, combined map-side):
+
+    * ordinary groups: interval join bucketed by time -- each inflow meets the
+      outflows of its account in its own bucket and the next (bucket width =
+      window); range and amount conditions filter; per-inflow counts
+      aggregate in the join's stage.
+    * hot groups (more than ``max_pairs_per_group`` candidate pairs): no pairs
+      at all. "Smaller amount" is a dominance test, decomposed by bits: for
+      amount codes r_o < r_i there is exactly one bit level where they first
+      differ, with r_o's bit 0 and r_i's bit 1. Each outflow becomes one
+      point per level with bit 0, keyed (account, level, higher bits); each
+      inflow one query per level with bit 1; the time condition is then a
+      sliced range sum. Replication is bounded by the bit count, not by the
+      group size.
     """
-    tx = transfers.select("order_id", "src_account", "dst_account", "amount", "timestamp").distinct()
-    tx = tx.withColumn("__t", epoch_us("timestamp")).withColumn(
-        "__b", F.floor(F.col("__t") / F.lit(window_us)).cast("long"))
-    inflow = tx.select(
-        *[F.col(c).alias(f"in_{c}") for c in ("order_id", "src_account", "dst_account", "amount", "timestamp")],
-        F.col("__t").alias("in_t"),
-        F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("bucket"))
+    from ..session import materialize
+    from .sliced import range_sums
+
+    cols = ("order_id", "src_account", "dst_account", "amount", "timestamp")
+    # The distinct transfers feed every branch below: written once.
+    tx = materialize(
+        transfers.select(*cols).distinct()
+        .withColumn("__t", epoch_us("timestamp"))
+        .withColumn("__b", F.floor(F.col("__t") / F.lit(window_us)).cast("long")),
+        "smurfing-transfers")
+    keys = [f"in_{c}" for c in cols]
+    inflow = tx.select(*[F.col(c).alias(f"in_{c}") for c in cols],
+                       F.col("__t").alias("in_t"), F.col("__b").alias("in_b"))
     outflow = tx.select(F.col("src_account").alias("out_account"), F.col("amount").alias("out_amount"),
                         F.col("__t").alias("out_t"), F.col("__b").alias("bucket"))
-    cond = ((inflow.in_dst_account == outflow.out_account) & (inflow.bucket == outflow.bucket)
-            & (outflow.out_t >= inflow.in_t) & (outflow.out_t <= inflow.in_t + F.lit(window_us))
-            & (outflow.out_amount < inflow.in_amount))
-    pairs = inflow.join(outflow, cond, "inner")
-    keys = [f"in_{c}" for c in ("order_id", "src_account", "dst_account", "amount", "timestamp")]
-    agg = (pairs.groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("n_splits"),
-                F.sum(F.col("out_amount").cast(MONEY)).cast(MONEY_SUM).alias("split_total"))
-           .filter(F.col("n_splits") >= min_splits))
+
+    # Candidate pairs per inflow group (account, bucket): inflows x outflows
+    # of the same account in buckets b and b + 1 (grouped counts only).
+    n_in = tx.groupBy(F.col("dst_account").alias("acct"), F.col("__b").alias("b")).agg(
+        F.count(F.lit(1)).alias("n_in"))
+    n_out = (tx.groupBy(F.col("src_account").alias("acct"), F.col("__b").alias("ob"))
+             .agg(F.count(F.lit(1)).alias("n_out"))
+             .select("acct", F.explode(F.array(F.col("ob"), F.col("ob") - 1)).alias("b"), "n_out")
+             .groupBy("acct", "b").agg(F.sum("n_out").alias("n_reach")))
+    groups = n_in.join(n_out, ["acct", "b"], "inner").withColumn("pairs", F.col("n_in") * F.col("n_reach"))
+    # One number decides whether the dominance path is planned at all.
+    worst = groups.agg(F.max("pairs")).first()[0] or 0
+    if worst > max_pairs_per_group:
+        hot = materialize(groups.filter(F.col("pairs") > F.lit(max_pairs_per_group)).select(
+            F.col("acct").alias("in_dst_account"), F.col("b").alias("in_b")), "smurfing-hot-groups")
+        cold_in = inflow.join(hot, ["in_dst_account", "in_b"], "left_anti")
+        hot_in = inflow.join(hot, ["in_dst_account", "in_b"], "left_semi")
+    else:
+        hot, cold_in, hot_in = None, inflow, None
+
+    # Ordinary groups: bucketed interval join.
+    ci = cold_in.select(*keys, "in_t", F.explode(F.array(F.col("in_b"), F.col("in_b") + 1)).alias("bucket"))
+    cond = ((ci.in_dst_account == outflow.out_account) & (ci.bucket == outflow.bucket)
+            & (outflow.out_t >= ci.in_t) & (outflow.out_t <= ci.in_t + F.lit(window_us))
+            & (outflow.out_amount < ci.in_amount))
+    cold = (ci.join(outflow, cond, "inner").groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n_splits"),
+                 F.sum(F.col("out_amount").cast(MONEY)).cast(MONEY_SUM).alias("split_total")))
+
+    if hot is None:
+        agg = cold.filter(F.col("n_splits") >= min_splits)
+        return agg.select(*[F.col(k).alias(k[3:]) for k in keys], "n_splits", "split_total")
+
+    # Hot groups: bit-level dominance points + sliced time-range sums.
+    levels = F.sequence(F.lit(0), F.lit(AMOUNT_BITS - 1))
+    hot_accounts = hot.select(F.col("in_dst_account").alias("out_account")).distinct()
+    pts = (outflow.join(hot_accounts, "out_account", "left_semi")
+           .select("out_account", "out_t", _amount_code(F.col("out_amount")).alias("code"),
+                   (F.col("out_amount").cast(MONEY) * 100).cast("long").alias("cents"),
+                   F.explode(levels).alias("lvl"))
+           .filter(F.expr("(code >> lvl) & 1") == 0)
+           .select(F.col("out_account").alias("acct"), "lvl", F.expr("code >> (lvl + 1)").alias("hi"),
+                   F.col("out_t").alias("t"), F.lit(1).cast("long").alias("n"), "cents"))
+    qs = (hot_in.select(*keys, "in_t", _amount_code(F.col("in_amount")).alias("code"),
+                        F.explode(levels).alias("lvl"))
+          .filter(F.expr("(code >> lvl) & 1") == 1)
+          .select(*keys, F.col("in_dst_account").alias("acct"), "lvl",
+                  F.expr("code >> (lvl + 1)").alias("hi"), "in_t",
+                  F.struct(*keys, "lvl").alias("qid")))
+    sums = range_sums(qs, ["acct", "lvl", "hi"], "in_t", "qid",
+                      {"n": F.lit(1).cast("long"), "cents": F.lit(0).cast("long")},
+                      lower=0, upper=window_us, width=max(window_us // 4, 1), points=pts)
+    hot_res = (sums.groupBy(*keys)
+               .agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_splits"),
+                    (F.sum(F.coalesce("cents", F.lit(0))).cast("decimal(38,0)") / 100)
+                    .cast(MONEY_SUM).alias("split_total")))
+
+    agg = cold.unionByName(hot_res).filter(F.col("n_splits") >= min_splits)
     return agg.select(*[F.col(k).alias(k[3:]) for k in keys], "n_splits", "split_total")

@@ -92,3 +92,16 @@ def test_null_coordinates_and_null_flags(spark):
                                "latitude double, longitude double, amount double")
     out = {r.transaction_id: r for r in DT.geo_velocity(df).collect()}
     assert set(out) == {"b"} and out["b"].calculated_speed_kmh == 0.0
+
+
+def test_smurfing_hot_path_equals_pair_join(spark):
+    from ringfence.operators import detectors as DT
+
+    tr = td.graph(spark, SF).transferred
+    w = 30 * 86_400_000_000
+    cold = DT.smurfing(tr, w, 2)
+    hot = DT.smurfing(tr, w, 2, max_pairs_per_group=0)  # every group through the dominance path
+    assert cold.count() > 0
+    assert cold.subtract(hot).count() == 0 and hot.subtract(cold).count() == 0
+    g = FX.graph(spark)
+    assert [r.n_splits for r in DT.smurfing(g.transferred, w, 3, max_pairs_per_group=0).collect()] == [4]
