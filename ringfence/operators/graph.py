@@ -37,9 +37,11 @@ class FraudGraph:
 
     _FIELDS = ("accounts", "devices", "addresses", "used_device", "shipped_to", "transferred")
 
-    def __init__(self, accounts, devices, addresses, used_device, shipped_to, transferred=None):
+    def __init__(self, accounts, devices, addresses, used_device, shipped_to, transferred=None,
+                 writer=None):
         self._src = dict(zip(self._FIELDS, (accounts, devices, addresses, used_device, shipped_to, transferred)))
         self._done: dict[str, DataFrame | None] = {}
+        self._writer = writer
 
     def __getattr__(self, name: str):
         if name.startswith("_") or name not in self._FIELDS:
@@ -49,6 +51,20 @@ class FraudGraph:
             self._done[name] = v() if callable(v) else v
         return self._done[name]
 
+    def written(self, *names: str) -> "FraudGraph":
+        """The same graph with the named tables written once to the checkpoint
+        folder. Patterns that read an edge table several times call this, so
+        the joins producing it run once. A graph may bring its own ``writer``
+        (names -> tables) that builds several tables in one job."""
+        from ..session import materialize
+
+        if self._writer is not None:
+            tables = self._writer(names)
+        else:
+            tables = {n: materialize(getattr(self, n), f"graph-{n}") for n in names}
+        args = {f: tables.get(f, self._src[f]) for f in self._FIELDS}
+        return FraudGraph(**args)
+
 
 def _seed(accounts: DataFrame, status: str, id_alias: str, name_alias: str | None = None) -> DataFrame:
     """P5: accounts with the given kyc_status, filtered before any hop."""
@@ -86,6 +102,7 @@ def ring_matches(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool) -> D
     from the seed independently and then joined on (fraud, suspicious),
     so no cross product of devices x addresses is built before the match.
     """
+    g = g.written("used_device", "shipped_to")  # each is read twice below
     ud = g.used_device.select("account_id", "device_id")
     st = g.shipped_to.select("account_id", "address_id")
     dev_leg = _two_hop(seeds, "fraud_id", ud, "device_id", "suspicious_id", distinct_endpoints)
@@ -222,7 +239,7 @@ def shared_device_pairs(g: FraudGraph, seeds: DataFrame, emulator_only: bool = T
     devices. Pairs are only formed from the seed side, never all pairs of a
     device's users; ``emulator_only`` applies P18 before the self-join.
     """
-    ud = g.used_device.select("account_id", "device_id")
+    ud = g.written("used_device").used_device.select("account_id", "device_id")
     if emulator_only:
         ud = ud.join(g.devices.filter(F.col("is_emulator")).select("device_id"), "device_id", "left_semi")
     s = seeds.select(F.col("account_id").alias("seed_account")).distinct()

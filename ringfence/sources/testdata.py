@@ -121,10 +121,11 @@ def graph(spark: SparkSession, sf_dir: str) -> FraudGraph:
     Edges: USED_DEVICE = distinct (o_custkey, l_partkey);
     SHIPPED_TO = distinct (o_custkey, l_suppkey);
     TRANSFERRED = distinct (order, o_custkey -> l_suppkey, price, shipdate).
-    Both membership edge sets come from one aggregation of the order lines,
-    written once (partitioned by edge kind) when a pattern first needs them:
-    the orders x lineitem join then runs once per query however many hops
-    read the edges, instead of once per hop.
+    Edge tables are lazy plans. A pattern that reads them several times asks
+    for ``written(...)``: both membership edge sets then come from one
+    aggregation of the order lines, written once (partitioned by kind), so
+    the orders x lineitem join runs once per query however many hops read
+    the edges.
     """
     customer = table(spark, sf_dir, "customer")
     accounts = customer.select(
@@ -143,31 +144,36 @@ def graph(spark: SparkSession, sf_dir: str) -> FraudGraph:
         (F.col("s_acctbal") < 0).alias("is_commercial_drop"),
     )
     lines = order_lines(spark, sf_dir)
-    membership_plan = (
-        lines.select(
-            F.col("o_custkey").alias("account_id"),
-            F.explode(F.array(
-                F.struct(F.lit("D").alias("kind"), F.col("l_partkey").alias("node")),
-                F.struct(F.lit("A").alias("kind"), F.col("l_suppkey").alias("node")),
-            )).alias("e"),
-            F.col("l_shipdate").alias("ts"))
-        .groupBy("account_id", F.col("e.kind").alias("kind"), F.col("e.node").alias("node"))
-        .agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    )
-    built: dict[str, DataFrame] = {}
-
-    def membership() -> DataFrame:
-        if "m" not in built:
-            built["m"] = materialize(membership_plan, "membership-edges", partition_by=["kind"])
-        return built["m"]
-
-    def used_device() -> DataFrame:
-        return membership().filter(F.col("kind") == "D").select(
-            "account_id", F.col("node").alias("device_id"), "first_seen", "last_seen")
-
-    def shipped_to() -> DataFrame:
-        return membership().filter(F.col("kind") == "A").select(
-            "account_id", F.col("node").alias("address_id"))
+    used_device = (lines.groupBy(F.col("o_custkey").alias("account_id"), F.col("l_partkey").alias("device_id"))
+                   .agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen")))
+    shipped_to = lines.select(F.col("o_custkey").alias("account_id"),
+                              F.col("l_suppkey").alias("address_id")).distinct()
+
+    def writer(names) -> dict[str, DataFrame]:
+        """Both membership edge sets from one aggregation of the order lines,
+        written once, partitioned by edge kind."""
+        names = set(names)
+        if not names <= {"used_device", "shipped_to"}:
+            raise ValueError(f"cannot write {names}")
+        if names != {"used_device", "shipped_to"}:
+            (n,) = names
+            return {n: materialize(used_device if n == "used_device" else shipped_to, f"edges-{n}")}
+        both = (lines.select(
+                    F.col("o_custkey").alias("account_id"),
+                    F.explode(F.array(
+                        F.struct(F.lit("D").alias("kind"), F.col("l_partkey").alias("node")),
+                        F.struct(F.lit("A").alias("kind"), F.col("l_suppkey").alias("node")),
+                    )).alias("e"),
+                    F.col("l_shipdate").alias("ts"))
+                .groupBy("account_id", F.col("e.kind").alias("kind"), F.col("e.node").alias("node"))
+                .agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")))
+        m = materialize(both, "membership-edges", partition_by=["kind"])
+        return {
+            "used_device": m.filter(F.col("kind") == "D").select(
+                "account_id", F.col("node").alias("device_id"), "first_seen", "last_seen"),
+            "shipped_to": m.filter(F.col("kind") == "A").select(
+                "account_id", F.col("node").alias("address_id")),
+        }
 
     transfers = (lines.filter(F.col("o_custkey") != F.col("l_suppkey"))
                  .select(F.col("l_orderkey").alias("order_id"),
@@ -177,7 +183,8 @@ def graph(spark: SparkSession, sf_dir: str) -> FraudGraph:
                          F.col("l_shipdate").alias("timestamp"))
                  .distinct())
     return FraudGraph(accounts=accounts, devices=devices, addresses=addresses,
-                      used_device=used_device, shipped_to=shipped_to, transferred=transfers)
+                      used_device=used_device, shipped_to=shipped_to, transferred=transfers,
+                      writer=writer)
 
 
 def kyc_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
