@@ -107,13 +107,13 @@ def flags(txns: DataFrame, devices: DataFrame | None = None,
         emu = devices.filter(F.col("is_emulator")).select("device_id", F.lit(True).alias("__emu"))
         out = out.join(emu, "device_id", "left")
         emulator = emulator | SC.null_false("__emu")
-    for c in ("is_impossible_travel", "is_bin_attack", "is_spend_spike", "is_dormant_bust_out"):
-        out = out.withColumn(c, SC.null_false(c))
-    out = out.withColumn("is_high_risk_amount", SC.is_high_risk_amount("amount", p.high_risk_amount))
+    fired = {c: SC.null_false(c) for c in
+             ("is_impossible_travel", "is_bin_attack", "is_spend_spike", "is_dormant_bust_out")}
     # Emulator fingerprint, or a device caught probing or teleporting.
-    out = out.withColumn("is_suspicious_device",
-                         emulator | F.col("is_bin_attack") | F.col("is_impossible_travel"))
-    return out.drop("__emu")
+    fired["is_suspicious_device"] = emulator | fired["is_bin_attack"] | fired["is_impossible_travel"]
+    fired["is_high_risk_amount"] = SC.is_high_risk_amount("amount", p.high_risk_amount)
+    kept = [c for c in out.columns if c not in fired and c != "__emu"]
+    return out.select(*kept, *[v.alias(k) for k, v in fired.items()])
 
 
 def verdict(df: DataFrame) -> Column:
@@ -158,7 +158,7 @@ def score_batch(spark: SparkSession, txns: DataFrame, devices: DataFrame | None
     reference's inserts have)."""
     keep = (processed_at,) if processed_at else ()
     f = flags(txns, devices, p, keep).withColumn("is_ato", F.lit(False))
-    f = f.withColumn("vector", classify_vector())
+    f = f.withColumns({"vector": classify_vector()})
     pol = F.broadcast(policy_table(spark).select("vector", "status_code", "risk_score"))
     f = f.join(pol, "vector", "left")
     ev = evidence_column()
