@@ -214,7 +214,7 @@ def transfer_paths(g: FraudGraph, lo: int = 1, hi: int = 3,
                     .groupBy("origin", F.col("dst").alias("node"))
                     .agg(F.sum(F.col("paths") * F.col("n")).alias("paths")))
         if checkpoint_every and h % checkpoint_every == 0 and h < hi:
-            frontier = frontier.checkpoint(eager=True)
+            frontier = materialize(frontier, f"paths-frontier-{h}")
         if h >= lo:
             results.append(frontier.select(
                 "origin", F.col("node").alias("destination"),

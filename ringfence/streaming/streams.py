@@ -185,14 +185,32 @@ def write_scored(scored: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 
 def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFrame | None = None,
-                 params: ScoringParams = ScoringParams(), trigger: dict | None = None):
+                 params: ScoringParams = ScoringParams(), trigger: dict | None = None,
+                 raw_path: str | None = None, lookback: str = "90 days"):
     """R6 on a stream: every micro-batch is scored with the batch detectors
     and written to its own ``batch_id=`` folder with overwrite, so a replayed
-    batch replaces its output instead of duplicating it."""
+    batch replaces its output instead of duplicating it.
+
+    With ``raw_path`` the detectors also see history: the batch is first
+    landed in the raw table (again one ``batch_id=`` folder, overwritten on
+    replay), then scoring runs over the landed rows from ``lookback`` before
+    the batch's earliest event onward, and only this batch's rows are kept.
+    Windows up to ``lookback`` then give the same flags as batch scoring.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scored = score_batch(spark, batch, devices, params)
+        rows = batch
+        if raw_path:
+            batch.write.mode("overwrite").parquet(f"{raw_path.rstrip('/')}/batch_id={batch_id}")
+            first = batch.agg(F.min("timestamp")).first()[0]
+            if first is None:
+                return
+            landed = spark.read.schema(batch.schema).parquet(raw_path)
+            rows = landed.filter(F.col("timestamp") >= F.lit(first) - F.expr(f"INTERVAL {lookback}"))
+        scored = score_batch(spark, rows, devices, params)
+        if raw_path:
+            scored = scored.join(batch.select("transaction_id"), "transaction_id", "left_semi")
         scored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -80,3 +80,23 @@ def test_score_stream_batches_are_idempotent(spark, tmpdir_fresh):
     out = spark.read.parquet(f"{tmpdir_fresh}/out")
     assert out.count() == 60 and out.select("transaction_id").distinct().count() == 60
     assert {r.verdict for r in out.select("verdict").distinct().collect()} <= {"BLOCKED", "APPROVED"}
+
+
+def test_score_stream_with_history_matches_batch(spark, tmpdir_fresh):
+    from ringfence.operators import scoring as SCR
+
+    ev = _events(spark, 120)
+    _land(spark, ev, f"{tmpdir_fresh}/in", 4)
+    params = SCR.ScoringParams(micro_amount=10.0, bin_window_us=6 * 3_600_000_000, bin_min_count=2,
+                               spike_factor=3.0, dormant_gap_us=3_600_000_000, dormant_min_amount=20.0)
+    stream = spark.readStream.schema(schemas.LIVE_TRANSACTIONS).option("maxFilesPerTrigger", "1") \
+        .parquet(f"{tmpdir_fresh}/in")
+    q = ST.score_stream(stream, f"{tmpdir_fresh}/out", f"{tmpdir_fresh}/ck", params=params,
+                        raw_path=f"{tmpdir_fresh}/raw", lookback="90 days")
+    q.awaitTermination(600)
+    cols = ["transaction_id", "is_bin_attack", "is_impossible_travel", "is_spend_spike",
+            "is_dormant_bust_out", "verdict", "vector"]
+    got = sorted(map(tuple, spark.read.parquet(f"{tmpdir_fresh}/out").select(cols).collect()))
+    want = sorted(map(tuple, SCR.score_batch(spark, ev, None, params).select(cols).collect()))
+    assert len(got) == 120 and got == want
+    assert any(r[1] for r in want) and any(r[3] or r[4] for r in want)
