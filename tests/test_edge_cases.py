@@ -105,3 +105,11 @@ def test_smurfing_hot_path_equals_pair_join(spark):
     assert cold.subtract(hot).count() == 0 and hot.subtract(cold).count() == 0
     g = FX.graph(spark)
     assert [r.n_splits for r in DT.smurfing(g.transferred, w, 3, max_pairs_per_group=0).collect()] == [4]
+
+
+def test_deep_paths_with_lineage_cut(spark):
+    g = td.graph(spark, SF)
+    plain = G.transfer_paths(g, 1, 5)
+    cut = G.transfer_paths(g, 1, 5, checkpoint_every=2)
+    assert plain.count() > 0
+    assert plain.subtract(cut).count() == 0 and cut.subtract(plain).count() == 0
