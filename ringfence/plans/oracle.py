@@ -655,3 +655,27 @@ f AS (SELECT device_id, t FROM c WHERE n >= 3)
 SELECT a.event_id, a.device_id, a.account_id FROM a
 WHERE EXISTS (SELECT 1 FROM f WHERE f.device_id = a.device_id AND f.t BETWEEN a.t AND a.t + {DAY_US // 2})
 """
+
+SQL["kyc_audit_latest"] = with_views("accounts", "st") + f""",
+fa AS (
+  SELECT st.address_id, COUNT(DISTINCT st.account_id) AS n, MIN(a.customer_name) AS fraud_name
+  FROM st JOIN accounts a ON a.account_id = st.account_id
+  WHERE a.kyc_status = 'CONFIRMED_FRAUD' GROUP BY st.address_id),
+fk AS (
+  SELECT {_norm_sql("s.s_name")} AS address_key, CAST(SUM(n) AS BIGINT) AS n_linked_fraud,
+         MIN(fraud_name) AS fraud_name
+  FROM fa JOIN supplier s ON s.s_suppkey = fa.address_id GROUP BY 1),
+docs AS (
+  SELECT l.doc_id, s.s_name AS extracted_address,
+         NOT COALESCE(l.quality <> 0, false) AS is_tampered,
+         CASE WHEN NOT COALESCE(l.toxic <> 1, false) THEN 'REJECT_DEEPFAKE_PORTRAIT'
+              WHEN NOT COALESCE(l.quality <> 0, false) THEN 'REJECT_FORGED_ID' ELSE 'APPROVE' END AS decision
+  FROM labels l LEFT JOIN supplier s ON s.s_suppkey = l.doc_id % 100)
+SELECT 'APPLICANT-' || CAST(d.doc_id AS VARCHAR) AS applicant_name, d.extracted_address, d.is_tampered,
+       CAST(NULL AS DOUBLE) AS confidence_score, d.decision,
+       CASE WHEN COALESCE(fk.n_linked_fraud, 0) > 0
+            THEN 'Direct Link to ' || fk.fraud_name || ' via ' || d.extracted_address
+            ELSE 'No adverse graph links.' END AS graph_syndicate_link
+FROM docs d LEFT JOIN fk ON fk.address_key = {_norm_sql("d.extracted_address")}
+ORDER BY d.doc_id DESC LIMIT 5
+"""
