@@ -38,12 +38,32 @@ def epoch_us(c: Column | str) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def auto_width(df: DataFrame, keys: Sequence[str], t: str, target_rows: int = 2_000_000,
+               base: int = DEFAULT_WIDTH_US, floor_us: int = 1_000_000) -> int:
+    """Slice width so the densest (key, slice) group holds about
+    ``target_rows`` rows. One grouped count per (key, day) -- combined
+    map-side -- and one scalar to the driver; widths are powers-of-two
+    fractions of ``base``, never below ``floor_us``."""
+    densest = (df.groupBy(*keys, F.floor(F.col(t) / F.lit(base)).alias("__d")).count()
+               .agg(F.max("count")).first()[0] or 0)
+    width = base
+    while densest > target_rows and width // 2 >= floor_us:
+        width //= 2
+        densest //= 2
+    return width
+
+
+def _resolve_width(df: DataFrame, keys: Sequence[str], t: str, width) -> int:
+    return auto_width(df, keys, t) if width == "auto" else int(width)
+
+
 def _slice(t: str, width: int) -> Column:
     return F.floor(F.col(t) / F.lit(width)).cast("long")
 
 
 def _neighbour(df: DataFrame, keys: Sequence[str], t: str, tie: str,
-               cols: Sequence[str], width: int, prefix: str, forward: bool) -> DataFrame:
+               cols: Sequence[str], width, prefix: str, forward: bool) -> DataFrame:
+    width = _resolve_width(df, keys, t, width)
     sl = "__slice"
     rec = F.struct(F.col(t).alias("t"), F.col(tie).alias("tie"), *[F.col(c).alias(c) for c in cols])
     d = df.withColumn(sl, _slice(t, width)).withColumn("__rec", rec)
@@ -68,7 +88,8 @@ def sliced_prev(df: DataFrame, keys: Sequence[str], t: str, tie: str,
                 cols: Sequence[str] = (), width: int = DEFAULT_WIDTH_US,
                 prefix: str = "prev_") -> DataFrame:
     """lag over (keys) ordered by (t, tie) -> ``prev_<t>``, ``prev_<tie>``,
-    ``prev_<col>``. ``t`` is epoch micros; (t, tie) must be unique per key."""
+    ``prev_<col>``. ``t`` is epoch micros; (t, tie) must be unique per key.
+    ``width`` is the slice width in micros, or "auto" (see ``auto_width``)."""
     return _neighbour(df, keys, t, tie, cols, width, prefix, forward=False)
 
 
@@ -86,6 +107,7 @@ def sliced_prefix(points: DataFrame, queries: DataFrame, keys: Sequence[str],
 
     ``points`` has (keys, t, values...). Returns (qid, sign, values...).
     """
+    width = _resolve_width(points, keys, "t", width)
     sl = "__slice"
     vnames = [f"__v{i}" for i in range(len(values))]
     qid_type = dict(queries.dtypes)["qid"]
@@ -125,6 +147,7 @@ def range_sums(df: DataFrame, keys: Sequence[str], t: str, row_id: str,
     """
     if lower > upper:
         raise ValueError("lower must be <= upper")
+    width = _resolve_width(df, keys, t, width)
     names = list(values)
     if points is None:
         points = df.select(*keys, F.col(t).alias("t"), *[c.alias(n) for n, c in values.items()])
@@ -150,6 +173,7 @@ def trailing_distinct(df: DataFrame, keys: Sequence[str], member: str, t: str,
     is (#starts <= t) - (#ends <= t): a prefix sum, computed sliced.
     No set of members is ever collected.
     """
+    width = _resolve_width(df, keys, t, width)
     nxt = sliced_next(df.select(*keys, member, t, row_id), [*keys, member], t, row_id,
                       width=width, prefix="__n_")
     end = F.least(F.col(t) + F.lit(window + 1),

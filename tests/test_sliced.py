@@ -82,3 +82,16 @@ def test_trailing_distinct(spark, seed, width, w):
     out = trailing_distinct(df, ["k"], "m", "t", "id", w, width)
     got = {r.id: r.n_distinct for r in out.collect()}
     assert got == brute_distinct(pdf, w)
+
+
+def test_auto_width_splits_dense_key(spark):
+    from ringfence.operators.sliced import auto_width
+
+    pdf = make_data(12, 2000)
+    df = spark.createDataFrame(pdf)
+    w = auto_width(df, ["k"], "t", target_rows=100, base=1_000_000_000)
+    assert w < 1_000_000_000
+    p = sliced_prev(df, ["k"], "t", "id", ["v"], "auto")
+    want = brute_prev(pdf)
+    got = {r.id: r.prev_id for r in p.collect()}
+    assert all(got[i] == (None if pd.isna(row.prev_id) else int(row.prev_id)) for i, row in want.iterrows())
