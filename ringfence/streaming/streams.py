@@ -192,9 +192,11 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFra
     batch replaces its output instead of duplicating it.
 
     With ``raw_path`` the detectors also see history: the batch is first
-    landed in the raw table (again one ``batch_id=`` folder, overwritten on
-    replay), then scoring runs over the landed rows from ``lookback`` before
-    the batch's earliest event onward, and only this batch's rows are kept.
+    landed in the raw table (partitioned by event date and batch id, this
+    batch's partitions overwritten on replay), then scoring runs over the
+    landed rows from ``lookback`` before the batch's earliest event onward --
+    only those dates' partitions are listed and read -- and only this
+    batch's rows are kept.
     Windows up to ``lookback`` then give the same flags as batch scoring.
     """
 
@@ -202,12 +204,18 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFra
         spark = batch.sparkSession
         rows = batch
         if raw_path:
-            batch.write.mode("overwrite").parquet(f"{raw_path.rstrip('/')}/batch_id={batch_id}")
+            # Landed by (event_date, batch_id); dynamic overwrite replaces only
+            # this batch's partitions, so a replay does not duplicate rows.
+            (batch.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("event_date", "batch_id").parquet(raw_path))
             first = batch.agg(F.min("timestamp")).first()[0]
             if first is None:
                 return
-            landed = spark.read.schema(batch.schema).parquet(raw_path)
-            rows = landed.filter(F.col("timestamp") >= F.lit(first) - F.expr(f"INTERVAL {lookback}"))
+            since = F.lit(first) - F.expr(f"INTERVAL {lookback}")
+            landed = spark.read.parquet(raw_path)
+            rows = (landed.filter((F.col("event_date") >= F.to_date(since)) & (F.col("timestamp") >= since))
+                    .select(*batch.columns))
         scored = score_batch(spark, rows, devices, params)
         if raw_path:
             scored = scored.join(batch.select("transaction_id"), "transaction_id", "left_semi")
