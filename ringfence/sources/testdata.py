@@ -24,9 +24,21 @@ AUTH_EVENT_TYPES = {"signup": "PASSWORD_RESET", "error": "2FA_PHONE_CHANGED"}
 KYC_ADDRESS_MODULUS = 100
 
 
+_SCHEMAS: dict[tuple[int, str], object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table. The parquet footer schema is inferred on the first
+    read of a path in a session and passed explicitly afterwards, which saves
+    a schema job per read (the driver tables are immutable snapshots)."""
     ensure_query_conf(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _SCHEMAS:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def prop_k() -> Column:
