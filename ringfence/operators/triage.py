@@ -45,6 +45,21 @@ def investigate(ring: DataFrame, hist: DataFrame) -> DataFrame:
                     "total_usd"))
 
 
+# Fixed value: the action the investigation dispatches for a linked target.
+INVESTIGATION_ACTION = "TEMPORARY_CARD_FREEZE"
+
+
+def investigation_actions(investigation: DataFrame, action: str = INVESTIGATION_ACTION) -> DataFrame:
+    """Containment for investigated targets: one action row per target with at
+    least one fraud link (rather than an unconditional dispatch), carrying
+    the evidence counts and the exposure. Folded per target first."""
+    return (investigation.groupBy("target")
+            .agg(F.count(F.lit(1)).alias("n_links"),
+                 F.countDistinct("linked_fraud_user").alias("n_linked_fraud_users"),
+                 F.max("txns").alias("txns"), F.max("total_usd").alias("total_usd"))
+            .withColumn("action", F.lit(action)))
+
+
 # ------------------------------------------------------------ enrichment
 
 def enrich(txns: DataFrame, accounts: DataFrame, devices: DataFrame) -> DataFrame:

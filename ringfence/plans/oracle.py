@@ -679,3 +679,14 @@ SELECT 'APPLICANT-' || CAST(d.doc_id AS VARCHAR) AS applicant_name, d.extracted_
 FROM docs d LEFT JOIN fk ON fk.address_key = {_norm_sql("d.extracted_address")}
 ORDER BY d.doc_id DESC LIMIT 5
 """
+
+SQL["investigation_actions"] = with_views("accounts", "ud", "st") + f""",
+ring AS ({RING_BODY}),
+expo AS ({EXPOSURE_BODY}),
+inv AS (SELECT r.account_id AS target, r.customer_name AS linked_fraud_user,
+               COALESCE(x.txns, 0) AS txns, x.total_usd
+        FROM ring r LEFT JOIN expo x ON x.account_id = r.account_id)
+SELECT target, COUNT(*) AS n_links, COUNT(DISTINCT linked_fraud_user) AS n_linked_fraud_users,
+       MAX(txns) AS txns, MAX(total_usd) AS total_usd, 'TEMPORARY_CARD_FREEZE' AS action
+FROM inv GROUP BY target
+"""

@@ -498,3 +498,12 @@ def q_kyc_audit_latest(spark, sf_dir):
     IO.append_kyc_audit(audit, path)
     log = IO.read_kyc_audit(spark, path)
     return FD.kyc_feed(FD.latest(log, "scanned_at", 5, tie="document_uri"))
+
+
+@register("investigation_actions")
+def q_investigation_actions(spark, sf_dir):
+    """G4 + A1 + action: every account investigated; a freeze action only
+    for accounts linked to a confirmed fraudster."""
+    g = td.graph(spark, sf_dir)
+    inv = TR.investigate(G.linked_fraud(g), td.historical_transactions(spark, sf_dir))
+    return TR.investigation_actions(inv)

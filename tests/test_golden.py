@@ -271,3 +271,11 @@ def test_modernize_roundtrip_and_conform(spark, tmpdir_fresh):
     IO.append_conformed(part, schemas.LIVE_TRANSACTIONS, f"{tmpdir_fresh}/live")
     live = spark.read.schema(schemas.LIVE_TRANSACTIONS).parquet(f"{tmpdir_fresh}/live")
     assert live.count() == 2 and live.filter(F.col("channel").isNull()).count() == 2
+
+
+def test_investigation_actions_follow_the_data(spark):
+    g = FX.graph(spark)
+    t = spark.createDataFrame([("acc_syndicate_02",), ("acc_legit_100",)], "account_id string")
+    acts = TR.investigation_actions(TR.investigate(G.linked_fraud(g, t), FX.hist(spark))).collect()
+    assert [(r.target, r.action, r.n_links, r.total_usd) for r in acts] == [
+        ("acc_syndicate_02", "TEMPORARY_CARD_FREEZE", 1, Decimal("980.00"))]
