@@ -9,16 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decimal import Decimal
-
+from .. import schemas as SCH
+from ..functions import scalars as SC
 from ..operators import detectors as DT
+from ..operators import feeds as FD
 from ..operators import graph as G
-from ..operators.sliced import DAY_US, HOUR_US
+from ..operators import kyc as KY
+from ..operators import ml as ML
+from ..operators import scoring as SCR
 from ..operators import triage as TR
+from ..operators.sliced import DAY_US, HOUR_US
+from ..session import ensure_checkpoint_dir, scratch_path
+from ..sources import io as IO
 from ..sources import testdata as td
+from ..streaming import streams as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -114,10 +123,6 @@ def q_smurfing(spark, sf_dir):
 
 # ------------------------------------------------------------ scoring
 
-from ..functions import scalars as SC  # noqa: E402
-from ..operators import feeds as FD  # noqa: E402
-from ..operators import kyc as KY  # noqa: E402
-from ..operators import scoring as SCR  # noqa: E402
 
 P = SCR.TESTDATA_PARAMS
 
@@ -309,12 +314,6 @@ def q_scalar_formats(spark, sf_dir):
 
 # ------------------------------------------------------------ sources / sinks
 
-from .. import schemas as SCH  # noqa: E402
-from ..operators import ml as ML  # noqa: E402
-from ..session import ensure_checkpoint_dir, scratch_path  # noqa: E402
-from ..sources import io as IO  # noqa: E402
-from ..streaming import streams as ST  # noqa: E402
-
 
 @register("modernize_roundtrip")
 def q_modernize_roundtrip(spark, sf_dir):
