@@ -690,3 +690,19 @@ SELECT target, COUNT(*) AS n_links, COUNT(DISTINCT linked_fraud_user) AS n_linke
        MAX(txns) AS txns, MAX(total_usd) AS total_usd, 'TEMPORARY_CARD_FREEZE' AS action
 FROM inv GROUP BY target
 """
+
+SQL["mark_new"] = with_views("txn") + """,
+latest AS (SELECT transaction_id FROM txn ORDER BY ts DESC, transaction_id DESC LIMIT 100)
+SELECT t.transaction_id, t.account_id, l.transaction_id IS NOT NULL AS is_new
+FROM txn t LEFT JOIN latest l ON l.transaction_id = t.transaction_id
+"""
+
+SQL["classify_vector"] = SCORED + "SELECT transaction_id, vector, status_code FROM scored"
+
+SQL["risk_level"] = SCORED + "SELECT transaction_id, risk_score, risk_level FROM scored"
+
+SQL["kyc_verdict"] = f"""
+SELECT document_uri, decision,
+       CASE WHEN decision LIKE '%REJECT%' THEN 'REJECT' ELSE 'APPROVE' END AS kyc_verdict
+FROM ({_ASSESS})
+"""

@@ -506,3 +506,30 @@ def q_investigation_actions(spark, sf_dir):
     g = td.graph(spark, sf_dir)
     inv = TR.investigate(G.linked_fraud(g), td.historical_transactions(spark, sf_dir))
     return TR.investigation_actions(inv)
+
+
+@register("mark_new")
+def q_mark_new(spark, sf_dir):
+    """P12 alone: the latest batch of 100 transaction ids marked new."""
+    t = td.transactions(spark, sf_dir)
+    latest_ids = FD.latest(t, "timestamp", 100, tie="transaction_id").select("transaction_id")
+    return SCR.mark_new(t.select("transaction_id", "account_id"), latest_ids)
+
+
+@register("classify_vector")
+def q_classify_vector(spark, sf_dir):
+    """M5 alone: threat vector and decision code per transaction."""
+    return scored(spark, sf_dir).select("transaction_id", "vector", "status_code")
+
+
+@register("risk_level")
+def q_risk_level(spark, sf_dir):
+    """M6 alone: risk score and level per transaction."""
+    return scored(spark, sf_dir).select("transaction_id", "risk_score", "risk_level")
+
+
+@register("kyc_verdict")
+def q_kyc_verdict(spark, sf_dir):
+    """P14 alone: REJECT when the decision text contains REJECT."""
+    a = KY.kyc_assess(td.kyc_checks(spark, sf_dir))
+    return a.select("document_uri", "decision", KY.kyc_verdict("decision").alias("kyc_verdict"))
