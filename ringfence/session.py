@@ -72,9 +72,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Set a checkpoint folder only where the session has none (tests, local runs)."""
+    """Set a checkpoint folder only where the session has none, and only in
+    local mode (tests, local runs); a cluster session must name a shared one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            # Executors on other machines cannot read a driver-local folder.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         path = tempfile.mkdtemp(prefix="ringfence-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
