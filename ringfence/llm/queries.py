@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_query_conf
-from . import jaccard_join, substring_dedup
+from . import bpe_codec, jaccard_join, substring_dedup
 from .staging import documents
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    both = bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_query_conf(spark)
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
@@ -21,6 +30,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_jaccard_join, op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
