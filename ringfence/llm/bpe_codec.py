@@ -3,10 +3,9 @@
 The vocabulary file (JSON of the ``tokenizers`` format: NFC, white space
 folding and lower case, then words, byte-level symbols and an end-of-word
 mark) is a parameter, read once in each Python worker. A short word is
-encoded over two small contiguous lists, its part boundaries and the merge
-ranks of adjacent parts: find the smallest rank, delete that boundary and
-refresh the two neighbouring ranks, until no pair has a rank. Words over
-``SHORT`` parts use a heap, as repeated scans would be quadratic.
+encoded by ``pieces.RankArray``: it holds the part boundaries and the merge
+ranks of adjacent parts contiguously, finds the smallest rank, deletes that
+boundary and refreshes the neighbouring ranks, until no pair has a rank.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text;
 special tokens spelled out in a text become their ids; every row gives a
@@ -15,7 +14,6 @@ row, repeated or not; a null id stays null; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from functools import lru_cache, partial
@@ -30,84 +28,24 @@ from pyspark.sql import functions as F
 from . import pieces
 from . import text_arrays as ta
 
-SHORT = 256
-NO_RANK = 1 << 30
-
-
-def byte_symbols() -> list[str]:
-    """The visible character that byte-level vocabularies use for each byte."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        vocab, mark = model["vocab"], model["end_of_word_suffix"]
-        symbols = byte_symbols()
-        self.inner = [vocab[c] for c in symbols]
-        self.final = [vocab[c + mark] for c in symbols]
-        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
-        self.rank = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(pairs)}
-        self.merged = [vocab[a + b] for a, b in pairs]
+        self.bpe = pieces.RankArray(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        tokens = {**vocab, **self.special}
+        tokens = {**spec["model"]["vocab"], **self.special}
         self.tokens = [""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.tokens[i] = token
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         words = [regex.escape("'" + x) for x in pieces._ENDINGS]
         self.word = regex.compile("|".join([*words, r"\p{L}+", r"\p{N}", r"[^\p{White_Space}\p{L}\p{N}]+"]))
-        self.cache = pieces.PieceCache(lambda many: [self.encode_word(w) for w in many])
+        self.cache = pieces.PieceCache(self.bpe.encode)
         raw = [t.encode() for t in self.tokens]
         self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.token_edge = np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64)
 
-    def encode_word(self, word: bytes) -> list[int]:
-        ids = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
-        return self._scan(ids) if len(ids) <= SHORT else self._heap(ids)
-
-    def _scan(self, ids: list[int]) -> list[int]:
-        rank, merged = self.rank.get, self.merged
-        bounds = list(range(len(ids)))
-        ranks = [rank(a << 20 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == NO_RANK:
-                break
-            i = ranks.index(low)
-            ids[bounds[i]] = merged[low]
-            del bounds[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[bounds[i - 1]] << 20 | ids[bounds[i]], NO_RANK)
-            if i < len(ranks):
-                ranks[i] = rank(ids[bounds[i]] << 20 | ids[bounds[i + 1]], NO_RANK)
-        return [ids[b] for b in bounds]
-
-    def _heap(self, ids: list[int]) -> list[int]:
-        n, rank = len(ids), self.rank.get
-        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = self.merged[r], -1
-            after[i] = after[j]
-            if after[j] < n:
-                ahead[after[j]] = i
-            for left in (ahead[i], i):
-                if left >= 0 and after[left] < n:
-                    right = after[left]
-                    if (r := rank(ids[left] << 20 | ids[right])) is not None:
-                        heapq.heappush(heap, (r, left, ids[left], ids[right]))
-        return [x for x in ids if x >= 0]
-
     def encode_any(self, text: str) -> list[int]:
         """Any text: other scripts, special tokens."""
         out: list[int] = []
@@ -116,9 +54,12 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             # letter by letter, as the vocabulary's lower case has no final sigma
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.word.findall(part):
-                out += self.encode_word(word.encode())
+            part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()
+            words = [w.encode() for w in self.word.findall(part)]
+            if words:
+                ends = np.cumsum([len(w) for w in words])
+                data = np.frombuffer(b"".join(words), np.uint8)
+                out += self.bpe.encode(data, np.append(0, ends[:-1]), ends)[0].tolist()
         return out
 
     def encode_column(self, texts: pa.Array) -> pa.ListArray:

@@ -9,9 +9,12 @@ path. Pieces are encoded once and then found by a 64-bit hash.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 
 from . import text_arrays as ta
 
@@ -78,9 +81,11 @@ def cut(data: np.ndarray, offsets: np.ndarray, spaced: bool):
 
 
 class PieceCache:
-    """Ids of pieces by hash; at most ``CACHE_PIECES`` plus one chunk's."""
+    """Ids of pieces by hash; at most ``CACHE_PIECES`` plus one chunk's.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
+    ``encode(data, starts, ends)`` gives the ids of pieces (flat) and their counts."""
+
+    def __init__(self, encode: Callable):
         self.encode = encode
         self._clear()
 
@@ -93,19 +98,133 @@ class PieceCache:
         """(ids of all pieces in order, ids before each document)."""
         if len(self.at) > CACHE_PIECES:
             self._clear()
-        h, first, back = np.unique(ta.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            raw = data.tobytes()
-            got = self.encode([raw[starts[j]:ends[j]] for j in first[new]])
-            for i in new:
-                self.at[keys[i]] = len(self.at)
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in got for x in ids), np.int32, int(size.sum()))])
+        back, h = pd.factorize(ta.span_hash(data, starts, ends))
+        place = np.fromiter(map(self.at.get, h.tolist(), repeat(-1)), np.int64, len(h))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.zeros(len(h), np.int64)
+            first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+            flat, size = self.encode(data, starts[first[new]], ends[first[new]])
+            place[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self.at.update(zip(h[new].tolist(), place[new].tolist()))
+            self.flat = np.concatenate([self.flat, flat])
             self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(size)])
-        place = np.fromiter((self.at[k] for k in keys), np.int64, len(keys))[back]
+        place = place[back]
         size = self.edge[place + 1] - self.edge[place]
         lead = np.append(0, np.cumsum(size))
-        out = self.flat[np.arange(lead[-1]) - np.repeat(lead[:-1], size) + np.repeat(self.edge[place], size)]
+        out = self.flat[np.arange(lead[-1]) + np.repeat(self.edge[place] - lead[:-1], size)]
         return out, lead[before]
+
+
+def byte_symbols() -> list[str]:
+    """The visible character that byte-level vocabularies use for each byte."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+class RankArray:
+    """BPE of pieces by the contiguous rank array.
+
+    Pieces of one length up to ``SHORT`` are encoded together: each row holds
+    its part boundaries and the merge ranks of adjacent parts, contiguously.
+    A step scans the ranks for the smallest (the leftmost of equals), deletes
+    that boundary and refreshes the two neighbouring ranks; rows without a
+    rank left are done. Longer pieces use a heap, as repeated scans would be
+    quadratic in them."""
+
+    SHORT = 48
+    ROWS = 1 << 15
+    NO_RANK = np.int64(1 << 40)
+
+    def __init__(self, spec: dict):
+        model = spec["model"]
+        vocab, mark = model["vocab"], model.get("end_of_word_suffix") or ""
+        symbols = byte_symbols()
+        self.inner = np.array([vocab[c] for c in symbols], np.int64)
+        self.final = np.array([vocab[c + mark] for c in symbols], np.int64)
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank = dict(zip(keys.tolist(), range(len(pairs))))
+        self.by_key = np.argsort(keys)
+        self.keys = np.append(keys[self.by_key], np.iinfo(np.int64).max)
+
+    def _ranks(self, left, right):
+        key = left << 20 | right
+        at = np.searchsorted(self.keys, key)
+        found = self.keys[at] == key
+        out = np.full(key.shape, self.NO_RANK)
+        out[found] = self.by_key[at[found]]
+        return out
+
+    def encode(self, data, starts, ends):
+        size = ends - starts
+        count, parts = np.zeros(len(size), np.int64), []
+        for n in np.unique(size):
+            of = np.flatnonzero(size == n)
+            for lo in range(0, len(of), self.ROWS):
+                rows = of[lo:lo + self.ROWS]
+                if n <= self.SHORT:
+                    got = self._scan(data[starts[rows][:, None] + np.arange(n)])
+                else:
+                    got = [(k, np.array([self._heap(data[starts[r]:ends[r]])])) for k, r in enumerate(rows)]
+                for k, ids in got:
+                    count[rows[k]] = ids.shape[1]
+                    parts.append((rows[k], ids))
+        edge = np.append(0, np.cumsum(count))
+        flat = np.zeros(edge[-1], np.int32)
+        for rows, ids in parts:
+            flat[edge[np.atleast_1d(rows)][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, count
+
+    def _scan(self, symbols):
+        """Yields (row numbers, ids) of rows that end with the same number of parts."""
+        ids = self.inner[symbols]
+        ids[:, -1] = self.final[symbols[:, -1]]
+        row = np.arange(len(ids))
+        bounds = np.tile(np.arange(ids.shape[1]), (len(ids), 1))
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            low = ranks.min(axis=1) if ranks.shape[1] else np.full(len(row), self.NO_RANK)
+            done = low == self.NO_RANK
+            if done.any():
+                yield row[done], np.take_along_axis(ids[done], bounds[done], 1)
+                row, ids, bounds, ranks, low = (x[~done] for x in (row, ids, bounds, ranks, low))
+            if not len(row):
+                return
+            every, n = np.arange(len(row)), ranks.shape[1]
+            i = ranks.argmin(axis=1)
+            ids[every, bounds[every, i]] = self.merged[low]
+            keep = np.ones(bounds.shape, bool)
+            keep[every, i + 1] = False
+            bounds = bounds[keep].reshape(len(row), n)
+            keep = np.ones(ranks.shape, bool)
+            keep[every, i] = False
+            ranks = ranks[keep].reshape(len(row), n - 1)
+            for at, ok in ((i - 1, i > 0), (i, i < n - 1)):
+                r, k = every[ok], at[ok]
+                ranks[r, k] = self._ranks(ids[r, bounds[r, k]], ids[r, bounds[r, k + 1]])
+
+    def _heap(self, symbols) -> list[int]:
+        ids = self.inner[symbols].tolist()
+        ids[-1] = int(self.final[symbols[-1]])
+        n, rank = len(ids), self.rank.get
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j] = int(self.merged[r]), -1
+            after[i] = after[j]
+            if after[j] < n:
+                ahead[after[j]] = i
+            for left in (ahead[i], i):
+                if left >= 0 and after[left] < n:
+                    right = after[left]
+                    if (r := rank(ids[left] << 20 | ids[right])) is not None:
+                        heapq.heappush(heap, (r, left, ids[left], ids[right]))
+        return [x for x in ids if x >= 0]
