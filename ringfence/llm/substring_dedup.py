@@ -5,7 +5,7 @@ window that also starts in a document with a smaller id is repeated, and
 overlapping repeated windows merge into maximal intervals that are removed.
 
 Three stages, none of which holds more than one flush, one hash bucket or
-one document's repeated windows in memory:
+one part's repeated windows in memory:
 
 1. ``_window_rows`` (map side): hashes all windows, drops repeats inside a
    flush (a window found in several of its documents leaves one entry, with
@@ -14,9 +14,10 @@ one document's repeated windows in memory:
    window that a third of all documents share therefore costs one entry a
    flush, not one a document.
 2. ``_repeated`` (by hash bucket): the smallest id of each hash; all larger
-   ids get the hash back as a repeated one.
-3. ``_remove`` (by document): recomputes the windows of each document,
-   marks the repeated ones and drops the words they cover.
+   ids get the hash back as a repeated one, packed by part (a fixed share of
+   the documents, about ``BUCKET_BYTES`` of text).
+3. ``_remove`` (by part): recomputes the windows of each document, marks the
+   repeated ones and drops the words they cover.
 
 A window is identified by a 64-bit hash and its bucket (bits of a second
 hash): at 10 billion windows fewer than 1e-4 false matches are expected.
@@ -41,56 +42,59 @@ from .staging import staged
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
 FLUSH_WINDOWS = 1_500_000
-BUCKET_BYTES = 2 << 20          # text bytes for each hash bucket
-_ROW = "key long, doc_id long, hashes binary, ids binary"
+BUCKET_BYTES = 2 << 20          # text bytes for each hash bucket and each part of the documents
+_SPREAD = 0x9E3779B1
+_PACKED = pa.schema([("key", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary())])
+_PACKED_TYPES = "key long, hashes binary, ids binary"
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _by_document(doc: np.ndarray, fp: np.ndarray):
-    """(ids, packed hashes of each), ids ascending."""
-    order = np.argsort(doc, kind="stable")
-    doc, fp = doc[order], fp[order]
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-    edge = np.append(at, len(doc))
-    return doc[at], [fp[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((((ids ^ (ids >> 32)) & 0x7FFFFFFF) * _SPREAD) >> 20) % parts
 
 
-def _first_ids(doc: np.ndarray, fp: np.ndarray):
-    """Sorted by hash then id, without repeats: (ids, hashes, is the smallest id of its hash)."""
-    order = np.lexsort((doc, fp))
-    doc, fp = doc[order], fp[order]
-    new = np.append(True, fp[1:] != fp[:-1])
-    keep = new | np.append(True, doc[1:] != doc[:-1])
-    return doc[keep], fp[keep], new[keep]
+def part_of(id_column, parts: int):
+    """``_part`` as a Column."""
+    low = id_column.bitwiseXOR(F.shiftright(id_column, 32)).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    return F.pmod(F.shiftright(low * F.lit(_SPREAD).cast("long"), 20), F.lit(parts).cast("long"))
 
 
-def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+def _packed(key: np.ndarray, fp: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """One row for each key with its hashes and ids."""
+    order = np.argsort(key, kind="stable")
+    key, fp, doc = key[order], fp[order], doc[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    edge = np.append(at, len(key))
+    cells = [[x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])] for x in (fp, doc)]
+    return pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], schema=_PACKED)
 
 
-_ROW_SCHEMA = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary())])
+def _smallest(fp: np.ndarray, doc: np.ndarray):
+    """Without repeats: (hashes, ids, is the smallest id of its hash)."""
+    order = np.lexsort((doc, fp))
+    doc, fp = doc[order], fp[order]
+    new = np.append(True, fp[1:] != fp[:-1])
+    keep = new | np.append(True, doc[1:] != doc[:-1])
+    return fp[keep], doc[keep], new[keep]
 
 
 def _window_rows(batches, width: int, buckets: int):
-    def flush(parts):
-        doc, fp, second = (np.concatenate(x) for x in zip(*parts))
+    """Keys below ``buckets``: hashes to compare. Keys from there on: hashes
+    already known to be repeated, by part of the documents."""
+    def flush(held):
+        fp, doc, second = (np.concatenate(x) for x in zip(*held))
         bucket = (second % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows, again = [], []
+        out = []
         for b in np.flatnonzero(np.diff(edge)):
             at = order[edge[b]:edge[b + 1]]
-            d, h, first = _first_ids(doc[at], fp[at])
-            rows.append((b, h[first].tobytes(), d[first].tobytes()))
-            again.append((d[~first], h[~first]))
-        keys, hashes, ids = zip(*rows)
-        yield _batch(_ROW_SCHEMA, keys, [None] * len(keys), hashes, ids)
-        d, packed = _by_document(*(np.concatenate(x) for x in zip(*again)))
-        if len(d):
-            yield _batch(_ROW_SCHEMA, buckets + d % 4096, d, packed, [None] * len(d))
+            h, d, first = _smallest(fp[at], doc[at])
+            out.append((np.where(first, b, buckets + _part(d, buckets)), h, d))
+        yield _packed(*(np.concatenate(x) for x in zip(*out)))
 
     held, n = [], 0
     for chunk in ta.chunks(batches):
@@ -100,7 +104,7 @@ def _window_rows(batches, width: int, buckets: int):
         fp, doc, _ = ta.gram_hash(h, before, width)
         if not len(fp):
             continue
-        held.append((_ids(chunk.column("doc_id"))[doc], fp, ta.gram_hash(h, before, width, seed=29)[0]))
+        held.append((fp, _ids(chunk.column("doc_id"))[doc], ta.gram_hash(h, before, width, seed=29)[0]))
         n += len(fp)
         if n >= FLUSH_WINDOWS:
             yield from flush(held)
@@ -109,53 +113,66 @@ def _window_rows(batches, width: int, buckets: int):
         yield from flush(held)
 
 
-_HIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
-
+def _repeated(batches, buckets: int):
+    """Rows come sorted by key, one bucket after the other; gives the repeated
+    hashes by part of the documents."""
+    def settle(rows):
+        h, d, first = _smallest(*(np.concatenate(x) for x in zip(*rows)))
+        return h[~first], d[~first]
 
-def _repeated(batches):
-    """Rows come sorted by key: one bucket after the other."""
-    def settle(parts):
-        d, h, first = _first_ids(*(np.concatenate(x) for x in zip(*parts)))
-        return d[~first], h[~first]
+    def give(hits):
+        h, d = (np.concatenate(x) for x in zip(*hits))
+        return _packed(_part(d, buckets), h, d)
 
-    def rows(hits):
-        d, packed = _by_document(*(np.concatenate(x) for x in zip(*hits)))
-        return _batch(_HIT_SCHEMA, d, packed)
-
-    now, parts, hits, n = None, [], [], 0
+    now, rows, hits, n = None, [], [], 0
     for batch in batches:
-        for key, doc, hashes, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now and parts:
-                hits.append(settle(parts))
+        for key, hashes, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != now and rows:
+                hits.append(settle(rows))
                 n += len(hits[-1][0])
-                parts = []
+                rows = []
             now = key
-            if ids is None:
-                h = np.frombuffer(hashes, np.uint64)
-                hits.append((np.full(len(h), doc), h))
-                n += len(h)
+            pair = np.frombuffer(hashes, np.uint64), np.frombuffer(ids, np.int64)
+            if key < buckets:
+                rows.append(pair)
             else:
-                parts.append((np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.uint64)))
+                hits.append(pair)
+                n += len(pair[0])
             if n >= FLUSH_WINDOWS:
-                yield rows(hits)
+                yield give(hits)
                 hits, n = [], 0
-    if parts:
-        hits.append(settle(parts))
+    if rows:
+        hits.append(settle(rows))
     if hits:
-        yield rows(hits)
+        yield give(hits)
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 _KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
+class _Hits:
+    """The repeated hashes of one part, by document."""
+
+    def __init__(self, rows):
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in rows]) if rows else np.zeros(0, np.uint64)
+        d = np.concatenate([np.frombuffer(x, np.int64) for _, x in rows]) if rows else np.zeros(0, np.int64)
+        order = np.argsort(d, kind="stable")
+        self.ids, self.hashes = d[order], h[order]
+
+    def of(self, doc: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.ids, doc, "left"), np.searchsorted(self.ids, doc, "right")
+        return self.hashes[lo:hi]
+
+
 def _remove(batches, width: int):
-    """Rows come sorted by id, a document's repeated hashes before its texts."""
-    lists: dict[int, list[np.ndarray]] = {}
+    """Rows come sorted by part, its repeated hashes before its texts."""
+    waiting: dict[int, list] = {}
+    hits: dict[int, _Hits] = {}
     for chunk in ta.chunks(batches):
-        ids, is_text = _ids(chunk.column("doc_id")), chunk.column("hashes").is_null().to_numpy(zero_copy_only=False)
+        parts, is_text = chunk.column("key").to_pylist(), chunk.column("hashes").is_null().to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(~is_text):
-            lists.setdefault(int(ids[i]), []).append(np.frombuffer(chunk.column("hashes")[int(i)].as_py(), np.uint64))
+            waiting.setdefault(parts[i], []).append((chunk.column("hashes")[int(i)].as_py(), chunk.column("ids")[int(i)].as_py()))
         rows = np.flatnonzero(is_text)
         if len(rows):
             texts = chunk.take(pa.array(rows))
@@ -164,18 +181,21 @@ def _remove(batches, width: int):
             fp, doc, first = ta.gram_hash(ta.span_hash(data, s, e), before, width)
             edge = np.searchsorted(doc, np.arange(len(rows) + 1))
             step = np.zeros(len(s) + width + 1, dtype=np.int64)
-            for i, key in enumerate(ids[rows].tolist()):
-                if key in lists and edge[i] < edge[i + 1]:
-                    hit = first[edge[i]:edge[i + 1]][np.isin(fp[edge[i]:edge[i + 1]], np.concatenate(lists[key]))]
-                    step[hit] += 1
-                    step[hit + width] -= 1
+            for i, key in enumerate(_ids(texts.column("doc_id")).tolist()):
+                part = parts[rows[i]]
+                if part not in hits:
+                    hits = {part: _Hits(waiting.pop(part, []))}
+                repeated = hits[part].of(key)
+                if len(repeated) and edge[i] < edge[i + 1]:
+                    hit = first[edge[i]:edge[i + 1]][np.isin(fp[edge[i]:edge[i + 1]], repeated)]
+                    np.add.at(step, hit, 1)
+                    np.add.at(step, hit + width, -1)
             kept = np.cumsum(step)[:len(s)] == 0
             left = np.append(0, np.cumsum(kept))[before]
             n = np.diff(before)
             yield pa.RecordBatch.from_arrays(
                 [texts.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(n - np.diff(left)),
                  ta.join_spans(data, s[kept], e[kept], left)], schema=_KEPT_SCHEMA)
-        lists = {k: v for k, v in lists.items() if k == ids[-1]}
 
 
 def remove_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -184,12 +204,12 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << min(20, max(8, int(size // BUCKET_BYTES).bit_length()))
-    windows = docs.mapInArrow(partial(_window_rows, width=width, buckets=buckets), _ROW)
-    repeated = staged(windows.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc_id long, hashes binary"),
-                      "repeated-windows")
-    id_or_last = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    both = (docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hashes"))
-            .unionByName(repeated.select("doc_id", F.lit(None).cast("string").alias("text"), "hashes"))
-            .withColumn("_at", id_or_last))
-    return (both.repartition("_at").sortWithinPartitions("_at", F.col("hashes").isNull())
-            .drop("_at").mapInArrow(partial(_remove, width=width), _KEPT))
+    windows = docs.mapInArrow(partial(_window_rows, width=width, buckets=buckets), _PACKED_TYPES)
+    repeated = staged(windows.repartition("key").sortWithinPartitions("key")
+                      .mapInArrow(partial(_repeated, buckets=buckets), _PACKED_TYPES), "repeated-windows")
+    part = part_of(F.coalesce("doc_id", F.lit(int(NO_ID))), buckets)
+    nothing = F.lit(None)
+    both = (docs.select(part.alias("key"), "doc_id", "text", nothing.cast("binary").alias("hashes"), nothing.cast("binary").alias("ids"))
+            .unionByName(repeated.select("key", nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text"), "hashes", "ids")))
+    return (both.repartition("key").sortWithinPartitions("key", F.col("hashes").isNull())
+            .mapInArrow(partial(_remove, width=width), _KEPT))
