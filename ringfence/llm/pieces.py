@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = LETTER
 _KIND[0x80:] = LETTER  # plain() admits letters only
 # The endings that both vocabularies cut off after an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE_PIECES = 300_000
+CACHE_PIECES = 2_000_000
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -90,23 +89,30 @@ class PieceCache:
         self._clear()
 
     def _clear(self):
-        self.at: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)   # ascending
+        self.place = np.zeros(0, np.int64)   # of each key, in ``edge``
         self.flat = np.zeros(0, np.int32)
         self.edge = np.zeros(1, np.int64)
 
     def ids(self, data, starts, ends, before):
         """(ids of all pieces in order, ids before each document)."""
-        if len(self.at) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES:
             self._clear()
         back, h = pd.factorize(ta.span_hash(data, starts, ends))
-        place = np.fromiter(map(self.at.get, h.tolist(), repeat(-1)), np.int64, len(h))
-        new = np.flatnonzero(place < 0)
+        order = np.argsort(h)
+        at = np.searchsorted(self.keys, h[order])
+        known = np.zeros(len(h), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == h[order[at < len(self.keys)]]
+        place = np.empty(len(h), np.int64)
+        place[order[known]] = self.place[at[known]]
+        new = order[~known]
         if len(new):
             first = np.zeros(len(h), np.int64)
             first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
             flat, size = self.encode(data, starts[first[new]], ends[first[new]])
-            place[new] = np.arange(len(self.at), len(self.at) + len(new))
-            self.at.update(zip(h[new].tolist(), place[new].tolist()))
+            place[new] = len(self.edge) - 1 + np.arange(len(new))
+            self.keys = np.insert(self.keys, at[~known], h[new])
+            self.place = np.insert(self.place, at[~known], place[new])
             self.flat = np.concatenate([self.flat, flat])
             self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(size)])
         place = place[back]
@@ -149,6 +155,8 @@ class RankArray:
         self.rank = dict(zip(keys.tolist(), range(len(pairs))))
         self.by_key = np.argsort(keys)
         self.keys = np.append(keys[self.by_key], np.iinfo(np.int64).max)
+        symbols = np.append(self.inner, self.final)
+        self.first = self._ranks(self.inner[:, None], symbols[None, :])  # of two adjacent bytes
 
     def _ranks(self, left, right):
         key = left << 20 | right
@@ -184,7 +192,9 @@ class RankArray:
         ids[:, -1] = self.final[symbols[:, -1]]
         row = np.arange(len(ids))
         bounds = np.tile(np.arange(ids.shape[1]), (len(ids), 1))
-        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        right = symbols[:, 1:].astype(np.int64)
+        right[:, -1:] += 256
+        ranks = self.first[symbols[:, :-1], right]
         while len(row):
             low = ranks.min(axis=1) if ranks.shape[1] else np.full(len(row), self.NO_RANK)
             done = low == self.NO_RANK
