@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_query_conf
-from . import bpe_codec, jaccard_join, packing, substring_dedup
+from . import bpe_codec, jaccard_join, packing, quality_rules, substring_dedup
 from .staging import documents
 
 
@@ -24,6 +24,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_query_conf(spark)
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -35,7 +40,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_jaccard_join, op5_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_jaccard_join, op4_quality_rules, op5_best_fit_packing,
                                   op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
