@@ -20,54 +20,53 @@ repeated or not, and a null id stays null; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
 
-WHITE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"  # fixed value
+# Fixed values
+WHITE = r"[ \x09-\x0D]+"
+A_WORD = r"[^ \x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
 SKETCH_K = 2048       # exact up to as many documents, about 0.1 % of rank beyond
 LEAST_DOCS = 200      # of a group whose own sketch decides
 # ratio: (lower quantile or None, upper quantile, multiple of its distance to the median, least width)
 FENCES: dict[str, tuple[float | None, float, float, float]] = {
     "symbol_ratio": (None, 0.75, 6.0, 0.05),
-    "repeat_ratio": (None, 0.75, 6.0, 0.10),
-    "line_ratio": (None, 0.75, 6.0, 0.20),
-    "word_length": (0.25, 0.75, 6.0, 1.0),
+    "repeat_ratio": (None, 0.75, 6.0, 0.45),
+    "line_ratio": (None, 0.75, 6.0, 0.50),
+    "word_length": (0.25, 0.75, 6.0, 1.5),
 }
 BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the base counts of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"),
-        F.length(_without(text, WHITE)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        F.filter(F.split(text, "\n", -1), lambda x: F.length(_without(x, WHITE)) > 0).alias("lines"),
-        F.filter(F.split(text, r"[ \x09-\x0D]+", -1), lambda x: x != "").alias("words"))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    window = F.when(F.col("n_words") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("words") - 3),
-        lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i"))))
-    rows = rows.withColumn("grams", F.array_sort(window))
+        F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(A_WORD)).alias("lines"),
+        F.array_remove(F.split(text, WHITE, -1), "").alias("words"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("words") - 3),
+                        lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    rows = rows.withColumn("grams", F.when(F.size("words") >= 3, grams))
+    # positions are only sorted by window where some window repeats
+    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
+    rows = rows.withColumn("by_gram", F.when(repeats, F.sort_array(
+        F.transform("grams", lambda g, i: F.struct(g.alias("h"), i.alias("i"))))))
 
     def same(g, k):
-        return F.coalesce(g["h"] == F.get("grams", k)["h"], F.lit(False))
+        return F.coalesce(g["h"] == F.get("by_gram", k)["h"], F.lit(False))
 
-    twice = F.filter("grams", lambda g, k: same(g, k - 1) | same(g, k + 1))
-    at = F.array_sort(F.transform(twice, lambda g: g["i"]))
+    twice = F.filter("by_gram", lambda g, k: same(g, k - 1) | same(g, k + 1))
+    at = F.sort_array(F.transform(twice, lambda g: g["i"]))
     covered = F.aggregate(at, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
                           lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
     return rows.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols",
+        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"))
 
