@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_query_conf
-from . import bpe_codec, jaccard_join, packing, quality_rules, substring_dedup
-from .staging import documents
+from . import bpe_codec, jaccard_join, packing, quality_rules, rule_ensemble, substring_dedup, toxicity
+from .staging import documents, table
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    return rule_ensemble.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_query_conf(spark)
     kept = substring_dedup.remove_repeated_windows(documents(spark, sf_dir))
@@ -41,6 +51,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_jaccard_join, op4_quality_rules, op5_best_fit_packing,
-                                  op10_substring_dedup)}
+                                  op6_toxicity, op9_quality_classifier, op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
