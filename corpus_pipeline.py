@@ -1,16 +1,73 @@
-"""Corpus preparation: the training-data operators applied one after another."""
+"""Corpus preparation: training-data operators applied one after another.
+
+Every stage works on all documents its predecessor kept; all but the last
+give the columns of ``documents``. ``run`` writes each stage as Parquet and
+rereads it, so a lost executor never costs more than one stage.
+
+Defined cases: rows that repeat an id are one document to the later stages;
+stages keep the columns lang and source as they are and recount n_chars;
+columns that ``documents`` doesn't have are dropped; an empty table stays
+empty through all stages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ringfence.llm.staging import documents, staged
+from ringfence.llm import jaccard_join, packing, pii_spans, rule_ensemble, substring_dedup
+from ringfence.llm.staging import documents, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The document columns, with a null text as it is."""
+    return docs.select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scores = rule_ensemble.quality_scores(_numbered(docs), table(spark, sf_dir, "labels"), keep=tuple(COLUMNS[1:]))
+    return _numbered(scores.filter("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents."""
+    docs = _numbered(docs)
+    groups = jaccard_join.jaccard_components(docs)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
+    return docs.join(first, docs.doc_id.eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of words that an earlier document has."""
+    docs = _numbered(docs)
+    kept = substring_dedup.remove_repeated_windows(docs, keep=("lang", "source"))
+    return _numbered(kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every span of personal data replaced by its kind."""
+    return pii_spans.masked(_numbered(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("pii", personal_data),
+    ("packing", packed),
+]
 
 # Trained models, similarity components and packing are not expressible in SQL.
 ORACLE_SQL: str | None = None
@@ -22,5 +79,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{k}")
+            docs = staged(docs, f"pipeline-{name}")
     return docs

@@ -157,10 +157,15 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[*b"0123456789@[("]] = True
 
 
+def _marked(texts: pa.Array) -> np.ndarray:
+    """False: no pattern can match."""
+    data, offsets = ta.buffers(texts)
+    return np.diff(np.append(0, np.cumsum(_MARKS[data]))[offsets]) > 0
+
+
 def _label(batches):
     for chunk in ta.chunks(batches):
-        data, offsets = ta.buffers(chunk.column("text"))
-        marked = np.diff(np.append(0, np.cumsum(_MARKS[data]))[offsets]) > 0  # else no pattern can match
+        marked = _marked(chunk.column("text"))
         base, proposed = [[] for _ in marked], [[] for _ in marked]
         for i in np.flatnonzero(marked):
             text = chunk.column("text")[int(i)].as_py()
@@ -209,28 +214,41 @@ def fit_spans(features: np.ndarray, target: np.ndarray, weight: np.ndarray, ridg
     return w
 
 
-def find_spans(docs: DataFrame, sample_rows: int = 20_000, accept: float = 0.5) -> DataFrame:
-    """Per row of ``docs``: doc_id, base and all, arrays of (kind, start, end)
-    with kind a number in ``KINDS``, ordered by kind and start.
+def labelled(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, base spans and proposed spans with votes and features; written once."""
+    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label, _ROW), "labelled-spans")
+
 
-    The span classifier is fitted on at most ``sample_rows`` distinct (votes,
-    features) rows with their counts, the most frequent first."""
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label, _ROW), "labelled-spans")
+def train(rows: DataFrame, sample_rows: int = 20_000) -> np.ndarray:
+    """Weights of the span classifier. It is fitted on at most ``sample_rows``
+    distinct (votes, features) rows with their counts, the most frequent
+    first; the labelers' reliabilities come from the counts of all."""
     each = rows.select(F.explode("proposed").alias("c"))
     patterns = {r["votes"]: r["n"] for r in each.groupBy(F.col("c.votes").alias("votes")).agg(F.count("*").alias("n")).collect()}
     belief, _ = estimate(patterns)
     shapes = (each.groupBy(F.col("c.votes").alias("votes"), F.col("c.features").alias("features")).agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "votes", F.col("features").cast("string")).limit(sample_rows).collect())
-    weights = np.zeros(len(FEATURES))
-    if shapes:
-        weights = fit_spans(np.array([r["features"] for r in shapes]), np.array([belief[r["votes"]] for r in shapes]),
-                            np.array([r["n"] for r in shapes], np.float64))
+    if not shapes:
+        return np.zeros(len(FEATURES))
+    return fit_spans(np.array([r["features"] for r in shapes]), np.array([belief[r["votes"]] for r in shapes]),
+                     np.array([r["n"] for r in shapes], np.float64))
+
+
+def _cut(accept: float) -> float:
+    return float(np.log(accept / (1 - accept)))
+
+
+def find_spans(docs: DataFrame, accept: float = 0.5) -> DataFrame:
+    """Per row of ``docs``: doc_id, base and all, arrays of (kind, start, end)
+    with kind a number in ``KINDS``, ordered by kind and start."""
+    rows = labelled(docs)
+    weights = train(rows)
 
     def logit(c):
         return sum((F.get(c["features"], i) * float(w) for i, w in enumerate(weights)), F.lit(0.0))
 
     added = F.transform(
-        F.filter("proposed", lambda c: logit(c) > float(np.log(accept / (1 - accept)))),
+        F.filter("proposed", lambda c: logit(c) > _cut(accept)),
         lambda c: F.struct(F.when(c["kind"] == "email", 0).when(c["kind"] == "card", 2).otherwise(3).cast("int").alias("kind"),
                            c["start"].alias("start"), c["end"].alias("end")))
     return rows.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", added)).alias("all"))
@@ -242,25 +260,31 @@ def spans_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _mask(batches):
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("all").to_pylist()):
+def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Every (kind, start, end) replaced by its kind in brackets; of overlapping spans the first from the left names it."""
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], "[", KINDS[kind].upper(), "]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def _mask(batches, weights: np.ndarray, cut: float):
+    for chunk in ta.chunks(batches):
+        texts = chunk.column("text").to_pylist()
+        for i in np.flatnonzero(_marked(chunk.column("text"))):
+            spans = base_spans(texts[i])
+            for kind, start, end in candidates(texts[i], spans):
+                if np.dot(weights, _votes_and_features(texts[i], kind, start, end)[1]) > cut:
+                    spans = [*spans, (KINDS.index(kind), start, end)]
             if spans:
-                parts, at = [], 0
-                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= at:
-                        parts += [text[at:s["start"]], "[", KINDS[s["kind"]].upper(), "]"]
-                        at = s["end"]
-                    elif s["end"] > at:
-                        at = s["end"]
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        names = [n for n in batch.schema.names if n != "all"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names)
-
-
-def mask_spans(docs_with_spans: DataFrame) -> DataFrame:
-    """Replaces every span in ``all`` by its kind in brackets; drops ``all``."""
-    kept = docs_with_spans.drop("all")
-    return docs_with_spans.mapInArrow(_mask, kept.schema)
+                texts[i] = mask_text(texts[i], spans)
+        yield chunk.set_column(chunk.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def masked(docs: DataFrame, accept: float = 0.5) -> DataFrame:
+    """``docs`` with every span found in text replaced by its kind in brackets
+    (a null text stays null). Texts are read twice and never shuffled."""
+    weights = train(labelled(docs))
+    return docs.mapInArrow(partial(_mask, weights=weights, cut=_cut(accept)), docs.schema)

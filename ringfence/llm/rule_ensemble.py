@@ -18,7 +18,7 @@ a null id stays null and is not held out; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .labelled import held_out, with_labels
-from .staging import staged
 
-STATS = ["n_words", "word_bytes", "short_words", "long_words", "symbols", "exclaims", "bars", "capitals", "digits", "points",
-         "beyond_ascii", "same_as_previous", "distinct_words", "line_words"]
+STATS = [f"stat_{s}" for s in (
+    "n_words", "word_bytes", "short_words", "long_words", "symbols", "exclaims", "bars", "capitals", "digits", "points",
+    "beyond_ascii", "same_as_previous", "distinct_words", "line_words")]
 TRAIN_ROWS = 20_000
 PREDICT_FROM = 0.3
 _SYMBOL, _EXCLAIM, _BAR, _CAPITAL, _DIGIT, _POINT, _BEYOND, _LINE = range(1, 9)
@@ -38,11 +38,9 @@ _CLASS = np.zeros(256, np.int64)
 for _signs, _kind in ((b"#*$%&<>", _SYMBOL), (b"!", _EXCLAIM), (b"|", _BAR), (b".,;:?", _POINT), (b"\n", _LINE)):
     _CLASS[list(_signs)] = _kind
 _CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x80:] = _DIGIT, _CAPITAL, _BEYOND
-_TYPES = "doc_id long, " + ", ".join(f"{s} double" for s in STATS)
-_SCHEMA = pa.schema([("doc_id", pa.int64()), *((s, pa.float64()) for s in STATS)])
 
 
-def _statistics(batches):
+def _statistics(batches, keep: list[str]):
     for chunk in ta.chunks(batches):
         data, offsets = ta.buffers(chunk.column("text"))
         n_docs = chunk.num_rows
@@ -64,12 +62,15 @@ def _statistics(batches):
         values = [n, np.bincount(doc, size, n_docs) / words, count(size <= 3) / words, count(size >= 14) / words,
                   *(signs[:, k] / length for k in (_SYMBOL, _EXCLAIM, _BAR, _CAPITAL, _DIGIT, _POINT, _BEYOND)),
                   count(same) / words, np.bincount(doc[order][first], minlength=n_docs) / words, n / (signs[:, _LINE] + 1)]
-        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array(v, pa.float64()) for v in values)], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in keep), *(pa.array(v, pa.float64()) for v in values)], [*keep, *STATS])
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``STATS`` of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics, _TYPES)
+def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` and ``STATS`` of every row."""
+    keep = ["doc_id", *keep]
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*keep, *({"text"} - set(keep)))
+    types = [f"`{c}` {t}" for c, t in rows.select(*keep).dtypes] + [f"{x} double" for x in STATS]
+    return rows.mapInArrow(partial(_statistics, keep=keep), ", ".join(types))
 
 
 Rule = tuple[tuple[str, float, bool], ...]  # (statistic, cut, True: above the cut)
@@ -174,14 +175,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
     return RuleEnsemble(bias, [(r, float(v)) for r, v in zip(kept, w) if abs(v) > 1e-3])
 
 
-def train(stats: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = TRAIN_ROWS) -> RuleEnsemble:
-    rows = with_labels(stats, labels, target, max_rows).toPandas().sort_values("doc_id")
-    return fit_rules(rows[STATS].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = TRAIN_ROWS) -> RuleEnsemble:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = text_statistics(with_labels(rows, labels, target, max_rows), ("label",)).toPandas().sort_values("doc_id")
+    return fit_rules(sample[STATS].to_numpy(np.float64), sample["label"].to_numpy(np.float64))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted."""
-    stats = staged(text_statistics(docs), "text-statistics")
-    model = train(stats, labels, "quality", max_rows)
-    scored = stats.select("doc_id", held_out("doc_id").alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score, predicted and the columns
+    ``keep``. The second reading of the texts computes statistics and score in
+    one stage; nothing is shuffled."""
+    model = train(docs, labels, "quality", max_rows)
+    scored = text_statistics(docs, keep).select("doc_id", held_out("doc_id").alias("held_out"), model.score().alias("score"), *keep)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"), *keep)

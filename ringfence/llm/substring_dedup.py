@@ -147,9 +147,6 @@ def _repeated(batches, buckets: int):
         yield give(hits)
 
 
-_KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
-_KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
-
 
 class _Hits:
     """The repeated hashes of one part, by document."""
@@ -165,7 +162,7 @@ class _Hits:
         return self.hashes[lo:hi]
 
 
-def _remove(batches, width: int):
+def _remove(batches, width: int, keep: list[str]):
     """Rows come sorted by part, its repeated hashes before its texts."""
     waiting: dict[int, list] = {}
     hits: dict[int, _Hits] = {}
@@ -194,22 +191,25 @@ def _remove(batches, width: int):
             left = np.append(0, np.cumsum(kept))[before]
             n = np.diff(before)
             yield pa.RecordBatch.from_arrays(
-                [texts.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(n - np.diff(left)),
-                 ta.join_spans(data, s[kept], e[kept], left)], schema=_KEPT_SCHEMA)
+                [texts.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()),
+                 ta.join_spans(data, s[kept], e[kept], left), *(texts.column(c) for c in keep)],
+                ["doc_id", "n_words", "n_removed", "kept_text", *keep])
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed and the kept words
-    joined by one space (``kept_text``)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def remove_repeated_windows(docs: DataFrame, width: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, the kept words joined
+    by one space (``kept_text``) and the columns ``keep``, which may not be
+    called as any of these."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << min(20, max(8, int(size // BUCKET_BYTES).bit_length()))
-    windows = docs.mapInArrow(partial(_window_rows, width=width, buckets=buckets), _PACKED_TYPES)
+    windows = docs.select("doc_id", "text").mapInArrow(partial(_window_rows, width=width, buckets=buckets), _PACKED_TYPES)
     repeated = staged(windows.repartition("key").sortWithinPartitions("key")
                       .mapInArrow(partial(_repeated, buckets=buckets), _PACKED_TYPES), "repeated-windows")
     part = part_of(F.coalesce("doc_id", F.lit(int(NO_ID))), buckets)
-    nothing = F.lit(None)
-    both = (docs.select(part.alias("key"), "doc_id", "text", nothing.cast("binary").alias("hashes"), nothing.cast("binary").alias("ids"))
-            .unionByName(repeated.select("key", nothing.cast("long").alias("doc_id"), nothing.cast("string").alias("text"), "hashes", "ids")))
+    texts = docs.select(part.alias("key"), "*", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("ids"))
+    both = texts.unionByName(repeated, allowMissingColumns=True)
+    types = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] if keep else []
     return (both.repartition("key").sortWithinPartitions("key", F.col("hashes").isNull())
-            .mapInArrow(partial(_remove, width=width), _KEPT))
+            .mapInArrow(partial(_remove, width=width, keep=list(keep)),
+                        ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *types])))
