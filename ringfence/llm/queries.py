@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_query_conf
 from . import ann_codes, bpe_codec, chat_format, jaccard_join, packing, pii_spans, quality_rules, rule_ensemble, substring_dedup, toxicity
+from .oracle import SQL  # noqa: F401 -- read by the entry
 from .staging import documents, table
 
 
@@ -80,5 +81,3 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_chat_format, op3_jaccard_join, op4_quality_rules, op5_best_fit_packing,
                                   op6_toxicity, op7_one_bit_ann, op8_pii, op9_quality_classifier, op10_substring_dedup)}
-
-SQL: dict[str, str] = {}
