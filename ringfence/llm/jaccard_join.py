@@ -3,24 +3,28 @@
 Two texts link when the Jaccard similarity of their word-shingle sets
 reaches the threshold t (exactly, in integers). Equal sets form one class.
 
-1. Every shingle set is hashed; the *pool* of a document is the fixed fifth
-   of the hash range. One global order puts pool shingles first, ordered by
-   document frequency, and the rest after them by hash. A set of n shingles
-   has a prefix of n - ceil(t*n) + 1 shingles; linked sets share a prefix
-   shingle. Shingles of one class only can be in a prefix but lead nowhere,
-   so frequencies are joined back for shared pool shingles alone.
-2. Classes with the same shared prefix and size collapse into one group.
-   Members are checked against the group's representative; those it does not
-   link to leave the group, so a group has radius <= 1 - t.
+1. Every shingle set is hashed. With one global order of shingles (rarest
+   first), sets of a and b shingles that link share a shingle in their
+   prefixes, the first a - o + 1 and b - o + 1 of each, where o is the
+   overlap they need. Shingles of one class only lead nowhere.
+   A first round orders by the frequency of the *pool*, the fixed fifth of
+   the hash range (shingles outside it come last, by hash), so a fifth of
+   all shingles is counted; a second round counts every shingle of the
+   classes that are left and cuts their prefixes anew.
+2. Classes with the same prefix and size collapse into one group. Members
+   are checked against the group's representative; those it does not link to
+   leave the group, so a group has radius <= 1 - t.
 3. Groups meet in lists keyed by (prefix shingle, size band). Instead of all
-   pairs of a list, each round compares its members with one pivot and drops
-   the pivot; a list whose members already are in one component is finished.
-   A group pair is filtered by size, then by its representatives' distance:
-   Jaccard distance is a metric, so a pair further apart than 1 - t plus both
-   radii has no linked members. The rest expand to members, all verified.
+   pairs of a list, a round compares its members with one pivot (the one with
+   the fewest shingles of its own) and drops the pivot; a list whose members
+   are in one component is finished. A group pair is filtered by the sizes
+   and by the places of the shared shingle, then by the representatives'
+   distance: Jaccard distance is a metric, so a pair further apart than 1 - t
+   plus both radii has no linked members. The rest expand to members, and
+   every link is verified on whole sets.
 4. When the pairs left over in lists no longer exceed their postings, or a
-   round no longer halves them, the remaining cross-component pairs are
-   listed and verified. Nothing is capped or dropped.
+   round no longer halves them, the remaining filtered pairs are verified
+   at once. Nothing is capped or dropped.
 
 A set is identified by a 64-bit hash of its 64-bit shingle hashes and size.
 
@@ -46,9 +50,9 @@ from .staging import drop_staged, staged
 
 POOL_TOP = (1 << 64) // 5          # pool: shingle hashes below this
 PIVOT_ROWS = 256                   # comparisons that share one shipped pivot set
-_SET_TYPES = "doc_id long, text_hash long, cls long, n long, m long, tokens array<long>, members binary"
+_SET_TYPES = "doc_id long, text_hash long, cls long, n long, m long, tokens array<long>"
 _SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()),
-                         ("m", pa.int64()), ("tokens", pa.list_(pa.int64())), ("members", pa.binary())])
+                         ("m", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
 
 def _shingles(data, offsets, width: int):
@@ -81,7 +85,8 @@ def _prefix_size(n, percent: int):
 
 def _sets(batches, width: int, percent: int, full: bool):
     """Per row: class, set size and, for the first row of a class in a chunk,
-    its ordering pool (or, if ``full``, its whole set packed)."""
+    its pool and as much more as a prefix needs (or, if ``full``, its whole
+    set), ascending; other rows have no shingles."""
     for chunk in ta.chunks(batches):
         g, before = _shingles(*ta.buffers(chunk.column("text")), width)
         n = np.diff(before)
@@ -96,19 +101,19 @@ def _sets(batches, width: int, percent: int, full: bool):
         first &= n > 0
         pool = np.append(0, np.cumsum(g < np.uint64(POOL_TOP)))[before]
         m = np.diff(pool)
-        packed = tokens = None
-        if full:
-            packed = pa.array([g[before[i]:before[i + 1]].tobytes() if f else None for i, f in enumerate(first)], pa.binary())
-            tokens = pa.nulls(len(n), pa.list_(pa.int64()))
-        else:
-            take = np.where(first, np.maximum(m, np.minimum(n, _prefix_size(n, percent))), 0)
-            edge = np.append(0, np.cumsum(take))
-            at = np.arange(edge[-1]) - np.repeat(edge[:-1], take) + np.repeat(before[:-1], take)
-            tokens = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(g[at].view(np.int64)))
-            packed = pa.nulls(len(n), pa.binary())
+        take = n if full else np.maximum(m, np.minimum(n, _prefix_size(n, percent)))
+        take = np.where(first, take, 0)
+        edge = np.append(0, np.cumsum(take))
+        at = np.arange(edge[-1]) + np.repeat(before[:-1] - edge[:-1], take)
+        tokens = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(g[at].view(np.int64)))
         yield pa.RecordBatch.from_arrays(
             [chunk.column("doc_id").cast(pa.int64()), chunk.column("text_hash").cast(pa.int64()), pa.array(cls),
-             pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), tokens, packed], schema=_SET_SCHEMA)
+             pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), tokens], schema=_SET_SCHEMA)
+
+
+def _edges(lists: pa.ListArray) -> np.ndarray:
+    edge = lists.offsets.to_numpy()
+    return edge - edge[0]
 
 
 def _compare(batches):
@@ -117,10 +122,11 @@ def _compare(batches):
     pivot, own = None, None
     for batch in batches:
         out = []
-        for p, x, members in zip(*(batch.column(c).to_pylist() for c in ("p", "x", "members"))):
-            s = np.frombuffer(members, np.uint64)
+        sets, edge = batch.column("tokens").flatten().to_numpy().view(np.uint64), _edges(batch.column("tokens"))
+        for p, x, a, b in zip(batch.column("p").to_pylist(), batch.column("x").to_pylist(), edge[:-1], edge[1:]):
+            s = sets[a:b]
             if x is None:
-                pivot, own = p, s
+                pivot, own = p, s.copy()
             else:
                 if p != pivot:
                     raise ValueError("a pivot's set is missing")
@@ -141,38 +147,50 @@ class _Join:
     def similar(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
-    def sizes_fit(self, a, b):
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
-
-    def prefixes(self, rows: DataFrame) -> DataFrame:
-        """(cls, n, spare, prefix): the shared shingles of each class's prefix, sorted;
-        ``spare`` prefix places hold shingles of that class alone."""
-        posts = rows.filter("tokens is not null").select(F.explode("tokens").alias("token"), "cls", "n", "m")
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """(cls, n) of the classes with a shared shingle in their prefix of the pool order."""
+        posts = rows.select(F.explode("tokens").alias("token"), "cls", "n", "m")
         shared = (posts.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-                  .filter("lo != hi").select("token", "df"))
+                  .filter("lo != hi").select("token"))
         # the pool is the low fifth of the unsigned range: non-negative here
-        in_pool = (F.col("token") >= 0) & (F.col("token") < F.lit(POOL_TOP))
-        both = (posts.join(shared, "token")
-                .groupBy("cls", "n", "m")
-                .agg(F.array_sort(F.collect_set(F.when(in_pool, F.struct("df", "token")))).alias("inner"),
-                     F.collect_set(F.when(~in_pool, F.col("token"))).alias("outer")))
-        size = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        spare = F.col("m") - F.size("inner")
-        room = F.greatest(F.lit(0), size - spare).cast("int")
-        prefix = (F.when(F.col("m") >= size, F.slice(F.col("inner.token"), F.lit(1), F.greatest(F.lit(1), room)))
-                  .otherwise(F.concat(F.col("inner.token"), "outer")))
-        return (both.withColumn("spare", F.least(spare, size)).filter((F.col("m") < size) | (room > 0))
-                .select("cls", "n", "spare", F.array_sort(prefix).alias("prefix")).filter(F.size("prefix") > 0))
+        in_pool = ((F.col("token") >= 0) & (F.col("token") < F.lit(POOL_TOP))).cast("long")
+        met = (posts.join(shared, "token").select("cls", "n", "m", "token").distinct()
+               .groupBy("cls", "n", "m").agg(F.sum(in_pool).alias("inner")))
+        # single shingles come first: the prefix has m - inner of them, if they don't fill it
+        return met.filter((F.col("m") < self.prefix_size("n")) | (F.col("m") - F.col("inner") < self.prefix_size("n"))).select("cls", "n")
+
+    def prefix_size(self, n):
+        return F.col(n) - F.ceil(F.col(n) * self.percent / 100) + 1
+
+    def prefixes(self, full: DataFrame) -> DataFrame:
+        """(cls, n, own, prefix): the shared shingles of each class's prefix, rarest
+        first; they follow ``own`` shingles of that class alone."""
+        posts = full.select(F.explode("tokens").alias("token"), "cls", "n")
+        shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        both = (posts.join(shared, "token").groupBy("cls", "n")
+                .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")))
+        own = F.col("n") - F.size("tokens")
+        return (both.withColumn("own", own).filter(F.col("own") < self.prefix_size("n"))
+                .select("cls", "n", "own", F.slice("tokens.token", F.lit(1), (self.prefix_size("n") - F.col("own")).cast("int")).alias("prefix")))
+
+    def overlap(self, a, b):
+        """Shingles that linked sets of sizes a and b have in common at least."""
+        return F.ceil(self.percent * (a + b) / (100 + self.percent))
+
+    def may_link(self, a, at, b, bt):
+        """Sizes a, b with a shared shingle at places at, bt of their orders."""
+        need = self.overlap(a, b)
+        return (100 * F.least(a, b) >= self.percent * F.greatest(a, b)) & (at + need <= a) & (bt + need <= b)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(x, p, common, nx, np) of class pairs (x, p)."""
-        sets = self.full.select("cls", "members")
+        sets = self.full.select("cls", "tokens")
         load = pairs.groupBy("p").agg(F.ceil(F.count("*") / PIVOT_ROWS).alias("parts"))
         spread = (pairs.join(load, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
                   .select("x", "p", "salt"))
-        rows = spread.join(sets, spread.x == sets.cls).select("p", "salt", "x", "members")
+        rows = spread.join(sets, spread.x == sets.cls).select("p", "salt", "x", "tokens")
         own = (load.select("p", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"))
-               .join(sets, F.col("p") == sets.cls).select("p", "salt", F.lit(None).cast("long").alias("x"), "members"))
+               .join(sets, F.col("p") == sets.cls).select("p", "salt", F.lit(None).cast("long").alias("x"), "tokens"))
         return (rows.unionByName(own).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x").isNotNull())
                 .mapInArrow(_compare, "x long, p long, common long, nx long, np long"))
 
@@ -181,12 +199,12 @@ class _Join:
                 .select(F.col("x").alias("u"), F.col("p").alias("v")))
 
     def run(self) -> DataFrame:
-        rows = staged(self.docs.mapInArrow(partial(self.sets, full=False), _SET_TYPES).drop("members"), "shingle-sets")
-        grouped = staged(self.prefixes(rows), "prefixes")
-        key = ["n", "spare", "prefix"]
-        groups = grouped.groupBy(*key).agg(F.min("cls").alias("rep"), F.count("*").alias("size"))
-        member = staged(grouped.join(groups, key).select("cls", "rep", "n", "size", "prefix"), "groups")
-        self._load_sets(rows, member)
+        rows = staged(self.docs.mapInArrow(partial(self.sets, full=False), _SET_TYPES), "shingle-sets")
+        self.full = self._full_sets(rows, staged(self.candidates(rows), "candidates"))
+        grouped = staged(self.prefixes(self.full), "prefixes")
+        key = ["n", "own", "prefix"]
+        groups = grouped.groupBy(*key).agg(F.min("cls").alias("rep"))
+        member = staged(grouped.join(groups, key).select("cls", "rep", "n", "own", "prefix"), "groups")
 
         # 2. members against their representative
         inside = staged(self.verified(member.filter("cls != rep").select(F.col("cls").alias("x"), F.col("rep").alias("p"))),
@@ -199,10 +217,11 @@ class _Join:
         left = inside.filter(~fits).select(F.col("x").alias("cls"))
         nodes = member.filter("cls = rep").drop("rep").unionByName(member.drop("rep").join(left, "cls", "left_semi"))
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent) * 1.000001)).cast("int")
-        posts = (nodes.select(F.col("cls").alias("node"), "n", F.explode("prefix").alias("token"), band.alias("band"))
+        posts = (nodes.select(F.col("cls").alias("node"), "n", "own", F.posexplode("prefix").alias("at", "token"), band.alias("band"))
+                 .withColumn("at", F.col("at") + F.col("own"))
                  .withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))))
         posts = staged(self._open(posts, None), "lists-0")
-        self.member, self.tight, self.radius = member, staged(tight, "tight"), staged(radius, "radius")
+        self.tight, self.radius = staged(tight, "tight"), staged(radius, "radius")
         label, seen, pending, turn = None, None, None, 0
         while True:
             before, pending = pending, self._pairs_left(posts)
@@ -226,15 +245,15 @@ class _Join:
             label = components(edges)
         return self._result(rows, label)
 
-    def _load_sets(self, rows, member):
-        """Full sets of the classes that share a prefix shingle, from one text of each."""
-        wanted = (rows.join(member.select("cls"), "cls", "left_semi").groupBy("cls")
-                  .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "text_hash")).alias("one")))
-        wanted = wanted.select(F.col("one.k").alias("k"), F.col("one.text_hash").alias("text_hash")).distinct()
-        texts = (self.docs.withColumn("k", F.coalesce("doc_id", F.lit(2**63 - 1)))
-                 .join(wanted, ["k", "text_hash"], "left_semi").drop("k"))
-        full = texts.mapInArrow(partial(self.sets, full=True), _SET_TYPES).filter("members is not null").select("cls", "n", "members")
-        self.full = staged(full.dropDuplicates(["cls"]), "full-sets")
+    def _full_sets(self, rows, candidates):
+        """(cls, n, tokens): the whole sets of the candidate classes, from one text of each."""
+        last = F.lit(2**63 - 1)
+        wanted = (rows.join(candidates.select("cls"), "cls", "left_semi").groupBy("cls")
+                  .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("k"), "text_hash")).alias("one"))
+                  .select("one.k", "one.text_hash").distinct())
+        texts = self.docs.withColumn("k", F.coalesce("doc_id", last)).join(wanted, ["k", "text_hash"], "left_semi").drop("k")
+        full = texts.mapInArrow(partial(self.sets, full=True), _SET_TYPES).filter(F.size("tokens") > 0).select("cls", "n", "tokens")
+        return staged(full.dropDuplicates(["cls"]), "full-sets")
 
     def _open(self, posts, label):
         """Postings of lists whose members are in more than one component."""
@@ -243,32 +262,35 @@ class _Join:
                      .withColumn("comp", F.coalesce("label", "node")).drop("label"))
         else:
             posts = posts.withColumn("comp", F.col("node"))
-        some = (posts.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                .filter("lo != hi").select("token", "band"))
-        return posts.join(some, ["token", "band"], "left_semi").select("token", "band", "node", "n", "comp")
+        some = (posts.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
+                .filter("lo != hi").select("token", "band", "least"))
+        reach = F.col("at") + self.overlap(F.col("n"), F.col("least")) <= F.col("n")  # for the smallest partner there is
+        return posts.join(some, ["token", "band"]).filter(reach).select("token", "band", "node", "n", "own", "at", "comp")
 
     def _pairs_left(self, posts) -> int:
         sizes = posts.groupBy("token", "band").count()
         return int(sizes.agg(F.sum(F.col("count").cast("decimal(20,0)") * (F.col("count") - 1) / 2)).first()[0] or 0)
 
     def _pivots(self, posts):
-        return (posts.groupBy("token", "band").agg(F.min(F.struct("node", "n", "comp")).alias("q"))
-                .select("token", "band", F.col("q.node").alias("p"), F.col("q.n").alias("pn"), F.col("q.comp").alias("pcomp")))
+        return (posts.groupBy("token", "band").agg(F.min(F.struct("own", "node", "n", "at", "comp")).alias("q"))
+                .select("token", "band", F.col("q.node").alias("p"), F.col("q.n").alias("pn"), F.col("q.at").alias("pat"), F.col("q.comp").alias("pcomp")))
 
-    def _pivot_pairs(self, posts):
-        return (posts.join(self._pivots(posts), ["token", "band"])
-                .filter((F.col("comp") != F.col("pcomp")) & self.sizes_fit(F.col("n"), F.col("pn")))
+    def _fitting(self, posts, others, which):
+        """Distinct pairs of a list, of two components, that may link."""
+        return (posts.join(others, ["token", "band"])
+                .filter(which & (F.col("comp") != F.col("pcomp")) & self.may_link(F.col("n"), F.col("at"), F.col("pn"), F.col("pat")))
                 .select(F.col("node").alias("x"), "p").distinct())
 
+    def _pivot_pairs(self, posts):
+        return self._fitting(posts, self._pivots(posts), F.col("node") != F.col("p"))
+
     def _without_pivots(self, posts):
         gone = self._pivots(posts).select("token", "band", F.col("p").alias("node"))
         return posts.join(gone, ["token", "band", "node"], "left_anti")
 
     def _all_pairs(self, posts):
-        other = posts.select("token", "band", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        return (posts.join(other, ["token", "band"])
-                .filter((F.col("node") > F.col("p")) & (F.col("comp") != F.col("pcomp")) & self.sizes_fit(F.col("n"), F.col("pn")))
-                .select(F.col("node").alias("x"), "p").distinct())
+        other = posts.select("token", "band", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pcomp"))
+        return self._fitting(posts, other, F.col("node") > F.col("p"))
 
     def _group_links(self, pairs):
         """Links between two groups' members; representatives first."""
