@@ -92,13 +92,13 @@ def episode_rows(rows: DataFrame, flagged: DataFrame, keys: list[str], row_id: s
     return out.filter(F.col("n_flagged") > 0).drop("n_flagged")
 
 
-def bin_velocity_rows(txns: DataFrame, window_us: int = 24 * HOUR_US, max_amount: float = 10.0,
+def bin_velocity_rows(txns: DataFrame, window_us: int = 24 * HOUR_US, max_amount: float = 2.0,
                       min_count: int = 3, width: int = HOUR_US, episode: bool = False) -> DataFrame:
     """Micro-amount attempts on the row's BIN within [t - window, t];
     rows reaching ``min_count`` are returned with the count. With
     ``episode`` every micro row inside a triggering window is returned
     (the earlier attempts of a burst too), without the count."""
-    d = _with_t(txns.filter(F.col("amount") < F.lit(max_amount)))
+    d = _with_t(txns.filter(F.col("amount") <= F.lit(max_amount)))
     d = d.select("transaction_id", "card_bin", "__t")
     out = range_sums(d, ["card_bin"], "__t", "transaction_id",
                      {"n_attempts": F.lit(1).cast("long")}, lower=-window_us, upper=0, width=width)
@@ -164,10 +164,10 @@ def ato_fan_in(auth: DataFrame, window: str = "1 day", min_accounts: int = 3) ->
             .filter(F.col("n_accounts") >= min_accounts))
 
 
-def bin_velocity(txns: DataFrame, window: str = "1 day", max_amount: float = 10.0,
+def bin_velocity(txns: DataFrame, window: str = "1 day", max_amount: float = 2.0,
                  min_count: int = 3) -> DataFrame:
     """A5: micro-amount authorisations per BIN and tumbling window."""
-    return (txns.filter(F.col("amount") < F.lit(max_amount))
+    return (txns.filter(F.col("amount") <= F.lit(max_amount))
             .groupBy(tumbling("timestamp", window).alias("window_start"), "card_bin")
             .agg(F.count(F.lit(1)).alias("n_attempts"),
                  F.countDistinct("card_pan_masked").alias("n_cards"))
@@ -184,7 +184,7 @@ def subnet_spread(txns: DataFrame, window: str = "1 day") -> DataFrame:
                  F.count(F.lit(1)).alias("n_attempts")))
 
 
-AMOUNT_BITS = 48  # order-preserving code of cents: |amount| < 2**47 cents
+AMOUNT_BITS = 62  # order-preserving code of cents: a decimal(18,2) has under 2**60 of them
 
 
 def _amount_code(amount: Column) -> Column:
@@ -196,7 +196,8 @@ def _amount_code(amount: Column) -> Column:
 def smurfing(transfers: DataFrame, window_us: int = 30 * DAY_US, min_splits: int = 3,
              max_pairs_per_group: int = 2_000_000) -> DataFrame:
     """An inflow to an account followed, within ``window_us``, by at least
-    ``min_splits`` smaller outflows from that account.
+    ``min_splits`` smaller outflows from that account. Amounts are compared
+    and added in whole cents everywhere.
 
     Transfers are compared as distinct rows. Columns: the inflow's columns
     plus n_splits and split_total.
@@ -208,6 +209,7 @@ def smurfing(transfers: DataFrame, window_us: int = 30 * DAY_US, min_splits: int
       outflows of its account in its own bucket and the next (bucket width =
       window); range and amount conditions filter; per-inflow counts
       aggregate in the join's stage.
+      The result is the same on either path; the switch bounds the work.
     * hot groups (more than ``max_pairs_per_group`` candidate pairs): no pairs
       at all. "Smaller amount" is a dominance test, decomposed by bits: for
       amount codes r_o < r_i there is exactly one bit level where they first
@@ -230,7 +232,7 @@ def smurfing(transfers: DataFrame, window_us: int = 30 * DAY_US, min_splits: int
     keys = [f"in_{c}" for c in cols]
     inflow = tx.select(*[F.col(c).alias(f"in_{c}") for c in cols],
                        F.col("__t").alias("in_t"), F.col("__b").alias("in_b"))
-    outflow = tx.select(F.col("src_account").alias("out_account"), F.col("amount").alias("out_amount"),
+    outflow = tx.select(F.col("src_account").alias("out_account"), F.col("amount").cast(MONEY).alias("out_amount"),
                         F.col("__t").alias("out_t"), F.col("__b").alias("bucket"))
 
     # Candidate pairs per inflow group (account, bucket): inflows x outflows
@@ -256,10 +258,10 @@ def smurfing(transfers: DataFrame, window_us: int = 30 * DAY_US, min_splits: int
     ci = cold_in.select(*keys, "in_t", F.explode(F.array(F.col("in_b"), F.col("in_b") + 1)).alias("bucket"))
     cond = ((ci.in_dst_account == outflow.out_account) & (ci.bucket == outflow.bucket)
             & (outflow.out_t >= ci.in_t) & (outflow.out_t <= ci.in_t + F.lit(window_us))
-            & (outflow.out_amount < ci.in_amount))
+            & (outflow.out_amount < ci.in_amount.cast(MONEY)))
     cold = (ci.join(outflow, cond, "inner").groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_splits"),
-                 F.sum(F.col("out_amount").cast(MONEY)).cast(MONEY_SUM).alias("split_total")))
+                 F.sum("out_amount").cast(MONEY_SUM).alias("split_total")))
 
     if hot is None:
         agg = cold.filter(F.col("n_splits") >= min_splits)

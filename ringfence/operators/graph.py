@@ -82,31 +82,36 @@ def hop(left: DataFrame, left_key: str, edges: DataFrame, edge_src: str,
 
 
 def _two_hop(seed: DataFrame, seed_key: str, edges: DataFrame, via: str,
-             other_alias: str, distinct_endpoints: bool) -> DataFrame:
+             other_alias: str, distinct_endpoints: bool, back_edges: DataFrame | None = None) -> DataFrame:
     """seed -[e]-> node <-[e]- other: (seed, node, other) rows."""
     out = hop(seed, seed_key, edges, "account_id", via, via)
-    back = edges.select(F.col(via).alias("__via"), F.col("account_id").alias(other_alias))
+    back = (edges if back_edges is None else back_edges).select(F.col(via).alias("__via"), F.col("account_id").alias(other_alias))
     out = out.join(back, F.col(via) == F.col("__via"), "inner").drop("__via")
     if distinct_endpoints:
         out = out.filter(F.col(other_alias) != F.col(seed_key))
     return out
 
 
-def ring_matches(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool) -> DataFrame:
+def ring_matches(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool,
+                 targets: DataFrame | None = None) -> DataFrame:
     """Core of G3/G4.
 
     ``seeds(fraud_id)`` are the fraud accounts. Returns one row per
     (suspicious_id, device_id, fraud_id, address_id) such that suspicious
     and fraud share the device and the address (bag semantics over the
-    distinct edge keys). The device leg and the address leg are expanded
-    from the seed independently and then joined on (fraud, suspicious),
-    so no cross product of devices x addresses is built before the match.
-    """
+    distinct edge keys). Only the (fraud, suspicious) pairs that share a
+    device are followed along addresses: fraud's addresses, then the edge
+    (address, suspicious). ``targets(suspicious_id)`` restricts the other end
+    before anything is expanded."""
     g = g.written("used_device", "shipped_to")  # each is read twice below
     ud = g.used_device.select("account_id", "device_id")
     st = g.shipped_to.select("account_id", "address_id")
-    dev_leg = _two_hop(seeds, "fraud_id", ud, "device_id", "suspicious_id", distinct_endpoints)
-    addr_leg = _two_hop(seeds, "fraud_id", st, "address_id", "suspicious_id", distinct_endpoints)
+    back = ud if targets is None else ud.join(targets.select(F.col("suspicious_id").alias("account_id")).distinct(), "account_id", "left_semi")
+    dev_leg = _two_hop(seeds, "fraud_id", ud, "device_id", "suspicious_id", distinct_endpoints, back)
+    pairs = dev_leg.select("fraud_id", "suspicious_id").distinct()
+    there = st.select(F.col("account_id").alias("fraud_id"), "address_id")
+    here = st.select(F.col("account_id").alias("suspicious_id"), "address_id")
+    addr_leg = pairs.join(there, "fraud_id", "inner").join(here, ["suspicious_id", "address_id"], "inner")
     ring = dev_leg.join(addr_leg, ["fraud_id", "suspicious_id"], "inner")
     # Node existence: the pattern binds Account, Device and Address nodes.
     ring = ring.join(g.accounts.select(F.col("account_id").alias("suspicious_id")),
@@ -148,10 +153,8 @@ def linked_fraud(g: FraudGraph, targets: DataFrame | None = None,
     is ``distinct_endpoints=False``.
     """
     seeds = _seed(g.accounts, fraud_status, "fraud_id", "linked_fraud_user")
-    ring = ring_matches(g, seeds.select("fraud_id"), distinct_endpoints)
-    if targets is not None:
-        ring = ring.join(targets.select(F.col("account_id").alias("suspicious_id")).distinct(),
-                         "suspicious_id", "left_semi")
+    ring = ring_matches(g, seeds.select("fraud_id"), distinct_endpoints,
+                        None if targets is None else targets.select(F.col("account_id").alias("suspicious_id")))
     ring = ring.join(seeds, "fraud_id", "inner")
     ring = ring.join(g.addresses.select("address_id", "full_address"), "address_id", "inner")
     return ring.select(F.col("suspicious_id").alias("target"), "linked_fraud_user",
@@ -185,7 +188,7 @@ def valid_transfers(g: FraudGraph) -> DataFrame:
 
 def transfer_paths(g: FraudGraph, lo: int = 1, hi: int = 3,
                    seed_status: str = VICTIM_COMPROMISED,
-                   checkpoint_every: int = 0) -> DataFrame:
+                   checkpoint_every: int = 1) -> DataFrame:
     """G6 + A3: walks of ``lo..hi`` TRANSFERRED edges from seed accounts.
 
     Walk semantics (nodes and edges may repeat). Instead of one row per walk,
@@ -195,8 +198,9 @@ def transfer_paths(g: FraudGraph, lo: int = 1, hi: int = 3,
     walks there are. Columns origin, destination, hop_count, n_paths; the
     per-walk bag is ``explode(sequence(1, n_paths))`` of it.
 
-    ``checkpoint_every`` > 0 cuts the lineage every that many hops (written
-    to the session's checkpoint folder) for deep ranges.
+    Every ``checkpoint_every`` hops the frontier is written to the session's
+    checkpoint folder, so a hop is computed once and not again by each later
+    one (0: never).
     """
     if lo < 1 or hi < lo:
         raise ValueError("need 1 <= lo <= hi")
@@ -227,8 +231,11 @@ def transfer_paths(g: FraudGraph, lo: int = 1, hi: int = 3,
 
 def expand_walks(paths: DataFrame) -> DataFrame:
     """One row per walk from ``transfer_paths`` output (the GQL bag form)."""
-    return (paths.select("origin", "destination", "hop_count",
-                         F.explode(F.sequence(F.lit(1), F.col("n_paths").cast("int"))).alias("_i"))
+    step = 100_000  # no array is longer, however many walks a pair has
+    return (paths.select("origin", "destination", "hop_count", "n_paths",
+                         F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_paths") - 1).cast("long"), F.lit(step).cast("long"))).alias("_from"))
+            .select("origin", "destination", "hop_count",
+                    F.explode(F.sequence(F.lit(1), F.least(F.lit(step), F.col("n_paths") - F.col("_from")).cast("int"))).alias("_i"))
             .drop("_i"))
 
 

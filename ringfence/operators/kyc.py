@@ -8,6 +8,8 @@ accounts costs one summary row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from .graph import CONFIRMED_FRAUD, FraudGraph
 REJECT_PORTRAIT = "REJECT_DEEPFAKE_PORTRAIT"
 REJECT_FORGED = "REJECT_FORGED_ID"
 APPROVE = "APPROVE"
+REJECT_CODES = {"portrait": REJECT_PORTRAIT, "document": REJECT_FORGED}
 NO_LINK = "No adverse graph links."
+LINK_PREFIX = "Direct Link to "
 
 
 def kyc_decision(portrait_ok: Column, document_ok: Column) -> Column:
@@ -38,15 +42,21 @@ def kyc_verdict(decision: Column | str) -> Column:
 def kyc_assess(checks: DataFrame, check_cols: dict[str, str] | None = None) -> DataFrame:
     """M4: check matrix -> tampered flag, failed-check list, decision.
 
-    ``check_cols`` maps a check name to its boolean column (True = passed).
+    ``check_cols`` maps a check name to its boolean column (True = passed; a
+    missing result counts as failed). The first failed check, in the map's
+    order, decides: ``REJECT_CODES`` has its decision, other checks reject
+    under their own name. A document is tampered when any check but the
+    portrait fails.
     """
     check_cols = check_cols or {"portrait": "portrait_ok", "document": "document_ok"}
-    failed = F.filter(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(name))
-                                for name, c in check_cols.items()]), lambda x: x.isNotNull())
-    decision = kyc_decision(F.col("portrait_ok"), F.col("document_ok"))
+    bad = {name: ~F.coalesce(F.col(c), F.lit(False)) for name, c in check_cols.items()}
+    tampered = reduce(lambda a, b: a | b, [v for k, v in bad.items() if k != "portrait"], F.lit(False))
+    failed = F.filter(F.array(*[F.when(v, F.lit(name)) for name, v in bad.items()]), lambda x: x.isNotNull())
+    decision = F.coalesce(*[F.when(v, F.lit(REJECT_CODES.get(name, f"REJECT_{name.upper()}"))) for name, v in bad.items()],
+                          F.lit(APPROVE))
     return checks.select(
         "*",
-        (~F.coalesce(F.col("document_ok"), F.lit(False))).alias("is_tampered"),
+        tampered.alias("is_tampered"),
         F.array_join(failed, ",").alias("failed_checks"),
         decision.alias("decision"),
         kyc_verdict(decision).alias("kyc_verdict"))
@@ -56,15 +66,12 @@ def fraud_by_address(g: FraudGraph) -> DataFrame:
     """Per normalised address: confirmed-fraud accounts shipping there."""
     fraud = g.accounts.filter(F.col("kyc_status") == CONFIRMED_FRAUD).select(
         "account_id", F.col("customer_name").alias("fraud_name"))
-    per_addr = (g.shipped_to.select("account_id", "address_id")
-                .join(fraud, "account_id", "inner")
-                .groupBy("address_id")
-                .agg(F.countDistinct("account_id").alias("n_linked_fraud"),
-                     F.min("fraud_name").alias("fraud_name")))
     addr = g.addresses.select("address_id", SC.normalize_address("full_address").alias("address_key"))
-    return (per_addr.join(addr, "address_id", "inner")
+    # distinct accounts of a key: one account at two nodes of it counts once
+    return (g.shipped_to.select("account_id", "address_id")
+            .join(fraud, "account_id", "inner").join(addr, "address_id", "inner")
             .groupBy("address_key")
-            .agg(F.sum("n_linked_fraud").cast("long").alias("n_linked_fraud"),
+            .agg(F.countDistinct("account_id").alias("n_linked_fraud"),
                  F.min("fraud_name").alias("fraud_name")))
 
 
@@ -77,7 +84,7 @@ def kyc_graph_link(docs: DataFrame, g: FraudGraph, address_col: str = "extracted
     d = docs.withColumn("address_key", SC.normalize_address(address_col))
     d = d.join(summ, "address_key", "left").drop("address_key")
     n = F.coalesce(F.col("n_linked_fraud"), F.lit(0).cast("long"))
-    link = F.when(n > 0, F.concat(F.lit("Direct Link to "), F.col("fraud_name"), F.lit(" via "),
+    link = F.when(n > 0, F.concat(F.lit(LINK_PREFIX), F.col("fraud_name"), F.lit(" via "),
                                    F.col(address_col))).otherwise(F.lit(NO_LINK))
     return d.withColumn("n_linked_fraud", n).withColumn("graph_syndicate_link", link).drop("fraud_name")
 
@@ -87,4 +94,4 @@ def kyc_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("decision").agg(
         F.count(F.lit(1)).alias("n_documents"),
         F.sum(F.when(F.col("is_tampered"), 1).otherwise(0)).cast("long").alias("n_tampered"),
-        F.avg("confidence_score").alias("avg_confidence"))
+        F.round(F.avg("confidence_score"), 6).alias("avg_confidence"))

@@ -1,9 +1,11 @@
 """Multi-vector scoring.
 
-``score_batch`` gives one scored row per transaction. Each detector is a
-separate plan keyed by transaction_id; the flags are attached with left
-joins on that key, so the joins share one hash partitioning of the
-transaction table.
+``score_batch`` gives exactly one scored row per input row. The narrow input
+is decoded and written once with an event key: the transaction id, or a key
+of its own for a row without one. Rows that repeat an id are replays: the
+first of them is the event the detectors see (a replay adds no attempt, no
+amount and no swipe), and every row gets the flags of its event. The flags
+are attached with left joins on the event key, unique on their side.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as SC
 from . import detectors as DT
-from .sliced import DAY_US, HOUR_US
+from .sliced import DAY_US, HOUR_US, epoch_us, range_sums
 
 # Threat vectors, their decision codes and scenario risk scores
 # (percent) as the reference displays them.
 VECTOR_POLICY = [
     # vector, status_code, risk_score, actions
     ("CLEAN", "AUTH-849201", 0.4, []),
+    # ours: approved by the four stored flags, yet with history evidence
+    ("REVIEW", "AUTH-849201", 60.0, []),
     ("SYNDICATE", "DECLINE-05 (FRAUD_SUSPECTED)", 99.2,
      ["TEMPORARY_CARD_FREEZE", "SMS_TWO_WAY_VERIFICATION"]),
     ("BIN_ATTACK", "DECLINE-82 (BIN_BURST_ATTACK)", 99.7,
@@ -40,9 +44,14 @@ EVIDENCE = {
     "is_bin_attack": ("High-Velocity BIN Brute Force", "Burst of micro authorisations on one BIN."),
     "is_impossible_travel": ("Impossible Travel Velocity", "Consecutive swipes too far apart for the time between them."),
     "is_high_risk_amount": ("High-Risk Amount", "Amount above the high-risk threshold."),
+    "is_ato": ("Account Takeover Fan-In", "One device changed the credentials of several accounts."),
 }
 
 
+# Row classes of the display.
+ROW_CLASSES = ("row-new", "row-fraud", "row-clean")
+
+
 @dataclass(frozen=True)
 class ScoringParams:
     high_risk_amount: float = 500.0
@@ -54,6 +63,9 @@ class ScoringParams:
     spike_factor: float = 30.0
     dormant_gap_us: int = 30 * DAY_US
     dormant_min_amount: float = 1000.0
+    ato_window_us: int = 4 * 60 * 1_000_000
+    ato_min_accounts: int = 3
+    ato_hold_us: int = DAY_US      # how long a fan-in marks the account's transactions
     low_cut: float = 50.0          # risk score below -> Low
     critical_cut: float = 98.0     # risk score at or above -> Critical
 
@@ -62,7 +74,7 @@ class ScoringParams:
 TESTDATA_PARAMS = ScoringParams(
     high_risk_amount=500.0, micro_amount=10.0, bin_window_us=24 * HOUR_US, bin_min_count=3,
     max_kmh=900.0, spike_days=90, spike_factor=5.0, dormant_gap_us=2 * DAY_US,
-    dormant_min_amount=50.0,
+    dormant_min_amount=50.0, ato_window_us=12 * HOUR_US, ato_min_accounts=3, ato_hold_us=12 * HOUR_US,
 )
 
 
@@ -76,39 +88,66 @@ INPUT_COLUMNS = ("transaction_id", "account_id", "amount", "merchant_category",
                  "timestamp", "latitude", "longitude", "card_bin")
 
 
+def scoring_input(txns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The narrow input, written once, with ``__row`` and ``__event``."""
+    from ..session import materialize
+
+    narrow = txns.select(*INPUT_COLUMNS, *keep).withColumn("__row", F.monotonically_increasing_id())
+    event = F.coalesce(F.concat(F.lit("id:"), F.col("transaction_id").cast("string")),
+                       F.concat(F.lit("row:"), F.col("__row").cast("string")))
+    return materialize(narrow.withColumn("__event", event), "scoring-input")
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    """One row per event: the first of its rows, keyed by ``transaction_id``."""
+    cols = [c for c in INPUT_COLUMNS if c != "transaction_id"]
+    return (rows.groupBy("__event").agg(F.min_by(F.struct(*cols), "__row").alias("e"))
+            .select(F.col("__event").alias("transaction_id"), "e.*"))
+
+
+def ato_events(events: DataFrame, auth: DataFrame, p: ScoringParams) -> DataFrame:
+    """W4 -> R6: events of an account within ``ato_hold_us`` after (or at) an
+    auth event of a fan-in on it."""
+    fan_in = DT.ato_fan_in_rows(auth, p.ato_window_us, p.ato_min_accounts, episode=True).select("event_id")
+    hits = (auth.join(fan_in, "event_id", "left_semi")
+            .select("account_id", epoch_us("timestamp").alias("t"), F.lit(1).cast("long").alias("n_ato")))
+    rows = events.select("transaction_id", "account_id", epoch_us("timestamp").alias("__t"))
+    out = range_sums(rows, ["account_id"], "__t", "transaction_id", {"n_ato": F.lit(1).cast("long")},
+                     lower=-p.ato_hold_us, upper=0, points=hits)
+    return out.filter(F.col("n_ato") > 0).select("transaction_id", F.lit(True).alias("is_ato"))
+
+
 def flags(txns: DataFrame, devices: DataFrame | None = None,
           p: ScoringParams = ScoringParams(), keep: tuple[str, ...] = (),
-          materialize_input: bool = False) -> DataFrame:
-    """Per-transaction detector flags (NULL-free booleans) plus speed.
-    ``keep`` names extra transaction columns to carry along.
-
-    The four detectors each read the transactions (column-pruned). When
-    the source is expensive to decode (e.g. fields parsed out of JSON text),
-    ``materialize_input`` writes the narrow input once to the checkpoint
-    folder so it is decoded once instead of four times."""
-    if materialize_input:
-        from ..session import materialize
-
-        txns = materialize(txns.select(*INPUT_COLUMNS, *keep), "scoring-input")
-    base = txns.select("transaction_id", "account_id", "amount", "merchant_category",
-                       "device_id", "timestamp", *keep)
-    travel = DT.geo_velocity(txns, p.max_kmh).select(
-        "transaction_id", "calculated_speed_kmh", "is_impossible_travel")
-    bins = DT.bin_velocity_rows(txns, p.bin_window_us, p.micro_amount, p.bin_min_count).select(
-        "transaction_id", F.lit(True).alias("is_bin_attack"))
-    spike = DT.spend_spike(txns, p.spike_days, p.spike_factor).select(
-        "transaction_id", F.lit(True).alias("is_spend_spike"))
-    dormant = DT.dormant_bust_out(txns, p.dormant_gap_us, p.dormant_min_amount).select(
-        "transaction_id", F.lit(True).alias("is_dormant_bust_out"))
-    out = (base.join(travel, "transaction_id", "left").join(bins, "transaction_id", "left")
-           .join(spike, "transaction_id", "left").join(dormant, "transaction_id", "left"))
+          auth: DataFrame | None = None) -> DataFrame:
+    """Detector flags (NULL-free booleans) plus speed, one row per input row.
+    ``keep`` names extra transaction columns to carry along; ``auth`` adds
+    the account-takeover flag (False without it)."""
+    rows = scoring_input(txns, keep)
+    events = events_of(rows)
+    found = [
+        DT.geo_velocity(events, p.max_kmh).select("transaction_id", "calculated_speed_kmh", "is_impossible_travel"),
+        DT.bin_velocity_rows(events, p.bin_window_us, p.micro_amount, p.bin_min_count).select(
+            "transaction_id", F.lit(True).alias("is_bin_attack")),
+        DT.spend_spike(events, p.spike_days, p.spike_factor).select("transaction_id", F.lit(True).alias("is_spend_spike")),
+        DT.dormant_bust_out(events, p.dormant_gap_us, p.dormant_min_amount).select(
+            "transaction_id", F.lit(True).alias("is_dormant_bust_out")),
+    ]
+    if auth is not None:
+        found.append(ato_events(events, auth, p))
+    out = rows.select("__event", "transaction_id", "account_id", "amount", "merchant_category",
+                      "device_id", "timestamp", *keep)
+    for flag in found:
+        out = out.join(flag.withColumnRenamed("transaction_id", "__event"), "__event", "left")
+    out = out.drop("__event")
     emulator = SC.is_emulator("device_id") == 1
     if devices is not None:
-        emu = devices.filter(F.col("is_emulator")).select("device_id", F.lit(True).alias("__emu"))
+        emu = devices.filter(F.col("is_emulator")).select("device_id", F.lit(True).alias("__emu")).distinct()
         out = out.join(emu, "device_id", "left")
         emulator = emulator | SC.null_false("__emu")
     fired = {c: SC.null_false(c) for c in
              ("is_impossible_travel", "is_bin_attack", "is_spend_spike", "is_dormant_bust_out")}
+    fired["is_ato"] = SC.null_false("is_ato") if auth is not None else F.lit(False)
     # Emulator fingerprint, or a device caught probing or teleporting.
     fired["is_suspicious_device"] = emulator | fired["is_bin_attack"] | fired["is_impossible_travel"]
     fired["is_high_risk_amount"] = SC.is_high_risk_amount("amount", p.high_risk_amount)
@@ -116,11 +155,13 @@ def flags(txns: DataFrame, devices: DataFrame | None = None,
     return out.select(*kept, *[v.alias(k) for k, v in fired.items()])
 
 
-def verdict(df: DataFrame) -> Column:
-    """BLOCKED when any of the four stored flags is true (NULL = false);
-    ``is_ato`` is not part of the formula."""
+def verdict(df: DataFrame | None = None, include_ato: bool = False) -> Column:
+    """BLOCKED when any of the four stored flags is true (NULL = false).
+    ``is_ato`` is not part of that formula; ``include_ato`` adds it."""
     fired = (SC.null_false("is_suspicious_device") | SC.null_false("is_high_risk_amount")
              | SC.null_false("is_bin_attack") | SC.null_false("is_impossible_travel"))
+    if include_ato:
+        fired = fired | SC.null_false("is_ato")
     return F.when(fired, F.lit("BLOCKED")).otherwise(F.lit("APPROVED"))
 
 
@@ -149,16 +190,23 @@ def evidence_column() -> Column:
 
 
 def score_batch(spark: SparkSession, txns: DataFrame, devices: DataFrame | None = None,
-                p: ScoringParams = ScoringParams(), processed_at: str | None = None) -> DataFrame:
-    """One scored row per transaction: the stored flags, verdict, vector,
+                p: ScoringParams = ScoringParams(), processed_at: str | None = None,
+                auth: DataFrame | None = None, include_ato: bool = True) -> DataFrame:
+    """One scored row per input row: the stored flags, verdict, vector,
     decision code, risk score and level, evidence headings.
 
+    With ``include_ato`` an account takeover blocks too (P11 alone does not
+    know it). A row that stays APPROVED although its history fired (spike,
+    dormancy) has the vector REVIEW and an approval code, so no approved row
+    carries a decline.
+
     ``processed_at`` names a transaction column holding the processing time;
     by default ``current_timestamp()`` (one value per query, as the
     reference's inserts have)."""
     keep = (processed_at,) if processed_at else ()
-    f = flags(txns, devices, p, keep).withColumn("is_ato", F.lit(False))
-    f = f.withColumns({"vector": classify_vector()})
+    f = flags(txns, devices, p, keep, auth).withColumn("verdict", verdict(include_ato=include_ato))
+    approved = F.col("verdict") == "APPROVED"
+    f = f.withColumn("vector", F.when(approved & (classify_vector() != "CLEAN"), F.lit("REVIEW")).otherwise(classify_vector()))
     pol = F.broadcast(policy_table(spark).select("vector", "status_code", "risk_score"))
     f = f.join(pol, "vector", "left")
     ev = evidence_column()
@@ -167,7 +215,7 @@ def score_batch(spark: SparkSession, txns: DataFrame, devices: DataFrame | None
         "is_suspicious_device", "is_high_risk_amount", "is_bin_attack", "is_impossible_travel",
         "calculated_speed_kmh", "is_ato", "is_spend_spike", "is_dormant_bust_out",
         (F.col(processed_at) if processed_at else F.current_timestamp()).alias("processed_at"),
-        verdict(f).alias("verdict"), "vector", "status_code", "risk_score",
+        "verdict", "vector", "status_code", "risk_score",
         risk_level("risk_score", p).alias("risk_level"),
         F.array_join(F.transform(ev, lambda x: x["heading"]), "; ").alias("evidence"),
     )
@@ -183,6 +231,6 @@ def mark_new(df: DataFrame, latest_ids: DataFrame, id_col: str = "transaction_id
 
 def row_class(df: DataFrame) -> Column:
     """Display class with precedence new > fraud > clean."""
-    return (F.when(SC.null_false("is_new"), F.lit("row-new"))
-            .when(F.col("verdict") == "BLOCKED", F.lit("row-fraud"))
-            .otherwise(F.lit("row-clean")))
+    new, fraud, clean = ROW_CLASSES
+    return (F.when(SC.null_false("is_new"), F.lit(new))
+            .when(F.col("verdict") == "BLOCKED", F.lit(fraud)).otherwise(F.lit(clean)))

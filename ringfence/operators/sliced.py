@@ -11,6 +11,8 @@ third of the data. The helpers here split each key by time slices of width
 * ``sliced_prefix``: P(x) = sum of point values with t < x, for arbitrary
   query points. Per (key, slice) range window for the in-slice part, plus the
   cumulative total of all earlier slices from the summary.
+* NULL keys: a row with a NULL key belongs to no series; it has no neighbour
+  and its sums are NULL, whatever the slice width.
 * ``range_sums``: frame sums over [t + lower, t + upper] as
   P(t + upper + 1) - P(t + lower).
 
@@ -41,15 +43,17 @@ def epoch_us(c: Column | str) -> Column:
 def auto_width(df: DataFrame, keys: Sequence[str], t: str, target_rows: int = 2_000_000,
                base: int = DEFAULT_WIDTH_US, floor_us: int = 1_000_000) -> int:
     """Slice width so the densest (key, slice) group holds about
-    ``target_rows`` rows. One grouped count per (key, day) -- combined
-    map-side -- and one scalar to the driver; widths are powers-of-two
-    fractions of ``base``, never below ``floor_us``."""
+    ``target_rows`` rows, measured again at each width (bursts are not even):
+    grouped counts, combined map-side, and one scalar each to the driver.
+    Widths are powers-of-two fractions of ``base``, never below ``floor_us``.
+    The width changes the plan only, never the result."""
     densest = (df.groupBy(*keys, F.floor(F.col(t) / F.lit(base)).alias("__d")).count()
                .agg(F.max("count")).first()[0] or 0)
     width = base
     while densest > target_rows and width // 2 >= floor_us:
         width //= 2
-        densest //= 2
+        densest = (df.groupBy(*keys, F.floor(F.col(t) / F.lit(width)).alias("__d")).count()
+                   .agg(F.max("count")).first()[0] or 0)
     return width
 
 
@@ -61,6 +65,13 @@ def _slice(t: str, width: int) -> Column:
     return F.floor(F.col(t) / F.lit(width)).cast("long")
 
 
+def _keyed(keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
 def _neighbour(df: DataFrame, keys: Sequence[str], t: str, tie: str,
                cols: Sequence[str], width, prefix: str, forward: bool) -> DataFrame:
     width = _resolve_width(df, keys, t, width)
@@ -78,7 +89,7 @@ def _neighbour(df: DataFrame, keys: Sequence[str], t: str, tie: str,
     edge = F.lead("__first").over(w_sl) if forward else F.lag("__last").over(w_sl)
     summ = summ.select(*keys, sl, edge.alias("__edge"))
     d = d.join(summ, [*keys, sl], "left")
-    d = d.withColumn("__near", F.coalesce(F.col("__near"), F.col("__edge")))
+    d = d.withColumn("__near", F.when(_keyed(keys), F.coalesce(F.col("__near"), F.col("__edge"))))
     out_cols = [F.col("__near.t").alias(f"{prefix}{t}"), F.col("__near.tie").alias(f"{prefix}{tie}")]
     out_cols += [F.col(f"__near.{c}").alias(f"{prefix}{c}") for c in cols]
     return d.select(*df.columns, *out_cols)
@@ -118,7 +129,7 @@ def sliced_prefix(points: DataFrame, queries: DataFrame, keys: Sequence[str],
     q = queries.select(*keys, F.col("t").alias("__t"),
                        *[F.lit(0).cast(zero_types[n]).alias(n) for n in vnames],
                        F.col("qid").alias("__qid"), F.col("sign").cast("int").alias("__sign"))
-    e0 = p.unionByName(q).withColumn(sl, _slice("__t", width))
+    e0 = p.unionByName(q).filter(_keyed(keys)).withColumn(sl, _slice("__t", width))
     w_before = Window.partitionBy(*keys, sl).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     e = e0.select(*keys, sl, "__qid", "__sign",
                   *[F.sum(n).over(w_before).alias(f"{n}_in") for n in vnames])

@@ -31,8 +31,8 @@ _VIEWS = {
                      CASE WHEN k % 2 = 0 THEN 'IN_STORE_POS' ELSE 'E_COMMERCE' END AS channel,
                      CAST(k % 25 AS DOUBLE) * 3.0 - 36.0 AS latitude,
                      floor(k / 4) * 12.0 - 150.0 AS longitude,
-                     lpad(CAST(k AS VARCHAR), 6, '4') AS card_bin,
-                     lpad(CAST(k AS VARCHAR), 6, '4') || '******'
+                     CAST(400000 + k AS VARCHAR) AS card_bin,
+                     CAST(400000 + k AS VARCHAR) || '******'
                        || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS card_pan_masked,
                      CASE WHEN event_type = 'error' THEN 'DECLINED_CVV' ELSE 'APPROVED' END AS auth_response_code,
                      k
@@ -160,7 +160,7 @@ SQL["bin_velocity_rows"] = with_views("txn") + f"""
   SELECT transaction_id, card_bin,
          COUNT(*) OVER (PARTITION BY card_bin ORDER BY epoch_us(ts)
                         RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW) AS n_attempts
-  FROM txn WHERE amount < 10)
+  FROM txn WHERE amount <= 10)
 SELECT transaction_id, card_bin, n_attempts FROM c WHERE n_attempts >= 3
 """
 
@@ -204,7 +204,7 @@ FROM auth GROUP BY 1, 2 HAVING COUNT(DISTINCT account_id) >= 3
 SQL["bin_velocity"] = with_views("txn") + """
 SELECT date_trunc('day', ts) AS window_start, card_bin,
        COUNT(*) AS n_attempts, COUNT(DISTINCT card_pan_masked) AS n_cards
-FROM txn WHERE amount < 10 GROUP BY 1, 2 HAVING COUNT(*) >= 3
+FROM txn WHERE amount <= 10 GROUP BY 1, 2 HAVING COUNT(*) >= 3
 """
 
 SQL["subnet_spread"] = with_views("txn") + """
@@ -223,7 +223,7 @@ SELECT i.order_id, i.src_account, i.dst_account, i.amount, i.ts AS "timestamp",
        CAST(SUM(CAST(o.amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS split_total
 FROM t i JOIN t o
   ON o.src_account = i.dst_account AND o.ts >= i.ts AND o.ts <= i.ts + INTERVAL 30 DAY
-     AND o.amount < i.amount
+     AND CAST(o.amount AS DECIMAL(18,2)) < CAST(i.amount AS DECIMAL(18,2))
 GROUP BY i.order_id, i.src_account, i.dst_account, i.amount, i.ts
 HAVING COUNT(*) >= 3
 """
@@ -235,22 +235,29 @@ def _nested(key: str, *views: str) -> str:
     return "WITH " + body.lstrip(",").strip() if body.startswith(",") else body
 
 
-def _policy_values() -> str:
-    from ..operators.scoring import VECTOR_POLICY
-
-    rows = ", ".join(f"('{v}', '{c}', {s})" for v, c, s, _ in VECTOR_POLICY)
-    return (f"SELECT vector, status_code, CAST(risk_score AS DOUBLE) AS risk_score "
-            f"FROM (VALUES {rows}) p(vector, status_code, risk_score)")
-
-
-def _action_values() -> str:
-    from ..operators.scoring import VECTOR_POLICY
-
-    rows = ", ".join(f"('{v}', {i}, '{a}')" for v, _, _, acts in VECTOR_POLICY for i, a in enumerate(acts))
-    return f"SELECT * FROM (VALUES {rows}) p(vector, action_seq, action)"
-
-
-SCORED = with_views("txn") + f""",
+# The policy as SURVEY lists it, written out here so the check is independent.
+_POLICY = """SELECT vector, status_code, CAST(risk_score AS DOUBLE) AS risk_score FROM (VALUES
+  ('CLEAN', 'AUTH-849201', 0.4), ('REVIEW', 'AUTH-849201', 60.0),
+  ('SYNDICATE', 'DECLINE-05 (FRAUD_SUSPECTED)', 99.2), ('BIN_ATTACK', 'DECLINE-82 (BIN_BURST_ATTACK)', 99.7),
+  ('IMPOSSIBLE_TRAVEL', 'DECLINE-71 (GEO_VELOCITY_ANOMALY)', 96.8),
+  ('ATO', 'AUTH_BLOCKED (ATO_FAN_IN)', 98.9)) p(vector, status_code, risk_score)"""
+
+_ACTIONS = """SELECT * FROM (VALUES
+  ('SYNDICATE', 0, 'TEMPORARY_CARD_FREEZE'), ('SYNDICATE', 1, 'SMS_TWO_WAY_VERIFICATION'),
+  ('BIN_ATTACK', 0, 'DROP_AUTHORIZATION'), ('BIN_ATTACK', 1, 'BLOCK_SUBNET_24H'),
+  ('IMPOSSIBLE_TRAVEL', 0, 'BLOCK_TRANSACTION'), ('IMPOSSIBLE_TRAVEL', 1, 'PUSH_SMS_BIOMETRIC_CONFIRMATION'),
+  ('ATO', 0, 'INVALIDATE_SESSION'), ('ATO', 1, 'OUT_OF_BAND_IDENTITY_VERIFICATION')) p(vector, action_seq, action)"""
+
+
+SCORED = with_views("txn", "auth") + f""",
+auth_t AS (SELECT event_id, device_id, account_id, epoch_us(ts) AS t FROM auth),
+auth_n AS (SELECT x.*, (SELECT COUNT(DISTINCT y.account_id) FROM auth_t y
+                        WHERE y.device_id = x.device_id AND y.t BETWEEN x.t - {DAY_US // 2} AND x.t) AS n FROM auth_t x),
+fan_in AS (SELECT a.account_id, a.t FROM auth_n a
+           WHERE EXISTS (SELECT 1 FROM auth_n f WHERE f.n >= 3 AND f.device_id = a.device_id AND f.t BETWEEN a.t AND a.t + {DAY_US // 2})),
+ato AS (SELECT t.transaction_id FROM txn t
+        WHERE EXISTS (SELECT 1 FROM fan_in f WHERE f.account_id = t.account_id
+                      AND f.t BETWEEN epoch_us(t.ts) - {DAY_US // 2} AND epoch_us(t.ts))),
 dev AS (SELECT p_partkey AS device_id FROM part WHERE p_name LIKE '%ring%'),
 travel AS ({_nested("geo_velocity", "txn")}),
 bins AS ({_nested("bin_velocity_rows", "txn")}),
@@ -264,6 +271,7 @@ flags AS (
          s.transaction_id IS NOT NULL AS is_spend_spike,
          d.transaction_id IS NOT NULL AS is_dormant_bust_out,
          COALESCE(t.amount >= 500, false) AS is_high_risk_amount,
+         t.transaction_id IN (SELECT transaction_id FROM ato) AS is_ato,
          (CAST(t.device_id AS VARCHAR) LIKE '%emulator%' OR CAST(t.device_id AS VARCHAR) LIKE '%ring%'
           OR dv.device_id IS NOT NULL) AS is_emu
   FROM txn t
@@ -275,18 +283,18 @@ flags AS (
 f2 AS (SELECT *, (is_emu OR is_bin_attack OR is_impossible_travel) AS is_suspicious_device FROM flags),
 f3 AS (
   SELECT *,
-         CASE WHEN is_suspicious_device OR is_high_risk_amount OR is_bin_attack OR is_impossible_travel
+         CASE WHEN is_suspicious_device OR is_high_risk_amount OR is_bin_attack OR is_impossible_travel OR is_ato
               THEN 'BLOCKED' ELSE 'APPROVED' END AS verdict,
-         CASE WHEN is_bin_attack THEN 'BIN_ATTACK'
+         CASE WHEN is_ato THEN 'ATO' WHEN is_bin_attack THEN 'BIN_ATTACK'
               WHEN is_impossible_travel THEN 'IMPOSSIBLE_TRAVEL'
-              WHEN is_spend_spike OR is_dormant_bust_out OR is_suspicious_device OR is_high_risk_amount
-              THEN 'SYNDICATE' ELSE 'CLEAN' END AS vector
+              WHEN is_suspicious_device OR is_high_risk_amount THEN 'SYNDICATE'
+              WHEN is_spend_spike OR is_dormant_bust_out THEN 'REVIEW' ELSE 'CLEAN' END AS vector
   FROM f2),
-policy AS ({_policy_values()}),
+policy AS ({_POLICY}),
 scored AS (
   SELECT f3.transaction_id, f3.account_id, f3.amount, f3.merchant_category, f3.device_id,
          is_suspicious_device, is_high_risk_amount, is_bin_attack, is_impossible_travel,
-         calculated_speed_kmh, false AS is_ato, is_spend_spike, is_dormant_bust_out,
+         calculated_speed_kmh, is_ato, is_spend_spike, is_dormant_bust_out,
          f3.ts + to_seconds(f3.k) AS processed_at, verdict, f3.vector, p.status_code, p.risk_score,
          CASE WHEN p.risk_score >= 98.0 THEN 'Critical' WHEN p.risk_score >= 50.0 THEN 'High'
               ELSE 'Low' END AS risk_level,
@@ -296,7 +304,8 @@ scored AS (
            CASE WHEN is_suspicious_device THEN 'Rooted Hardware Signature' END,
            CASE WHEN is_bin_attack THEN 'High-Velocity BIN Brute Force' END,
            CASE WHEN is_impossible_travel THEN 'Impossible Travel Velocity' END,
-           CASE WHEN is_high_risk_amount THEN 'High-Risk Amount' END) AS evidence
+           CASE WHEN is_high_risk_amount THEN 'High-Risk Amount' END,
+           CASE WHEN is_ato THEN 'Account Takeover Fan-In' END) AS evidence
   FROM f3 LEFT JOIN policy p ON p.vector = f3.vector)
 """
 
@@ -317,7 +326,9 @@ resolved AS (
 """
 
 SQL["verdict"] = SCORED + """
-SELECT transaction_id, is_suspicious_device, is_high_risk_amount, is_bin_attack, is_impossible_travel, verdict
+SELECT transaction_id, is_suspicious_device, is_high_risk_amount, is_bin_attack, is_impossible_travel,
+       CASE WHEN is_suspicious_device OR is_high_risk_amount OR is_bin_attack OR is_impossible_travel
+            THEN 'BLOCKED' ELSE 'APPROVED' END AS verdict
 FROM scored
 """
 
@@ -380,7 +391,7 @@ HAVING max(blocked_at) + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)
 """
 
 SQL["containment_actions"] = SCORED + f""",
-pol AS ({_action_values()})
+pol AS ({_ACTIONS})
 SELECT s.transaction_id, s.account_id, s.vector, p.action_seq, p.action
 FROM scored s JOIN pol p ON p.vector = s.vector WHERE s.verdict = 'BLOCKED'
 """
@@ -468,8 +479,10 @@ FROM ({_ASSESS})
 SQL["kyc_summary"] = f"""
 SELECT decision, COUNT(*) AS n_documents,
        CAST(SUM(CASE WHEN is_tampered THEN 1 ELSE 0 END) AS BIGINT) AS n_tampered,
-       AVG(CAST(NULL AS DOUBLE)) AS avg_confidence
-FROM ({_ASSESS}) GROUP BY decision
+       round(AVG(confidence_score), 6) AS avg_confidence
+FROM ({_ASSESS}) JOIN (SELECT 'doc://kyc/' || CAST(doc_id AS VARCHAR) AS document_uri,
+                              1.0 - CAST(doc_id % 40 AS DOUBLE) / 100.0 AS confidence_score FROM labels) USING (document_uri)
+GROUP BY decision
 """
 
 
@@ -483,12 +496,11 @@ def _norm_sql(x: str) -> str:
 
 SQL["kyc_graph_link"] = with_views("accounts", "st") + f""",
 fa AS (
-  SELECT st.address_id, COUNT(DISTINCT st.account_id) AS n, MIN(a.customer_name) AS fraud_name
-  FROM st JOIN accounts a ON a.account_id = st.account_id
-  WHERE a.kyc_status = 'CONFIRMED_FRAUD' GROUP BY st.address_id),
+  SELECT st.address_id, st.account_id, a.customer_name
+  FROM st JOIN accounts a ON a.account_id = st.account_id WHERE a.kyc_status = 'CONFIRMED_FRAUD'),
 fk AS (
-  SELECT {_norm_sql("s.s_name")} AS address_key, CAST(SUM(n) AS BIGINT) AS n_linked_fraud,
-         MIN(fraud_name) AS fraud_name
+  SELECT {_norm_sql("s.s_name")} AS address_key, COUNT(DISTINCT fa.account_id) AS n_linked_fraud,
+         MIN(customer_name) AS fraud_name
   FROM fa JOIN supplier s ON s.s_suppkey = fa.address_id GROUP BY 1),
 docs AS (
   SELECT 'doc://kyc/' || CAST(l.doc_id AS VARCHAR) AS document_uri, s.s_name AS extracted_address
@@ -597,7 +609,7 @@ FROM txn t LEFT JOIN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%') p O
 """
 
 SQL["stream_bin"] = with_views("txn") + """,
-m AS (SELECT card_bin, ts, time_bucket(INTERVAL 12 HOUR, ts) AS b FROM txn WHERE amount < 10),
+m AS (SELECT card_bin, ts, time_bucket(INTERVAL 12 HOUR, ts) AS b FROM txn WHERE amount <= 10),
 w AS (SELECT card_bin, b AS window_start FROM m UNION ALL SELECT card_bin, b - INTERVAL 12 HOUR FROM m)
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, card_bin, COUNT(*) AS n_attempts
 FROM w GROUP BY window_start, card_bin
@@ -638,7 +650,7 @@ HAVING MAX(blocked_at) + INTERVAL 24 HOUR <= (SELECT MAX(blocked_at) FROM b) - I
 """
 
 SQL["bin_velocity_episodes"] = with_views("txn") + f""",
-m AS (SELECT transaction_id, card_bin, epoch_us(ts) AS t FROM txn WHERE amount < 10),
+m AS (SELECT transaction_id, card_bin, epoch_us(ts) AS t FROM txn WHERE amount <= 10),
 c AS (SELECT *, COUNT(*) OVER (PARTITION BY card_bin ORDER BY t
                                RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW) AS n FROM m),
 f AS (SELECT card_bin, t FROM c WHERE n >= 3)
@@ -658,12 +670,11 @@ WHERE EXISTS (SELECT 1 FROM f WHERE f.device_id = a.device_id AND f.t BETWEEN a.
 
 SQL["kyc_audit_latest"] = with_views("accounts", "st") + f""",
 fa AS (
-  SELECT st.address_id, COUNT(DISTINCT st.account_id) AS n, MIN(a.customer_name) AS fraud_name
-  FROM st JOIN accounts a ON a.account_id = st.account_id
-  WHERE a.kyc_status = 'CONFIRMED_FRAUD' GROUP BY st.address_id),
+  SELECT st.address_id, st.account_id, a.customer_name
+  FROM st JOIN accounts a ON a.account_id = st.account_id WHERE a.kyc_status = 'CONFIRMED_FRAUD'),
 fk AS (
-  SELECT {_norm_sql("s.s_name")} AS address_key, CAST(SUM(n) AS BIGINT) AS n_linked_fraud,
-         MIN(fraud_name) AS fraud_name
+  SELECT {_norm_sql("s.s_name")} AS address_key, COUNT(DISTINCT fa.account_id) AS n_linked_fraud,
+         MIN(customer_name) AS fraud_name
   FROM fa JOIN supplier s ON s.s_suppkey = fa.address_id GROUP BY 1),
 docs AS (
   SELECT l.doc_id, s.s_name AS extracted_address,
@@ -672,7 +683,7 @@ docs AS (
               WHEN NOT COALESCE(l.quality <> 0, false) THEN 'REJECT_FORGED_ID' ELSE 'APPROVE' END AS decision
   FROM labels l LEFT JOIN supplier s ON s.s_suppkey = l.doc_id % 100)
 SELECT 'APPLICANT-' || CAST(d.doc_id AS VARCHAR) AS applicant_name, d.extracted_address, d.is_tampered,
-       CAST(NULL AS DOUBLE) AS confidence_score, d.decision,
+       1.0 - CAST(d.doc_id % 40 AS DOUBLE) / 100.0 AS confidence_score, d.decision,
        CASE WHEN COALESCE(fk.n_linked_fraud, 0) > 0
             THEN 'Direct Link to ' || fk.fraud_name || ' via ' || d.extracted_address
             ELSE 'No adverse graph links.' END AS graph_syndicate_link

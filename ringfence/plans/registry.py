@@ -130,7 +130,8 @@ P = SCR.TESTDATA_PARAMS
 def scored(spark, sf_dir):
     """R6 over the stand-in stream (processed_at = event time + k seconds)."""
     txns = td.with_processed_at(td.transactions(spark, sf_dir))
-    return SCR.score_batch(spark, txns, td.devices(spark, sf_dir), P, processed_at="processed_at")
+    return SCR.score_batch(spark, txns, td.devices(spark, sf_dir), P, processed_at="processed_at",
+                           auth=td.auth_events(spark, sf_dir))
 
 
 def resolved_holds(spark, sf_dir):
@@ -145,7 +146,7 @@ def resolved_holds(spark, sf_dir):
 def q_verdict(spark, sf_dir):
     f = SCR.flags(td.transactions(spark, sf_dir), td.devices(spark, sf_dir), P)
     return f.select("transaction_id", "is_suspicious_device", "is_high_risk_amount",
-                    "is_bin_attack", "is_impossible_travel", SCR.verdict(f).alias("verdict"))
+                    "is_bin_attack", "is_impossible_travel", SCR.verdict().alias("verdict"))
 
 
 @register("score_batch")
@@ -256,9 +257,7 @@ def q_kyc_graph_link(spark, sf_dir):
 
 @register("kyc_summary")
 def q_kyc_summary(spark, sf_dir):
-    audit = KY.kyc_assess(td.kyc_checks(spark, sf_dir)).withColumn(
-        "confidence_score", F.lit(None).cast("double"))
-    return KY.kyc_summary(audit)
+    return KY.kyc_summary(KY.kyc_assess(td.kyc_checks(spark, sf_dir)))
 
 
 # ------------------------------------------------------------ graph extras
@@ -489,7 +488,7 @@ def q_kyc_audit_latest(spark, sf_dir):
         "document_uri",
         F.concat(F.lit("APPLICANT-"), F.col("doc_id").cast("string")).alias("applicant_name"),
         "extracted_address", "is_tampered",
-        F.lit(None).cast("double").alias("confidence_score"),
+        "confidence_score",
         F.col("failed_checks").alias("forensic_analysis"),
         "graph_syndicate_link", "decision",
         F.expr("timestampadd(SECOND, doc_id, TIMESTAMP '2024-01-01 00:00:00')").alias("scanned_at"))

@@ -22,23 +22,13 @@ VICTIM_SEGMENT = "BUILDING"
 EMULATOR_NAME_PATTERN = "%ring%"
 AUTH_EVENT_TYPES = {"signup": "PASSWORD_RESET", "error": "2FA_PHONE_CHANGED"}
 KYC_ADDRESS_MODULUS = 100
-
-
-_SCHEMAS: dict[tuple[int, str], object] = {}
+BIN_BASE = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table. The parquet footer schema is inferred on the first
-    read of a path in a session and passed explicitly afterwards, which saves
-    a schema job per read (the driver tables are immutable snapshots)."""
+    """One driver table, with the schema its files have now."""
     ensure_query_conf(spark)
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _SCHEMAS:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def prop_k() -> Column:
@@ -64,7 +54,7 @@ def transactions(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
     """
     k = prop_k()
     ev = events if events is not None else table(spark, sf_dir, "events")
-    bin6 = F.lpad(k.cast("string"), 6, "4")
+    bin6 = (k + BIN_BASE).cast("string")  # one BIN for each k
     last4 = F.lpad((F.col("user_id") % 10000).cast("string"), 4, "0")
     return ev.select(
         F.col("event_id").alias("transaction_id"),
@@ -212,6 +202,7 @@ def kyc_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxic") != 1).alias("portrait_ok"),
         (F.col("quality") != 0).alias("document_ok"),
         (F.col("doc_id") % KYC_ADDRESS_MODULUS).alias("address_id"),
+        (1.0 - (F.col("doc_id") % 40).cast("double") / 100.0).alias("confidence_score"),
     )
 
 

@@ -49,7 +49,7 @@ def bin_attack_stream(stream: DataFrame, window: str = "1 minute", slide: str =
                       watermark: str = DEFAULT_WATERMARK, max_amount: float = 2.0,
                       min_count: int = 80) -> DataFrame:
     """R2: micro-amount attempts per BIN in sliding event-time windows."""
-    return (stream.filter(F.col("amount") < F.lit(max_amount))
+    return (stream.filter(F.col("amount") <= F.lit(max_amount))
             .withWatermark("timestamp", watermark)
             .groupBy(F.window("timestamp", window, slide).alias("window"), "card_bin")
             .agg(F.count(F.lit(1)).alias("n_attempts"))
