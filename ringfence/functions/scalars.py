@@ -91,7 +91,7 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) -> Col
     a = (F.pow(F.sin(dlat / 2), 2)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2))
     # rounding may carry a past 1 near antipodes
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 # Auth event type -> feed category (not a plain lower-casing).

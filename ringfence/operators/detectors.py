@@ -52,7 +52,7 @@ def spend_spike(txns: DataFrame, days: int = 90, factor: float = 30.0,
 
 
 def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 100.0,
-                 width: int = DAY_US) -> DataFrame:
+                 width: int = DAY_US, keep: tuple[str, ...] = ()) -> DataFrame:
     """Speed from the previous located swipe of the same account.
 
     Only rows with coordinates take part. First swipe: speed 0.0. Zero
@@ -60,7 +60,7 @@ def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 1
     Distances and speeds are rounded to 3 decimals.
     """
     d = _with_t(txns.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
-    d = d.select("transaction_id", "account_id", "latitude", "longitude", "__t")
+    d = d.select("transaction_id", "account_id", "latitude", "longitude", "__t", *keep)
     p = sliced_prev(d, ["account_id"], "__t", "transaction_id", ["latitude", "longitude"], width)
     dist = SC.haversine_km("prev_latitude", "prev_longitude", "latitude", "longitude")
     elapsed_s = (F.col("__t") - F.col("prev___t")) / F.lit(float(SECOND_US))
@@ -75,7 +75,7 @@ def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 1
         F.round(dist, 3).alias("distance_km"),
         elapsed_s.alias("elapsed_s"),
         F.round(speed, 3).alias("calculated_speed_kmh"),
-        flag.alias("is_impossible_travel"))
+        flag.alias("is_impossible_travel"), *keep)
 
 
 def episode_rows(rows: DataFrame, flagged: DataFrame, keys: list[str], row_id: str,

@@ -268,6 +268,16 @@ def blast_radius(g: FraudGraph, emulator_only: bool = True) -> DataFrame:
     return ud.groupBy("device_id").agg(F.countDistinct("account_id").alias("n_accounts"))
 
 
+def commercial_drop_links(g: FraudGraph) -> DataFrame:
+    """Commercial drop addresses with the confirmed-fraud accounts that
+    ship there; the address filter comes before the join."""
+    drops = g.addresses.filter("is_commercial_drop").select("address_id", "full_address")
+    fraud = fraud_seeds(g).select(F.col("fraud_id").alias("account_id"))
+    return (g.shipped_to.select("account_id", "address_id").join(fraud, "account_id", "left_semi")
+            .join(drops, "address_id", "inner").groupBy("address_id", "full_address")
+            .agg(F.countDistinct("account_id").alias("n_fraud_accounts")))
+
+
 def key_violations(df: DataFrame, key_cols: list[str], table_name: str) -> DataFrame:
     """Rows sharing a declared key (KEY clause not enforced by storage)."""
     key_text = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])

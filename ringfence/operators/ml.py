@@ -32,6 +32,14 @@ def fraud_features(hist: DataFrame, label: Column | None = None,
         lab.cast("int").alias(LABEL))
 
 
+def split(feats: DataFrame, key: str, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rows to train on, held-out rows) by a stable multiplicative hash of the
+    integer ``key``: all rows of a key are on one side, in every run and engine."""
+    prime = F.lit(2_147_483_647).cast("long")
+    fold = F.pmod(F.pmod(F.col(key).cast("long"), prime) * F.lit(48_271), prime) % folds
+    return feats.filter(fold != 0), feats.filter(fold == 0)
+
+
 def train_classifier(features: DataFrame, max_iter: int = 20, max_depth: int = 5,
                      seed: int = 42) -> PipelineModel:
     """M2: VectorAssembler + GBTClassifier on the feature table."""

@@ -191,7 +191,7 @@ def evidence_column() -> Column:
 
 def score_batch(spark: SparkSession, txns: DataFrame, devices: DataFrame | None = None,
                 p: ScoringParams = ScoringParams(), processed_at: str | None = None,
-                auth: DataFrame | None = None, include_ato: bool = True) -> DataFrame:
+                auth: DataFrame | None = None, include_ato: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One scored row per input row: the stored flags, verdict, vector,
     decision code, risk score and level, evidence headings.
 
@@ -202,9 +202,9 @@ def score_batch(spark: SparkSession, txns: DataFrame, devices: DataFrame | None
 
     ``processed_at`` names a transaction column holding the processing time;
     by default ``current_timestamp()`` (one value per query, as the
-    reference's inserts have)."""
-    keep = (processed_at,) if processed_at else ()
-    f = flags(txns, devices, p, keep, auth).withColumn("verdict", verdict(include_ato=include_ato))
+    reference's inserts have). ``keep`` names more columns to carry."""
+    carried = (*keep, processed_at) if processed_at else keep
+    f = flags(txns, devices, p, carried, auth).withColumn("verdict", verdict(include_ato=include_ato))
     approved = F.col("verdict") == "APPROVED"
     f = f.withColumn("vector", F.when(approved & (classify_vector() != "CLEAN"), F.lit("REVIEW")).otherwise(classify_vector()))
     pol = F.broadcast(policy_table(spark).select("vector", "status_code", "risk_score"))
@@ -217,7 +217,7 @@ def score_batch(spark: SparkSession, txns: DataFrame, devices: DataFrame | None
         (F.col(processed_at) if processed_at else F.current_timestamp()).alias("processed_at"),
         "verdict", "vector", "status_code", "risk_score",
         risk_level("risk_score", p).alias("risk_level"),
-        F.array_join(F.transform(ev, lambda x: x["heading"]), "; ").alias("evidence"),
+        F.array_join(F.transform(ev, lambda x: x["heading"]), "; ").alias("evidence"), *keep,
     )
 
 

@@ -446,18 +446,35 @@ ring AS (
 alerts AS (
   SELECT account_id, CAST(SUM(CASE WHEN verdict = 'BLOCKED' THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts,
          COALESCE(CAST(SUM(CASE WHEN verdict = 'BLOCKED' THEN CAST(amount AS DECIMAL(18,2)) END)
-                       AS DECIMAL(38,2)), 0) AS blocked_total
+                       AS DECIMAL(38,2)), 0) AS blocked_total,
+         bool_or(is_spend_spike) AS e1, bool_or(is_dormant_bust_out) AS e2, bool_or(is_suspicious_device) AS e3,
+         bool_or(is_bin_attack) AS e4, bool_or(is_impossible_travel) AS e5, bool_or(is_high_risk_amount) AS e6, bool_or(is_ato) AS e7
   FROM scored GROUP BY account_id),
+kyc AS (SELECT doc_id AS account_id, COUNT(*) AS n_documents,
+               CAST(SUM(CASE WHEN COALESCE(toxic <> 1, false) AND COALESCE(quality <> 0, false) THEN 0 ELSE 1 END) AS BIGINT) AS n_rejected
+        FROM labels GROUP BY doc_id),
 rs AS (SELECT suspicious_id AS account_id, COUNT(*) AS n_ring_matches,
               COUNT(DISTINCT fraud_id) AS n_linked_fraud FROM ring GROUP BY 1),
 d AS (
   SELECT COALESCE(a.account_id, r.account_id) AS account_id,
          COALESCE(n_alerts, 0) AS n_alerts, COALESCE(blocked_total, 0) AS blocked_total,
-         COALESCE(n_ring_matches, 0) AS n_ring_matches, COALESCE(n_linked_fraud, 0) AS n_linked_fraud
+         COALESCE(n_ring_matches, 0) AS n_ring_matches, COALESCE(n_linked_fraud, 0) AS n_linked_fraud,
+         e1, e2, e3, e4, e5, e6, e7
   FROM alerts a FULL OUTER JOIN rs r ON r.account_id = a.account_id),
 expo AS ({EXPOSURE_BODY})
-SELECT d.*, COALESCE(x.txns, 0) AS txns, x.total_usd
-FROM d LEFT JOIN expo x ON x.account_id = d.account_id
+SELECT d.account_id, n_alerts, blocked_total, n_ring_matches, n_linked_fraud,
+       COALESCE(n_documents, 0) AS n_documents, COALESCE(n_rejected, 0) AS n_rejected, COALESCE(x.txns, 0) AS txns, x.total_usd,
+       concat_ws('; ',
+         CASE WHEN e1 THEN 'Extreme Spending Spike: Amount far above the account''s trailing baseline.' END,
+         CASE WHEN e2 THEN 'Dormant Account Bust-Out: Large amount after a long idle period.' END,
+         CASE WHEN e3 THEN 'Rooted Hardware Signature: Emulator or bot device fingerprint.' END,
+         CASE WHEN e4 THEN 'High-Velocity BIN Brute Force: Burst of micro authorisations on one BIN.' END,
+         CASE WHEN e5 THEN 'Impossible Travel Velocity: Consecutive swipes too far apart for the time between them.' END,
+         CASE WHEN e6 THEN 'High-Risk Amount: Amount above the high-risk threshold.' END,
+         CASE WHEN e7 THEN 'Account Takeover Fan-In: One device changed the credentials of several accounts.' END,
+         CASE WHEN n_linked_fraud > 0 THEN 'Syndicate Graph Link: Shares a device and an address with confirmed fraud accounts: ' || n_linked_fraud END,
+         CASE WHEN n_rejected > 0 THEN 'Identity Documents Rejected: ' || n_rejected || ' of ' || n_documents END) AS evidence
+FROM d LEFT JOIN expo x ON x.account_id = d.account_id LEFT JOIN kyc ON kyc.account_id = d.account_id
 WHERE d.n_alerts > 0 OR d.n_ring_matches > 0
 """
 
@@ -518,6 +535,14 @@ SELECT 'duplicate_key' AS violation, 'lineitem' AS table_name,
        COUNT(*) AS n_rows
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1
 UNION ALL
+SELECT 'duplicate_key', 'orders', CAST(o_orderkey AS VARCHAR), COUNT(*) FROM orders GROUP BY o_orderkey HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'duplicate_key', 'supplier', CAST(s_suppkey AS VARCHAR), COUNT(*) FROM supplier GROUP BY s_suppkey HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'duplicate_key', 'part', CAST(p_partkey AS VARCHAR), COUNT(*) FROM part GROUP BY p_partkey HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'duplicate_key', 'customer', CAST(c_custkey AS VARCHAR), COUNT(*) FROM customer GROUP BY c_custkey HAVING COUNT(*) > 1
+UNION ALL
 SELECT 'dangling_o_custkey', 'orders', CAST(o_custkey AS VARCHAR), COUNT(*) FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey) GROUP BY o_custkey
 UNION ALL
@@ -600,6 +625,19 @@ FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
 JOIN part p ON p.p_partkey = l.l_partkey JOIN customer c ON c.c_custkey = o.o_custkey
 """
 
+SQL["document_manifest"] = """
+SELECT 'doc://documents/' || CAST(doc_id AS VARCHAR) AS document_uri, source,
+       CAST(strlen(text) AS BIGINT) AS size_bytes, CAST(length(text) AS BIGINT) AS n_chars
+FROM documents
+"""
+
+SQL["predict_rows"] = """
+SELECT l.l_orderkey, COUNT(*) AS n_rows, CAST(SUM(CASE WHEN c.c_acctbal < -900 THEN 1 ELSE 0 END) AS BIGINT) AS n_fraud
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+JOIN customer c ON c.c_custkey = o.o_custkey
+WHERE (l.l_orderkey * 48271 % 2147483647) % 5 = 0 GROUP BY l.l_orderkey
+"""
+
 SQL["stream_score"] = with_views("txn") + """
 SELECT t.transaction_id, t.account_id, t.amount,
        (CAST(t.device_id AS VARCHAR) LIKE '%emulator%' OR CAST(t.device_id AS VARCHAR) LIKE '%ring%'
@@ -614,7 +652,6 @@ w AS (SELECT card_bin, b AS window_start FROM m UNION ALL SELECT card_bin, b - I
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, card_bin, COUNT(*) AS n_attempts
 FROM w GROUP BY window_start, card_bin
 HAVING COUNT(*) >= 3
-   AND window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM txn) - INTERVAL 1 HOUR
 """
 
 SQL["stream_ato"] = with_views("auth") + """
@@ -622,31 +659,55 @@ SELECT * FROM (
   SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
          device_id, COUNT(DISTINCT account_id) AS n_accounts, COUNT(*) AS n_events
   FROM auth GROUP BY 1, 2, 3)
-WHERE n_accounts >= 3 AND window_end <= (SELECT max(ts) FROM auth) - INTERVAL 1 HOUR
+WHERE n_accounts >= 3
 """
 
 SQL["stream_geo"] = SQL["geo_velocity"]
 
 SQL["stream_spike"] = with_views("txn") + """,
 prof AS (SELECT account_id, COUNT(*) AS baseline_n, SUM(CAST(amount AS DECIMAL(18,2))) AS baseline_total
-         FROM txn GROUP BY account_id)
+         FROM txn WHERE ts < TIMESTAMP '2024-01-15' AND ts >= TIMESTAMP '2024-01-15' - INTERVAL 90 DAY GROUP BY account_id)
 SELECT t.transaction_id, t.account_id, t.amount, p.baseline_n,
        CAST(p.baseline_total AS DECIMAL(38,2)) AS baseline_total
 FROM txn t JOIN prof p ON p.account_id = t.account_id
-WHERE CAST(t.amount AS DECIMAL(18,2)) * p.baseline_n >= 5.0 * p.baseline_total
-"""
-
-SQL["stream_blocklist"] = with_views("ev") + f""",
-b AS (SELECT k AS device_id, ts AS blocked_at FROM ev WHERE event_type = 'error' AND value > 200),
-g AS (SELECT *, CASE WHEN epoch_us(blocked_at) - LAG(epoch_us(blocked_at)) OVER w < {DAY_US}
-                     THEN 0 ELSE 1 END AS new_episode
-      FROM b WINDOW w AS (PARTITION BY device_id ORDER BY blocked_at)),
-e AS (SELECT *, SUM(new_episode) OVER (PARTITION BY device_id ORDER BY blocked_at
-                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM g)
-SELECT device_id, MIN(blocked_at) AS blocked_from, MAX(blocked_at) + INTERVAL 24 HOUR AS expires_at,
-       COUNT(*) AS n_blocks
-FROM e GROUP BY device_id, episode
-HAVING MAX(blocked_at) + INTERVAL 24 HOUR <= (SELECT MAX(blocked_at) FROM b) - INTERVAL 1 HOUR
+WHERE t.ts >= TIMESTAMP '2024-01-15' AND CAST(t.amount AS DECIMAL(18,2)) * p.baseline_n >= 5.0 * p.baseline_total
+"""
+
+SQL["stream_blocklist"] = SQL["active_blocklist"]
+
+SQL["stream_scored"] = SCORED + """
+SELECT transaction_id, account_id, is_bin_attack, is_impossible_travel, is_spend_spike, is_dormant_bust_out,
+       CASE WHEN is_suspicious_device OR is_high_risk_amount OR is_bin_attack OR is_impossible_travel
+            THEN 'BLOCKED' ELSE 'APPROVED' END AS verdict
+FROM scored
+"""
+
+SQL["investigate_targets"] = with_views("accounts", "ud", "st", "ev") + f""",
+ring AS ({RING_BODY}),
+expo AS ({EXPOSURE_BODY})
+SELECT r.account_id AS target, r.customer_name AS linked_fraud_user, r.device_id AS shared_device, r.full_address AS drop_address,
+       COALESCE(x.txns, 0) AS txns, x.total_usd
+FROM ring r LEFT JOIN expo x ON x.account_id = r.account_id
+WHERE r.account_id IN (SELECT user_id FROM ev WHERE event_type = 'error' AND value > 100)
+"""
+
+SQL["account_exposure"] = """
+SELECT COUNT(*) AS txns, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_usd
+FROM orders WHERE o_custkey = (SELECT user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)
+"""
+
+SQL["commercial_drop_links"] = with_views("accounts", "st") + """
+SELECT s.s_suppkey AS address_id, s.s_name AS full_address, COUNT(DISTINCT st.account_id) AS n_fraud_accounts
+FROM st JOIN accounts a ON a.account_id = st.account_id AND a.kyc_status = 'CONFIRMED_FRAUD'
+JOIN supplier s ON s.s_suppkey = st.address_id WHERE s.s_acctbal < 0 GROUP BY 1, 2
+"""
+
+SQL["decision_latency_percentiles"] = SCORED + """,
+lat AS (SELECT CAST(t.ts AS DATE) AS day, epoch_us(s.processed_at) - epoch_us(t.ts) AS us
+        FROM txn t JOIN scored s ON s.transaction_id = t.transaction_id)
+SELECT day, round(SUM(us) / COUNT(*) / 1e6, 6) AS mean_s, round(quantile_disc(us, 0.5) / 1e6, 6) AS p50_s,
+       round(quantile_disc(us, 0.95) / 1e6, 6) AS p95_s, round(quantile_disc(us, 0.99) / 1e6, 6) AS p99_s
+FROM lat GROUP BY day
 """
 
 SQL["bin_velocity_episodes"] = with_views("txn") + f""",

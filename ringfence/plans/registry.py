@@ -227,11 +227,19 @@ def q_decision_latency(spark, sf_dir):
     return TR.decision_latency(td.transactions(spark, sf_dir), scored(spark, sf_dir))
 
 
+@register("decision_latency_percentiles")
+def q_decision_latency_percentiles(spark, sf_dir):
+    return TR.decision_latency_percentiles(td.transactions(spark, sf_dir), scored(spark, sf_dir))
+
+
 @register("triage_dossier")
 def q_triage_dossier(spark, sf_dir):
     g = td.graph(spark, sf_dir)
     pairs = G.ring_matches(g, G.fraud_seeds(g), distinct_endpoints=True)
-    return TR.triage_dossier(scored(spark, sf_dir), pairs, td.historical_transactions(spark, sf_dir))
+    kyc = KY.kyc_assess(td.kyc_checks(spark, sf_dir)).select("account_id", "kyc_verdict")
+    d = TR.triage_dossier(scored(spark, sf_dir), pairs, td.historical_transactions(spark, sf_dir), kyc)
+    text = F.transform("evidence", lambda e: F.concat_ws(": ", e["heading"], e["detail"]))
+    return d.withColumn("evidence", F.array_join(text, "; "))
 
 
 # ------------------------------------------------------------ KYC
@@ -267,6 +275,10 @@ def q_graph_violations(spark, sf_dir):
     t = lambda n: td.table(spark, sf_dir, n)
     return G.graph_violations([
         G.key_violations(t("lineitem"), ["l_orderkey", "l_linenumber"], "lineitem"),
+        G.key_violations(t("customer"), ["c_custkey"], "customer"),
+        G.key_violations(t("part"), ["p_partkey"], "part"),
+        G.key_violations(t("supplier"), ["s_suppkey"], "supplier"),
+        G.key_violations(t("orders"), ["o_orderkey"], "orders"),
         G.dangling_refs(t("orders"), "o_custkey", t("customer"), "c_custkey", "orders"),
         G.dangling_refs(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "lineitem"),
         G.dangling_refs(t("lineitem"), "l_partkey", t("part"), "p_partkey", "lineitem"),
@@ -286,6 +298,28 @@ def q_blast_radius(spark, sf_dir):
     return G.blast_radius(td.graph(spark, sf_dir), emulator_only=True)
 
 
+@register("investigate_targets")
+def q_investigate_targets(spark, sf_dir):
+    """G4 + A1 anchored: the accounts that ran an emulator device with an
+    error are the targets; expansion starts from them."""
+    g = td.graph(spark, sf_dir)
+    targets = td.transactions(spark, sf_dir).filter((F.col("merchant_category") == "error") & (F.col("amount") > 100)).select("account_id")
+    return TR.investigate(G.linked_fraud(g, targets), td.historical_transactions(spark, sf_dir))
+
+
+@register("account_exposure")
+def q_account_exposure(spark, sf_dir):
+    """A1 + P4: the exposure of one account, the one of the newest event."""
+    newest = td.table(spark, sf_dir, "events").select(F.max_by("user_id", F.struct("ts", "event_id"))).scalar()
+    return TR.exposure(td.historical_transactions(spark, sf_dir), newest)
+
+
+@register("commercial_drop_links")
+def q_commercial_drop_links(spark, sf_dir):
+    """Fraud accounts at each commercial drop address."""
+    return G.commercial_drop_links(td.graph(spark, sf_dir))
+
+
 @register("device_fan_in")
 def q_device_fan_in(spark, sf_dir):
     g = td.graph(spark, sf_dir)
@@ -350,9 +384,8 @@ def q_conform_append(spark, sf_dir):
 
 @register("document_manifest")
 def q_document_manifest(spark, sf_dir):
-    """Manifest of the table files (no content read)."""
-    m = IO.document_manifest(spark, f"{sf_dir.rstrip('/')}/*.parquet")
-    return m.select(F.element_at(F.split("document_uri", "/"), -1).alias("file_name"), "size_bytes")
+    """Manifest of the documents table: where each is and how large."""
+    return td.document_manifest(spark, sf_dir)
 
 
 # ------------------------------------------------------------ ML
@@ -380,17 +413,26 @@ def q_fraud_features(spark, sf_dir):
 
 @register("predict")
 def q_predict(spark, sf_dir):
-    """M2 + M3: train the boosted-tree classifier, score the same rows."""
-    feats = feature_table(spark, sf_dir)
-    model = ML.train_classifier(feats, max_iter=10)
-    return ML.predict(model, feats, keep=("l_orderkey", "l_partkey", "is_fraud"))
+    """M2 + M3: train the boosted-tree classifier on four fifths of the rows,
+    score the others."""
+    seen, held = ML.split(feature_table(spark, sf_dir), "l_orderkey")
+    model = ML.train_classifier(seen, max_iter=10)
+    return ML.predict(model, held, keep=("l_orderkey", "l_partkey", "is_fraud"))
+
+
+@register("predict_rows")
+def q_predict_rows(spark, sf_dir):
+    """The rows that ``predict`` scores, with their labels: what of M2/M3 is
+    the same for any trained model."""
+    _, held = ML.split(feature_table(spark, sf_dir), "l_orderkey")
+    return held.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("is_fraud").cast("long").alias("n_fraud"))
 
 
 @register("train_classifier")
 def q_train_classifier(spark, sf_dir):
-    """M2 + M3 evaluation: one row of ROC / PR area."""
-    feats = feature_table(spark, sf_dir)
-    return ML.evaluate(ML.train_classifier(feats, max_iter=10), feats)
+    """M2 + M3 evaluation: ROC / PR area on the held-out rows."""
+    seen, held = ML.split(feature_table(spark, sf_dir), "l_orderkey")
+    return ML.evaluate(ML.train_classifier(seen, max_iter=10), held)
 
 
 # ------------------------------------------------------------ streaming
@@ -421,47 +463,71 @@ def q_stream_score(spark, sf_dir):
 
 @register("stream_bin")
 def q_stream_bin(spark, sf_dir):
-    """R2: sliding 1-day windows every 12 hours, micro amounts < 10."""
-    s = ST.bin_attack_stream(_stream_txns(spark, sf_dir), "1 day", "12 hours", "1 hour", 10.0, 3)
+    """R2: sliding 1-day windows every 12 hours, micro amounts up to 10; a
+    sentinel row closes the last windows."""
+    ensure_checkpoint_dir(spark)
+    txns = _stream_txns(spark, sf_dir).select("card_bin", "amount", "timestamp")
+    txns = ST.with_sentinel(txns, scratch_path(spark, "sentinel-bin"), amount=0.0, card_bin="sentinel")
+    s = ST.bin_attack_stream(txns, "1 day", "12 hours", "1 hour", 10.0, 3)
     return _ntz(_run(spark, s, "stream-bin"), "window_start", "window_end")
 
 
 @register("stream_ato")
 def q_stream_ato(spark, sf_dir):
-    """R3 + S5: distinct accounts per device per day from the auth stream."""
-    auth = ST.event_time(td.auth_events(spark, sf_dir, td.events_stream(spark, sf_dir)))
-    s = ST.ato_stream(auth, "1 day", "1 hour", 3)
+    """R3 + S5: distinct accounts per device per day from the auth stream; a
+    sentinel row closes the last windows."""
+    ensure_checkpoint_dir(spark)
+    auth = ST.event_time(td.auth_events(spark, sf_dir, td.events_stream(spark, sf_dir))).select("account_id", "device_id", "timestamp")
+    s = ST.ato_stream(ST.with_sentinel(auth, scratch_path(spark, "sentinel-ato")), "1 day", "1 hour", 3)
     return _ntz(_run(spark, s, "stream-ato"), "window_start", "window_end")
 
 
 @register("stream_geo")
 def q_stream_geo(spark, sf_dir):
-    """Stateful geo-velocity over the transaction stream."""
-    s = ST.geo_velocity_stream(_stream_txns(spark, sf_dir), 900.0, 100.0, "1 hour")
-    return _run(spark, s, "stream-geo")
+    """Geo-velocity over the transaction stream in event-time order."""
+    ensure_checkpoint_dir(spark)
+    return _run(spark, ST.geo_velocity_stream(_stream_txns(spark, sf_dir), 900.0, 100.0, "1 hour"), "stream-geo")
 
 
 @register("stream_spike")
 def q_stream_spike(spark, sf_dir):
-    """Events against a batch per-account profile (stream-static join)."""
+    """Events after a cut-off against the profile of the 90 days before it
+    (stream-static join); no event is part of its own profile."""
     from ..operators.triage import MONEY
 
-    profile = (td.transactions(spark, sf_dir).groupBy("account_id")
-               .agg(F.count(F.lit(1)).alias("baseline_n"),
-                    F.sum(F.col("amount").cast(MONEY)).alias("baseline_total")))
-    s = ST.spike_stream(_stream_txns(spark, sf_dir), profile, 5.0)
+    cut = F.lit(td.PROFILE_CUTOFF).cast("timestamp")
+    past = td.transactions(spark, sf_dir).filter((F.col("timestamp") < cut) & (F.col("timestamp") >= cut - F.expr("INTERVAL 90 DAYS")))
+    profile = past.groupBy("account_id").agg(F.count(F.lit(1)).alias("baseline_n"),
+                                             F.sum(F.col("amount").cast(MONEY)).alias("baseline_total"))
+    s = ST.spike_stream(_stream_txns(spark, sf_dir).filter(F.col("timestamp") >= cut), profile, 5.0)
     out = _run(spark, s, "stream-spike")
     return out.withColumn("baseline_total", F.col("baseline_total").cast("decimal(38,2)"))
 
 
 @register("stream_blocklist")
 def q_stream_blocklist(spark, sf_dir):
-    """R8 streaming: 24-hour block episodes per device from the event stream."""
+    """R8 streaming: the blocks active at the newest event."""
+    ensure_checkpoint_dir(spark)
     ev = td.events_stream(spark, sf_dir)
     blocks = (ev.filter((F.col("event_type") == "error") & (F.col("value") > 200))
               .select(td.prop_k().alias("device_id"), F.col("ts").cast("timestamp").alias("blocked_at")))
-    s = ST.blocklist_stream(blocks, "device_id", "24 hours", "1 hour")
-    return _ntz(_run(spark, s, "stream-blocklist"), "blocked_from", "expires_at")
+    base = scratch_path(spark, "stream-blocklist")
+    q = ST.blocklist_stream(blocks, "device_id", f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    as_of = td.table(spark, sf_dir, "events").select(F.max("ts").cast("timestamp")).scalar()
+    return _ntz(ST.live_blocklist(spark, f"{base}/out", "device_id", as_of), "last_blocked_at", "expires_at")
+
+
+@register("stream_scored")
+def q_stream_scored(spark, sf_dir):
+    """R6 on a stream: micro-batches scored with landed history; verdicts of
+    all transactions (takeover events are another stream's)."""
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "stream-scored")
+    q = ST.score_stream(_stream_txns(spark, sf_dir).drop("k"), f"{base}/out", f"{base}/checkpoint", td.devices(spark, sf_dir), P)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("transaction_id", "account_id", "is_bin_attack", "is_impossible_travel", "is_spend_spike",
+                                                    "is_dormant_bust_out", "verdict")
 
 
 @register("bin_velocity_episodes")

@@ -23,6 +23,7 @@ EMULATOR_NAME_PATTERN = "%ring%"
 AUTH_EVENT_TYPES = {"signup": "PASSWORD_RESET", "error": "2FA_PHONE_CHANGED"}
 KYC_ADDRESS_MODULUS = 100
 BIN_BASE = 400_000
+PROFILE_CUTOFF = "2024-01-15 00:00:00"  # spend profiles end here, later events are compared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,10 +203,18 @@ def kyc_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxic") != 1).alias("portrait_ok"),
         (F.col("quality") != 0).alias("document_ok"),
         (F.col("doc_id") % KYC_ADDRESS_MODULUS).alias("address_id"),
+        F.col("doc_id").alias("account_id"),
         (1.0 - (F.col("doc_id") % 40).cast("double") / 100.0).alias("confidence_score"),
     )
 
 
+def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: uri, size in bytes and characters, source."""
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc://documents/"), F.col("doc_id").cast("string")).alias("document_uri"), "source",
+        F.octet_length("text").cast("long").alias("size_bytes"), F.length("text").cast("long").alias("n_chars"))
+
+
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Device nodes (part): emulator = name contains 'ring'."""
     return table(spark, sf_dir, "part").select(

@@ -1,21 +1,21 @@
 """Structured Streaming operators.
 
 Event time is the ``timestamp`` column (an instant). Every stateful query
-declares a watermark, so state for closed windows / idle accounts is
-evicted; rows later than the watermark are dropped by the stateful
-operators (they are still in the raw table for batch correction).
+declares a watermark, so state for closed windows is evicted; rows later
+than the watermark are dropped by the stateful operators (they are still in
+the raw table for batch correction).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import scalars as SC
+from ..operators.detectors import geo_velocity
 from ..operators.scoring import ScoringParams, score_batch
 
 DEFAULT_WATERMARK = "10 minutes"
@@ -76,87 +76,99 @@ def ato_stream(auth: DataFrame, window: str = "4 minutes", watermark: str = DEFA
                     "device_id", "n_accounts", "n_events"))
 
 
-def _geo_state_fn(max_kmh: float, min_jump_km: float, idle_ms: int) -> Callable:
-    import numpy as np
-    import pandas as pd
-
-    r2 = 2 * SC.EARTH_RADIUS_KM
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf["__t"] = pdf["timestamp"].astype("datetime64[us]").astype("int64")
-        pdf = pdf.sort_values(["__t", "transaction_id"], kind="mergesort").reset_index(drop=True)
-        t = pdf["__t"].to_numpy()
-        lat = pdf["latitude"].to_numpy(dtype="float64")
-        lon = pdf["longitude"].to_numpy(dtype="float64")
-        ids = pdf["transaction_id"].tolist()
-        p_t = np.empty(len(pdf), dtype="float64")
-        p_lat = np.empty(len(pdf))
-        p_lon = np.empty(len(pdf))
-        p_id: list = [None] * len(pdf)
-        if state.exists:
-            s_t, s_lat, s_lon, s_id = state.get
-            p_t[0], p_lat[0], p_lon[0], p_id[0] = s_t, s_lat, s_lon, s_id
-        else:
-            p_t[0], p_lat[0], p_lon[0] = np.nan, np.nan, np.nan
-        p_t[1:], p_lat[1:], p_lon[1:] = t[:-1], lat[:-1], lon[:-1]
-        p_id[1:] = ids[:-1]
-        dlat = np.radians(lat - p_lat)
-        dlon = np.radians(lon - p_lon)
-        a = np.sin(dlat / 2) ** 2 + np.cos(np.radians(p_lat)) * np.cos(np.radians(lat)) * np.sin(dlon / 2) ** 2
-        dist = r2 * np.arcsin(np.sqrt(a))
-        elapsed = (t - p_t) / 1e6
-        first = np.isnan(p_t)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            speed = np.where(first, 0.0, np.where(elapsed > 0, dist / (elapsed / 3600.0), np.nan))
-        flag = np.where(first, False, np.where(elapsed > 0, speed > max_kmh, dist > min_jump_km))
-        out = pd.DataFrame({
-            "transaction_id": pdf["transaction_id"], "account_id": pdf["account_id"],
-            "prev_transaction_id": pd.Series(p_id, dtype="object"),
-            "distance_km": np.where(first, np.nan, dist), "elapsed_s": np.where(first, np.nan, elapsed),
-            "calculated_speed_kmh": speed, "is_impossible_travel": flag.astype(bool)})
-        yield out
-        state.update((int(t[-1]), float(lat[-1]), float(lon[-1]), ids[-1]))
-        state.setTimeoutTimestamp(int(t[-1] // 1000) + idle_ms)
-
-    return fn
+GEO_COLUMNS = ("transaction_id", "account_id", "latitude", "longitude", "timestamp")
+
+
+def _geo_step(spark: SparkSession, rows: DataFrame, base: str, batch_id: int, delay_us: int | None,
+              max_kmh: float, min_jump_km: float) -> None:
+    """One micro-batch of R4. State of batch b is written under ``state/b``:
+    ``pending`` (located swipes the watermark has not passed) and ``last``
+    (the newest emitted swipe of each account). ``delay_us`` None: flush."""
+    from pyspark.errors import AnalysisException
+
+    def state(kind: str) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        try:
+            return spark.read.parquet(f"{base}/state/{batch_id - 1}/{kind}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    pending, last = state("pending"), state("last")
+    known = [d.agg(F.max("timestamp").alias("t")) for d in (pending, last) if d is not None]
+    seen = None
+    if known:
+        seen = reduce(DataFrame.unionByName, known).agg(F.unix_micros(F.max("t").cast("timestamp"))).first()[0]
+    newest = rows.agg(F.unix_micros(F.max("timestamp").cast("timestamp"))).first()[0]
+    t = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    if seen is not None and delay_us is not None:  # later than the watermark: kept apart, never moves the state back
+        rows.filter(t <= seen - delay_us).write.mode("overwrite").parquet(f"{base}/late/{batch_id}")
+        rows = rows.filter(t > seen - delay_us)
+    both = rows if pending is None else pending.unionByName(rows)
+    top = max([x for x in (seen, newest) if x is not None], default=None)
+    ready = both if delay_us is None or top is None else both.filter(t <= top - delay_us)
+    if delay_us is not None and top is not None:
+        both.filter(t > top - delay_us).write.mode("overwrite").parquet(f"{base}/state/{batch_id}/pending")
+    else:
+        both.limit(0).write.mode("overwrite").parquet(f"{base}/state/{batch_id}/pending")
+    with_last = ready if last is None else last.unionByName(ready)
+    newest_of = with_last.groupBy("account_id").agg(F.max(F.struct("timestamp", *GEO_COLUMNS[:1], *GEO_COLUMNS[2:4])).alias("s"))
+    newest_of.select("s.transaction_id", "account_id", "s.latitude", "s.longitude", "s.timestamp").write.mode("overwrite").parquet(
+        f"{base}/state/{batch_id}/last")
+    # a swipe of ``last`` only serves as predecessor: it is marked and not given again
+    marked = ready.withColumn("__new", F.lit(True))
+    if last is not None:
+        marked = last.withColumn("__new", F.lit(False)).unionByName(marked)
+    out = geo_velocity(marked, max_kmh, min_jump_km, keep=("__new",)).filter("__new").drop("__new")
+    out.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+
+@dataclass(frozen=True)
+class OrderedGeoVelocity:
+    """R4 as a running query: ``run_to_table`` runs it to the stream's end."""
+
+    stream: DataFrame
+    max_kmh: float
+    min_jump_km: float
+    delay_us: int
+    flush: bool
+
+    def run_to(self, path: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
+        """State, late rows and output lie under ``path``; gives the output."""
+        spark, base, done = self.stream.sparkSession, path.rstrip("/"), [-1]
+        located = self.stream.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(*GEO_COLUMNS)
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            _geo_step(batch.sparkSession, batch, base, batch_id, self.delay_us, self.max_kmh, self.min_jump_km)
+            done[0] = batch_id
+
+        q = (located.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+             .trigger(**(trigger or {"availableNow": True})).start())
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+        if self.flush and done[0] >= 0:
+            _geo_step(spark, spark.createDataFrame([], located.schema), base, done[0] + 1, None, self.max_kmh, self.min_jump_km)
+        return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
 def geo_velocity_stream(stream: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 100.0,
-                        watermark: str = DEFAULT_WATERMARK, idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Stateful geo-velocity. Per account the state is the last located
-    swipe (time, lat, lon, id); it expires ``idle_ms`` of event time after
-    the last swipe. Within a micro-batch an account's swipes are ordered by
-    (time, id). Distance and speed are rounded by Spark afterwards, exactly
-    as in the batch detector."""
-    id_type = stream.schema["transaction_id"].dataType
-    acct_type = stream.schema["account_id"].dataType
-    out_schema = T.StructType([
-        T.StructField("transaction_id", id_type), T.StructField("account_id", acct_type),
-        T.StructField("prev_transaction_id", id_type), T.StructField("distance_km", T.DoubleType()),
-        T.StructField("elapsed_s", T.DoubleType()), T.StructField("calculated_speed_kmh", T.DoubleType()),
-        T.StructField("is_impossible_travel", T.BooleanType())])
-    state_schema = T.StructType([
-        T.StructField("t", T.LongType()), T.StructField("lat", T.DoubleType()),
-        T.StructField("lon", T.DoubleType()), T.StructField("id", id_type)])
-    located = (stream.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-               .select("transaction_id", "account_id", "latitude", "longitude", "timestamp")
-               .withWatermark("timestamp", watermark))
-    out = located.groupBy("account_id").applyInPandasWithState(
-        _geo_state_fn(max_kmh, min_jump_km, idle_ms), out_schema, state_schema, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    nan_to_null = lambda c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c))
-    return out.select(
-        "transaction_id", "account_id", "prev_transaction_id",
-        F.round(nan_to_null("distance_km"), 3).alias("distance_km"),
-        nan_to_null("elapsed_s").alias("elapsed_s"),
-        F.round(nan_to_null("calculated_speed_kmh"), 3).alias("calculated_speed_kmh"),
-        "is_impossible_travel")
+                        watermark: str = DEFAULT_WATERMARK, flush: bool = True) -> OrderedGeoVelocity:
+    """R4 in event-time order: the result equals the batch detector's.
+
+    Swipes wait until the watermark (newest time seen minus the delay) passes
+    them and are then compared with their predecessor in time, wherever it
+    arrived. A swipe later than the watermark goes to ``late/`` and changes
+    nothing. The newest swipe of each account is kept without expiry, so an
+    account that returns after weeks still has its predecessor. All work is
+    the sliced JVM window of the batch detector: a hot account is split over
+    time slices. Steps are idempotent per batch id. ``flush`` emits what
+    still waits when a finite stream has ended."""
+    span = F.expr(f"unix_micros(timestamp'2000-01-01' + interval {watermark}) - unix_micros(timestamp'2000-01-01')")
+    delay_us = int(stream.sparkSession.range(1).select(span).first()[0])
+    return OrderedGeoVelocity(stream, max_kmh, min_jump_km, delay_us, flush)
 
 
 def spike_stream(stream: DataFrame, profile: DataFrame, factor: float = 30.0) -> DataFrame:
@@ -191,65 +203,89 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFra
     and written to its own ``batch_id=`` folder with overwrite, so a replayed
     batch replaces its output instead of duplicating it.
 
-    With ``raw_path`` the detectors also see history: the batch is first
-    landed in the raw table (partitioned by event date and batch id, this
-    batch's partitions overwritten on replay), then scoring runs over the
-    landed rows from ``lookback`` before the batch's earliest event onward --
-    only those dates' partitions are listed and read -- and only this
-    batch's rows are kept.
-    Windows up to ``lookback`` then give the same flags as batch scoring.
+    The batch is landed in the raw table (``raw_path``, by default next to
+    ``path``; partitioned by event date and batch id, this batch's partitions overwritten on replay); scoring then reads
+    the landed rows of the batch's own accounts and BINs. Dates older than
+    ``lookback`` before the batch's earliest event are not read; an account's
+    last activity before them still counts through ``last_seen`` rows (its
+    newest landed row), so dormancy has no such bound. Only this batch's rows
+    are written, one for each of its rows.
     """
+    raw_path = raw_path or f"{path.rstrip('/')}-raw"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if raw_path:
-            # Landed by (event_date, batch_id); dynamic overwrite replaces only
-            # this batch's partitions, so a replay does not duplicate rows.
-            (batch.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("event_date", "batch_id").parquet(raw_path))
-            first = batch.agg(F.min("timestamp")).first()[0]
-            if first is None:
-                return
-            since = F.lit(first) - F.expr(f"INTERVAL {lookback}")
-            landed = spark.read.parquet(raw_path)
-            rows = (landed.filter((F.col("event_date") >= F.to_date(since)) & (F.col("timestamp") >= since))
-                    .select(*batch.columns))
-        scored = score_batch(spark, rows, devices, params)
-        if raw_path:
-            scored = scored.join(batch.select("transaction_id"), "transaction_id", "left_semi")
-        scored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        # dynamic overwrite replaces only this batch's partitions
+        (batch.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("event_date", "batch_id").parquet(raw_path))
+        first = batch.agg(F.min("timestamp")).first()[0]
+        if first is None:
+            return
+        since = F.lit(first) - F.expr(f"INTERVAL {lookback}")
+        landed = spark.read.parquet(raw_path).filter(F.col("batch_id") <= batch_id)
+        accounts = batch.select("account_id").distinct().withColumn("__a", F.lit(True))
+        bins = batch.select("card_bin").distinct().withColumn("__b", F.lit(True))
+        recent = (landed.filter((F.col("event_date") >= F.to_date(since)) & (F.col("timestamp") >= since))
+                  .join(accounts, "account_id", "left").join(bins, "card_bin", "left")
+                  .filter("__a or __b").drop("__a", "__b"))
+        older = (landed.filter(F.col("timestamp") < since).join(accounts.drop("__a"), "account_id", "left_semi"))
+        last_seen = (older.groupBy("account_id").agg(F.max_by(F.struct(*[c for c in landed.columns if c != "account_id"]), "timestamp").alias("s"))
+                     .select("account_id", "s.*"))
+        rows = recent.unionByName(last_seen.select(*recent.columns)).withColumn("__now", F.col("batch_id") == batch_id)
+        scored = score_batch(spark, rows.select(*batch.columns, "__now"), devices, params, keep=("__now",))
+        scored.filter("__now").drop("__now").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def run_to_table(spark: SparkSession, df: DataFrame, path: str, checkpoint: str,
-                 timeout_s: int = 600) -> DataFrame:
+def run_to_table(spark: SparkSession, df: DataFrame | OrderedGeoVelocity, path: str, checkpoint: str) -> DataFrame:
     """Run a streaming query with ``availableNow`` into parquet and read it."""
+    if isinstance(df, OrderedGeoVelocity):
+        return df.run_to(path, checkpoint)
     q = write_scored(df, path, checkpoint)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream to {path} did not finish in {timeout_s}s")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(path)
 
 
-def blocklist_stream(blocks: DataFrame, key: str, ttl: str = "24 hours",
-                     watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """R8 on a stream: block episodes of a key.
+SENTINEL_TIME = "2100-01-01 00:00:00"
+
+
+def with_sentinel(stream: DataFrame, folder: str, time: str = "timestamp", **values) -> DataFrame:
+    """A finite stream followed by one far-future row (``values`` fill the
+    columns that later filters look at), so that the watermark passes every
+    real window and all of them are emitted. The sentinel's own window never
+    closes."""
+    spark = stream.sparkSession
+    row = [F.lit(values.get(f.name, None)).cast(f.dataType).alias(f.name) if f.name != time else
+           F.lit(SENTINEL_TIME).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).coalesce(1).write.mode("overwrite").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def blocklist_stream(blocks: DataFrame, key: str, path: str, checkpoint: str, ttl: str = "24 hours",
+                     trigger: dict | None = None):
+    """R8 on a stream: the live blocklist. A block is visible from its arrival
+    on: every micro-batch writes the keys whose latest block has changed, and
+    ``live_blocklist`` reads what is active at a time. State is one
+    timestamp for each key that was ever blocked."""
+    last = blocks.groupBy(key).agg(F.max("blocked_at").alias("last_blocked_at"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("expires_at", F.col("last_blocked_at") + F.expr(f"INTERVAL {ttl}"))
+         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+
+    return (last.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
 
-    A block lasts ``ttl`` and a new block inside it extends it, which is a
-    session window with gap = ttl. Each closed episode is emitted once when
-    the watermark passes its expiry: key, blocked_from, expires_at and the
-    number of blocks in it."""
-    return (blocks.withWatermark("blocked_at", watermark)
-            .groupBy(F.session_window("blocked_at", ttl).alias("s"), key)
-            .agg(F.count(F.lit(1)).alias("n_blocks"))
-            .select(key, F.col("s.start").alias("blocked_from"), F.col("s.end").alias("expires_at"), "n_blocks"))
+def live_blocklist(spark: SparkSession, path: str, key: str, as_of) -> DataFrame:
+    """(key, last_blocked_at, expires_at) of the blocks active at ``as_of``."""
+    rows = spark.read.parquet(path).groupBy(key).agg(F.max("last_blocked_at").alias("last_blocked_at"), F.max("expires_at").alias("expires_at"))
+    return rows.filter(F.col("expires_at") > as_of)
 
 
 def dedupe_replays(stream: DataFrame, key: str = "transaction_id",

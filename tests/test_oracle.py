@@ -4,11 +4,13 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ringfence.plans.oracle import SQL
+from ringfence.plans.registry import QUERIES
 from scripts.oracle_check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-ALL = sorted(queries())
+ALL = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -24,22 +26,22 @@ def duck():
 
 
 def test_registry_has_sql_for_almost_all():
-    missing = sorted(set(queries()) - set(oracle_sql()))
-    assert missing == ["document_manifest", "predict", "train_classifier"]
+    missing = sorted(set(QUERIES) - set(SQL))
+    assert missing == ["predict", "train_classifier"]
 
 
 def test_entry_runs(spark):
     df = entry(spark)
     assert df.columns == ["account_id", "n_alerts", "blocked_total", "n_ring_matches", "n_linked_fraud",
-                          "txns", "total_usd"]
+                          "n_documents", "n_rejected", "txns", "total_usd", "evidence"]
     assert df.count() > 0
 
 
 @pytest.mark.parametrize("name", ALL)
 def test_query_matches_oracle(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    sql = oracle_sql().get(name)
+    sql = SQL.get(name)
     if sql is None:
         assert len(rows) > 0
         return
