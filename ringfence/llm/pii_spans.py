@@ -43,7 +43,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE = {
     "email": re.compile(r"(?<!\S)[\w.%+-]{1,64}(?:@|\s?[\[(]at[\])]\s?)[\w-]{1,63}(?:(?:\.|\s?[\[(]dot[\])]\s?)[\w-]{1,63}){0,6}"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-])?(?:\(?[0-9]{2,4}\)?[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-])?(?:[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
 # Words that announce a kind, in the corpus's languages, and frequent domain ends.
 GAZETTEER = {

@@ -89,19 +89,21 @@ def fences(ratios: DataFrame) -> DataFrame:
     own = staged(own, "quantile-sketches")
 
     def merged(*by):
-        return own.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(x, SKETCH_K).alias(x) for x in FENCES))
+        return own.groupBy(*by).agg(F.sum("n").alias("l_n"), *(F.kll_merge_agg_double(x, SKETCH_K).alias(f"l_{x}") for x in FENCES))
 
-    def renamed(df, mark):
-        return df.select(*(F.col(c).alias(f"{mark}_{c}") for c in df.columns))
+    def quantile(sketch, q):
+        return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
 
-    lang, whole = renamed(merged("lang"), "l"), renamed(merged(F.lit(0).alias("one")), "w")
-    wide = own.join(lang, own.lang.eqNullSafe(lang.l_lang)).withColumn("one", F.lit(0)).join(whole, F.col("one") == F.col("w_one"))
+    # of all documents: a dozen numbers, needed as constants
+    quantiles = [(x, q) for x, (low, high, _, _) in FENCES.items() for q in (low, 0.5, high) if q is not None]
+    whole = dict(zip(quantiles, merged().select(*(F.when(F.col("l_n") > 0, quantile(f"l_{x}", q)) for x, q in quantiles)).first()))
+    by_lang = merged("lang").withColumnRenamed("lang", "l_lang")
+    wide = own.join(by_lang, own.lang.eqNullSafe(by_lang.l_lang))
     bounds = []
     for x, (low, high, times, least) in FENCES.items():
-        sketch = F.when(F.col("n") >= LEAST_DOCS, F.col(x)).when(F.col("l_n") >= LEAST_DOCS, F.col(f"l_{x}")).otherwise(F.col(f"w_{x}"))
-
-        def at(q, sketch=sketch):
-            return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+        def at(q, x=x):
+            return (F.when(F.col("n") >= LEAST_DOCS, quantile(x, q)).when(F.col("l_n") >= LEAST_DOCS, quantile(f"l_{x}", q))
+                    .otherwise(F.lit(whole[x, q]).cast("double")))
 
         bounds.append((at(0.5) + F.greatest(times * (at(high) - at(0.5)), F.lit(least))).alias(f"high_{x}"))
         bounds.append((at(0.5) - F.greatest(times * (at(0.5) - at(low)), F.lit(least)) if low is not None

@@ -172,20 +172,25 @@ def test_packing(spark):
 
 
 def test_packing_exchange_reaches_the_bound(spark, monkeypatch):
-    """Many small parts: none is full alone, the exchange closes the gaps."""
+    """Many small parts: the exchange needs fewer bins than the parts alone, and loses nothing."""
     monkeypatch.setattr(packing, "PART_ITEMS", 32)
     r = random.Random(8)
     data = [(i, 0, 0, r.randint(1, 99), 7) for i in range(600)]
     df = spark.createDataFrame(data, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(df, size=100).collect()
-    assert sorted(x.doc_id for x in got) == list(range(600))
-    fill = Counter()
-    for x in got:
-        fill[x.sequence_id] += x.length
-    assert max(fill.values()) <= 100
-    bound = packing.lower_bound(np.array([d[3] for d in data]), 100)
-    single = packing.best_fit(np.sort(np.array([d[3] for d in data]))[::-1], 100)[2]
-    assert bound <= len(fill) <= single + 3
+    used = []
+    for rounds in (1, 8):
+        monkeypatch.setattr(packing, "ROUNDS", rounds)
+        got = packing.pack(df, size=100).collect()
+        assert sorted((x.doc_id, x.length) for x in got) == [(d[0], d[3]) for d in data]
+        bins = {}
+        for x in got:
+            bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        for spans in bins.values():
+            spans.sort()
+            assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+            assert sum(n for _, n in spans) <= 100
+        used.append(len(bins))
+    assert packing.lower_bound(np.array([d[3] for d in data]), 100) <= used[1] < used[0]
 
 
 def test_lower_bound_never_exceeds_best_fit():
