@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
+AT_ONCE = 128        # queries whose estimates are held at once
 EPS = 3.0
 _SEED = 20240607
 
@@ -76,10 +77,9 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest_in_block(ids, vectors, codes, away, cosine, level, query_id, query, k, mean, rot, eps):
+def _nearest_in_block(ids, vectors, signs, away, cosine, level, query_id, query, k, mean, rot, eps):
     """The block's k best of each query: (query position, vec_id, score)."""
     d = len(mean)
-    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
     q = (query - mean) @ rot
     q_len = np.sqrt((q * q).sum(axis=1))
     safe = np.where(cosine > 0, cosine, 1)  # a vector equal to the mean has no direction: its residual is 0
@@ -117,11 +117,14 @@ def _search(batches, k, mean, rot, eps):
         v, q = pa.Table.from_batches(vectors).combine_chunks(), pa.Table.from_batches(queries).combine_chunks()
         columns = [v[c].to_numpy() for c in ("away", "cosine", "level")]
         codes = np.frombuffer(b"".join(v["code"].to_pylist()), np.uint8).reshape(v.num_rows, -1)
-        query_id = q["vec_id"].to_numpy()
-        found = _nearest_in_block(v["vec_id"].to_numpy(), _matrix(v["vector"].combine_chunks(), d), codes, *columns,
-                                  query_id, _matrix(q["vector"].combine_chunks(), d), k, mean, rot, eps)
-        at, ids, score = (np.concatenate(x) for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(query_id[at]), pa.array(ids), pa.array(score)], schema=_FOUND_SCHEMA)
+        query_id, query = q["vec_id"].to_numpy(), _matrix(q["vector"].combine_chunks(), d)
+        ids, matrix = v["vec_id"].to_numpy(), _matrix(v["vector"].combine_chunks(), d)
+        signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+        for lo in range(0, len(query), AT_ONCE):
+            some = slice(lo, lo + AT_ONCE)
+            found = _nearest_in_block(ids, matrix, signs, *columns, query_id[some], query[some], k, mean, rot, eps)
+            at, near, score = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(query_id[some][at]), pa.array(near), pa.array(score)], schema=_FOUND_SCHEMA)
 
     for batch in batches:
         key = np.stack([batch.column("block").to_numpy(), batch.column("query_block").to_numpy()], axis=1)
