@@ -25,7 +25,7 @@ _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = LETTER
 _KIND[0x80:] = LETTER  # plain() admits letters only
 # The endings that both vocabularies cut off after an apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ STATS = [f"stat_{s}" for s in (
 TRAIN_ROWS = 20_000
 PREDICT_FROM = 0.3
 _SYMBOL, _EXCLAIM, _BAR, _CAPITAL, _DIGIT, _POINT, _BEYOND, _LINE = range(1, 9)
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.int32)
 for _signs, _kind in ((b"#*$%&<>", _SYMBOL), (b"!", _EXCLAIM), (b"|", _BAR), (b".,;:?", _POINT), (b"\n", _LINE)):
     _CLASS[list(_signs)] = _kind
 _CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x80:] = _DIGIT, _CAPITAL, _BEYOND
@@ -44,8 +44,8 @@ def _statistics(batches, keep: list[str]):
     for chunk in ta.chunks(batches):
         data, offsets = ta.buffers(chunk.column("text"))
         n_docs = chunk.num_rows
-        doc = np.repeat(np.arange(n_docs), np.diff(offsets))
-        signs = np.bincount(doc * 9 + _CLASS[data], minlength=9 * n_docs).reshape(n_docs, 9)
+        doc = np.repeat(np.arange(n_docs, dtype=np.int32) * 9, np.diff(offsets))
+        signs = np.bincount(doc + _CLASS[data], minlength=9 * n_docs).reshape(n_docs, 9)
         s, e, before = ta.words(data, offsets)
         h = ta.span_hash(data, s, e)
         n = np.diff(before)

@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
-_BLOCK_WORDS = 1 << 18
+CHUNK_BYTES = 2 << 20
+_BLOCK_WORDS = 1 << 17
 _U = np.uint64
 
 
