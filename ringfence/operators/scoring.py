@@ -99,18 +99,24 @@ def scoring_input(txns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """One row per event: the first of its rows, keyed by ``transaction_id``."""
+    """One row per event: the first of its rows, keyed by ``transaction_id``.
+    Written once, as every detector reads it several times."""
+    from ..session import materialize
+
     cols = [c for c in INPUT_COLUMNS if c != "transaction_id"]
-    return (rows.groupBy("__event").agg(F.min_by(F.struct(*cols), "__row").alias("e"))
-            .select(F.col("__event").alias("transaction_id"), "e.*"))
+    first = rows.groupBy("__event").agg(F.min_by(F.struct(*cols), "__row").alias("e"))
+    return materialize(first.select(F.col("__event").alias("transaction_id"), "e.*"), "scoring-events")
 
 
 def ato_events(events: DataFrame, auth: DataFrame, p: ScoringParams) -> DataFrame:
     """W4 -> R6: events of an account within ``ato_hold_us`` after (or at) an
     auth event of a fan-in on it."""
+    from ..session import materialize
+
+    auth = materialize(auth.select("event_id", "device_id", "account_id", "timestamp"), "scoring-auth")
     fan_in = DT.ato_fan_in_rows(auth, p.ato_window_us, p.ato_min_accounts, episode=True).select("event_id")
-    hits = (auth.join(fan_in, "event_id", "left_semi")
-            .select("account_id", epoch_us("timestamp").alias("t"), F.lit(1).cast("long").alias("n_ato")))
+    hits = materialize(auth.join(fan_in, "event_id", "left_semi")
+                       .select("account_id", epoch_us("timestamp").alias("t"), F.lit(1).cast("long").alias("n_ato")), "scoring-takeovers")
     rows = events.select("transaction_id", "account_id", epoch_us("timestamp").alias("__t"))
     out = range_sums(rows, ["account_id"], "__t", "transaction_id", {"n_ato": F.lit(1).cast("long")},
                      lower=-p.ato_hold_us, upper=0, points=hits)
