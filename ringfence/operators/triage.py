@@ -117,6 +117,21 @@ def containment_actions(scored: DataFrame, policy: DataFrame) -> DataFrame:
                     F.posexplode("actions").alias("action_seq", "action")))
 
 
+# Fixed value: the action that blocks a subnet for a day.
+SUBNET_ACTION = "BLOCK_SUBNET_24H"
+
+
+def subnet_blocks(actions: DataFrame, scored: DataFrame, txns: DataFrame) -> DataFrame:
+    """R7 -> R8: (subnet, blocked_at) of the subnet actions; a block starts
+    when the blocked transaction was processed."""
+    from ..functions.scalars import ipv4_subnet
+
+    hit = actions.filter(F.col("action") == SUBNET_ACTION).select("transaction_id").distinct()
+    at = scored.select("transaction_id", F.col("processed_at").alias("blocked_at")).join(hit, "transaction_id", "left_semi")
+    subnet = txns.select("transaction_id", ipv4_subnet("ip_address").alias("subnet")).filter("subnet is not null")
+    return at.join(subnet, "transaction_id").select("subnet", "blocked_at")
+
+
 # Cardholder reply codes -> hold outcome.
 REPLY_OUTCOME = {"1": "RELEASED", "2": "BLOCKED_PERMANENT"}
 

@@ -390,6 +390,17 @@ FROM blocks GROUP BY device_id
 HAVING max(blocked_at) + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)
 """
 
+SQL["screen_subnet_blocks"] = SCORED + f""",
+net AS (SELECT transaction_id, regexp_extract(ip_address, '^([^.]*[.][^.]*[.][^.]*)', 1) AS subnet, epoch_us(ts) AS t FROM txn),
+blk AS (SELECT n.subnet, epoch_us(s.processed_at) AS b FROM scored s JOIN net n USING (transaction_id)
+        WHERE s.verdict = 'BLOCKED' AND s.vector = 'BIN_ATTACK')
+SELECT * FROM (
+  SELECT n.transaction_id, n.subnet,
+         (SELECT COUNT(*) FROM blk WHERE blk.subnet = n.subnet AND blk.b > n.t - {DAY_US} AND blk.b <= n.t) AS n_active_blocks
+  FROM net n)
+WHERE n_active_blocks > 0
+"""
+
 SQL["containment_actions"] = SCORED + f""",
 pol AS ({_ACTIONS})
 SELECT s.transaction_id, s.account_id, s.vector, p.action_seq, p.action

@@ -24,7 +24,7 @@ from ..operators import ml as ML
 from ..operators import scoring as SCR
 from ..operators import triage as TR
 from ..operators.sliced import DAY_US, HOUR_US
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from ..sources import io as IO
 from ..sources import testdata as td
 from ..streaming import streams as ST
@@ -191,6 +191,18 @@ def q_screen_blocklist(spark, sf_dir):
     return out.filter("is_blocked").select("transaction_id", "device_id", "n_active_blocks")
 
 
+@register("screen_subnet_blocks")
+def q_screen_subnet_blocks(spark, sf_dir):
+    """R7 -> R8 -> J6: transactions on a subnet that a BIN attack got blocked
+    in the 24 hours before."""
+    t = td.transactions(spark, sf_dir)
+    sc = materialize(scored(spark, sf_dir), "scored")
+    blocks = TR.subnet_blocks(TR.containment_actions(sc, SCR.policy_table(spark)), sc, t)
+    rows = t.select("transaction_id", SC.ipv4_subnet("ip_address").alias("subnet"), "timestamp")
+    out = TR.screen_blocklist(rows, blocks, "subnet", 24 * HOUR_US)
+    return out.filter("is_blocked").select("transaction_id", "subnet", "n_active_blocks")
+
+
 @register("active_blocklist")
 def q_active_blocklist(spark, sf_dir):
     as_of = td.table(spark, sf_dir, "events").select(F.max("ts")).scalar()
