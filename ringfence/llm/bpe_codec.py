@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import pieces
 from . import text_arrays as ta
+from .staging import bounded_batches
 
 class WordBpe:
     def __init__(self, path: str):
@@ -107,7 +108,7 @@ def _round_trip(batches, path: str):
 
 
 def _input(docs: DataFrame, column: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), column)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), column)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

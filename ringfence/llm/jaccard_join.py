@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .components import components
-from .staging import staged
+from .staging import bounded_batches, staged
 
 POOL_TOP = (1 << 64) // 5          # pool: shingle hashes below this
 PIVOT_ROWS = 256                   # comparisons that share one shipped pivot set
@@ -140,7 +140,7 @@ def _compare(batches):
 class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.percent = percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+        self.docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                                 F.xxhash64("text").alias("text_hash"))
         self.sets = partial(_sets, width=width, percent=percent)
 

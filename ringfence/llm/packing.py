@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import pieces
 from . import text_arrays as ta
-from .staging import drop_staged, staged
+from .staging import bounded_batches, drop_staged, staged
 
 PART_ITEMS = 16_384
 ROUNDS = 8
@@ -105,7 +105,7 @@ def _cut_tokens(batches, path: str, size: int, end_id: int, with_ids: bool):
 
 def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]); ``ids``: little-endian unsigned 32-bit."""
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return (bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .mapInArrow(partial(_cut_tokens, path=path, size=size, end_id=end_id, with_ids=with_ids),
                         _PIECE + (", ids binary" if with_ids else "")))
 

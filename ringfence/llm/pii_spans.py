@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .staging import staged
+from .staging import bounded_batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -216,7 +216,7 @@ def fit_spans(features: np.ndarray, target: np.ndarray, weight: np.ndarray, ridg
 
 def labelled(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base spans and proposed spans with votes and features; written once."""
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label, _ROW), "labelled-spans")
+    return staged(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label, _ROW), "labelled-spans")
 
 
 def train(rows: DataFrame, sample_rows: int = 20_000) -> np.ndarray:

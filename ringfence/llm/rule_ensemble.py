@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .labelled import held_out, with_labels
+from .staging import bounded_batches
 
 STATS = [f"stat_{s}" for s in (
     "n_words", "word_bytes", "short_words", "long_words", "symbols", "exclaims", "bars", "capitals", "digits", "points",
@@ -68,7 +69,7 @@ def _statistics(batches, keep: list[str]):
 def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns ``keep`` and ``STATS`` of every row."""
     keep = ["doc_id", *keep]
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*keep, *({"text"} - set(keep)))
+    rows = bounded_batches(docs).withColumn("doc_id", F.col("doc_id").cast("long")).select(*keep, *({"text"} - set(keep)))
     types = [f"`{c}` {t}" for c, t in rows.select(*keep).dtypes] + [f"{x} double" for x in STATS]
     return rows.mapInArrow(partial(_statistics, keep=keep), ", ".join(types))
 

@@ -17,6 +17,21 @@ from ..session import ensure_checkpoint_dir, scratch_path
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Rows and bytes of text that go to a Python worker at once. Spark's default of
+# 10,000 rows says nothing about bytes, and texts are long.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are bounded for texts (smaller settings stay)."""
+    conf = df.sparkSession.conf
+    for key, most in _BATCH.items():
+        now = conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 @contextmanager
 def released_shuffles(spark: SparkSession):
     """Inside, a finished write or action drops its own shuffle files."""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .staging import staged
+from .staging import bounded_batches, staged
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
 FLUSH_WINDOWS = 1_500_000
@@ -200,7 +200,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep: tuple[str, .
     """Per row of ``docs``: doc_id, n_words, n_removed, the kept words joined
     by one space (``kept_text``) and the columns ``keep``, which may not be
     called as any of these."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << min(20, max(8, int(size // BUCKET_BYTES).bit_length()))
     windows = docs.select("doc_id", "text").mapInArrow(partial(_window_rows, width=width, buckets=buckets), _PACKED_TYPES)

@@ -62,6 +62,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of record batches with at most ``limit`` text bytes each (or one row)."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         _, offsets = buffers(batch.column(column))
         lo, n = 0, batch.num_rows
@@ -70,6 +71,7 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[
             hi = min(max(hi, lo + 1), n)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        pool.release_unused()  # idle workers share an executor's memory
 
 
 def spans_where(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .labelled import held_out, with_labels
+from .staging import bounded_batches
 
 TRAIN_ROWS = 8_000
 FEATURES = 256
@@ -181,7 +182,7 @@ def _score(batches, model: ToxicModel):
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = TRAIN_ROWS) -> ToxicModel:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = (with_labels(rows, labels, target, max_rows).select("doc_id", "text", "label")
               .mapInArrow(_sample_features, "label int, doc_id long, features binary, swapped binary").toArrow().sort_by("doc_id"))
     features = [np.frombuffer(x, np.uint64) for x in sample["features"].to_pylist()]
