@@ -23,6 +23,9 @@ from ringfence.llm.staging import documents, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Near duplicates: sets of 5-word shingles with a Jaccard similarity of 0.8 or
+# more. The 3 words and 0.9 of op3_jaccard_join are that query's own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents."""
     docs = _numbered(docs)
-    groups = jaccard_join.jaccard_components(docs)
+    groups = jaccard_join.jaccard_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
     return docs.join(first, docs.doc_id.eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id"])
 
