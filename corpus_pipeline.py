@@ -48,9 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of words that an earlier document has."""
+    """Texts without the windows of words that a document with a smaller id
+    has; all else of a text, white space too, stays as it is."""
     docs = _numbered(docs)
-    kept = substring_dedup.remove_repeated_windows(docs, keep=("lang", "source"))
+    kept = substring_dedup.remove_repeated_windows(docs, keep=("lang", "source"), joined=False)
     return _numbered(kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")))
 
 

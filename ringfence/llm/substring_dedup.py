@@ -34,6 +34,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +163,15 @@ class _Hits:
         return self.hashes[lo:hi]
 
 
-def _remove(batches, width: int, keep: list[str]):
+def _cut(texts: pa.Array, data, offsets, s, e, before, kept) -> pa.Array:
+    """The texts without the runs of words not kept, from the first byte of a
+    run to its last; a text that keeps all its words, or null, is as it was."""
+    a, b, runs = ta.spans_where(~kept, before)
+    cut = ta.cut_spans(data, offsets, s[a], e[b - 1])
+    return pc.if_else(pa.array(np.diff(runs) > 0), cut, texts.cast(pa.string()))
+
+
+def _remove(batches, width: int, keep: list[str], joined: bool):
     """Rows come sorted by part, its repeated hashes before its texts."""
     waiting: dict[int, list] = {}
     hits: dict[int, _Hits] = {}
@@ -190,16 +199,19 @@ def _remove(batches, width: int, keep: list[str]):
             kept = np.cumsum(step)[:len(s)] == 0
             left = np.append(0, np.cumsum(kept))[before]
             n = np.diff(before)
+            text = ta.join_spans(data, s[kept], e[kept], left) if joined else _cut(texts.column("text"), data, offsets, s, e, before, kept)
             yield pa.RecordBatch.from_arrays(
                 [texts.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()),
-                 ta.join_spans(data, s[kept], e[kept], left), *(texts.column(c) for c in keep)],
+                 text, *(texts.column(c) for c in keep)],
                 ["doc_id", "n_words", "n_removed", "kept_text", *keep])
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, the kept words joined
-    by one space (``kept_text``) and the columns ``keep``, which may not be
-    called as any of these."""
+def remove_repeated_windows(docs: DataFrame, width: int = 13, keep: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, ``kept_text`` and the
+    columns ``keep``, which may not be called as any of these. ``kept_text``
+    is the kept words joined by one space or, if not ``joined``, the text as
+    it is but for the removed runs of words: the white space around a run
+    stays, and a null text stays null."""
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << min(20, max(8, int(size // BUCKET_BYTES).bit_length()))
@@ -211,5 +223,5 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep: tuple[str, .
     both = texts.unionByName(repeated, allowMissingColumns=True)
     types = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] if keep else []
     return (both.repartition("key").sortWithinPartitions("key", F.col("hashes").isNull())
-            .mapInArrow(partial(_remove, width=width, keep=list(keep)),
+            .mapInArrow(partial(_remove, width=width, keep=list(keep), joined=joined),
                         ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *types])))

@@ -55,3 +55,43 @@ def test_near_duplicates_link_from_five_words_and_four_fifths(spark):
     got = corpus_pipeline.near_duplicates(spark, cases.frame(spark, pairs), SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(first.values())
     assert {r.doc_id: r.text for r in got} == {i: t for i, t in pairs if i in first.values()}
+
+
+def cut_text(text, covered):
+    """``text`` without its maximal runs of covered words."""
+    spans, out, at = [m.span() for m in cases.WORD.finditer(text)], "", 0
+    for k, (a, b) in enumerate(spans):
+        if covered[k]:
+            if k == 0 or not covered[k - 1]:
+                out += text[at:a]
+            at = b
+    return out + text[at:]
+
+
+def covered_words(pairs, width=13):
+    """Per pair of distinct, non-null ids: which words an earlier document's windows cover."""
+    seen, out = set(), {}
+    for i, t in sorted(pairs):
+        w = cases.words(t)
+        grams = [tuple(w[k:k + width]) for k in range(len(w) - width + 1)]
+        out[i] = [any(g in seen for g in grams[max(0, k - width + 1):k + 1]) for k in range(len(w))]
+        seen.update(grams)
+    return out
+
+
+def test_substring_stage_keeps_white_space(spark):
+    r = random.Random(14)
+    passage = "\n".join(f"p{k} é{k}" for k in range(10))
+    pairs = [(i, t) for i, t in enumerate(cases.texts(seed=8))]
+    pairs += [(500, f"\n first\tline  \n\n{passage}\n last \r\n"), (501, f"4111 1111\n{passage}\n1111 1111"), (502, passage),
+              (503, f"{passage}\n\n{passage} x\n"), (504, "card 4111 1111\n1111 1111 and\n  no\u00a0repeat\n"), (505, None), (506, ""), (507, " \n")]
+    for i in range(600, 640):
+        lines = [" ".join(f"{r.choice('abcdef')}{r.randrange(900)}" for _ in range(r.randrange(1, 9))) for _ in range(12)]
+        pairs.append((i, r.choice(["\n", "\r\n", "\n\n  "]).join(lines)))
+    covered = covered_words(pairs)
+    expected = {i: None if t is None else cut_text(t, covered[i]) for i, t in pairs}
+    assert expected[500] == pairs[-48][1] and "4111 1111\n\n1111 1111" == expected[501] and expected[502] == ""
+    got = corpus_pipeline.repeated_passages(spark, cases.frame(spark, pairs), SF).collect()
+    assert {x.doc_id: x.text for x in got} == expected and len(got) == len(pairs)
+    assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in got)
+    assert {i: t for i, t in pairs if not any(covered[i])}.items() <= {x.doc_id: x.text for x in got}.items()
