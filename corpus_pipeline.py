@@ -4,7 +4,9 @@ Every stage works on all documents its predecessor kept; all but the last
 give the columns of ``documents``. ``run`` writes each stage as Parquet and
 rereads it, so a lost executor never costs more than one stage.
 
-Defined cases: rows that repeat an id are one document to the later stages;
+Defined cases: rows that repeat both id and text are one document; texts that
+differ stay apart whatever their ids, null or repeated (only substring_dedup
+takes rows of one id as one document, which never cut each other);
 stages keep the columns lang and source as they are and recount n_chars;
 columns that ``documents`` doesn't have are dropped; an empty table stays
 empty through all stages.
@@ -40,11 +42,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
-    docs = _numbered(docs)
-    groups = jaccard_join.jaccard_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    return docs.join(first, docs.doc_id.eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The first text of each group of linked texts, by id (null last) and
+    then by a hash of the text; of rows with its id and text, the smallest."""
+    docs = _numbered(docs).withColumn("_hash", F.xxhash64("text"))
+    first = (jaccard_join.component_firsts(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
+             .withColumnsRenamed({"doc_id": "_id", "text_hash": "_first"}))
+    kept = docs.join(first, (F.col("_hash") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    one = kept.groupBy("doc_id", "_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,7 +198,8 @@ class _Join:
         return (compared.filter(self.similar(F.col("common"), F.col("nx"), F.col("np")))
                 .select(F.col("x").alias("u"), F.col("p").alias("v")))
 
-    def run(self) -> DataFrame:
+    def run(self):
+        """(rows with their class, label of each class that has a link)."""
         rows = staged(self.docs.mapInArrow(partial(self.sets, full=False), _SET_TYPES), "shingle-sets")
         self.full = self._full_sets(rows, staged(self.candidates(rows), "candidates"))
         grouped = staged(self.prefixes(self.full), "prefixes")
@@ -243,7 +244,7 @@ class _Join:
             posts = staged(self._open(self._without_pivots(posts), label), f"lists-{turn}")
         if label is None:
             label = components(edges)
-        return self._result(rows, label)
+        return rows, label
 
     def _full_sets(self, rows, candidates):
         """(cls, n, tokens): the whole sets of the candidate classes, from one text of each."""
@@ -309,7 +310,8 @@ class _Join:
                 .filter("cx != x or cp != p").select(F.col("cx").alias("x"), F.col("cp").alias("p")))
         return self.links(compared).unionByName(self.links(self.verified(staged(wide, "members"))))
 
-    def _result(self, rows, label):
+    def result(self) -> DataFrame:
+        rows, label = self.run()
         one = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
         one = one.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         linked = one.join(one.groupBy("label").agg(F.min("first_id").alias("component_id")), "label").select("cls", "component_id")
@@ -317,7 +319,23 @@ class _Join:
                 .select("doc_id", "n_shingles",
                         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
+    def firsts(self) -> DataFrame:
+        rows, label = self.run()
+        rows = rows.select("cls", "n", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("row"))
+        one = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"))
+        linked = (one.join(label.withColumnRenamed("node", "cls"), "cls", "left")
+                  .groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("row").alias("row")).select("row.*"))
+        return linked.unionByName(rows.filter("n = 0").select("row.*").distinct()).select("doc_id", "text_hash")
+
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (set size) and component_id."""
-    return _Join(docs, width, percent).run()
+    return _Join(docs, width, percent).result()
+
+
+def component_firsts(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, text_hash) of the first text of each component: the smallest
+    id (null after all others), then the smallest ``xxhash64(text)``. Rows are
+    told apart by id and text, so neither null nor repeated ids merge
+    components; each id and text without words stands for itself."""
+    return _Join(docs, width, percent).firsts()

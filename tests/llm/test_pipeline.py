@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 from . import cases
@@ -95,3 +97,24 @@ def test_substring_stage_keeps_white_space(spark):
     assert {x.doc_id: x.text for x in got} == expected and len(got) == len(pairs)
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in got)
     assert {i: t for i, t in pairs if not any(covered[i])}.items() <= {x.doc_id: x.text for x in got}.items()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_near_duplicates_with_null_and_repeated_ids(spark, parts):
+    r = random.Random(31)
+
+    def text(tag):
+        return " ".join(f"{tag}{r.randrange(9000)}" for _ in range(60))
+
+    copied, near = text("c"), text("d")
+    pairs = [(None, text(f"n{k}")) for k in range(20)]
+    pairs += [(1, copied), (9, copied), (9, text("u")), (2, near), (None, near + " x"), (None, copied), (12, text("v")), (12, text("w"))]
+    pairs += [(30, text("a"))] * 3 + [(None, text("b"))] * 2 + [(None, None), (None, None), (None, ""), (40, ""), (41, "")]
+    group, best = near_groups(pairs), {}
+    for (i, t), g in zip(pairs, group):
+        key = g if cases.words(t) else (i, t)
+        best.setdefault(key, set()).add((i is None, i or 0, t or "", i, t))
+    expected = [min(rows, key=lambda x: x[:2]) for rows in best.values()]
+    got = corpus_pipeline.near_duplicates(spark, cases.frame(spark, pairs).repartition(parts), SF).collect()
+    assert cases.as_multiset([(x.doc_id, x.text) for x in got]) == cases.as_multiset([x[3:] for x in expected])
+    assert sum(x.doc_id is None and bool(x.text) for x in got) == 21 and sum(x.doc_id == 9 for x in got) == 1
