@@ -37,7 +37,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ from .components import components
 from .staging import bounded_batches, staged
 
 POOL_TOP = (1 << 64) // 5          # pool: shingle hashes below this
+SLICES = 4                         # of the shingles, a power of 2
 PIVOT_ROWS = 256                   # comparisons that share one shipped pivot set
 _SET_TYPES = "doc_id long, text_hash long, cls long, n long, m long, tokens array<long>"
 _SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()),
@@ -147,15 +148,22 @@ class _Join:
     def similar(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
+    def slices(self, sets: DataFrame, *columns: str):
+        """(token, columns) of all shingles, by slice of the shingles: the shuffles of one slice are on disk at a time."""
+        posts = sets.select(F.explode("tokens").alias("token"), *columns)
+        return [posts.filter(F.col("token").bitwiseAND(F.lit(SLICES - 1).cast("long")) == k) for k in range(SLICES)]
+
     def candidates(self, rows: DataFrame) -> DataFrame:
         """(cls, n) of the classes with a shared shingle in their prefix of the pool order."""
-        posts = rows.select(F.explode("tokens").alias("token"), "cls", "n", "m")
-        shared = (posts.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-                  .filter("lo != hi").select("token"))
         # the pool is the low fifth of the unsigned range: non-negative here
         in_pool = ((F.col("token") >= 0) & (F.col("token") < F.lit(POOL_TOP))).cast("long")
-        met = (posts.join(shared, "token").select("cls", "n", "m", "token").distinct()
-               .groupBy("cls", "n", "m").agg(F.sum(in_pool).alias("inner")))
+        met = []
+        for posts in self.slices(rows, "cls", "n", "m"):
+            shared = (posts.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+                      .filter("lo != hi").select("token"))
+            met.append(staged(posts.join(shared, "token").select("cls", "n", "m", "token").distinct()
+                              .groupBy("cls", "n", "m").agg(F.sum(in_pool).alias("inner")), "met"))
+        met = reduce(DataFrame.unionByName, met).groupBy("cls", "n", "m").agg(F.sum("inner").alias("inner"))
         # single shingles come first: the prefix has m - inner of them, if they don't fill it
         return met.filter((F.col("m") < self.prefix_size("n")) | (F.col("m") - F.col("inner") < self.prefix_size("n"))).select("cls", "n")
 
@@ -165,9 +173,11 @@ class _Join:
     def prefixes(self, full: DataFrame) -> DataFrame:
         """(cls, n, own, prefix): the shared shingles of each class's prefix, rarest
         first; they follow ``own`` shingles of that class alone."""
-        posts = full.select(F.explode("tokens").alias("token"), "cls", "n")
-        shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-        both = (posts.join(shared, "token").groupBy("cls", "n")
+        met = []
+        for posts in self.slices(full, "cls", "n"):
+            shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+            met.append(staged(posts.join(shared, "token"), "shared"))
+        both = (reduce(DataFrame.unionByName, met).groupBy("cls", "n")
                 .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")))
         own = F.col("n") - F.size("tokens")
         return (both.withColumn("own", own).filter(F.col("own") < self.prefix_size("n"))
