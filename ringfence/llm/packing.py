@@ -110,9 +110,10 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2,
                         _PIECE + (", ids binary" if with_ids else "")))
 
 
-def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Bins that any packing needs, by dual feasible functions."""
-    w, n = np.unique(lengths, return_counts=True)
+def lower_bound(lengths: np.ndarray, size: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing needs, by dual feasible functions. With
+    ``counts``, ``lengths`` are distinct and occur so many times each."""
+    w, n = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     if not len(w):
         return 0
     best = -(-int((w * n).sum()) // size)
@@ -193,7 +194,7 @@ def pack(pieces_df: DataFrame, size: int = 1024) -> DataFrame:
     full, items = table.filter(F.col("length") == size), table.filter(F.col("length") < size)
     lengths = items.groupBy("length").count().collect()  # at most one row for each length
     n_items = sum(r["count"] for r in lengths)
-    goal = lower_bound(np.repeat([r["length"] for r in lengths], [r["count"] for r in lengths]), size) if n_items else 0
+    goal = lower_bound(np.array([r["length"] for r in lengths], np.int64), size, np.array([r["count"] for r in lengths], np.int64))
     kept, pool, pool_bins, locked = [], items, None, 0
     last = None
     for turn in range(ROUNDS):
