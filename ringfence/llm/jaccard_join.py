@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .components import components
-from .staging import bounded_batches, staged
+from .staging import bounded_batches, drop_staged, staged
 
 POOL_TOP = (1 << 64) // 5          # pool: shingle hashes below this
 SLICES = 4                         # of the shingles, a power of 2
@@ -163,6 +163,7 @@ class _Join:
                       .filter("lo != hi").select("token"))
             met.append(staged(posts.join(shared, "token").select("cls", "n", "m", "token").distinct()
                               .groupBy("cls", "n", "m").agg(F.sum(in_pool).alias("inner")), "met"))
+        self.parts = met
         met = reduce(DataFrame.unionByName, met).groupBy("cls", "n", "m").agg(F.sum("inner").alias("inner"))
         # single shingles come first: the prefix has m - inner of them, if they don't fill it
         return met.filter((F.col("m") < self.prefix_size("n")) | (F.col("m") - F.col("inner") < self.prefix_size("n"))).select("cls", "n")
@@ -177,6 +178,7 @@ class _Join:
         for posts in self.slices(full, "cls", "n"):
             shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
             met.append(staged(posts.join(shared, "token"), "shared"))
+        self.parts = met
         both = (reduce(DataFrame.unionByName, met).groupBy("cls", "n")
                 .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")))
         own = F.col("n") - F.size("tokens")
@@ -211,8 +213,12 @@ class _Join:
     def run(self):
         """(rows with their class, label of each class that has a link)."""
         rows = staged(self.docs.mapInArrow(partial(self.sets, full=False), _SET_TYPES), "shingle-sets")
-        self.full = self._full_sets(rows, staged(self.candidates(rows), "candidates"))
+        candidates = staged(self.candidates(rows), "candidates")
+        sets, rows = rows, staged(rows.select("doc_id", "text_hash", "cls", "n"), "rows")
+        drop_staged(sets, *self.parts)
+        self.full = self._full_sets(rows, candidates)
         grouped = staged(self.prefixes(self.full), "prefixes")
+        drop_staged(*self.parts)
         key = ["n", "own", "prefix"]
         groups = grouped.groupBy(*key).agg(F.min("cls").alias("rep"))
         member = staged(grouped.join(groups, key).select("cls", "rep", "n", "own", "prefix"), "groups")
@@ -254,6 +260,7 @@ class _Join:
             posts = staged(self._open(self._without_pivots(posts), label), f"lists-{turn}")
         if label is None:
             label = components(edges)
+        drop_staged(self.full)
         return rows, label
 
     def _full_sets(self, rows, candidates):
