@@ -107,10 +107,100 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_remo
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
+TREE_SCORES = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+FILTERS = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS ws,
+                  min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+d AS (
+  SELECT part, coalesce(quality = 1, FALSE) AS good, coalesce(toxic = 1, FALSE) AS bad,
+         [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'), first_id < doc_id] AS fails
+  FROM t LEFT JOIN labels USING (doc_id)),
+f AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, o, s AS step, o[s] AS own FROM orders, unnest(range(1, 6)) AS r(s)),
+seen AS (
+  SELECT part, good, bad, filter_order, step, own, fails[own] AS fails_it,
+         len(list_filter(o[:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM d, steps),
+counted AS (
+  SELECT part, filter_order, step, own, sum((NOT gone AND NOT fails_it)::INT)::BIGINT AS kept, sum((NOT gone AND fails_it)::INT)::BIGINT AS removed,
+         sum((gone AND fails_it)::INT)::BIGINT AS redundant, sum((fails_it AND n_fails = 1)::INT)::BIGINT AS unique_fails,
+         sum((NOT gone AND fails_it AND good)::INT)::BIGINT AS good_lost, sum((NOT gone AND fails_it AND bad)::INT)::BIGINT AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+"""
+
+
+def _value(x: str) -> str:
+    return f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_value(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_CRC = ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: "
+        "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)")
+
+
+def _merkle() -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(lower)} ELSE {_leaf("text")} END AS changed
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos FROM leaves),
+low(g, lvl, pos, h, n) AS (
+  SELECT g, 0, pos, leaf, count(*) OVER (PARTITION BY g) FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), max(n + 7) // 8 FROM low WHERE n > 1 GROUP BY g, lvl, pos // 8),
+subroots AS (SELECT g, lvl AS height, h, row_number() OVER (ORDER BY g) - 1 AS pos FROM low WHERE n = 1),
+high(lvl, pos, h, n) AS (
+  SELECT 0, pos, h, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), max(n + 7) // 8 FROM high WHERE n > 1 GROUP BY lvl, pos // 8),
+nodes AS (
+  SELECT g, lvl, pos, h FROM low WHERE n > 1
+  UNION ALL SELECT s.g, s.height + high.lvl, high.pos, high.h FROM subroots s, high WHERE n > 1),
+-- the place of every leaf on every level of its way to the root
+way(doc_id, g, leaf, lvl, pos, at_top, up) AS (
+  SELECT p.doc_id, p.g, p.leaf, 0, CASE WHEN s.height = 0 THEN s.pos ELSE p.pos END, s.height = 0, s.pos FROM placed p JOIN subroots s USING (g)
+  UNION ALL
+  SELECT w.doc_id, w.g, w.leaf, w.lvl + 1, CASE WHEN NOT w.at_top AND w.lvl + 1 = s.height THEN w.up ELSE w.pos // 8 END,
+         w.at_top OR w.lvl + 1 = s.height, w.up
+  FROM way w JOIN subroots s USING (g) WHERE w.lvl + 1 < s.height + (SELECT max(lvl) FROM high)),
+proofs AS (
+  SELECT w.doc_id, w.leaf, sha256(coalesce(string_agg(n.h, '' ORDER BY n.lvl, n.pos) FILTER (n.pos <> w.pos), '')) AS proof_sha256
+  FROM way w LEFT JOIN nodes n ON n.g = w.g AND n.lvl = w.lvl AND n.pos // 8 = w.pos // 8 GROUP BY w.doc_id, w.leaf),
+folded(doc_id, leaf, lvl, h) AS (
+  SELECT doc_id, leaf, 0, changed FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.lvl + 1, sha256(string_agg(CASE WHEN n.pos = w.pos THEN f.h ELSE n.h END, '' ORDER BY n.pos))
+  FROM folded f JOIN way w ON f.doc_id = w.doc_id AND f.leaf = w.leaf AND f.lvl = w.lvl
+  JOIN nodes n ON n.g = w.g AND n.lvl = w.lvl AND n.pos // 8 = w.pos // 8 GROUP BY f.doc_id, f.leaf, f.lvl),
+last AS (SELECT doc_id, leaf, arg_max(h, lvl) AS folded_root FROM folded GROUP BY doc_id, leaf)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, proof_sha256, folded_root, folded_root = r.h AS verified
+FROM placed p JOIN subroots s USING (g) JOIN (SELECT h FROM high WHERE n = 1) r ON TRUE JOIN proofs USING (doc_id, leaf) JOIN last USING (doc_id, leaf)
+"""
+
+
 SQL = {
     "op2_chat_format": CHAT,
     "op3_jaccard_join": JACCARD,
     "op4_quality_rules": _quality(),
     "op7_one_bit_ann": NEAREST,
     "op10_substring_dedup": SUBSTRINGS,
+    "op11_metric_tree": TREE_SCORES,
+    "op12_filter_audit": FILTERS,
+    "op13_merkle_manifest": _merkle(),
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_query_conf
-from . import ann_codes, bpe_codec, chat_format, jaccard_join, packing, pii_spans, quality_rules, rule_ensemble, substring_dedup, toxicity
+from . import (ann_codes, bpe_codec, chat_format, filter_audit, jaccard_join, merkle, metric_tree, packing, pii_spans, quality_rules,
+               rule_ensemble, substring_dedup, toxicity)
 from .oracle import SQL  # noqa: F401 -- read by the entry
 from .staging import documents, table
 
@@ -79,5 +82,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    return metric_tree.top_scores(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_query_conf(spark)
+    id_hash = F.crc32(F.col("doc_id").cast("string"))
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.manifest(documents(spark, sf_dir), tampered=F.when(id_hash % 3 == 0, lowered).otherwise(F.col("text")))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_chat_format, op3_jaccard_join, op4_quality_rules, op5_best_fit_packing,
-                                  op6_toxicity, op7_one_bit_ann, op8_pii, op9_quality_classifier, op10_substring_dedup)}
+                                  op6_toxicity, op7_one_bit_ann, op8_pii, op9_quality_classifier, op10_substring_dedup, op11_metric_tree,
+                                  op12_filter_audit, op13_merkle_manifest)}
