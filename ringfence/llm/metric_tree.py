@@ -11,7 +11,7 @@ at most N and lie no nearer to q than D holds no score above
   it, are cut into pages of ``PAGE`` rows, so a page is a ring between two radii
   and no routing object, however popular, makes a page larger.
 * **Nodes.** A task builds the M-tree of one page: nodes of at most ``FAN``
-  entries, each with its routing object, covering radius, distance to the
+  children and leaves of at most ``LEAF`` vectors (or copies of one), each with its routing object, covering radius, distance to the
   parent's routing object and largest squared norm.
 * **Search.** A query goes to the page of the best bound first; the k-th best
   score there is its threshold. The pages whose bound reaches the threshold
@@ -48,7 +48,8 @@ from .staging import staged
 
 ROUTERS = 1024         # routing objects of the root, a bounded sample
 PAGE = 4096            # vectors of a page
-FAN = 48               # entries of a node
+FAN = 32               # children of a node
+LEAF = 256             # vectors of a leaf
 QUERIES_A_TASK = 16_384
 RINGS_AT_ONCE = 4096   # pages whose bounds a task compares at once
 _LIMIT = float(1 << 53)
@@ -92,7 +93,7 @@ def _split(vectors: np.ndarray, members: np.ndarray) -> list[tuple[int, np.ndarr
     v = vectors[members]
     pick, chosen = int(np.flatnonzero(members == _middle(vectors, members))[0]), []
     nearest, owner = np.full(len(members), np.inf), np.zeros(len(members), int)
-    for j in range(min(FAN, -(-len(members) // FAN))):
+    for j in range(min(FAN, -(-len(members) // LEAF))):
         gap = v - v[pick]
         far = (gap * gap).sum(axis=1)
         owner[far < nearest] = j
@@ -120,7 +121,7 @@ def build(vectors: np.ndarray) -> dict[str, np.ndarray]:
         up = vectors[node["centre"][parent]] - vectors[centre] if at else np.zeros(1)
         for name, value in (("parent", parent), ("centre", centre), ("radius", to.max()), ("apart", np.sqrt((up * up).sum())), ("most", norm[members].max())):
             node[name].append(value)
-        parts = _split(vectors, members) if len(members) > FAN else []
+        parts = _split(vectors, members) if len(members) > LEAF else []
         todo += [(at, c, m) for c, m in parts]
         if not parts:
             leaf[members], leaf_apart[members] = at, to
@@ -173,13 +174,13 @@ class Tree:
             members = members[((own + self.norm[members] - near * near) / 2 + margin >= limit) & (self.ids[members] != query_id)]
             if not len(members):
                 continue
-            for score, vec_id in zip(scores(self.vectors[members], query).tolist(), self.ids[members].tolist()):
-                if least is not None and score < least:
-                    continue
+            score = scores(self.vectors[members], query)
+            good = score >= limit
+            for one, vec_id in zip(score[good].tolist(), self.ids[members[good]].tolist()):
                 if len(best) < k:
-                    heapq.heappush(best, (score, -vec_id))
-                elif (score, -vec_id) > best[0]:
-                    heapq.heapreplace(best, (score, -vec_id))
+                    heapq.heappush(best, (one, -vec_id))
+                elif (one, -vec_id) > best[0]:
+                    heapq.heapreplace(best, (one, -vec_id))
             if len(best) == k:
                 limit = max(limit, float(best[0][0]))
         return [(s, -v) for s, v in best]
