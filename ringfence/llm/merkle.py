@@ -179,6 +179,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, height: int = HEIG
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("grp"),
                        leaf(F.col("text")).alias("digest"),
                        (F.lit(None).cast("string") if tampered is None else F.when(~tampered.eqNullSafe(F.col("text")), leaf(tampered))).alias("changed"))
+    rows = staged(rows, "merkle-rows")  # the texts are hashed once, not again for the ranges
     leaves = numbered(rows, ["grp"], ["doc_id", "digest"], "merkle-leaves")
     leaves = staged(leaves.withColumn("changed", F.coalesce("changed", "digest")), "merkle-numbered")
     above = _paths(_tops_of(leaves, height), height)
