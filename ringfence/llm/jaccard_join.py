@@ -7,24 +7,28 @@ reaches the threshold t (exactly, in integers). Equal sets form one class.
    first), sets of a and b shingles that link share a shingle in their
    prefixes, the first a - o + 1 and b - o + 1 of each, where o is the
    overlap they need. Shingles of one class only lead nowhere.
-   A first round orders by the frequency of the *pool*, the fixed fifth of
-   the hash range (shingles outside it come last, by hash), so a fifth of
-   all shingles is counted; a second round counts every shingle of the
-   classes that are left and cuts their prefixes anew.
+   A first round orders by the frequency of the *pool*, a fixed part of the
+   hash range of twice a prefix's share (shingles outside it come last, by
+   hash). Its shingles travel packed, and a shingle of several classes of a
+   chunk once a chunk, so a common one is never gathered row by row. It leaves
+   the classes whose prefix may hold a shared shingle; a second round counts
+   every shingle of these and cuts their prefixes anew.
 2. Classes with the same prefix and size collapse into one group. Members
    are checked against the group's representative; those it does not link to
-   leave the group, so a group has radius <= 1 - t.
-3. Groups meet in lists keyed by (prefix shingle, size band). Instead of all
-   pairs of a list, a round compares its members with one pivot (the one with
-   the fewest shingles of its own) and drops the pivot; a list whose members
-   are in one component is finished. A group pair is filtered by the sizes
-   and by the places of the shared shingle, then by the representatives'
-   distance: Jaccard distance is a metric, so a pair further apart than 1 - t
-   plus both radii has no linked members. The rest expand to members, and
-   every link is verified on whole sets.
-4. When the pairs left over in lists no longer exceed their postings, or a
-   round no longer halves them, the remaining filtered pairs are verified
-   at once. Nothing is capped or dropped.
+   leave the group.
+3. Representatives meet in lists keyed by (prefix shingle, size band). Each is
+   compared with one pivot of the list, the one with the fewest shingles of its
+   own. Everything that links to a representative or a pivot forms a star around
+   it; a star's radius is its members' largest distance.
+4. Lists are folded to one entry a star and closed when their entries are in
+   one component. Where stars of different components are left, a list of more
+   than ``LIST`` of them is compared with a few pivots a round (of different
+   components), which then leave it; a shorter one pair by pair. A pair is
+   filtered by sizes and places of the shared shingle. Jaccard distance is a
+   metric, so two stars further apart than 1 - t plus both radii have no linked
+   members. The rest expand: members are compared with the other star's centre,
+   then only those pairs that both centres allow with one another. Every link is
+   verified on whole sets. Nothing is capped or dropped.
 
 A set is identified by a 64-bit hash of its 64-bit shingle hashes and size.
 
@@ -41,19 +45,23 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .components import components
+from .numbering import sorted_groups
 from .staging import bounded_batches, drop_staged, staged
 
-POOL_TOP = (1 << 64) // 5          # pool: shingle hashes below this
-SLICES = 4                         # of the shingles, a power of 2
+BUCKET_TOKENS = 1 << 18            # pool shingles that meet in a bucket, about
+PACK_TOKENS = 1 << 20              # pool shingles that a task packs at once
 PIVOT_ROWS = 256                   # comparisons that share one shipped pivot set
-_SET_TYPES = "doc_id long, text_hash long, cls long, n long, m long, tokens array<long>"
-_SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()),
-                         ("m", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+LIST = 512                         # stars that a list compares pair by pair
+PIVOTS = 16                        # of a longer list, in its first round
+_SET_TYPES = "cls long, n long, tokens array<long>"
+_SET_SCHEMA = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_POOL_TYPES = "doc_id long, text_hash long, cls long, n long, m long, inner long, bucket long, packed binary"
+_POOL_SCHEMA = pa.schema([*((c, pa.int64()) for c in ("doc_id", "text_hash", "cls", "n", "m", "inner", "bucket")), ("packed", pa.binary())])
 
 
 def _shingles(data, offsets, width: int):
@@ -80,14 +88,8 @@ def _shingles(data, offsets, width: int):
     return g, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def _prefix_size(n, percent: int):
-    return n + (-percent * n // 100) + 1
-
-
-def _sets(batches, width: int, percent: int, full: bool):
-    """Per row: class, set size and, for the first row of a class in a chunk,
-    its pool and as much more as a prefix needs (or, if ``full``, its whole
-    set), ascending; other rows have no shingles."""
+def _classes(batches, width: int):
+    """By chunk: (batch, shingle hashes, before each row, set sizes, classes, first row of a class in its chunk)."""
     for chunk in ta.chunks(batches):
         g, before = _shingles(*ta.buffers(chunk.column("text")), width)
         n = np.diff(before)
@@ -97,19 +99,97 @@ def _sets(batches, width: int, percent: int, full: bool):
             if len(rows):
                 total[rows] = np.add.reduceat(ta._mix(g), before[:-1][rows])
             cls = ta._mix(total + n.astype(np.uint64)).view(np.int64)
+        cls = np.where(cls == 0, 1, cls)  # 0 has a meaning of its own in _pool
         first = np.zeros(len(n), dtype=bool)
         first[np.unique(cls, return_index=True)[1]] = True
-        first &= n > 0
-        pool = np.append(0, np.cumsum(g < np.uint64(POOL_TOP)))[before]
-        m = np.diff(pool)
-        take = n if full else np.maximum(m, np.minimum(n, _prefix_size(n, percent)))
-        take = np.where(first, take, 0)
+        yield chunk, g, before, n, cls, first & (n > 0)
+
+
+def _full_sets(batches, width: int):
+    """Whole sets, ascending, of the classes that begin in a chunk."""
+    for _, g, before, n, cls, first in _classes(batches, width):
+        take = np.where(first, n, 0)
+        at = np.flatnonzero(np.repeat(first, n))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take))[np.append(np.flatnonzero(first), len(n))], pa.int32()),
+                                         pa.array(g[at].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(n[first].astype(np.int64)), lists], schema=_SET_SCHEMA)
+
+
+def _pool(batches, width: int, percent: int, buckets: int):
+    """A row per document, and the first ordered shingles of its classes packed by bucket."""
+    top = np.uint64(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
+    held: list[tuple] = []
+
+    def pack(held):
+        rows, tokens, of = (np.concatenate(x) for x in zip(*((r, t, o) for r, t, o in held)))
+        order = np.lexsort((of, tokens))
+        tokens, of = tokens[order], of[order]
+        new = np.append(True, (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])) if len(tokens) else np.zeros(0, bool)
+        tokens, of = tokens[new], of[new]      # a class counts once
+        start = np.append(True, tokens[1:] != tokens[:-1]) if len(tokens) else np.zeros(0, bool)
+        several = np.diff(np.append(np.flatnonzero(start), len(tokens))) > 1
+        met = of[np.repeat(several, np.diff(np.append(np.flatnonzero(start), len(tokens))))]
+        known, count = np.unique(met, return_counts=True)
+        inner = np.zeros(len(rows), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, rows[:, 2]), len(known) - 1)
+            inner = np.where(known[at] == rows[:, 2], count[at], 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[:, 0], pa.int64(), mask=rows[:, 5] == 1), *(pa.array(rows[:, j]) for j in (1, 2, 3, 4)), pa.array(inner),
+             pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], schema=_POOL_SCHEMA)
+        # a shingle of several classes goes once, without one: class 0 stands for more than one
+        one = np.where(several, np.int64(0), of[start])
+        tokens = tokens[start]
+        bucket = (ta._mix(tokens) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((one, bucket))
+        bucket, tokens, one = bucket[order], tokens[order], one[order]
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
+        out = [(int(bucket[a]), tokens[a:b].tobytes() + one[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:])]
+        if out:
+            blank = [pa.nulls(len(out), pa.int64())] * 6
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())],
+                                             schema=_POOL_SCHEMA)
+
+    size = 0
+    for chunk, g, before, n, cls, first in _classes(batches, width):
+        low = np.append(0, np.cumsum(g < top))[before]
+        m = np.diff(low)
+        need = np.minimum(n, n + (-percent * n // 100) + 1)
+        take = np.where(first, np.maximum(m, need), 0)
         edge = np.append(0, np.cumsum(take))
         at = np.arange(edge[-1]) + np.repeat(before[:-1] - edge[:-1], take)
-        tokens = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(g[at].view(np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [chunk.column("doc_id").cast(pa.int64()), chunk.column("text_hash").cast(pa.int64()), pa.array(cls),
-             pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), tokens], schema=_SET_SCHEMA)
+        ids = chunk.column("doc_id").cast(pa.int64())
+        rows = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), chunk.column("text_hash").to_numpy(zero_copy_only=False), cls, n,
+                         np.maximum(m, need), np.asarray(ids.is_null()).astype(np.int64)], axis=1)
+        held.append((rows, g[at], np.repeat(cls, take)))
+        size += len(at) + len(n)
+        if size >= PACK_TOKENS:
+            yield from pack(held)
+            held, size = [], 0
+    if held:
+        yield from pack(held)
+
+
+def _shared(batches):
+    """(cls, inner): of each class, the shingles of this bucket that another one has too."""
+    schema = pa.schema([("cls", pa.int64()), ("inner", pa.int64())])
+    for _, rows in sorted_groups(batches, "bucket"):
+        tokens, of = [], []
+        for blob in rows.column("packed").to_pylist():
+            half = len(blob) // 2
+            tokens.append(np.frombuffer(blob[:half], np.uint64))
+            of.append(np.frombuffer(blob[half:], np.int64))
+        tokens, of = np.concatenate(tokens), np.concatenate(of)
+        order = np.lexsort((of, tokens))
+        tokens, of = tokens[order], of[order]
+        new = np.append(True, (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1]))
+        tokens, of = tokens[new], of[new]
+        start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        count = np.diff(np.append(start, len(tokens)))
+        some = np.add.reduceat((of == 0).astype(np.int64), start) > 0
+        cls, inner = np.unique(of[np.repeat((count > 1) | some, count) & (of != 0)], return_counts=True)
+        for lo in range(0, len(cls), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[lo:lo + (1 << 16)]), pa.array(inner[lo:lo + (1 << 16)].astype(np.int64))], schema=schema)
 
 
 def _edges(lists: pa.ListArray) -> np.ndarray:
@@ -140,60 +220,58 @@ def _compare(batches):
 
 class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.percent = percent
+        self.width, self.percent = width, percent
         self.docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                                 F.xxhash64("text").alias("text_hash"))
-        self.sets = partial(_sets, width=width, percent=percent)
 
     def similar(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
-    def slices(self, sets: DataFrame, *columns: str):
-        """(token, columns) of all shingles, by slice of the shingles: the shuffles of one slice are on disk at a time."""
-        posts = sets.select(F.explode("tokens").alias("token"), *columns)
-        return [posts.filter(F.col("token").bitwiseAND(F.lit(SLICES - 1).cast("long")) == k) for k in range(SLICES)]
-
-    def candidates(self, rows: DataFrame) -> DataFrame:
-        """(cls, n) of the classes with a shared shingle in their prefix of the pool order."""
-        # the pool is the low fifth of the unsigned range: non-negative here
-        in_pool = ((F.col("token") >= 0) & (F.col("token") < F.lit(POOL_TOP))).cast("long")
-        met = []
-        for posts in self.slices(rows, "cls", "n", "m"):
-            shared = (posts.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-                      .filter("lo != hi").select("token"))
-            met.append(staged(posts.join(shared, "token").select("cls", "n", "m", "token").distinct()
-                              .groupBy("cls", "n", "m").agg(F.sum(in_pool).alias("inner")), "met"))
-        self.parts = met
-        met = reduce(DataFrame.unionByName, met).groupBy("cls", "n", "m").agg(F.sum("inner").alias("inner"))
-        # single shingles come first: the prefix has m - inner of them, if they don't fill it
-        return met.filter((F.col("m") < self.prefix_size("n")) | (F.col("m") - F.col("inner") < self.prefix_size("n"))).select("cls", "n")
-
     def prefix_size(self, n):
         return F.col(n) - F.ceil(F.col(n) * self.percent / 100) + 1
 
-    def prefixes(self, full: DataFrame) -> DataFrame:
+    def pool(self):
+        """Writes (rows of documents and packed shingles), then a row per class:
+        (cls, n, first row, whether its prefix may hold a shared shingle)."""
+        size = self.docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = 1 + size * 2 * (100 - self.percent) // (100 * 6 * BUCKET_TOKENS)   # about six bytes a word
+        both = staged(self.docs.mapInArrow(partial(_pool, width=self.width, percent=self.percent, buckets=buckets), _POOL_TYPES), "pool")
+        rows = both.filter("bucket is null").select("doc_id", "text_hash", "cls", "n", "m", "inner")
+        shared = (both.filter("bucket is not null").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
+                  .mapInArrow(_shared, "cls long, inner long"))
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+        own = rows.filter("n > 0").select("cls", "n", "m", F.col("inner").alias("here"), F.lit(0).cast("long").alias("there"), first.alias("row"))
+        own = own.unionByName(shared.select("cls", F.col("inner").alias("there")), allowMissingColumns=True)
+        classes = staged(own.groupBy("cls").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.min("row").alias("row"),
+                                                (F.max("here") + F.sum("there")).alias("inner")), "classes")
+        # single shingles come first: the prefix holds m - inner of them, if they don't fill it
+        candidate = (F.col("inner") > 0) & (F.col("m") - F.col("inner") < self.prefix_size("n"))
+        rows = staged(rows.select("doc_id", "text_hash", "cls", "n"), "rows")
+        drop_staged(both)
+        return rows, classes.select("cls", "n", "row", candidate.alias("candidate"))
+
+    def full_sets(self, classes):
+        """(cls, n, tokens): the whole sets of the candidate classes, from one text of each."""
+        key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.col("doc_id").isNull().alias("no_id"), "text_hash"]
+        wanted = classes.filter("candidate").select("row.*").select(*key)
+        texts = self.docs.select(*key, "text").join(wanted, ["k", "no_id", "text_hash"], "left_semi").select("text")
+        full = texts.mapInArrow(partial(_full_sets, width=self.width), _SET_TYPES)
+        return staged(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "full-sets")
+
+    def prefixes(self) -> DataFrame:
         """(cls, n, own, prefix): the shared shingles of each class's prefix, rarest
         first; they follow ``own`` shingles of that class alone."""
-        met = []
-        for posts in self.slices(full, "cls", "n"):
-            shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-            met.append(staged(posts.join(shared, "token"), "shared"))
-        self.parts = met
-        both = (reduce(DataFrame.unionByName, met).groupBy("cls", "n")
-                .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")))
+        posts = self.full.select(F.explode("tokens").alias("token"), "cls", "n")
+        shared = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        met = posts.join(shared, "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
         own = F.col("n") - F.size("tokens")
-        return (both.withColumn("own", own).filter(F.col("own") < self.prefix_size("n"))
+        return (met.withColumn("own", own).filter(F.col("own") < self.prefix_size("n"))
                 .select("cls", "n", "own", F.slice("tokens.token", F.lit(1), (self.prefix_size("n") - F.col("own")).cast("int")).alias("prefix")))
 
     def overlap(self, a, b):
         """Shingles that linked sets of sizes a and b have in common at least."""
         return F.ceil(self.percent * (a + b) / (100 + self.percent))
 
-    def may_link(self, a, at, b, bt):
-        """Sizes a, b with a shared shingle at places at, bt of their orders."""
-        need = self.overlap(a, b)
-        return (100 * F.least(a, b) >= self.percent * F.greatest(a, b)) & (at + need <= a) & (bt + need <= b)
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(x, p, common, nx, np) of class pairs (x, p)."""
         sets = self.full.select("cls", "tokens")
@@ -206,143 +284,155 @@ class _Join:
         return (rows.unionByName(own).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x").isNotNull())
                 .mapInArrow(_compare, "x long, p long, common long, nx long, np long"))
 
-    def links(self, compared: DataFrame) -> DataFrame:
-        return (compared.filter(self.similar(F.col("common"), F.col("nx"), F.col("np")))
-                .select(F.col("x").alias("u"), F.col("p").alias("v")))
+    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Written: (x, p, fits, away) of class pairs."""
+        away = 1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))
+        got = self.verified(staged(pairs, f"{name}-pairs"))
+        return staged(got.select("x", "p", self.similar(F.col("common"), F.col("nx"), F.col("np")).alias("fits"), away.alias("away")), name)
 
     def run(self):
-        """(rows with their class, label of each class that has a link)."""
-        rows = staged(self.docs.mapInArrow(partial(self.sets, full=False), _SET_TYPES), "shingle-sets")
-        candidates = staged(self.candidates(rows), "candidates")
-        sets, rows = rows, staged(rows.select("doc_id", "text_hash", "cls", "n"), "rows")
-        drop_staged(sets, *self.parts)
-        self.full = self._full_sets(rows, candidates)
-        grouped = staged(self.prefixes(self.full), "prefixes")
-        drop_staged(*self.parts)
+        """(rows with their class, (cls, n, row) of the classes, label of each class that has a link)."""
+        rows, classes = self.pool()
+        self.full = self.full_sets(classes)
+        grouped = staged(self.prefixes(), "prefixes")
         key = ["n", "own", "prefix"]
-        groups = grouped.groupBy(*key).agg(F.min("cls").alias("rep"))
-        member = staged(grouped.join(groups, key).select("cls", "rep", "n", "own", "prefix"), "groups")
-
-        # 2. members against their representative
-        inside = staged(self.verified(member.filter("cls != rep").select(F.col("cls").alias("x"), F.col("rep").alias("p"))),
-                        "in-groups")
-        fits = self.similar(F.col("common"), F.col("nx"), F.col("np"))
-        edges = staged(self.links(inside), "links-0")
-        tight = inside.filter(fits).select(F.col("x").alias("cls"), F.col("p").alias("of"),
-                                           (1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).alias("away"))
-        radius = tight.groupBy(F.col("of").alias("node")).agg(F.max("away").alias("radius"))
-        left = inside.filter(~fits).select(F.col("x").alias("cls"))
-        nodes = member.filter("cls = rep").drop("rep").unionByName(member.drop("rep").join(left, "cls", "left_semi"))
-        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent) * 1.000001)).cast("int")
-        posts = (nodes.select(F.col("cls").alias("node"), "n", "own", F.posexplode("prefix").alias("at", "token"), band.alias("band"))
-                 .withColumn("at", F.col("at") + F.col("own"))
-                 .withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))))
-        posts = staged(self._open(posts, None), "lists-0")
-        self.tight, self.radius = staged(tight, "tight"), staged(radius, "radius")
-        label, seen, pending, turn = None, None, None, 0
-        while True:
-            before, pending = pending, self._pairs_left(posts)
-            if not pending:
-                break
+        member = staged(grouped.join(grouped.groupBy(*key).agg(F.min("cls").alias("rep")), key).select("cls", "rep", *key), "groups")
+
+        # members with their representative, representatives with the pivots of their lists
+        posts = self._posts(member.filter("cls = rep"), F.col("cls"))
+        inside = member.filter("cls != rep").select(F.col("cls").alias("x"), F.col("rep").alias("p"))
+        met = self.compared(inside.unionByName(self._pivot_pairs(posts)), "first-round")
+        links = met.filter("fits").select(F.col("x").alias("u"), F.col("p").alias("v"))
+        label = staged(components(links), "labels")
+
+        # stars: centres are what something links to; all others go to the nearest centre
+        seats = met.filter("fits").select(F.explode(F.array(
+            F.struct(F.col("p").alias("cls"), F.struct(F.lit(0.0).alias("away"), F.lit(0).alias("x"), F.col("p").alias("of")).alias("to")),
+            F.struct(F.col("x").alias("cls"), F.struct("away", F.lit(1).alias("x"), F.col("p").alias("of")).alias("to")))).alias("one"))
+        star = seats.groupBy(F.col("one.cls").alias("cls")).agg(F.min_by("one.to", F.struct("one.to.x", "one.to.away", "one.to.of")).alias("to"))
+        self.star = staged(star.join(label.withColumnRenamed("node", "cls"), "cls").select("cls", "to.of", "to.away", "label"), "stars")
+        self.radius = staged(self.star.groupBy("of").agg(F.max("away").alias("radius")).filter("radius > 0"), "radius")
+
+        posts, turn, last = staged(self._open(self._folded(member)), "lists-0"), 0, False
+        while not last:
+            large, pivots = posts.filter(F.col("entries") > LIST), PIVOTS ** (turn + 1)
+            last = large.isEmpty()
+            pairs = self._pairs(posts, posts).filter("node > pnode") if last else self._pairs(large, self._pivots(large, pivots))
             turn += 1
-            n_posts = posts.count()
-            last = pending <= 4 * n_posts or (before is not None and 2 * pending > before)
-            pairs = self._all_pairs(posts) if last else self._pivot_pairs(posts)
-            if label is not None:
-                at = [label.select(F.col("node").alias(c), F.col("label").alias("l" + c)) for c in ("x", "p")]
-                pairs = (pairs.join(at[0], "x", "left").join(at[1], "p", "left")
-                         .filter(F.coalesce("lx", "x") != F.coalesce("lp", "p")).select("x", "p"))
-            new = staged(self._group_links(pairs), f"links-{turn}")
-            edges = edges.unionByName(new)
-            label = staged(components(edges), f"labels-{turn}")
-            if last:
-                break
-            posts = staged(self._open(self._without_pivots(posts), label), f"lists-{turn}")
-        if label is None:
-            label = components(edges)
+            new = self._star_links(pairs.select(F.col("node").alias("x"), F.col("pnode").alias("p")).distinct(), turn)
+            if not new.isEmpty():
+                label = self._merged(label, new, turn)
+            if not last:
+                left = posts.join(self._pivots(large, pivots).select("token", "band", "node"), ["token", "band", "node"], "left_anti")
+                left = left.drop("comp", "entries").join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+                posts = staged(self._open(left), f"lists-{turn}")
         drop_staged(self.full)
-        return rows, label
+        return rows, classes, label
 
-    def _full_sets(self, rows, candidates):
-        """(cls, n, tokens): the whole sets of the candidate classes, from one text of each."""
-        last = F.lit(2**63 - 1)
-        wanted = (rows.join(candidates.select("cls"), "cls", "left_semi").groupBy("cls")
-                  .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("k"), "text_hash")).alias("one"))
-                  .select("one.k", "one.text_hash").distinct())
-        texts = self.docs.withColumn("k", F.coalesce("doc_id", last)).join(wanted, ["k", "text_hash"], "left_semi").drop("k")
-        full = texts.mapInArrow(partial(self.sets, full=True), _SET_TYPES).filter(F.size("tokens") > 0).select("cls", "n", "tokens")
-        return staged(full.dropDuplicates(["cls"]), "full-sets")
-
-    def _open(self, posts, label):
-        """Postings of lists whose members are in more than one component."""
-        if label is not None:
-            posts = (posts.drop("comp").join(label, "node", "left")
-                     .withColumn("comp", F.coalesce("label", "node")).drop("label"))
-        else:
-            posts = posts.withColumn("comp", F.col("node"))
-        some = (posts.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
-                .filter("lo != hi").select("token", "band", "least"))
-        reach = F.col("at") + self.overlap(F.col("n"), F.col("least")) <= F.col("n")  # for the smallest partner there is
-        return posts.join(some, ["token", "band"]).filter(reach).select("token", "band", "node", "n", "own", "at", "comp")
-
-    def _pairs_left(self, posts) -> int:
-        sizes = posts.groupBy("token", "band").count()
-        return int(sizes.agg(F.sum(F.col("count").cast("decimal(20,0)") * (F.col("count") - 1) / 2)).first()[0] or 0)
-
-    def _pivots(self, posts):
-        return (posts.groupBy("token", "band").agg(F.min(F.struct("own", "node", "n", "at", "comp")).alias("q"))
-                .select("token", "band", F.col("q.node").alias("p"), F.col("q.n").alias("pn"), F.col("q.at").alias("pat"), F.col("q.comp").alias("pcomp")))
-
-    def _fitting(self, posts, others, which):
-        """Distinct pairs of a list, of two components, that may link."""
-        return (posts.join(others, ["token", "band"])
-                .filter(which & (F.col("comp") != F.col("pcomp")) & self.may_link(F.col("n"), F.col("at"), F.col("pn"), F.col("pat")))
-                .select(F.col("node").alias("x"), "p").distinct())
+    def _posts(self, nodes, node, *more):
+        """(token, band, node, lo, hi, room): places in lists; ``room`` are the
+        shingles from the shared one on."""
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent) * 1.000001)).cast("int")
+        return (nodes.select(node.alias("node"), *more, "n", "own", F.posexplode("prefix").alias("at", "token"), band.alias("band"))
+                .select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "node", *more, "own",
+                        F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("own") - F.col("at")).alias("room")))
+
+    def _folded(self, member):
+        """One entry a list and star: (token, band, node, lo, hi, room, own, comp)."""
+        # a member in the star of its representative has that one's prefix, size and places
+        seats = (member.join(self.star, "cls", "left").filter("cls = rep or of is null or of != rep")
+                 .select(F.coalesce("of", "cls").alias("node"), F.coalesce("label", "cls").alias("comp"), "n", "own", "prefix"))
+        return (self._posts(seats, F.col("node"), "comp").groupBy("token", "band", "node")
+                .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("room").alias("room"), F.min("own").alias("own"), F.max("comp").alias("comp")))
+
+    def _open(self, posts):
+        """Entries of lists of more than one component that have room for a
+        partner, with their list's number of entries."""
+        some = (posts.groupBy("token", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("lo").alias("least"), F.count("*").alias("entries"))
+                .filter("a != b").select("token", "band", "least", "entries"))
+        return posts.join(some, ["token", "band"]).filter(F.col("room") >= self.overlap(F.col("lo"), F.col("least"))).drop("least")
+
+    def may_link(self):
+        """Two entries of a list, the other one's columns marked with a p."""
+        need = self.overlap(F.col("lo"), F.col("plo"))
+        sizes = (100 * F.col("hi") >= self.percent * F.col("plo")) & (100 * F.col("phi") >= self.percent * F.col("lo"))
+        return sizes & (F.col("room") >= need) & (F.col("proom") >= need)
 
     def _pivot_pairs(self, posts):
-        return self._fitting(posts, self._pivots(posts), F.col("node") != F.col("p"))
-
-    def _without_pivots(self, posts):
-        gone = self._pivots(posts).select("token", "band", F.col("p").alias("node"))
-        return posts.join(gone, ["token", "band", "node"], "left_anti")
-
-    def _all_pairs(self, posts):
-        other = posts.select("token", "band", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pcomp"))
-        return self._fitting(posts, other, F.col("node") > F.col("p"))
-
-    def _group_links(self, pairs):
-        """Links between two groups' members; representatives first."""
-        compared = staged(self.verified(staged(pairs, "pairs")), "compared")
-        fits = self.similar(F.col("common"), F.col("nx"), F.col("np"))
-        away = 1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))
-        rx, rp = (self.radius.select(F.col("node").alias(c), F.col("radius").alias("r" + c)) for c in ("x", "p"))
-        near = (compared.filter(~fits).join(rx, "x", "left").join(rp, "p", "left")
-                .withColumn("r", F.coalesce("rx", F.lit(0.0)) + F.coalesce("rp", F.lit(0.0)))
-                .filter((F.col("r") > 0) & (away <= 1 - self.percent / 100 + F.col("r") + 1e-9)).select("x", "p"))
-        inner = self.tight.select("of", "cls").unionByName(
-            self.radius.select(F.col("node").alias("of"), F.col("node").alias("cls")))
-        a, b = (inner.select(F.col("of").alias(c), F.col("cls").alias("c" + c)) for c in ("x", "p"))
-        wide = (near.join(a, "x", "left").join(b, "p", "left")
-                .select(F.coalesce("cx", "x").alias("cx"), F.coalesce("cp", "p").alias("cp"), "x", "p")
-                .filter("cx != x or cp != p").select(F.col("cx").alias("x"), F.col("cp").alias("p")))
-        return self.links(compared).unionByName(self.links(self.verified(staged(wide, "members"))))
+        """(x, p): every entry with its list's first pivot."""
+        row = F.struct("own", "node", "lo", "hi", "room")
+        one = (posts.groupBy("token", "band").agg(F.min(row).alias("q"), F.max("node").alias("z"), F.min("node").alias("a")).filter("a != z")
+               .select("token", "band", *(F.col(f"q.{c}").alias("p" + c) for c in ("node", "lo", "hi", "room"))))
+        return posts.join(one, ["token", "band"]).filter("node != pnode").filter(self.may_link()).select(F.col("node").alias("x"), F.col("pnode").alias("p")).distinct()
+
+    def _pivots(self, posts, k):
+        """Of each list, the first entry of each of ``k`` components."""
+        first = posts.groupBy("token", "band", "comp").agg(F.min(F.struct("own", "node", "lo", "hi", "room")).alias("q"))
+        order = Window.partitionBy("token", "band").orderBy("q.own", "q.node")
+        few = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return few.select("token", "band", "comp", "q.*")
+
+    def _pairs(self, posts, others):
+        """(node, pnode) of a list and different components that may link."""
+        other = others.select("token", "band", *(F.col(c).alias("p" + c) for c in ("node", "lo", "hi", "room", "comp")))
+        return posts.join(other, ["token", "band"]).filter(F.col("comp") != F.col("pcomp")).filter(self.may_link())
+
+    def _star_links(self, pairs, turn):
+        """Links between the members of two stars; centres first."""
+        met = self.compared(pairs, f"centres-{turn}")
+        found = met.filter("fits").select(F.col("x").alias("u"), F.col("p").alias("v"))
+        rx, rp = (self.radius.select(F.col("of").alias(c), F.col("radius").alias("r" + c)) for c in ("x", "p"))
+        least = 1 - self.percent / 100 + 1e-9
+        r = F.coalesce("rx", F.lit(0.0)) + F.coalesce("rp", F.lit(0.0))
+        near = met.filter("not fits").join(rx, "x", "left").join(rp, "p", "left").filter((r > 0) & (F.col("away") <= least + r))
+        near = staged(near.select("x", "p", F.col("away").alias("apart"), F.coalesce("rx", F.lit(0.0)).alias("rx"), F.coalesce("rp", F.lit(0.0)).alias("rp")), f"near-{turn}")
+        if near.isEmpty():
+            return staged(found, f"links-{turn}")
+        mine = self.star.select(F.col("cls").alias("one"), "of", F.col("away").alias("own"))
+        # members with the other star's centre, unless the triangle inequality rules them out
+        half = [near.join(mine, F.col(a) == F.col("of")).filter(f"one != {a}").filter(F.col("apart") - F.col("own") <= least + F.col(other))
+                .select("x", "p", "one", "own", F.lit(side).alias("side"), F.col(b).alias("to"))
+                for side, a, b, other in ((0, "x", "p", "rp"), (1, "p", "x", "rx"))]
+        half = staged(half[0].unionByName(half[1]), f"halves-{turn}")
+        seen = self.compared(half.select(F.col("one").alias("x"), F.col("to").alias("p")).distinct(), f"half-round-{turn}")
+        half = half.join(seen.select(F.col("x").alias("one"), F.col("p").alias("to"), "fits", "away"), ["one", "to"])
+        solved = half.filter("fits").select("x", "p").distinct()
+        centre = [near.select("x", "p", F.col(a).alias("one"), F.lit(0.0).alias("own"), F.col("apart").alias("away"), F.lit(side).alias("side"))
+                  for side, a in ((0, "x"), (1, "p"))]
+        half = half.select("x", "p", "one", "own", "away", "side").unionByName(centre[0]).unionByName(centre[1]).join(solved, ["x", "p"], "left_anti")
+        a, b = (half.filter(F.col("side") == k).select("x", "p", F.col("one").alias(c), F.col("own").alias("own" + c), F.col("away").alias("away" + c))
+                for k, c in ((0, "i"), (1, "j")))
+        wide = (a.join(b, ["x", "p"]).filter((F.col("awayi") <= least + F.col("ownj")) & (F.col("awayj") <= least + F.col("owni")))
+                .filter("i != x and j != p").select(F.col("i").alias("x"), F.col("j").alias("p")).distinct())
+        inner = self.compared(wide, f"members-{turn}")
+        pairs = [seen, inner]
+        return staged(reduce(DataFrame.unionByName, [found, *(m.filter("fits").select(F.col("x").alias("u"), F.col("p").alias("v")) for m in pairs)]), f"links-{turn}")
+
+    def _merged(self, label, new, turn):
+        """Labels with the new links: components of components."""
+        at = [label.select(F.col("node").alias(c), F.col("label").alias("l" + c)) for c in ("u", "v")]
+        short = new.join(at[0], "u", "left").join(at[1], "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+        over = staged(components(short), f"merges-{turn}")
+        over = over.select(F.col("node").alias("label"), F.col("label").alias("least"))
+        kept = label.join(over, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+        # nodes without a link so far
+        fresh = over.join(label.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("least").alias("label"))
+        return staged(kept.unionByName(fresh), f"labels-{turn}")
 
     def result(self) -> DataFrame:
-        rows, label = self.run()
-        one = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-        one = one.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        linked = one.join(one.groupBy("label").agg(F.min("first_id").alias("component_id")), "label").select("cls", "component_id")
+        rows, classes, label = self.run()
+        one = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "row.doc_id")
+        linked = one.join(one.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("cls", "component_id")
         return (rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(linked, "cls", "left")
                 .select("doc_id", "n_shingles",
                         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
     def firsts(self) -> DataFrame:
-        rows, label = self.run()
-        rows = rows.select("cls", "n", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("row"))
-        one = rows.filter("n > 0").groupBy("cls").agg(F.min("row").alias("row"))
-        linked = (one.join(label.withColumnRenamed("node", "cls"), "cls", "left")
+        rows, classes, label = self.run()
+        linked = (classes.join(label.withColumnRenamed("node", "cls"), "cls", "left")
                   .groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("row").alias("row")).select("row.*"))
-        return linked.unionByName(rows.filter("n = 0").select("row.*").distinct()).select("doc_id", "text_hash")
+        empty = rows.filter("n = 0").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").distinct()
+        return linked.unionByName(empty).select("doc_id", "text_hash")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:

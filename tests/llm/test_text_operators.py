@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 
 from ringfence.llm import bpe_codec, jaccard_join, packing, pii_spans, quality_rules, substring_dedup
+from ringfence.llm import components as linked
 from ringfence.llm import text_arrays as ta
 
 from . import cases
@@ -85,7 +86,7 @@ def test_jaccard_components(spark, percent):
     assert cases.as_multiset([tuple(r) for r in got]) == cases.as_multiset(components(pairs, percent))
 
 
-def test_jaccard_chains_and_hot_groups(spark):
+def hot_groups():
     """A template whose copies are not alike, a chain of small edits, and a passage many texts share."""
     r, vocab = random.Random(6), [f"w{i}" for i in range(4000)]
     template = [r.choice(vocab) for _ in range(120)]
@@ -100,11 +101,44 @@ def test_jaccard_chains_and_hot_groups(spark):
         chain[4 * k] = f"new{k}"
         pairs.append((len(pairs), " ".join(chain)))
     passage = " ".join(r.choice(vocab) for _ in range(40))
-    pairs += [(len(pairs) + k, passage + " " + " ".join(r.choice(vocab) for _ in range(r.randint(0, 12)))) for k in range(60)]
-    got = jaccard_join.jaccard_components(cases.frame(spark, pairs, clashing=False)).collect()
+    return pairs + [(len(pairs) + k, passage + " " + " ".join(r.choice(vocab) for _ in range(r.randint(0, 12)))) for k in range(60)]
+
+
+@pytest.mark.parametrize("listed,one_task", [(jaccard_join.LIST, 1 << 20), (3, 0)])
+def test_jaccard_chains_and_hot_groups(spark, monkeypatch, listed, one_task):
+    """Also with pivot rounds for all lists, and components without the step of one task."""
+    monkeypatch.setattr(jaccard_join, "LIST", listed)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2 if listed == 3 else jaccard_join.PIVOTS)
+    monkeypatch.setattr(linked, "ONE_TASK", one_task)
+    pairs = hot_groups()
+    got = jaccard_join.jaccard_components(cases.frame(spark, pairs)).collect()
     assert cases.as_multiset([tuple(x) for x in got]) == cases.as_multiset(components(pairs))
 
 
+def test_jaccard_two_families_in_one_list(spark, monkeypatch):
+    """2,000 near copies each of two templates that share their rarest shingle:
+    as many comparisons as rows, not as pairs."""
+    r, vocab = random.Random(8), [f"w{i}" for i in range(3000)]
+    shared = ["once", "upon", "time"]
+    pairs = []
+    for template in ([r.choice(vocab) for _ in range(90)] for _ in range(2)):
+        for _ in range(2000):
+            w = list(template)
+            w[r.randrange(len(w))] = r.choice(vocab)
+            pairs.append((len(pairs), " ".join(shared + w)))
+    compared, plain = [], jaccard_join._Join.compared
+
+    def counted(self, some, name):
+        out = plain(self, some, name)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join._Join, "compared", counted)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string"), percent=80).collect()
+    assert {(x.doc_id // 2000, x.component_id) for x in got} == {(0, 0), (1, 2000)}
+    assert sum(compared) < 4 * len(pairs)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(cases.frame(spark, [(1, "a b c d")]).limit(0)).count() == 0
 
