@@ -44,12 +44,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first text of each group of linked texts, by id (null last) and
     then by a hash of the text; of rows with its id and text, the smallest."""
-    docs = _numbered(docs).withColumn("_hash", F.xxhash64("text"))
-    first = (jaccard_join.component_firsts(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
-             .withColumnsRenamed({"doc_id": "_id", "text_hash": "_first"}))
-    kept = docs.join(first, (F.col("_hash") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = kept.groupBy("doc_id", "_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
-    return one.select("doc_id", "row.*").select(*COLUMNS)
+    key = ["_hash", "_no_id", "_id"]
+    marks = [F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
+    first = jaccard_join.component_firsts(_numbered(docs), width=NEAR_WORDS, percent=NEAR_PERCENT)
+    kept = (docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"), *marks)
+            .join(first.select(F.col("text_hash").alias("_hash"), *marks), key, "left_semi"))
+    one = kept.groupBy(*key).agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("row"))
+    return one.select("row.*").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
