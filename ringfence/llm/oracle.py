@@ -46,19 +46,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) m USING (doc_id)
 """
 
-# Fixed values: (has a lower fence, least width)
-_FENCE = {"symbol_ratio": (False, 0.05), "repeat_ratio": (False, 0.45), "line_ratio": (False, 0.5), "word_length": (True, 1.5)}
+# Fixed values: (lower, upper quantile)
+_FENCE = {"symbol_ratio": (None, 0.9), "repeat_ratio": (None, 0.99), "line_ratio": (None, 0.99), "word_length": (0.1, 0.9)}
 
 
 def _quality() -> str:
     groups, limits, inside = [], [], []
-    for x, (low, least) in _FENCE.items():
-        for q, mark in ((0.25, "a"), (0.5, "m"), (0.75, "b")):
-            groups.append(f"quantile_disc({x}, {q}) AS {x}_{mark}")
-            limits.append(f"CASE WHEN g.n >= 200 THEN g.{x}_{mark} WHEN l.n >= 200 THEN l.{x}_{mark} ELSE a.{x}_{mark} END AS {x}_{mark}")
-        inside.append(f"{x} <= {x}_m + greatest(6.0 * ({x}_b - {x}_m), {least})")
-        if low:
-            inside.append(f"{x} >= {x}_m - greatest(6.0 * ({x}_m - {x}_a), {least})")
+    for x, (low, high) in _FENCE.items():
+        for q, mark in ((low, "a"), (0.5, "m"), (high, "b")):
+            if q is not None:
+                groups.append(f"quantile_disc({x}, {q}) AS {x}_{mark}")
+                limits.append(f"CASE WHEN g.n >= 200 THEN g.{x}_{mark} WHEN l.n >= 200 THEN l.{x}_{mark} ELSE a.{x}_{mark} END AS {x}_{mark}")
+        inside.append(f"{x} <= {x}_m + 4.0::DOUBLE * ({x}_b - {x}_m)")
+        if low is not None:
+            inside.append(f"{x} >= {x}_m - 4.0::DOUBLE * ({x}_m - {x}_a)")
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS ws,

@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import zlib
 from functools import lru_cache, partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from . import text_arrays as ta
 from .staging import bounded_batches, drop_staged, staged
 
 PART_ITEMS = 16_384
-ROUNDS = 8
+LEAST_GAIN = 0.001   # of the pool's bins; an exchange that gains less is the last
 
 
 class ByteBpe:
@@ -197,7 +198,7 @@ def pack(pieces_df: DataFrame, size: int = 1024) -> DataFrame:
     goal = lower_bound(np.array([r["length"] for r in lengths], np.int64), size, np.array([r["count"] for r in lengths], np.int64))
     kept, pool, pool_bins, locked = [], items, None, 0
     last = None
-    for turn in range(ROUNDS):
+    for turn in count():
         if not n_items:
             break
         now = staged(_packed(pool, max(1, -(-n_items // PART_ITEMS)), turn, size), f"packed-{turn}")
@@ -208,7 +209,7 @@ def pack(pieces_df: DataFrame, size: int = 1024) -> DataFrame:
                 drop_staged(now)
                 last = None
                 break
-        if locked + bins <= goal:
+        if locked + bins <= goal or pool_bins is not None and pool_bins - bins < LEAST_GAIN * pool_bins:
             kept.append(now.withColumn("turn", F.lit(turn)))
             last = None
             break
@@ -219,11 +220,9 @@ def pack(pieces_df: DataFrame, size: int = 1024) -> DataFrame:
         pool_bins = pool.select("part", "bin").distinct().count()
         locked += bins - pool_bins
         n_items = pool.count()
-    if last is not None and n_items:
-        kept.append(last.filter("swap").withColumn("turn", F.lit(turn)))
     out = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"),
                       F.lit(0).cast("long").alias("offset"))
-    number = (F.shiftleft(F.col("turn").cast("long"), 56) + F.shiftleft("part", 20) + F.col("bin")).alias("sequence_id")
+    number = (F.shiftleft(F.col("turn").cast("long"), 50) + F.shiftleft("part", 20) + F.col("bin")).alias("sequence_id")
     for rows in kept:
         out = out.unionByName(rows.select("doc_id", "piece", "start", "length", "ids_crc32", number, "offset"))
     return out

@@ -39,21 +39,24 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-# Candidates beyond the base patterns.
+# Candidates beyond the base patterns. Runs are possessive: a text is scanned once.
+_DOT = r"(?:\s?[\[(](?:dot|\.)[\])]\s?|\s\.\s|\.)"
 _WIDE = {
-    "email": re.compile(r"(?<!\S)[\w.%+-]{1,64}(?:@|\s?[\[(]at[\])]\s?)[\w-]{1,63}(?:(?:\.|\s?[\[(]dot[\])]\s?)[\w-]{1,63}){0,6}"),
+    "email": re.compile(r"(?<!\S)[\w.%+-]++(?:@|\s?[\[(]at[\])]\s?)[\w-]++(?:(?:\.|\s?[\[(]dot[\])]\s?)[\w-]++)*+"),
+    "ip": re.compile(rf"(?<![\w.])(?<!\s\.\s)(?<![\[(]\.[\])])[0-9]++(?:{_DOT}[0-9]++){{3}}(?::[0-9]++)?(?!\w)(?!{_DOT}[0-9])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-])?(?:[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
 # Words that announce a kind, in the corpus's languages, and frequent domain ends.
 GAZETTEER = {
     "email": {"email", "e-mail", "mail", "contact", "write", "correo", "courriel", "kontakt"},
+    "ip": {"ip", "address", "host", "server", "adresse", "dirección", "servidor", "serveur"},
     "card": {"card", "visa", "mastercard", "credit", "debit", "karte", "tarjeta", "carte"},
     "phone": {"phone", "tel", "telephone", "mobile", "call", "fax", "cell", "telefon", "anruf", "movil", "llame", "appelez"},
 }
 DOMAIN_ENDS = {"com", "org", "net", "edu", "gov", "io", "co", "de", "fr", "es", "uk", "eu", "info", "biz"}
 LABELERS = ("shape", "announced", "check", "context", "length")
-FEATURES = ("bias", "email", "card", "phone", "digits", "groups", "has_parens", "issuer", "known_end", "announced", "near_number", "long")
+FEATURES = ("bias", "email", "ip", "card", "phone", "digits", "groups", "has_parens", "issuer", "known_end", "announced", "near_number", "long")
 
 
 def luhn(digits: str) -> bool:
@@ -64,6 +67,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    """At most 255; leading zeros don't count, however many there are."""
+    return int(part[-18:]) <= 255 and not part[:-18].strip("0")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end), by kind and start."""
     out = []
@@ -78,8 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((0, start, done))
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(p) <= 3 and int(p) <= 255 or not p.strip("0") or int(p[-18:]) <= 255 and not p[:-18].strip("0")
-               for p in m.group().split(".")):
+        if all(map(_octet, m.group().split("."))):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -111,6 +118,10 @@ def _votes_and_features(text: str, kind: str, start: int, end: int):
         shape = 1 if "@" in span and "." in span.split("@")[-1] else -1
         check = 1 if known_end else -1
         length = 1 if 6 <= len(span) <= 64 else -1
+    elif kind == "ip":
+        shape = 1 if len({x.strip() for x in re.findall(r"[^0-9:]+", span)}) == 1 else -1  # one kind of dots
+        check = 1 if ":" in span or "[" in span or "(" in span else -1
+        length = 1 if 7 <= len(span) <= 40 else -1
     elif kind == "card":
         shape = 1 if re.fullmatch(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}", span) else -1
         check = 1 if digits[0] in "3456" else -1  # the issuers' first digits
@@ -120,7 +131,7 @@ def _votes_and_features(text: str, kind: str, start: int, end: int):
         check = 1 if "(" in span and ")" in span else 0
         length = 1 if 9 <= len(digits) <= 13 else -1
     votes = (shape, 1 if announced else 0, check, (1 if plain_edges else -1) if not near_number else -1, length)
-    features = (1.0, kind == "email", kind == "card", kind == "phone", len(digits) / 16, groups / 4, "(" in span,
+    features = (1.0, kind == "email", kind == "ip", kind == "card", kind == "phone", len(digits) / 16, groups / 4, "(" in span,
                 kind == "card" and digits[0] in "3456", known_end, announced, near_number, len(span) > 24)
     return votes, [float(f) for f in features]
 
@@ -132,6 +143,8 @@ def candidates(text: str, base) -> list[tuple[str, int, int]]:
         if kind == "email" and "@" not in text and "at]" not in text and "at)" not in text:
             continue
         for m in pattern.finditer(text):
+            if kind == "ip" and not all(_octet(p) for p in re.findall(r"[0-9]+", m.group())[:4]):
+                continue
             if kind != "card" or luhn("".join(c for c in m.group() if c in _DIGITS)):  # no card without its check digit
                 found.append((m.start(), -m.end(), kind))
     taken, out = sorted((s, e) for _, s, e in base), []
@@ -249,7 +262,7 @@ def find_spans(docs: DataFrame, accept: float = 0.5) -> DataFrame:
 
     added = F.transform(
         F.filter("proposed", lambda c: logit(c) > _cut(accept)),
-        lambda c: F.struct(F.when(c["kind"] == "email", 0).when(c["kind"] == "card", 2).otherwise(3).cast("int").alias("kind"),
+        lambda c: F.struct((F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]) - 1).cast("int").alias("kind"),
                            c["start"].alias("start"), c["end"].alias("end")))
     return rows.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", added)).alias("all"))
 

@@ -5,7 +5,9 @@ repeated words, repeated lines, word length) are not fixed: mergeable KLL
 quantile sketches describe their distribution for each language and source,
 sketches of small groups give way to the merged sketch of their language and
 then of all documents, and a document is kept inside fences around the
-median that are a multiple of the distance to an outer quantile.
+median that are a multiple of the distance to an outer quantile. No fixed
+width takes part: where a quantile and the median are equal (no text of nine
+in ten has a symbol), the fence is that value.
 
 The counts are written once (a few numbers a document), so texts are read
 once and never shuffled. The fences have one row for each language and
@@ -31,12 +33,14 @@ A_WORD = r"[^ \x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 SKETCH_K = 2048       # exact up to as many documents, about 0.1 % of rank beyond
 LEAST_DOCS = 200      # of a group whose own sketch decides
-# ratio: (lower quantile or None, upper quantile, multiple of its distance to the median, least width)
-FENCES: dict[str, tuple[float | None, float, float, float]] = {
-    "symbol_ratio": (None, 0.75, 6.0, 0.05),
-    "repeat_ratio": (None, 0.75, 6.0, 0.45),
-    "line_ratio": (None, 0.75, 6.0, 0.50),
-    "word_length": (0.25, 0.75, 6.0, 1.5),
+TIMES = 4.0           # a fence lies as many times as far from the median as its outer quantile
+# ratio: (lower quantile or None, upper quantile), far enough out to carry information:
+# most texts have neither repeated words nor lines, so their inner quantiles are 0
+FENCES: dict[str, tuple[float | None, float]] = {
+    "symbol_ratio": (None, 0.9),
+    "repeat_ratio": (None, 0.99),
+    "line_ratio": (None, 0.99),
+    "word_length": (0.1, 0.9),
 }
 BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -95,19 +99,18 @@ def fences(ratios: DataFrame) -> DataFrame:
         return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
 
     # of all documents: a dozen numbers, needed as constants
-    quantiles = [(x, q) for x, (low, high, _, _) in FENCES.items() for q in (low, 0.5, high) if q is not None]
+    quantiles = [(x, q) for x, (low, high) in FENCES.items() for q in (low, 0.5, high) if q is not None]
     whole = dict(zip(quantiles, merged().select(*(F.when(F.col("l_n") > 0, quantile(f"l_{x}", q)) for x, q in quantiles)).first()))
     by_lang = merged("lang").withColumnRenamed("lang", "l_lang")
     wide = own.join(by_lang, own.lang.eqNullSafe(by_lang.l_lang))
     bounds = []
-    for x, (low, high, times, least) in FENCES.items():
+    for x, (low, high) in FENCES.items():
         def at(q, x=x):
             return (F.when(F.col("n") >= LEAST_DOCS, quantile(x, q)).when(F.col("l_n") >= LEAST_DOCS, quantile(f"l_{x}", q))
                     .otherwise(F.lit(whole[x, q]).cast("double")))
 
-        bounds.append((at(0.5) + F.greatest(times * (at(high) - at(0.5)), F.lit(least))).alias(f"high_{x}"))
-        bounds.append((at(0.5) - F.greatest(times * (at(0.5) - at(low)), F.lit(least)) if low is not None
-                       else F.lit(float("-inf"))).alias(f"low_{x}"))
+        bounds.append((at(0.5) + TIMES * (at(high) - at(0.5))).alias(f"high_{x}"))
+        bounds.append((at(0.5) - TIMES * (at(0.5) - at(low)) if low is not None else F.lit(float("-inf"))).alias(f"low_{x}"))
     return wide.select("lang", "source", *bounds)
 
 

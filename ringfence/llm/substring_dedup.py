@@ -44,6 +44,7 @@ from .staging import bounded_batches, staged
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
 FLUSH_WINDOWS = 1_500_000
 BUCKET_BYTES = 2 << 20          # text bytes for each hash bucket and each part of the documents
+TASK_BYTES = 32 << 20           # text bytes for each shuffle partition
 _SPREAD = 0x9E3779B1
 _PACKED = pa.schema([("key", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary())])
 _PACKED_TYPES = "key long, hashes binary, ids binary"
@@ -87,15 +88,12 @@ def _window_rows(batches, width: int, buckets: int):
     already known to be repeated, by part of the documents."""
     def flush(held):
         fp, doc, second = (np.concatenate(x) for x in zip(*held))
-        bucket = (second % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = []
-        for b in np.flatnonzero(np.diff(edge)):
-            at = order[edge[b]:edge[b + 1]]
-            h, d, first = _smallest(fp[at], doc[at])
-            out.append((np.where(first, b, buckets + _part(d, buckets)), h, d))
-        yield _packed(*(np.concatenate(x) for x in zip(*out)))
+        order = np.lexsort((doc, fp))
+        fp, doc, bucket = fp[order], doc[order], (second[order] % np.uint64(buckets)).astype(np.int64)
+        # windows of one hash in two buckets may lie mixed: then one more entry than needed goes to a bucket, which tells them apart
+        new = np.append(True, (fp[1:] != fp[:-1]) | (bucket[1:] != bucket[:-1]))
+        keep = new | np.append(True, doc[1:] != doc[:-1])
+        yield _packed(np.where(new, bucket, buckets + _part(doc, buckets))[keep], fp[keep], doc[keep])
 
     held, n = [], 0
     for chunk in ta.chunks(batches):
@@ -214,14 +212,15 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep: tuple[str, .
     stays, and a null text stays null."""
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << min(20, max(8, int(size // BUCKET_BYTES).bit_length()))
+    buckets = 1 << max(8, int(size // BUCKET_BYTES).bit_length())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     windows = docs.select("doc_id", "text").mapInArrow(partial(_window_rows, width=width, buckets=buckets), _PACKED_TYPES)
-    repeated = staged(windows.repartition("key").sortWithinPartitions("key")
+    repeated = staged(windows.repartition(tasks, "key").sortWithinPartitions("key")
                       .mapInArrow(partial(_repeated, buckets=buckets), _PACKED_TYPES), "repeated-windows")
     part = part_of(F.coalesce("doc_id", F.lit(int(NO_ID))), buckets)
     texts = docs.select(part.alias("key"), "*", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("ids"))
     both = texts.unionByName(repeated, allowMissingColumns=True)
     types = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] if keep else []
-    return (both.repartition("key").sortWithinPartitions("key", F.col("hashes").isNull())
+    return (both.repartition(tasks, "key").sortWithinPartitions("key", F.col("hashes").isNull())
             .mapInArrow(partial(_remove, width=width, keep=list(keep), joined=joined),
                         ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *types])))

@@ -143,6 +143,21 @@ def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(cases.frame(spark, [(1, "a b c d")]).limit(0)).count() == 0
 
 
+def test_quality_fences_follow_each_source(spark, monkeypatch):
+    """What is odd in one source is usual in another; no fixed width decides."""
+    monkeypatch.setattr(quality_rules, "LEAST_DOCS", 20)
+    r, vocab = random.Random(3), cases.vocabulary(400)
+
+    def text(signs):
+        return " ".join(r.choice(vocab) + ("#" if k < signs else "") for k in range(120))
+
+    rows = [(i, text(0 if i < 40 else 30 + i % 5), "en", "prose" if i < 40 else "code", 1) for i in range(80)]
+    rows += [(100, text(30), "en", "prose", 1), (101, text(120), "en", "code", 1), (102, text(1), "en", "prose", 1)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    kept = {x.doc_id for x in got if x.kept}
+    assert set(range(40, 80)) <= kept and not {100, 101, 102} & kept
+
+
 def base_counts(text):
     text = text or ""
     w = cases.words(text)
@@ -211,9 +226,10 @@ def test_packing_exchange_reaches_the_bound(spark, monkeypatch):
     r = random.Random(8)
     data = [(i, 0, 0, r.randint(1, 99), 7) for i in range(600)]
     df = spark.createDataFrame(data, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    used = []
-    for rounds in (1, 8):
-        monkeypatch.setattr(packing, "ROUNDS", rounds)
+    alone = packing._packed(df.withColumn("uid", F.monotonically_increasing_id()), 19, 0, 100)
+    used = [alone.select("part", "bin").distinct().count()]
+    for gain in (2.0, 0.0):  # one exchange, and all that gain
+        monkeypatch.setattr(packing, "LEAST_GAIN", gain)
         got = packing.pack(df, size=100).collect()
         assert sorted((x.doc_id, x.length) for x in got) == [(d[0], d[3]) for d in data]
         bins = {}
@@ -224,7 +240,7 @@ def test_packing_exchange_reaches_the_bound(spark, monkeypatch):
             assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
             assert sum(n for _, n in spans) <= 100
         used.append(len(bins))
-    assert packing.lower_bound(np.array([d[3] for d in data]), 100) <= used[1] < used[0]
+    assert packing.lower_bound(np.array([d[3] for d in data]), 100) <= used[2] <= used[1] < used[0]
 
 
 def test_lower_bound_never_exceeds_best_fit():
@@ -260,6 +276,33 @@ def test_base_spans_equal_the_patterns():
             assert pii_spans.base_spans(text) == plain_spans(text), text
 
 
+def test_pii_candidates_are_whole():
+    def found(text):
+        return [(kind, text[a:b]) for kind, a, b in pii_spans.candidates(text, pii_spans.base_spans(text))]
+
+    local, domain = "x" * 70, "b.c.d.e.f.g.h.i.j.com"
+    assert found(f"write {local}[at]{domain} now") == [("email", f"{local}[at]{domain}")]
+    assert found("server 10[.]0[.]0[.]1:8080 up") == [("ip", "10[.]0[.]0[.]1:8080")]
+    assert found("host 10 . 2 . 3 . 4 is") == [("ip", "10 . 2 . 3 . 4")]
+    assert found("ip 192[dot]168(dot)1[.]255") == [("ip", "192[dot]168(dot)1[.]255")]
+    assert found("300[.]1[.]1[.]1 and 1.2.3.4 and 1 . 2 . 3 . 4 . 5") == []
+    assert found("a" * 3_000_000 + " " + "1[.]" * 500_000) == []
+
+
+def test_pii_adds_bracketed_addresses(spark):
+    r = random.Random(2)
+
+    def ip(dot):
+        return dot.join(str(r.randrange(1, 256)) for _ in range(4))
+
+    rows = [(i, f"the server {ip('[.]')} answered") for i in range(150)] + [(200 + i, f"section {ip(' . ')}" if i % 2 else f"host {ip('.')}") for i in range(40)]
+    got = {x.doc_id: x for x in pii_spans.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i]["all"]) == 1 and got[i]["all"][0].kind == 1 for i in range(150))
+    text = dict(rows)[3]
+    span = got[3]["all"][0]
+    assert text[span.start:span.end].count("[.]") == 3 and not text[span.end:span.end + 1].isdigit()
+
+
 def test_pii_spans_and_masks(spark):
     said = ["mail me: jo.doe@example.com or +1 (555) 010-4477 now", "é ip 10.0.0.1, card 4111 1111 1111 1111.", "1.2.3.456 and 4111 1111 1111 1112",
             "phone +1 (578) 555-6437 4929717128635271 x", "no digits @ all", "1" * 50000, "@" * 5000, "a" * 30000 + "@b.c"]
