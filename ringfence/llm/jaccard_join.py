@@ -170,16 +170,33 @@ def _pool(batches, width: int, percent: int, buckets: int):
         yield from pack(held)
 
 
-def _shared(batches):
-    """(cls, inner): of each class, the shingles of this bucket that another one has too."""
-    schema = pa.schema([("cls", pa.int64()), ("inner", pa.int64())])
+def _bucket(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the packed columns of a bucket or part."""
+    halves = [(blob[:len(blob) // 2], blob[len(blob) // 2:]) for blob in rows.column("packed").to_pylist()]
+    return np.frombuffer(b"".join(a for a, _ in halves), np.uint64), np.frombuffer(b"".join(b for _, b in halves), np.int64)
+
+
+def _summed(cls: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, at = np.unique(cls, return_inverse=True)
+    return one, np.bincount(at, inner, len(one)).astype(np.int64)
+
+
+def _shared(batches, parts: int):
+    """Of each class, the shingles of a task's buckets that another one has too; packed by part of the classes."""
+    schema = pa.schema([("part", pa.int64()), ("packed", pa.binary())])
+
+    def pack(held):
+        cls, inner = _summed(*(np.concatenate(x) for x in zip(*held)))
+        part = (ta._mix(cls.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cls, inner, part = cls[order], inner[order], part[order]
+        edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        rows = [(int(part[a]), cls[a:b].tobytes() + inner[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+
+    held, size = [], 0
     for _, rows in sorted_groups(batches, "bucket"):
-        tokens, of = [], []
-        for blob in rows.column("packed").to_pylist():
-            half = len(blob) // 2
-            tokens.append(np.frombuffer(blob[:half], np.uint64))
-            of.append(np.frombuffer(blob[half:], np.int64))
-        tokens, of = np.concatenate(tokens), np.concatenate(of)
+        tokens, of = _bucket(rows)
         order = np.lexsort((of, tokens))
         tokens, of = tokens[order], of[order]
         new = np.append(True, (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1]))
@@ -188,8 +205,23 @@ def _shared(batches):
         count = np.diff(np.append(start, len(tokens)))
         some = np.add.reduceat((of == 0).astype(np.int64), start) > 0
         cls, inner = np.unique(of[np.repeat((count > 1) | some, count) & (of != 0)], return_counts=True)
+        if len(cls):
+            held.append((cls, inner))
+            size += len(cls)
+        if size >= PACK_TOKENS:
+            yield from pack(held)
+            held, size = [], 0
+    if held:
+        yield from pack(held)
+
+
+def _inner(batches):
+    """(cls, inner) of a part of the classes."""
+    for _, rows in sorted_groups(batches, "part"):
+        cls, inner = _bucket(rows)
+        cls, inner = _summed(cls.view(np.int64), inner)
         for lo in range(0, len(cls), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(cls[lo:lo + (1 << 16)]), pa.array(inner[lo:lo + (1 << 16)].astype(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[lo:lo + (1 << 16)]), pa.array(inner[lo:lo + (1 << 16)])], ["cls", "inner"])
 
 
 def _edges(lists: pa.ListArray) -> np.ndarray:
@@ -238,7 +270,8 @@ class _Join:
         both = staged(self.docs.mapInArrow(partial(_pool, width=self.width, percent=self.percent, buckets=buckets), _POOL_TYPES), "pool")
         rows = both.filter("bucket is null").select("doc_id", "text_hash", "cls", "n", "m", "inner")
         shared = (both.filter("bucket is not null").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
-                  .mapInArrow(_shared, "cls long, inner long"))
+                  .mapInArrow(partial(_shared, parts=buckets), "part long, packed binary")
+                  .repartition("part").sortWithinPartitions("part").mapInArrow(_inner, "cls long, inner long"))
         first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
         own = rows.filter("n > 0").select("cls", "n", "m", F.col("inner").alias("here"), F.lit(0).cast("long").alias("there"), first.alias("row"))
         own = own.unionByName(shared.select("cls", F.col("inner").alias("there")), allowMissingColumns=True)
