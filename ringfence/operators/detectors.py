@@ -1,8 +1,9 @@
 """Fraud detectors over transaction / auth event tables.
 
-Row-level trailing detectors use the sliced windows of ``sliced.py`` so a
-hot account, device or BIN is split over time slices instead of landing in
-one task. Tumbling-window counts are plain grouped aggregates (map-side
+Row-level trailing detectors use the ordered scans of ``segments.py`` so a
+hot account, device or BIN, even within one second, is split over ranges
+instead of landing in one task. A repeated or null transaction id is a row like
+any other: every row counts, and results come with the row. Tumbling-window counts are plain grouped aggregates (map-side
 partial aggregation; distinct counts shuffle on (group, value) first).
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as SC
-from .sliced import DAY_US, HOUR_US, epoch_us, range_sums, sliced_prev, trailing_distinct
+from .segments import largest, previous, window_distinct, window_sums
+from .sliced import DAY_US, HOUR_US, epoch_us
 from .triage import MONEY, MONEY_SUM
 
 SECOND_US = 1_000_000
@@ -24,35 +26,50 @@ def _with_t(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.withColumn("__t", epoch_us(ts))
 
 
-def spend_baseline(txns: DataFrame, days: int = 90, width: int = DAY_US) -> DataFrame:
+def spend_baseline(txns: DataFrame, days: int = 90) -> DataFrame:
     """Each transaction with its account's spend over the previous ``days``
     days, current row and same-instant rows excluded: ``baseline_n`` rows
     totalling ``baseline_total`` (exact cents)."""
     d = _with_t(txns)
-    out = range_sums(d, ["account_id"], "__t", "transaction_id",
-                     {"baseline_n": F.lit(1).cast("long"),
-                      "baseline_total": F.col("amount").cast(MONEY)},
-                     lower=-days * DAY_US, upper=-1, width=width)
+    out = window_sums(d, ["account_id"], "__t",
+                      {"baseline_n": F.lit(1).cast("long"),
+                       "baseline_total": F.col("amount").cast(MONEY)},
+                      lower=-days * DAY_US, upper=-1)
     return out.withColumn("baseline_n", F.coalesce("baseline_n", F.lit(0).cast("long"))).drop("__t")
 
 
-def spend_spike(txns: DataFrame, days: int = 90, factor: float = 30.0,
-                width: int = DAY_US) -> DataFrame:
+def is_spike(factor: float) -> Column:
+    """W1's condition on ``amount``, ``baseline_n`` and ``baseline_total``."""
+    amt = F.col("amount").cast(MONEY)
+    return (F.col("baseline_n") > 0) & (amt * F.col("baseline_n") >= F.lit(Decimal(str(factor))) * F.col("baseline_total"))
+
+
+def spend_spike(txns: DataFrame, days: int = 90, factor: float = 30.0) -> DataFrame:
     """Amount >= factor x the mean of the previous ``days`` days.
 
     Compared exactly as amount * n >= factor * total, so no rounded mean
     decides the flag. Accounts without history are not flagged.
     """
-    b = spend_baseline(txns, days, width)
-    amt = F.col("amount").cast(MONEY)
-    flag = (F.col("baseline_n") > 0) & (amt * F.col("baseline_n") >= F.lit(Decimal(str(factor))) * F.col("baseline_total"))
-    return b.filter(flag).select(
+    b = spend_baseline(txns.select("transaction_id", "account_id", "amount", "timestamp"), days)
+    return b.filter(is_spike(factor)).select(
         "transaction_id", "account_id", "amount", "baseline_n",
         F.col("baseline_total").cast(MONEY_SUM).alias("baseline_total"))
 
 
+def travel(prev_t: str, prev_latitude: str, prev_longitude: str, max_kmh: float, min_jump_km: float = 100.0) -> tuple[Column, ...]:
+    """W2's distance, elapsed seconds, speed and flag of a located swipe and the one before."""
+    dist = SC.haversine_km(prev_latitude, prev_longitude, "latitude", "longitude")
+    elapsed_s = (F.col("__t") - F.col(prev_t)) / F.lit(float(SECOND_US))
+    speed = F.when(F.col(prev_t).isNull(), F.lit(0.0)) \
+             .when(elapsed_s > 0, dist / (elapsed_s / F.lit(3600.0)))
+    flag = F.when(F.col(prev_t).isNull(), F.lit(False)) \
+            .when(elapsed_s > 0, speed > F.lit(max_kmh)) \
+            .otherwise(dist > F.lit(min_jump_km))
+    return dist, elapsed_s, speed, flag
+
+
 def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 100.0,
-                 width: int = DAY_US, keep: tuple[str, ...] = ()) -> DataFrame:
+                 keep: tuple[str, ...] = ()) -> DataFrame:
     """Speed from the previous located swipe of the same account.
 
     Only rows with coordinates take part. First swipe: speed 0.0. Zero
@@ -61,14 +78,8 @@ def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 1
     """
     d = _with_t(txns.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
     d = d.select("transaction_id", "account_id", "latitude", "longitude", "__t", *keep)
-    p = sliced_prev(d, ["account_id"], "__t", "transaction_id", ["latitude", "longitude"], width)
-    dist = SC.haversine_km("prev_latitude", "prev_longitude", "latitude", "longitude")
-    elapsed_s = (F.col("__t") - F.col("prev___t")) / F.lit(float(SECOND_US))
-    speed = F.when(F.col("prev___t").isNull(), F.lit(0.0)) \
-             .when(elapsed_s > 0, dist / (elapsed_s / F.lit(3600.0)))
-    flag = F.when(F.col("prev___t").isNull(), F.lit(False)) \
-            .when(elapsed_s > 0, speed > F.lit(max_kmh)) \
-            .otherwise(dist > F.lit(min_jump_km))
+    p = previous(d, ["account_id"], "__t", ["transaction_id", "latitude", "longitude"], ["__t", "transaction_id", "latitude", "longitude"])
+    dist, elapsed_s, speed, flag = travel("prev___t", "prev_latitude", "prev_longitude", max_kmh, min_jump_km)
     return p.select(
         "transaction_id", "account_id",
         F.col("prev_transaction_id").alias("prev_transaction_id"),
@@ -78,72 +89,68 @@ def geo_velocity(txns: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 1
         flag.alias("is_impossible_travel"), *keep)
 
 
-def episode_rows(rows: DataFrame, flagged: DataFrame, keys: list[str], row_id: str,
-                 window_us: int, width: int = HOUR_US) -> DataFrame:
+def episode_rows(rows: DataFrame, flagged: DataFrame, keys: list[str], window_us: int, most: int) -> DataFrame:
     """Rows that belong to a flagged row's trailing window.
 
     A row at t is in the episode of a flagged row at t' when t <= t' <= t + w
     (same keys): a forward range count over the flagged rows as points, so no
     row is paired with every flagged row. ``rows`` and ``flagged`` carry
-    (keys, row_id, __t)."""
+    (keys, __t), ``most`` rows of a key at most."""
     pts = flagged.select(*keys, F.col("__t").alias("t"), F.lit(1).cast("long").alias("n_flagged"))
-    out = range_sums(rows, keys, "__t", row_id, {"n_flagged": F.lit(1).cast("long")},
-                     lower=0, upper=window_us, width=width, points=pts)
+    out = window_sums(rows, keys, "__t", {"n_flagged": F.lit(1).cast("long")}, lower=0, upper=window_us, points=pts, most=2 * most)
     return out.filter(F.col("n_flagged") > 0).drop("n_flagged")
 
 
 def bin_velocity_rows(txns: DataFrame, window_us: int = 24 * HOUR_US, max_amount: float = 2.0,
-                      min_count: int = 3, width: int = HOUR_US, episode: bool = False) -> DataFrame:
+                      min_count: int = 3, episode: bool = False) -> DataFrame:
     """Micro-amount attempts on the row's BIN within [t - window, t];
     rows reaching ``min_count`` are returned with the count. With
     ``episode`` every micro row inside a triggering window is returned
     (the earlier attempts of a burst too), without the count."""
     d = _with_t(txns.filter(F.col("amount") <= F.lit(max_amount)))
     d = d.select("transaction_id", "card_bin", "__t")
-    out = range_sums(d, ["card_bin"], "__t", "transaction_id",
-                     {"n_attempts": F.lit(1).cast("long")}, lower=-window_us, upper=0, width=width)
+    most = largest(d, ["card_bin"])
+    out = window_sums(d, ["card_bin"], "__t", {"n_attempts": F.lit(1).cast("long")}, lower=-window_us, upper=0, most=most)
     flagged = out.filter(F.col("n_attempts") >= min_count)
     if episode:
-        return episode_rows(d, flagged, ["card_bin"], "transaction_id", window_us, width).select(
+        return episode_rows(d, flagged, ["card_bin"], window_us, most).select(
             "transaction_id", "card_bin")
     return flagged.select("transaction_id", "card_bin", "n_attempts")
 
 
 def ato_fan_in_rows(auth: DataFrame, window_us: int = 12 * HOUR_US, min_accounts: int = 3,
-                    width: int = HOUR_US, episode: bool = False) -> DataFrame:
+                    episode: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Distinct accounts that hit the row's device within [t - window, t];
     rows reaching ``min_accounts`` are returned. With ``episode`` every event
     inside a triggering window is returned (all accounts of the fan-in)."""
     d = _with_t(auth).select("event_id", "device_id", "account_id", "__t")
-    out = trailing_distinct(d, ["device_id"], "account_id", "__t", "event_id", window_us,
-                            width=width, out="n_accounts")
+    most = largest(d, ["device_id"])
+    out = window_distinct(d, ["device_id"], "account_id", "__t", window_us, out="n_accounts", most=most)
     flagged = out.filter(F.col("n_accounts") >= min_accounts)
     if episode:
-        return episode_rows(d, flagged, ["device_id"], "event_id", window_us, width).select(
-            "event_id", "device_id", "account_id")
-    return flagged.select("event_id", "device_id", "account_id", "n_accounts")
+        return episode_rows(d, flagged, ["device_id"], window_us, most).select(
+            "event_id", "device_id", "account_id", *keep)
+    return flagged.select("event_id", "device_id", "account_id", "n_accounts", *keep)
 
 
-def dormant_bust_out(txns: DataFrame, gap_us: int = 2 * DAY_US, min_amount: float = 50.0,
-                     width: int = DAY_US) -> DataFrame:
+def dormant_bust_out(txns: DataFrame, gap_us: int = 2 * DAY_US, min_amount: float = 50.0) -> DataFrame:
     """A transaction over ``min_amount`` after more than ``gap_us`` without
     activity on the account (the first transaction has no gap)."""
     d = _with_t(txns).select("transaction_id", "account_id", "amount", "__t")
-    p = sliced_prev(d, ["account_id"], "__t", "transaction_id", width=width)
+    p = previous(d, ["account_id"], "__t", ["transaction_id", "amount"], ["__t"])
     gap = F.col("__t") - F.col("prev___t")
     return p.filter((gap > F.lit(gap_us)) & (F.col("amount") > F.lit(min_amount))).select(
         "transaction_id", "account_id", "amount",
         F.round(gap / F.lit(float(DAY_US)), 6).alias("idle_days"))
 
 
-def sequential_pan(txns: DataFrame, width: int = DAY_US) -> DataFrame:
+def sequential_pan(txns: DataFrame) -> DataFrame:
     """Card probing -- on one (BIN, device) the masked PAN's last four
     digits rise by exactly one from the previous attempt."""
     d = _with_t(txns).select(
         "transaction_id", "card_bin", "device_id", "card_pan_masked", "__t",
         F.substring("card_pan_masked", -4, 4).cast("int").alias("pan_last4"))
-    p = sliced_prev(d, ["card_bin", "device_id"], "__t", "transaction_id",
-                    ["pan_last4"], width=width)
+    p = previous(d, ["card_bin", "device_id"], "__t", ["transaction_id", "card_pan_masked"], ["transaction_id", "pan_last4"])
     return p.filter(F.col("pan_last4") - F.col("prev_pan_last4") == 1).select(
         "transaction_id", "card_bin", "device_id", "card_pan_masked", "prev_transaction_id")
 

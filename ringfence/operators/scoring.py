@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as SC
 from . import detectors as DT
-from .sliced import DAY_US, HOUR_US, epoch_us, range_sums
+from .segments import largest, series
+from .sliced import DAY_US, HOUR_US, epoch_us
+from .triage import MONEY
 
 # Threat vectors, their decision codes and scenario risk scores
 # (percent) as the reference displays them.
@@ -99,28 +101,47 @@ def scoring_input(txns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """One row per event: the first of its rows, keyed by ``transaction_id``.
-    Written once, as every detector reads it several times."""
+    """One row per event (``__event``): of its rows the first by timestamp and
+    then by all columns, whatever order they are stored in. Written once, as
+    two scans read it."""
     from ..session import materialize
 
-    cols = [c for c in INPUT_COLUMNS if c != "transaction_id"]
-    first = rows.groupBy("__event").agg(F.min_by(F.struct(*cols), "__row").alias("e"))
-    return materialize(first.select(F.col("__event").alias("transaction_id"), "e.*"), "scoring-events")
+    cols = ["timestamp", *(c for c in INPUT_COLUMNS if c not in ("transaction_id", "timestamp"))]
+    first = rows.groupBy("__event").agg(F.min(F.struct(*cols)).alias("e"))
+    return materialize(first.select("__event", "e.*"), "scoring-events")
 
 
-def ato_events(events: DataFrame, auth: DataFrame, p: ScoringParams) -> DataFrame:
-    """W4 -> R6: events of an account within ``ato_hold_us`` after (or at) an
-    auth event of a fan-in on it."""
-    from ..session import materialize
+def takeovers(auth: DataFrame, p: ScoringParams) -> DataFrame:
+    """W4 -> R6: (account_id, t, n_ato) of the auth events of a fan-in, to be summed."""
+    rows = auth.select("event_id", "device_id", "account_id", "timestamp")
+    fan_in = DT.ato_fan_in_rows(rows, p.ato_window_us, p.ato_min_accounts, episode=True, keep=("__t",))
+    return fan_in.select("account_id", F.col("__t").alias("t"), F.lit(1).cast("long").alias("n_ato"))
+
 
-    auth = materialize(auth.select("event_id", "device_id", "account_id", "timestamp"), "scoring-auth")
-    fan_in = DT.ato_fan_in_rows(auth, p.ato_window_us, p.ato_min_accounts, episode=True).select("event_id")
-    hits = materialize(auth.join(fan_in, "event_id", "left_semi")
-                       .select("account_id", epoch_us("timestamp").alias("t"), F.lit(1).cast("long").alias("n_ato")), "scoring-takeovers")
-    rows = events.select("transaction_id", "account_id", epoch_us("timestamp").alias("__t"))
-    out = range_sums(rows, ["account_id"], "__t", "transaction_id", {"n_ato": F.lit(1).cast("long")},
-                     lower=-p.ato_hold_us, upper=0, points=hits)
-    return out.filter(F.col("n_ato") > 0).select("transaction_id", F.lit(True).alias("is_ato"))
+def event_flags(events: DataFrame, p: ScoringParams, auth: DataFrame | None = None) -> DataFrame:
+    """(__event and its history flags): one scan by account, one by BIN."""
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    one, days = F.lit(1).cast("long"), p.spike_days * DAY_US
+    sums = {"baseline_n": (one, -days, -1), "baseline_total": (F.col("amount").cast(MONEY), -days, -1)}
+    if auth is not None:
+        sums["n_ato"] = (None, -p.ato_hold_us, 0)
+    d = events.withColumn("__t", epoch_us("timestamp"))
+    most = largest(d, ["account_id"]) + (largest(auth, ["account_id"]) if auth is not None else 0)
+    d = series(d, ["account_id"], "__t", sums, {"swipe": (located, ["__t", "latitude", "longitude"]), "before": (F.lit(True), ["__t"])},
+               points=takeovers(auth, p) if auth is not None else None, order=["__event"], most=most)
+    _, _, speed, jump = DT.travel("swipe.__t", "swipe.latitude", "swipe.longitude", p.max_kmh)
+    idle = F.col("__t") - F.col("before.__t")
+    known = F.col("account_id").isNotNull()
+    d = d.select("__event", "__t", "card_bin", "amount",
+                 F.when(located, F.round(speed, 3)).alias("calculated_speed_kmh"), F.when(located, jump).alias("is_impossible_travel"),
+                 (known & DT.is_spike(p.spike_factor)).alias("is_spend_spike"),
+                 ((idle > F.lit(p.dormant_gap_us)) & (F.col("amount") > F.lit(p.dormant_min_amount))).alias("is_dormant_bust_out"),
+                 (F.col("n_ato") > 0 if auth is not None else F.lit(False)).alias("is_ato"))
+    micro = F.col("amount") <= F.lit(p.micro_amount)
+    d = series(d, ["card_bin"], "__t", {"n_attempts": (F.when(micro, one), -p.bin_window_us, 0)},
+               most=largest(events, ["card_bin"]))
+    return d.select("__event", "calculated_speed_kmh", "is_impossible_travel", "is_spend_spike", "is_dormant_bust_out", "is_ato",
+                    (micro & (F.col("n_attempts") >= p.bin_min_count)).alias("is_bin_attack"))
 
 
 def flags(txns: DataFrame, devices: DataFrame | None = None,
@@ -130,21 +151,9 @@ def flags(txns: DataFrame, devices: DataFrame | None = None,
     ``keep`` names extra transaction columns to carry along; ``auth`` adds
     the account-takeover flag (False without it)."""
     rows = scoring_input(txns, keep)
-    events = events_of(rows)
-    found = [
-        DT.geo_velocity(events, p.max_kmh).select("transaction_id", "calculated_speed_kmh", "is_impossible_travel"),
-        DT.bin_velocity_rows(events, p.bin_window_us, p.micro_amount, p.bin_min_count).select(
-            "transaction_id", F.lit(True).alias("is_bin_attack")),
-        DT.spend_spike(events, p.spike_days, p.spike_factor).select("transaction_id", F.lit(True).alias("is_spend_spike")),
-        DT.dormant_bust_out(events, p.dormant_gap_us, p.dormant_min_amount).select(
-            "transaction_id", F.lit(True).alias("is_dormant_bust_out")),
-    ]
-    if auth is not None:
-        found.append(ato_events(events, auth, p))
     out = rows.select("__event", "transaction_id", "account_id", "amount", "merchant_category",
                       "device_id", "timestamp", *keep)
-    for flag in found:
-        out = out.join(flag.withColumnRenamed("transaction_id", "__event"), "__event", "left")
+    out = out.join(event_flags(events_of(rows), p, auth), "__event", "left")
     out = out.drop("__event")
     emulator = SC.is_emulator("device_id") == 1
     if devices is not None:

@@ -76,8 +76,7 @@ def enrich(txns: DataFrame, accounts: DataFrame, devices: DataFrame) -> DataFram
 
 # ------------------------------------------------------------ blocklists
 
-def screen_blocklist(txns: DataFrame, blocks: DataFrame, key: str, ttl_us: int = 24 * 3_600_000_000,
-                     width: int | None = None) -> DataFrame:
+def screen_blocklist(txns: DataFrame, blocks: DataFrame, key: str, ttl_us: int = 24 * 3_600_000_000) -> DataFrame:
     """Active blocks on the row's key at the row's time.
 
     ``blocks(key, blocked_at)``; a block covers [blocked_at, blocked_at + ttl).
@@ -85,12 +84,13 @@ def screen_blocklist(txns: DataFrame, blocks: DataFrame, key: str, ttl_us: int =
     times never pairs every block with every event. Adds ``n_active_blocks``
     and ``is_blocked`` (hits: ``filter(is_blocked)``; passes: the rest).
     """
-    from .sliced import HOUR_US, epoch_us, range_sums
+    from .segments import largest, window_sums
+    from .sliced import epoch_us
 
     d = txns.withColumn("__t", epoch_us("timestamp"))
     pts = blocks.select(F.col(key), epoch_us("blocked_at").alias("t"), F.lit(1).cast("long").alias("n_active_blocks"))
-    out = range_sums(d, [key], "__t", "transaction_id", {"n_active_blocks": F.lit(1).cast("long")},
-                     lower=-ttl_us + 1, upper=0, width=width or HOUR_US, points=pts)
+    out = window_sums(d, [key], "__t", {"n_active_blocks": F.lit(1).cast("long")}, lower=-ttl_us + 1, upper=0, points=pts,
+                      most=largest(txns, [key]) + largest(blocks, [key]))
     out = out.withColumn("n_active_blocks", F.coalesce("n_active_blocks", F.lit(0).cast("long")))
     return out.withColumn("is_blocked", F.col("n_active_blocks") > 0).drop("__t")
 
@@ -126,9 +126,9 @@ def subnet_blocks(actions: DataFrame, scored: DataFrame, txns: DataFrame) -> Dat
     when the blocked transaction was processed."""
     from ..functions.scalars import ipv4_subnet
 
-    hit = actions.filter(F.col("action") == SUBNET_ACTION).select("transaction_id").distinct()
-    at = scored.select("transaction_id", F.col("processed_at").alias("blocked_at")).join(hit, "transaction_id", "left_semi")
-    subnet = txns.select("transaction_id", ipv4_subnet("ip_address").alias("subnet")).filter("subnet is not null")
+    hit = actions.filter(F.col("action") == SUBNET_ACTION).select("transaction_id")
+    at = (scored.join(hit, "transaction_id", "left_semi").groupBy("transaction_id").agg(F.max("processed_at").alias("blocked_at")))
+    subnet = txns.select("transaction_id", ipv4_subnet("ip_address").alias("subnet")).filter("subnet is not null").distinct()
     return at.join(subnet, "transaction_id").select("subnet", "blocked_at")
 
 
@@ -141,10 +141,11 @@ def resolve_holds(holds: DataFrame, replies: DataFrame) -> DataFrame:
     permanent, no reply (or another code) leaves it PENDING.
 
     ``holds(hold_id, ...)``, ``replies(hold_id, reply, replied_at)``. The
-    latest reply is taken with ``max_by`` per hold before the join.
+    latest reply of a hold is taken before the join; of replies at one time
+    the larger code counts, so a block wins over a release.
     """
-    latest = replies.groupBy("hold_id").agg(
-        F.max_by("reply", "replied_at").alias("reply"), F.max("replied_at").alias("replied_at"))
+    latest = replies.groupBy("hold_id").agg(F.max(F.struct("replied_at", "reply")).alias("last"))
+    latest = latest.select("hold_id", "last.reply", "last.replied_at")
     m = F.create_map(*[F.lit(x) for kv in REPLY_OUTCOME.items() for x in kv])
     return (holds.join(latest, "hold_id", "left")
             .withColumn("status", F.coalesce(m[F.col("reply")], F.lit("PENDING"))))
@@ -179,13 +180,19 @@ def prevented_by_day(scored: DataFrame) -> DataFrame:
     )
 
 
+def _arrivals(raw: DataFrame, scored: DataFrame) -> DataFrame:
+    """(transaction_id, timestamp, processed_at), a row per id: both sides are folded before they meet."""
+    first = raw.groupBy("transaction_id").agg(F.min("timestamp").alias("timestamp"))
+    return first.join(scored.groupBy("transaction_id").agg(F.max("processed_at").alias("processed_at")), "transaction_id")
+
+
 def decision_latency(raw: DataFrame, scored: DataFrame) -> DataFrame:
     """A10: processed_at - timestamp per day of arrival: count, total and
-    max in micros (exact), plus an approximate p95 in seconds."""
+    max in micros (exact). A repeated id is one transaction: it arrived with its
+    first row and was processed with its last."""
     from .sliced import epoch_us
 
-    j = raw.select("transaction_id", "timestamp").join(
-        scored.select("transaction_id", "processed_at"), "transaction_id", "inner")
+    j = _arrivals(raw, scored)
     lat = epoch_us("processed_at") - epoch_us("timestamp")
     return j.groupBy(F.to_date("timestamp").alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -200,8 +207,7 @@ def decision_latency_percentiles(raw: DataFrame, scored: DataFrame, accuracy: in
     that with a rank error of at most 1 / ``accuracy``."""
     from .sliced import epoch_us
 
-    j = raw.select("transaction_id", "timestamp").join(
-        scored.select("transaction_id", "processed_at"), "transaction_id", "inner")
+    j = _arrivals(raw, scored)
     us = epoch_us("processed_at") - epoch_us("timestamp")
     day = j.groupBy(F.to_date("timestamp").alias("day")).agg(
         F.percentile_approx(us, [0.5, 0.95, 0.99], accuracy).alias("q"),
