@@ -54,7 +54,7 @@ from .numbering import sorted_groups
 from .staging import bounded_batches, drop_staged, staged
 
 BUCKET_TOKENS = 1 << 18            # pool shingles that meet in a bucket, about
-PACK_TOKENS = 1 << 20              # pool shingles that a task packs at once
+PACK_TOKENS = 1 << 19              # pool shingles that a task packs at once
 PIVOT_ROWS = 256                   # comparisons that share one shipped pivot set
 LIST = 512                         # stars that a list compares pair by pair
 PIVOTS = 16                        # of a longer list, in its first round
