@@ -255,17 +255,38 @@ def shared_device_pairs(g: FraudGraph, seeds: DataFrame, emulator_only: bool = T
         F.count(F.lit(1)).alias("shared_devices"))
 
 
+def _device_links(g: FraudGraph, emulator_only: bool) -> DataFrame:
+    ud = g.used_device.select("account_id", "device_id")
+    if emulator_only:
+        ud = ud.join(g.devices.filter(F.col("is_emulator")).select("device_id"), "device_id", "left_semi")
+    return ud
+
+
 def blast_radius(g: FraudGraph, emulator_only: bool = True) -> DataFrame:
-    """Accounts tied to each device (count; member rows are ``used_device``).
+    """How many accounts are tied to each device (who they are:
+    ``blast_radius_members``).
 
     A device used by a third of all accounts still costs one partial
     aggregate per task: the distinct count shuffles on (device, account)
     first, then only per-task counts on device.
     """
-    ud = g.used_device.select("account_id", "device_id")
-    if emulator_only:
-        ud = ud.join(g.devices.filter(F.col("is_emulator")).select("device_id"), "device_id", "left_semi")
-    return ud.groupBy("device_id").agg(F.countDistinct("account_id").alias("n_accounts"))
+    return _device_links(g, emulator_only).groupBy("device_id").agg(F.countDistinct("account_id").alias("n_accounts"))
+
+
+def blast_radius_members(g: FraudGraph, emulator_only: bool = True, page_size: int = 1000) -> DataFrame:
+    """The accounts tied to each device, in pages of about ``page_size``.
+
+    Columns device_id, n_pages, page (from 0), members (sorted array). An
+    account's page is a hash of its id modulo the device's number of pages, so
+    a device used by a third of all accounts is many rows and many tasks, never
+    one cell, and no order over all its accounts is needed. A page that no
+    account hashes to is absent.
+    """
+    ud = _device_links(g.written("used_device"), emulator_only).filter(F.col("account_id").isNotNull()).distinct()
+    pages = ud.groupBy("device_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(page_size)).cast("long").alias("n_pages"))
+    slot = F.conv(F.substring(F.md5(F.col("account_id").cast("string")), 1, 8), 16, 10).cast("long")
+    return (ud.join(pages, "device_id").withColumn("page", slot % F.col("n_pages"))
+            .groupBy("device_id", "n_pages", "page").agg(F.array_sort(F.collect_list("account_id")).alias("members")))
 
 
 def commercial_drop_links(g: FraudGraph) -> DataFrame:

@@ -582,6 +582,17 @@ SQL["blast_radius"] = with_views("ud") + _EMU + """
 SELECT device_id, COUNT(DISTINCT account_id) AS n_accounts FROM emu GROUP BY device_id
 """
 
+SQL["blast_radius_members"] = with_views("ud") + _EMU + """,
+d AS (SELECT DISTINCT device_id, account_id FROM emu WHERE account_id IS NOT NULL),
+n AS (SELECT device_id, CAST(ceil(COUNT(*) / 8.0) AS BIGINT) AS n_pages FROM d GROUP BY device_id),
+p AS (SELECT d.device_id, d.account_id, n.n_pages,
+             CAST('0x' || substr(md5(CAST(d.account_id AS VARCHAR)), 1, 8) AS BIGINT) % n.n_pages AS page
+      FROM d JOIN n USING (device_id))
+SELECT device_id, n_pages, page, COUNT(*) AS n_members,
+       string_agg(CAST(account_id AS VARCHAR), ',' ORDER BY account_id) AS members
+FROM p GROUP BY device_id, n_pages, page
+"""
+
 SQL["device_fan_in"] = with_views("auth", "accounts") + """
 SELECT a.device_id, a.account_id, c.customer_name, a.event_type, a.ts AS "timestamp"
 FROM auth a JOIN accounts c ON c.account_id = a.account_id
@@ -693,6 +704,20 @@ SELECT transaction_id, account_id, is_bin_attack, is_impossible_travel, is_spend
 FROM scored
 """
 
+SQL["stream_scored_ato"] = SCORED + """
+SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(account_id AS VARCHAR) AS account_id, is_bin_attack,
+       is_impossible_travel, is_spend_spike, is_dormant_bust_out, is_ato, verdict, vector
+FROM scored
+"""
+
+SQL["stream_replays"] = with_views("txn") + """
+SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(account_id AS VARCHAR) AS account_id, amount, ts AS "timestamp" FROM txn
+"""
+
+SQL["stream_holds"] = RESOLVED + """
+SELECT CAST(hold_id AS VARCHAR) AS hold_id, CAST(account_id AS VARCHAR) AS account_id, amount, vector, reply, replied_at, status FROM resolved
+"""
+
 SQL["investigate_targets"] = with_views("accounts", "ud", "st", "ev") + f""",
 ring AS ({RING_BODY}),
 expo AS ({EXPOSURE_BODY})

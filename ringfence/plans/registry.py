@@ -310,6 +310,14 @@ def q_blast_radius(spark, sf_dir):
     return G.blast_radius(td.graph(spark, sf_dir), emulator_only=True)
 
 
+@register("blast_radius_members")
+def q_blast_radius_members(spark, sf_dir):
+    """The accounts of each emulator device in pages of about eight."""
+    m = G.blast_radius_members(td.graph(spark, sf_dir), emulator_only=True, page_size=8)
+    return m.select("device_id", "n_pages", "page", F.size("members").cast("long").alias("n_members"),
+                    F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
 @register("investigate_targets")
 def q_investigate_targets(spark, sf_dir):
     """G4 + A1 anchored: the accounts that ran an emulator device with an
@@ -453,10 +461,13 @@ def _stream_txns(spark, sf_dir):
     return ST.event_time(td.transactions(spark, sf_dir, td.events_stream(spark, sf_dir)))
 
 
+def _run_at(spark, df, base):
+    return ST.run_to_table(spark, df, f"{base}/out", f"{base}/checkpoint")
+
+
 def _run(spark, df, name):
     ensure_checkpoint_dir(spark)
-    base = scratch_path(spark, name)
-    return ST.run_to_table(spark, df, f"{base}/out", f"{base}/checkpoint")
+    return _run_at(spark, df, scratch_path(spark, name))
 
 
 def _ntz(df, *cols):
@@ -542,6 +553,62 @@ def q_stream_scored(spark, sf_dir):
                                                     "is_dormant_bust_out", "verdict")
 
 
+@register("stream_scored_ato")
+def q_stream_scored_ato(spark, sf_dir):
+    """R6 + S4 + S5 on two streams, in two runs from one checkpoint: the first
+    finds the transactions up to a cut-off and the authentication events up to
+    two days before it, the second the rest. Fan-ins that come late mark
+    transactions that were scored before."""
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "stream-scored-ato")
+    txns, auth = td.transactions(spark, sf_dir), td.auth_events(spark, sf_dir)
+    cut = F.lit(td.PROFILE_CUTOFF).cast("timestamp_ntz")
+    early = cut - F.expr("INTERVAL 2 DAYS")
+    for txn_part, auth_part in (((F.col("timestamp") < cut), (F.col("timestamp") < early)),
+                                ((F.col("timestamp") >= cut), (F.col("timestamp") >= early))):
+        IO.append_conformed(txns.filter(txn_part), SCH.LIVE_TRANSACTIONS, f"{base}/txn")
+        IO.append_conformed(auth.filter(auth_part), SCH.AUTH_EVENTS, f"{base}/auth")
+        dev = td.devices(spark, sf_dir).withColumn("device_id", F.col("device_id").cast("string"))
+        q = ST.score_stream(IO.read_txn_stream(spark, f"{base}/txn"), f"{base}/out", f"{base}/checkpoint", dev, P,
+                            auth=IO.read_auth_stream(spark, f"{base}/auth"))
+        q.awaitTermination()
+    return ST.current_scores(spark, f"{base}/out").select("transaction_id", "account_id", "is_bin_attack", "is_impossible_travel", "is_spend_spike",
+                                                          "is_dormant_bust_out", "is_ato", "verdict", "vector")
+
+
+@register("stream_replays")
+def q_stream_replays(spark, sf_dir):
+    """A feed that is delivered again after the first run has ended; the
+    second run, from the same checkpoint, drops every replay."""
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "stream-replays")
+    txns = td.transactions(spark, sf_dir)
+    for _ in range(2):
+        IO.append_conformed(txns, SCH.LIVE_TRANSACTIONS, f"{base}/in")
+        s = ST.dedupe_replays(IO.read_txn_stream(spark, f"{base}/in"), watermark="1 hour")
+        out = _run_at(spark, s, base)
+    return _ntz(out.select("transaction_id", "account_id", "amount", "timestamp"), "timestamp")
+
+
+@register("stream_holds")
+def q_stream_holds(spark, sf_dir):
+    """J8 on streams: holds and replies land as files; each hold comes out with
+    its outcome. Sentinel rows end both streams."""
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "stream-holds")
+    txns = td.transactions(spark, sf_dir)
+    blocked = scored(spark, sf_dir).filter(F.col("verdict") == "BLOCKED").select(
+        F.col("transaction_id").alias("hold_id"), "account_id", "amount", "vector")
+    held = blocked.join(txns.select(F.col("transaction_id").alias("hold_id"), F.col("timestamp").alias("held_at")), "hold_id")
+    IO.append_conformed(held, SCH.HOLDS, f"{base}/holds")
+    IO.append_conformed(td.cardholder_replies(txns, blocked), SCH.CARDHOLDER_REPLIES, f"{base}/replies")
+    holds = ST.with_sentinel(IO.read_stream(spark, f"{base}/holds", SCH.HOLDS), f"{base}/sentinel-holds", "held_at", hold_id="sentinel")
+    replies = ST.with_sentinel(IO.read_stream(spark, f"{base}/replies", SCH.CARDHOLDER_REPLIES), f"{base}/sentinel-replies", "replied_at",
+                               hold_id="sentinel")
+    out = _run_at(spark, ST.resolve_holds_stream(holds, replies, "90 days", "1 hour"), base)  # the sentinel hold stays open
+    return _ntz(out.drop("held_at"), "replied_at")
+
+
 @register("bin_velocity_episodes")
 def q_bin_velocity_episodes(spark, sf_dir):
     """W3 with episode flagging: every attempt of a triggering burst."""

@@ -55,4 +55,5 @@ KYC_AUDIT_LOG = _struct(
     ("graph_syndicate_link", S), ("decision", S), ("scanned_at", TS),
 )
 
+HOLDS = _struct(("hold_id", S), ("account_id", S), ("amount", D), ("vector", S), ("held_at", TS))
 CARDHOLDER_REPLIES = _struct(("hold_id", S), ("reply", S), ("replied_at", TS))

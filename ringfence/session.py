@@ -109,3 +109,9 @@ def materialize(df, name: str, partition_by: list[str] | None = None):
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written folder of the shared file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
