@@ -509,7 +509,7 @@ def q_stream_ato(spark, sf_dir):
 def q_stream_geo(spark, sf_dir):
     """Geo-velocity over the transaction stream in event-time order."""
     ensure_checkpoint_dir(spark)
-    return _run(spark, ST.geo_velocity_stream(_stream_txns(spark, sf_dir), 900.0, 100.0, "1 hour"), "stream-geo")
+    return _run(spark, ST.geo_velocity_stream(_stream_txns(spark, sf_dir), 900.0, 100.0, "1 hour", state_buckets=8), "stream-geo")
 
 
 @register("stream_spike")
@@ -547,7 +547,8 @@ def q_stream_scored(spark, sf_dir):
     all transactions (takeover events are another stream's)."""
     ensure_checkpoint_dir(spark)
     base = scratch_path(spark, "stream-scored")
-    q = ST.score_stream(_stream_txns(spark, sf_dir).drop("k"), f"{base}/out", f"{base}/checkpoint", td.devices(spark, sf_dir), P)
+    q = ST.score_stream(_stream_txns(spark, sf_dir).drop("k"), f"{base}/out", f"{base}/checkpoint", td.devices(spark, sf_dir), P,
+                        state_buckets=8)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("transaction_id", "account_id", "is_bin_attack", "is_impossible_travel", "is_spend_spike",
                                                     "is_dormant_bust_out", "verdict")
@@ -570,7 +571,7 @@ def q_stream_scored_ato(spark, sf_dir):
         IO.append_conformed(auth.filter(auth_part), SCH.AUTH_EVENTS, f"{base}/auth")
         dev = td.devices(spark, sf_dir).withColumn("device_id", F.col("device_id").cast("string"))
         q = ST.score_stream(IO.read_txn_stream(spark, f"{base}/txn"), f"{base}/out", f"{base}/checkpoint", dev, P,
-                            auth=IO.read_auth_stream(spark, f"{base}/auth"))
+                            auth=IO.read_auth_stream(spark, f"{base}/auth"), state_buckets=8)
         q.awaitTermination()
     return ST.current_scores(spark, f"{base}/out").select("transaction_id", "account_id", "is_bin_attack", "is_impossible_travel", "is_spend_spike",
                                                           "is_dormant_bust_out", "is_ato", "verdict", "vector")

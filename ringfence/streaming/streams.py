@@ -96,15 +96,16 @@ GEO_COLUMNS = ("transaction_id", "account_id", "latitude", "longitude", "timesta
 
 
 def _geo_step(spark: SparkSession, rows: DataFrame, base: str, batch_id: int, delay_us: int | None,
-              max_kmh: float, min_jump_km: float) -> None:
+              max_kmh: float, min_jump_km: float, buckets: int) -> None:
     """One micro-batch of R4. ``state/b`` holds what batch b leaves to the next:
     ``pending`` (located swipes the watermark has not passed) and ``clock`` (the
     newest time seen); the newest emitted swipe of each account lies in
     ``last``, of which a batch rewrites its own accounts' buckets. Folders that
-    no later batch reads are deleted. ``delay_us`` None: flush."""
+    no later batch reads are deleted. ``delay_us`` None: flush, which gives what
+    waits and leaves the state as it is."""
     from .keyed_state import KeyedState
 
-    last_swipes = KeyedState(spark, f"{base}/last", "account_id")
+    last_swipes = KeyedState(spark, f"{base}/last", "account_id", buckets)
     here, there = f"{base}/state/{batch_id}", f"{base}/state/{batch_id - 1}"
     pending = spark.read.schema(rows.schema).parquet(f"{there}/pending") if batch_id > 0 else None
     seen = spark.read.schema("clock long").parquet(f"{there}/clock").first()[0] if batch_id > 0 else None
@@ -117,20 +118,21 @@ def _geo_step(spark: SparkSession, rows: DataFrame, base: str, batch_id: int, de
     top = max([x for x in (seen, newest) if x is not None], default=None)
     flush = delay_us is None or top is None
     ready = both if flush else both.filter(t <= top - delay_us)
-    (both.limit(0) if flush else both.filter(t > top - delay_us)).write.mode("overwrite").parquet(f"{here}/pending")
-    spark.createDataFrame([(top,)], "clock long").coalesce(1).write.mode("overwrite").parquet(f"{here}/clock")
     touched = last_swipes.touched(ready)
     last = last_swipes.read(batch_id, touched)
-    with_last = ready if last is None else last.unionByName(ready)
-    newest_of = with_last.groupBy("account_id").agg(F.max(F.struct("timestamp", *GEO_COLUMNS[:1], *GEO_COLUMNS[2:4])).alias("s"))
-    last_swipes.write(batch_id, newest_of.select("s.transaction_id", "account_id", "s.latitude", "s.longitude", "s.timestamp"), touched)
+    if delay_us is not None:
+        (both.limit(0) if flush else both.filter(t > top - delay_us)).write.mode("overwrite").parquet(f"{here}/pending")
+        spark.createDataFrame([(top,)], "clock long").coalesce(1).write.mode("overwrite").parquet(f"{here}/clock")
+        with_last = ready if last is None else last.unionByName(ready)
+        newest_of = with_last.groupBy("account_id").agg(F.max(F.struct("timestamp", *GEO_COLUMNS[:1], *GEO_COLUMNS[2:4])).alias("s"))
+        last_swipes.write(batch_id, newest_of.select("s.transaction_id", "account_id", "s.latitude", "s.longitude", "s.timestamp"), touched)
     # a swipe of ``last`` only serves as predecessor: it is marked and not given again
     marked = ready.withColumn("__new", F.lit(True))
     if last is not None:
         marked = last.withColumn("__new", F.lit(False)).unionByName(marked)
     out = geo_velocity(marked, max_kmh, min_jump_km, keep=("__new",)).filter("__new").drop("__new")
     out.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-    if batch_id >= 2:
+    if batch_id >= 2 and delay_us is not None:
         drop_path(spark, f"{base}/state/{batch_id - 2}")
 
 
@@ -143,6 +145,7 @@ class OrderedGeoVelocity:
     min_jump_km: float
     delay_us: int
     flush: bool
+    state_buckets: int = 256
 
     def run_to(self, path: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
         """State, late rows and output lie under ``path``; gives the output."""
@@ -150,7 +153,7 @@ class OrderedGeoVelocity:
         located = self.stream.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(*GEO_COLUMNS)
 
         def step(batch: DataFrame, batch_id: int) -> None:
-            _geo_step(batch.sparkSession, batch, base, batch_id, self.delay_us, self.max_kmh, self.min_jump_km)
+            _geo_step(batch.sparkSession, batch, base, batch_id, self.delay_us, self.max_kmh, self.min_jump_km, self.state_buckets)
             done[0] = batch_id
 
         q = (located.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -159,12 +162,13 @@ class OrderedGeoVelocity:
         if q.exception() is not None:
             raise q.exception()
         if self.flush and done[0] >= 0:
-            _geo_step(spark, spark.createDataFrame([], located.schema), base, done[0] + 1, None, self.max_kmh, self.min_jump_km)
+            _geo_step(spark, spark.createDataFrame([], located.schema), base, done[0] + 1, None, self.max_kmh, self.min_jump_km, self.state_buckets)
         return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
 def geo_velocity_stream(stream: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 100.0,
-                        watermark: str = DEFAULT_WATERMARK, flush: bool = True) -> OrderedGeoVelocity:
+                        watermark: str = DEFAULT_WATERMARK, flush: bool = True,
+                        state_buckets: int = 256) -> OrderedGeoVelocity:
     """R4 in event-time order: the result equals the batch detector's.
 
     Swipes wait until the watermark (newest time seen minus the delay) passes
@@ -174,8 +178,10 @@ def geo_velocity_stream(stream: DataFrame, max_kmh: float = 900.0, min_jump_km:
     account that returns after weeks still has its predecessor. All work is
     the sliced JVM window of the batch detector: a hot account is split over
     time slices. Steps are idempotent per batch id. ``flush`` emits what
-    still waits when a finite stream has ended."""
-    return OrderedGeoVelocity(stream, max_kmh, min_jump_km, _span_us(stream.sparkSession, watermark), flush)
+    still waits when a finite stream has ended. A batch rewrites the newest
+    swipes of its own accounts' ``state_buckets`` only: choose them so that a
+    bucket holds about as much as a shuffle partition."""
+    return OrderedGeoVelocity(stream, max_kmh, min_jump_km, _span_us(stream.sparkSession, watermark), flush, state_buckets)
 
 
 def spike_stream(stream: DataFrame, profile: DataFrame, factor: float = 30.0) -> DataFrame:
@@ -261,7 +267,8 @@ def _history(recent: DataFrame, todo: DataFrame, landed: DataFrame, state: DataF
 
 def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFrame | None = None,
                  params: ScoringParams = ScoringParams(), trigger: dict | None = None,
-                 raw_path: str | None = None, lookback: str = "90 days", auth: DataFrame | None = None):
+                 raw_path: str | None = None, lookback: str = "90 days", auth: DataFrame | None = None,
+                 state_buckets: int = 256):
     """R6 on a stream: every micro-batch is scored with the batch detectors
     and written to its own ``batch_id=`` folder with overwrite, so a replayed
     batch replaces its output instead of duplicating it.
@@ -270,8 +277,8 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFra
     ``path``; partitioned by event date and batch id, this batch's partitions overwritten on replay); scoring then reads
     the landed rows of the batch's own accounts and BINs. Dates older than
     ``lookback`` before the earliest row to be scored are not read: the newest
-    row and the newest located row of each account are kept by ``KeyedState``,
-    so dormancy and travel have no such bound.
+    row and the newest located row of each account are kept by ``KeyedState``
+    (in ``state_buckets``, each about as large as a shuffle partition), so dormancy and travel have no such bound.
 
     With ``auth``, a stream of authentication events, takeovers mark and block
     transactions as in batch scoring. A transaction is scored at once, with the
@@ -291,7 +298,7 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFra
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = KeyedState(spark, f"{raw_path}-last", "account_id")
+        state = KeyedState(spark, f"{raw_path}-last", "account_id", state_buckets)
         landed = _land(batch.filter("not __auth").select(*columns, F.monotonically_increasing_id().alias("landed_row")), raw_path, batch_id)
         own = landed.filter(F.col("batch_id") == batch_id)
         todo, revise = own.withColumn("__again", F.lit(False)), F.lit(False)

@@ -27,7 +27,7 @@ def _land(spark, rows, schema, folder):
 
 
 def _score(spark, base, params, **kw):
-    q = ST.score_stream(IO.read_txn_stream(spark, f"{base}/txn"), f"{base}/out", f"{base}/ck", params=params,
+    q = ST.score_stream(IO.read_txn_stream(spark, f"{base}/txn"), f"{base}/out", f"{base}/ck", params=params, state_buckets=4,
                         auth=IO.read_auth_stream(spark, f"{base}/auth"), **kw)
     q.awaitTermination()
     assert q.exception() is None
@@ -72,7 +72,7 @@ def test_history_beyond_the_lookback(spark, tmpdir_fresh, order):
     rows = {}
     for i in order:
         _land(spark, parts[i], schemas.LIVE_TRANSACTIONS, f"{base}/txn")
-        q = ST.score_stream(IO.read_txn_stream(spark, f"{base}/txn"), f"{base}/out", f"{base}/ck", params=p, lookback="10 days")
+        q = ST.score_stream(IO.read_txn_stream(spark, f"{base}/txn"), f"{base}/out", f"{base}/ck", params=p, lookback="10 days", state_buckets=4)
         q.awaitTermination()
         assert q.exception() is None
     for r in ST.current_scores(spark, f"{base}/out").collect():
