@@ -24,7 +24,7 @@ class KeyedState:
     the one before it names are deleted. At most ``buckets`` pairs of integers
     come to the driver."""
 
-    def __init__(self, spark: SparkSession, base: str, key: str, buckets: int = 256):
+    def __init__(self, spark: SparkSession, base: str, key: str, buckets: int = 64):
         self.spark, self.base, self.key, self.buckets = spark, base.rstrip("/"), key, buckets
 
     def bucket(self) -> Column:

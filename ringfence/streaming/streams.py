@@ -145,7 +145,7 @@ class OrderedGeoVelocity:
     min_jump_km: float
     delay_us: int
     flush: bool
-    state_buckets: int = 256
+    state_buckets: int = 64
 
     def run_to(self, path: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
         """State, late rows and output lie under ``path``; gives the output."""
@@ -168,7 +168,7 @@ class OrderedGeoVelocity:
 
 def geo_velocity_stream(stream: DataFrame, max_kmh: float = 900.0, min_jump_km: float = 100.0,
                         watermark: str = DEFAULT_WATERMARK, flush: bool = True,
-                        state_buckets: int = 256) -> OrderedGeoVelocity:
+                        state_buckets: int = 64) -> OrderedGeoVelocity:
     """R4 in event-time order: the result equals the batch detector's.
 
     Swipes wait until the watermark (newest time seen minus the delay) passes
@@ -268,7 +268,7 @@ def _history(recent: DataFrame, todo: DataFrame, landed: DataFrame, state: DataF
 def score_stream(stream: DataFrame, path: str, checkpoint: str, devices: DataFrame | None = None,
                  params: ScoringParams = ScoringParams(), trigger: dict | None = None,
                  raw_path: str | None = None, lookback: str = "90 days", auth: DataFrame | None = None,
-                 state_buckets: int = 256):
+                 state_buckets: int = 64):
     """R6 on a stream: every micro-batch is scored with the batch detectors
     and written to its own ``batch_id=`` folder with overwrite, so a replayed
     batch replaces its output instead of duplicating it.
