@@ -92,6 +92,64 @@ def _two_hop(seed: DataFrame, seed_key: str, edges: DataFrame, via: str,
     return out
 
 
+def ring_legs(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool,
+              targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two legs of G3/G4, both (fraud_id, suspicious_id, kind, node) with
+    kind D (device) or A (address).
+
+    Each fraud account starts from its lighter side: the kind whose nodes have
+    fewer accounts around them in all. The first leg expands that side only. The
+    second leg expands the other side too, unless looking up the nodes of that
+    kind for each pair found takes fewer rows: a hub device or a mailbox
+    address used by a third of all accounts is not expanded where there is a
+    smaller way. Three tables are written: the nodes of the fraud accounts, the
+    edges at these nodes (the edge tables are scanned twice in all) and the plan
+    of each fraud account."""
+    from ..session import materialize
+
+    g = g.written("used_device", "shipped_to")  # each is read twice below
+    same = dict(g.used_device.dtypes)["device_id"] == dict(g.shipped_to.dtypes)["address_id"]
+
+    def of_kind(rows: DataFrame, kind: str, col: str, *more: str) -> DataFrame:
+        node = F.col(col) if same else F.col(col).cast("string")
+        return rows.select(*more, F.lit(kind).alias("kind"), node.alias("node"))
+
+    edges = of_kind(g.used_device, "D", "device_id", "account_id").unionByName(of_kind(g.shipped_to, "A", "address_id", "account_id"))
+    # Node existence: the pattern binds Account, Device and Address nodes.
+    nodes = of_kind(g.devices, "D", "device_id").unionByName(of_kind(g.addresses, "A", "address_id"))
+    known = g.accounts.select("account_id")
+    if targets is not None:
+        known = known.join(targets.select(F.col("suspicious_id").alias("account_id")), "account_id", "left_semi")
+    own = (edges.join(seeds.select(F.col("fraud_id").alias("account_id")).distinct(), "account_id")
+           .join(nodes, ["kind", "node"], "left_semi")
+           .select(F.col("account_id").alias("fraud_id"), "kind", "node"))
+    own = materialize(own, "ring-seed-nodes")
+    near = (edges.join(own.select("kind", "node").distinct(), ["kind", "node"], "left_semi")
+            .join(known, "account_id", "left_semi")
+            .select(F.col("account_id").alias("suspicious_id"), "kind", "node"))
+    near = materialize(near, "ring-near-edges")
+    size = near.groupBy("kind", "node").agg(F.count(F.lit(1)).alias("n"))
+    device, n = F.col("kind") == "D", F.col("n")
+    work = (own.join(size, ["kind", "node"]).groupBy("fraud_id")
+            .agg(F.sum(F.when(device, n)).alias("d"), F.sum(F.when(~device, n)).alias("a"),
+                 F.count(F.when(device, n)).alias("n_d"), F.count(F.when(~device, n)).alias("n_a"))
+            .filter("n_d > 0 and n_a > 0"))
+    lookups = F.when(F.col("d") <= F.col("a"), F.col("d") * F.col("n_a")).otherwise(F.col("a") * F.col("n_d"))
+    work = work.select("fraud_id", F.when(F.col("d") <= F.col("a"), "D").otherwise("A").alias("light"),
+                       (lookups < F.greatest("d", "a")).alias("look_up"))
+    own = materialize(own.join(work, "fraud_id").select("fraud_id", "kind", "node", (F.col("kind") == F.col("light")).alias("light"), "look_up"), "ring-plan")
+
+    def expand(rows: DataFrame) -> DataFrame:
+        out = rows.join(near, ["kind", "node"]).select("fraud_id", "suspicious_id", "kind", "node")
+        return out.filter(F.col("suspicious_id") != F.col("fraud_id")) if distinct_endpoints else out
+
+    first = expand(own.filter("light"))
+    pairs = expand(own.filter("light and look_up")).select("fraud_id", "suspicious_id").distinct()
+    looked_up = (pairs.join(own.filter("not light and look_up"), "fraud_id").join(near, ["suspicious_id", "kind", "node"])
+                 .select("fraud_id", "suspicious_id", "kind", "node"))
+    return first, expand(own.filter("not light and not look_up")).unionByName(looked_up)
+
+
 def ring_matches(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool,
                  targets: DataFrame | None = None) -> DataFrame:
     """Core of G3/G4.
@@ -99,26 +157,17 @@ def ring_matches(g: FraudGraph, seeds: DataFrame, distinct_endpoints: bool,
     ``seeds(fraud_id)`` are the fraud accounts. Returns one row per
     (suspicious_id, device_id, fraud_id, address_id) such that suspicious
     and fraud share the device and the address (bag semantics over the
-    distinct edge keys). Only the (fraud, suspicious) pairs that share a
-    device are followed along addresses: fraud's addresses, then the edge
-    (address, suspicious). ``targets(suspicious_id)`` restricts the other end
-    before anything is expanded."""
-    g = g.written("used_device", "shipped_to")  # each is read twice below
-    ud = g.used_device.select("account_id", "device_id")
-    st = g.shipped_to.select("account_id", "address_id")
-    back = ud if targets is None else ud.join(targets.select(F.col("suspicious_id").alias("account_id")).distinct(), "account_id", "left_semi")
-    dev_leg = _two_hop(seeds, "fraud_id", ud, "device_id", "suspicious_id", distinct_endpoints, back)
-    pairs = dev_leg.select("fraud_id", "suspicious_id").distinct()
-    there = st.select(F.col("account_id").alias("fraud_id"), "address_id")
-    here = st.select(F.col("account_id").alias("suspicious_id"), "address_id")
-    addr_leg = pairs.join(there, "fraud_id", "inner").join(here, ["suspicious_id", "address_id"], "inner")
-    ring = dev_leg.join(addr_leg, ["fraud_id", "suspicious_id"], "inner")
-    # Node existence: the pattern binds Account, Device and Address nodes.
-    ring = ring.join(g.accounts.select(F.col("account_id").alias("suspicious_id")),
-                     "suspicious_id", "left_semi")
-    ring = ring.join(g.devices.select("device_id"), "device_id", "left_semi")
-    ring = ring.join(g.addresses.select("address_id"), "address_id", "left_semi")
-    return ring
+    distinct edge keys). The legs come from ``ring_legs``: every fraud account
+    expands its smaller neighbourhood; the other one is expanded or looked up for
+    the pairs found, whichever takes fewer rows. ``targets(suspicious_id)`` restricts the other end before
+    anything is expanded."""
+    first, second = ring_legs(g, seeds, distinct_endpoints, targets)
+    both = first.join(second.select("fraud_id", "suspicious_id", F.col("node").alias("other")), ["fraud_id", "suspicious_id"])
+    from_device = F.col("kind") == "D"
+    types = dict(g.devices.dtypes)["device_id"], dict(g.addresses.dtypes)["address_id"]
+    return both.select("fraud_id", "suspicious_id",
+                       F.when(from_device, F.col("node")).otherwise(F.col("other")).cast(types[0]).alias("device_id"),
+                       F.when(from_device, F.col("other")).otherwise(F.col("node")).cast(types[1]).alias("address_id"))
 
 
 def fraud_seeds(g: FraudGraph, status: str = CONFIRMED_FRAUD) -> DataFrame:
