@@ -49,6 +49,19 @@ class KeyedState:
         folders = [self._folder(b, found[b]) for b in touched if b in found]
         return self.spark.read.parquet(*folders) if folders else None
 
+    def _files(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def newest(self) -> DataFrame | None:
+        """All rows as the newest finished batch left them (None: no rows)."""
+        fs, path = self._files(f"{self.base}/versions")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        done = [int(n) for n in names if fs.exists(self._files(f"{self.base}/versions/{n}/_SUCCESS")[1])]
+        found = self.versions(max(done)) if done else {}
+        folders = [self._folder(b, v) for b, v in sorted(found.items())]
+        return self.spark.read.parquet(*folders) if folders else None
+
     def write(self, batch_id: int, rows: DataFrame | None, touched: list[int]) -> None:
         """``rows`` become the whole state of the touched buckets."""
         before = self.versions(batch_id - 1)
@@ -56,7 +69,12 @@ class KeyedState:
         if rows is not None and touched:
             (rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite")
              .partitionBy("bucket").parquet(f"{self.base}/rows/version={batch_id}"))
-            now.update(dict.fromkeys(touched, batch_id))
+            for b in touched:  # a bucket that is left without rows has no folder
+                fs, folder = self._files(self._folder(b, batch_id))
+                if fs.exists(folder):
+                    now[b] = batch_id
+                else:
+                    now.pop(b, None)
         (self.spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1)
          .write.mode("overwrite").parquet(f"{self.base}/versions/{batch_id}"))
         older = self.versions(batch_id - 2) if batch_id >= 2 and before else {}

@@ -381,25 +381,71 @@ def with_sentinel(stream: DataFrame, folder: str, time: str = "timestamp", **val
 
 
 def blocklist_stream(blocks: DataFrame, key: str, path: str, checkpoint: str, ttl: str = "24 hours",
-                     trigger: dict | None = None):
-    """R8 on a stream: the live blocklist. A block is visible from its arrival
-    on: every micro-batch writes the keys whose latest block has changed, and
-    ``live_blocklist`` reads what is active at a time. State is one
-    timestamp for each key that was ever blocked."""
-    last = blocks.groupBy(key).agg(F.max("blocked_at").alias("last_blocked_at"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("expires_at", F.col("last_blocked_at") + F.expr(f"INTERVAL {ttl}"))
-         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+                     trigger: dict | None = None, watermark: str = DEFAULT_WATERMARK, state_buckets: int = 64):
+    """R8 on a stream: the live blocklist, with event-time timers.
+
+    State is the latest block of each key that is blocked now. A block is in the
+    table from its arrival on; a timer at its expiry takes it out of the state
+    and out of the table when the watermark has passed it. The watermark lies on
+    the expiry with the ttl added to its delay: it trails the newest block by
+    ``watermark``, and a block that arrives late counts as long as it has not
+    expired. The table is ``KeyedState`` under ``path``: a micro-batch rewrites
+    the buckets of the keys that it blocks or frees only. Rows without a key or
+    time block nothing. ``live_blocklist`` reads the table."""
+    from pyspark.sql import types as T
+
+    from .expiry import BlockExpiry
+    from .keyed_state import KeyedState
 
-    return (last.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    spark, kind = blocks.sparkSession, blocks.schema[key].dataType
+    delay_us = _span_us(spark, watermark) + _span_us(spark, ttl)
+    changes = T.StructType([T.StructField(key, kind), T.StructField("blocked_us", T.LongType()),
+                            T.StructField("expires_us", T.LongType()), T.StructField("active", T.BooleanType())])
+    timed = (blocks.filter(F.col(key).isNotNull() & F.col("blocked_at").isNotNull())
+             .select(key, F.col("blocked_at").cast("timestamp").alias("blocked_at"))
+             .withColumn("expires_at", F.col("blocked_at") + F.expr(f"INTERVAL {ttl}"))
+             .withWatermark("expires_at", f"{delay_us} microseconds")
+             .withColumns({"blocked_us": F.unix_micros("blocked_at"), "expires_us": F.unix_micros("expires_at")}))
+    found = timed.groupBy(key).transformWithStateInPandas(BlockExpiry(key, kind), changes, "Update", "EventTime")
+    times = [F.timestamp_micros("blocked_us").alias("last_blocked_at"), F.timestamp_micros("expires_us").alias("expires_at")]
+    spark.createDataFrame([], changes).select(key, *times).coalesce(1).write.mode("overwrite").parquet(f"{path}/empty")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log = f"{path}/changes/{batch_id}"
+        batch.write.mode("overwrite").parquet(log)  # read three times below
+        batch = spark.read.schema(changes).parquet(log)
+        table = KeyedState(spark, path, key, state_buckets)
+        buckets = table.touched(batch)
+        # a key may be freed and blocked again in one batch: its latest block counts
+        last = batch.groupBy(key).agg(F.max(F.struct("blocked_us", "expires_us", (~F.col("active")).alias("freed"))).alias("c"))
+        rows = last.filter("not c.freed").select(key, "c.*").select(key, *times)
+        known = table.read(batch_id, buckets)
+        if known is not None:
+            rows = known.select(rows.columns).join(last.select(key), key, "left_anti").unionByName(rows)
+        table.write(batch_id, rows, buckets)
+        drop_path(spark, log)
+
+    # timers need the RocksDB store; the query takes its settings when it starts
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return (found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+def live_blocklist(spark: SparkSession, path: str, key: str, as_of=None) -> DataFrame:
+    """(key, last_blocked_at, expires_at) of the blocks in the newest table,
+    of which those active at ``as_of``, where given."""
+    from .keyed_state import KeyedState
 
-def live_blocklist(spark: SparkSession, path: str, key: str, as_of) -> DataFrame:
-    """(key, last_blocked_at, expires_at) of the blocks active at ``as_of``."""
-    rows = spark.read.parquet(path).groupBy(key).agg(F.max("last_blocked_at").alias("last_blocked_at"), F.max("expires_at").alias("expires_at"))
-    return rows.filter(F.col("expires_at") > as_of)
+    table, rows = spark.read.parquet(f"{path}/empty"), KeyedState(spark, path, key).newest()
+    if rows is not None:
+        table = table.unionByName(rows.select(table.columns))
+    return table if as_of is None else table.filter(F.col("expires_at") > as_of)
 
 
 def dedupe_replays(stream: DataFrame, key: str = "transaction_id",
