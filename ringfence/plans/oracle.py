@@ -695,6 +695,16 @@ FROM txn t JOIN prof p ON p.account_id = t.account_id
 WHERE t.ts >= TIMESTAMP '2024-01-15' AND CAST(t.amount AS DECIMAL(18,2)) * p.baseline_n >= 5.0 * p.baseline_total
 """
 
+SQL["stream_spike_profile"] = with_views("txn") + """,
+daily AS (SELECT account_id, CAST(ts AS DATE) AS d, COUNT(*) AS n, SUM(CAST(amount AS DECIMAL(18,2))) AS total FROM txn GROUP BY 1, 2),
+prof AS (SELECT a.account_id, a.d, SUM(b.n) AS n, SUM(b.total) AS total FROM daily a JOIN daily b
+         ON b.account_id = a.account_id AND b.d BETWEEN a.d - 10 AND a.d - 1 GROUP BY 1, 2)
+SELECT CAST(t.transaction_id AS VARCHAR) AS transaction_id, CAST(t.account_id AS VARCHAR) AS account_id, t.amount,
+       t.ts AS "timestamp", CAST(p.n AS BIGINT) AS baseline_n, CAST(p.total AS DECIMAL(38,2)) AS baseline_total
+FROM txn t JOIN prof p ON p.account_id = t.account_id AND p.d = CAST(t.ts AS DATE)
+WHERE CAST(t.amount AS DECIMAL(18,2)) * p.n >= 5.0 * p.total
+"""
+
 SQL["stream_blocklist"] = SQL["active_blocklist"]
 
 SQL["stream_scored"] = SCORED + """

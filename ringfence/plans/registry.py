@@ -527,6 +527,25 @@ def q_stream_spike(spark, sf_dir):
     return out.withColumn("baseline_total", F.col("baseline_total").cast("decimal(38,2)"))
 
 
+@register("stream_spike_profile")
+def q_stream_spike_profile(spark, sf_dir):
+    """R5 + S4 with the profile kept by the stream: 10 whole days before an
+    event's day, 5 times the mean; the feed lands in three parts by time."""
+    from ..streaming import profiles as PR
+
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "stream-spike-profile")
+    txns = td.transactions(spark, sf_dir)
+    one = F.lit(td.PROFILE_CUTOFF).cast("timestamp_ntz")
+    two, t = one + F.expr("INTERVAL 7 DAYS"), F.col("timestamp")
+    for part in (t < one, (t >= one) & (t < two), t >= two):
+        IO.append_conformed(txns.filter(part), SCH.LIVE_TRANSACTIONS, f"{base}/txn")
+        q = PR.spike_profile_stream(IO.read_txn_stream(spark, f"{base}/txn"), base, f"{base}/checkpoint", 10, 5.0, 3, state_buckets=8)
+        q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out").drop("batch_id")
+    return _ntz(out, "timestamp")
+
+
 @register("stream_blocklist")
 def q_stream_blocklist(spark, sf_dir):
     """R8 streaming: the blocks active at the newest event."""
