@@ -10,11 +10,13 @@ exp(-eps^2 / 2). In every block each query takes the k-th largest lower bound
 as its threshold, and exactly those vectors whose upper bound reaches it are
 reranked by their true inner products, so recall is governed by eps alone.
 
-Vectors lie in blocks of at most ``BLOCK`` rows, queries in blocks of
+Vectors lie in blocks of about ``BLOCK`` rows, queries in blocks of about
 ``QUERY_BLOCK``; each pair of blocks is one unit of work, which gives the k
-best of the block for each query, and a grouped top-k merges them. The stated
-queries meet all rows this way; nothing else is paired, broadcast or
-collected. Every row has a code; the only statistic fitted is the mean vector.
+best of the block for each query, and a grouped top-k merges them. A unit holds
+its vectors, and its queries stream past them ``AT_ONCE`` at a time, so a block
+of queries may be long: n vectors are copied n / (20 * QUERY_BLOCK) times and
+queries n / BLOCK times. The stated queries meet all rows this way; nothing
+else is paired, broadcast or collected. Every row has a code; the only statistic fitted is the mean vector.
 
 Defined cases: vectors that are null, zero, of another than the most frequent
 length (the smaller of equals), or hold null or non-finite components take no
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 BLOCK = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 65536
 AT_ONCE = 128        # queries whose estimates are held at once
 EPS = 3.0
 _SEED = 20240607
@@ -106,36 +108,38 @@ _FOUND = "query_id long, vec_id long, score double"
 _FOUND_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def _block(vectors: list, d: int):
+    """ids, vectors, signs, away, cosine and level of a block's rows."""
+    v = pa.Table.from_batches(vectors).combine_chunks()
+    codes = np.frombuffer(b"".join(v["code"].to_pylist()), np.uint8).reshape(v.num_rows, -1)
+    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+    return v["vec_id"].to_numpy(), _matrix(v["vector"].combine_chunks(), d), signs, *(v[c].to_numpy() for c in ("away", "cosine", "level"))
+
+
 def _search(batches, k, mean, rot, eps):
-    """Rows come sorted by (block, query block), the block's vectors first."""
+    """Rows come sorted by (block, query block), the block's vectors first; the
+    queries are answered as they come."""
     d = len(mean)
-    now, vectors, queries = None, [], []
-
-    def settle():
-        if not (vectors and queries):
-            return
-        v, q = pa.Table.from_batches(vectors).combine_chunks(), pa.Table.from_batches(queries).combine_chunks()
-        columns = [v[c].to_numpy() for c in ("away", "cosine", "level")]
-        codes = np.frombuffer(b"".join(v["code"].to_pylist()), np.uint8).reshape(v.num_rows, -1)
-        query_id, query = q["vec_id"].to_numpy(), _matrix(q["vector"].combine_chunks(), d)
-        ids, matrix = v["vec_id"].to_numpy(), _matrix(v["vector"].combine_chunks(), d)
-        signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-        for lo in range(0, len(query), AT_ONCE):
-            some = slice(lo, lo + AT_ONCE)
-            found = _nearest_in_block(ids, matrix, signs, *columns, query_id[some], query[some], k, mean, rot, eps)
-            at, near, score = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(query_id[some][at]), pa.array(near), pa.array(score)], schema=_FOUND_SCHEMA)
-
+    now, vectors, block = None, [], None
     for batch in batches:
         key = np.stack([batch.column("block").to_numpy(), batch.column("query_block").to_numpy()], axis=1)
         role = batch.column("role").to_numpy()
         change = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1) | (role[1:] != role[:-1]))) if len(key) else np.zeros(0, int)
         for a, b in zip(change, np.append(change[1:], len(key))):
             if tuple(key[a]) != now:
-                yield from settle()
-                now, vectors, queries = tuple(key[a]), [], []
-            (queries if role[a] else vectors).append(batch.slice(a, b - a))
-    yield from settle()
+                now, vectors, block = tuple(key[a]), [], None
+            if not role[a]:
+                vectors.append(batch.slice(a, b - a))
+                continue
+            if not vectors:
+                continue
+            block = block or _block(vectors, d)
+            for lo in range(a, b, AT_ONCE):
+                some = batch.slice(lo, min(AT_ONCE, b - lo))
+                query_id, query = some.column("vec_id").to_numpy(), _matrix(some.column("vector"), d)
+                found = _nearest_in_block(*block, query_id, query, k, mean, rot, eps)
+                at, near, score = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(query_id[at]), pa.array(near), pa.array(score)], schema=_FOUND_SCHEMA)
 
 
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, eps: float = EPS) -> DataFrame:

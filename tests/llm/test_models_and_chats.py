@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -185,3 +186,82 @@ def test_nearest_neighbours(spark):
     few = ann_codes.nearest(spark.createDataFrame(good[:6], "vec_id long, embedding array<float>"), k=20).collect()
     assert len(few) == 5 and {x.query_id for x in few} == {0}
     assert ann_codes.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_neighbours_over_many_blocks(spark, monkeypatch):
+    """Vectors and queries in several blocks each, queries in several slices: recall against brute force."""
+    monkeypatch.setattr(ann_codes, "BLOCK", 500)
+    monkeypatch.setattr(ann_codes, "QUERY_BLOCK", 150)
+    r = np.random.default_rng(8)
+    data = [(i, r.standard_normal(48).tolist()) for i in range(2400)]
+    data += [(2400 + i, data[8][1]) for i in range(200)]  # a large group of copies, in every block
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann_codes.nearest(df, k=20, query_every=5).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    expected = brute_nearest(data, 20, 5)
+    assert got.keys() == expected.keys() and len(got) == 520 and all(len(x) == 20 for x in got.values())
+    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in expected[q]}) for q in expected)
+    assert hits >= 0.95 * 20 * len(expected)
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def test_quality_scores_by_plain_python(spark):
+    """The scores again from the rules, with the statistics counted text by text."""
+    docs, labels = labelled_corpus(500)
+    df = cases.frame(spark, [*docs, *cases.rows()[:40]], clashing=False)
+    label_df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = rule_ensemble.train(df, label_df)
+    assert len(model.rules) > 3
+
+    def statistics(text):
+        data = (text or "").encode()
+        words = [w for w in re.split(rb"[\x20\t-\r]+", data) if w]
+        n, size = max(len(words), 1), max(sum(map(len, words)), 1)
+        signs = [sum(c in group for c in data) for group in (b"#*$%&<>", b"!", b"|")]
+        capitals, digits = (len(re.findall(p, data)) for p in (rb"[A-Z]", rb"[0-9]"))
+        points, beyond = (len(re.findall(p, data)) for p in (rb"[.,;:?]", rb"[\x80-\xff]"))
+        return dict(zip(rule_ensemble.STATS, [
+            len(words), sum(map(len, words)) / n, sum(len(w) <= 3 for w in words) / n, sum(len(w) >= 14 for w in words) / n,
+            *(x / size for x in (*signs, capitals, digits, points, beyond)),
+            sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, len(words) / (data.count(b"\n") + 1)]))
+
+    def score(text):
+        s = statistics(text)
+        return _sigmoid(model.bias + sum(w for rule, w in model.rules if all((s[f] > cut) == above for f, cut, above in rule)))
+
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in rule_ensemble.quality_scores(df, label_df).collect())
+    want = sorted((r.doc_id is None, r.doc_id or 0, score(r.text)) for r in df.collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.abs(np.array([x[2] for x in got]) - [x[2] for x in want]).max() < 1e-9
+
+
+def test_toxicity_scores_by_plain_python(spark):
+    """The scores again as bias plus the weights of the distinct features of a text."""
+    docs, labels = labelled_corpus(500)
+    df = cases.frame(spark, [*docs, *cases.rows()[:40]], clashing=False)
+    label_df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, label_df)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    assert len(weights) > 2
+
+    def score(text):
+        data, words, now = (text or "").encode(), [], b""
+        for c in data + b" ":
+            if toxicity._LETTER[c]:
+                now += bytes([c])
+            elif now:
+                words, now = [*words, now], b""
+        if not words:
+            return _sigmoid(model.bias)
+        ends = np.cumsum([len(w) for w in words])
+        features = toxicity._features(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+        return _sigmoid(model.bias + sum(weights.get(f, 0.0) for f in {int(x) for x in features.ravel()}))
+
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity.toxicity_scores(df, label_df).collect())
+    want = sorted((r.doc_id is None, r.doc_id or 0, score(r.text)) for r in df.collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.abs(np.array([x[2] for x in got]) - [x[2] for x in want]).max() < 1e-9
