@@ -79,7 +79,7 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest_in_block(ids, vectors, signs, away, cosine, level, query_id, query, k, mean, rot, eps):
+def _nearest_in_block(ids, vectors, signs, away, cosine, level, reach, query_id, query, k, mean, rot, eps):
     """The block's k best of each query: (query position, vec_id, score)."""
     d = len(mean)
     q = (query - mean) @ rot
@@ -98,6 +98,10 @@ def _nearest_in_block(ids, vectors, signs, away, cosine, level, query_id, query,
     for i in range(len(query)):
         least = np.partition(low[i], -k)[-k] if len(ids) > k else -np.inf
         at = np.flatnonzero((middle[i] + bound[i] >= least) & ~own[i])
+        if len(at) > k:  # the stated order of addition for those alone that rounding could bring to the k best
+            near = vectors[at] @ query[i]
+            least = np.partition(near, -k)[-k] - 1e-15 * d * reach * np.sqrt(query[i] @ query[i])
+            at = at[near >= least] if np.isfinite(least) else at
         score = exact_scores(vectors[at], query[i])
         best = np.lexsort((ids[at], -score))[:k]
         out.append((np.full(len(best), i), ids[at[best]], score[best]))
@@ -109,11 +113,13 @@ _FOUND_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("s
 
 
 def _block(vectors: list, d: int):
-    """ids, vectors, signs, away, cosine and level of a block's rows."""
+    """ids, vectors, signs, away, cosine and level of a block's rows; the greatest length."""
     v = pa.Table.from_batches(vectors).combine_chunks()
     codes = np.frombuffer(b"".join(v["code"].to_pylist()), np.uint8).reshape(v.num_rows, -1)
     signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    return v["vec_id"].to_numpy(), _matrix(v["vector"].combine_chunks(), d), signs, *(v[c].to_numpy() for c in ("away", "cosine", "level"))
+    matrix = _matrix(v["vector"].combine_chunks(), d)
+    reach = np.sqrt((matrix * matrix).sum(axis=1).max())
+    return v["vec_id"].to_numpy(), matrix, signs, *(v[c].to_numpy() for c in ("away", "cosine", "level")), reach
 
 
 def _search(batches, k, mean, rot, eps):
