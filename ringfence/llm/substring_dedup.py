@@ -42,7 +42,7 @@ from . import text_arrays as ta
 from .staging import bounded_batches, staged
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
-FLUSH_WINDOWS = 1_500_000
+FLUSH_WINDOWS = 750_000
 BUCKET_BYTES = 2 << 20          # text bytes for each hash bucket and each part of the documents
 TASK_BYTES = 32 << 20           # text bytes for each shuffle partition
 _SPREAD = 0x9E3779B1
@@ -88,6 +88,7 @@ def _window_rows(batches, width: int, buckets: int):
     already known to be repeated, by part of the documents."""
     def flush(held):
         fp, doc, second = (np.concatenate(x) for x in zip(*held))
+        held.clear()  # the pieces go before the sorted copies come
         order = np.lexsort((doc, fp))
         fp, doc, bucket = fp[order], doc[order], (second[order] % np.uint64(buckets)).astype(np.int64)
         # windows of one hash in two buckets may lie mixed: then one more entry than needed goes to a bucket, which tells them apart
