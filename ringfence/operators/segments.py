@@ -9,7 +9,8 @@ itself: nothing is joined back on an id, so repeated and null ids are rows like
 all others.
 
 * ``series`` gives each row sums over windows of its key and the latest earlier
-  row that meets a condition, any number of both from one sort. A row becomes
+  row that meets a condition, any number of both from one sort. By plain windows
+  a sum is a difference of running totals; in ranges a row becomes
   one mark at its own time, which carries it, and one query for each end of a
   window; in the sorted order a query's running total is the sum of all points
   before its time. The marks of a row meet again by its row number.
@@ -66,6 +67,43 @@ def _scan(placed: DataFrame, keys: Sequence[str], fold: dict[str, Column], join:
     return rows.select(*placed.columns, *(join[n][2](F.col(f"__i_{n}"), F.col(f"__b_{n}")).alias(n) for n in fold))
 
 
+def _unkeyed(rows: DataFrame, keys: Sequence[str], out: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows without a key, with nulls for the ``names`` of ``out``."""
+    kinds = dict(out.dtypes)
+    return rows.filter(~_keyed(keys)).select("*", *(F.lit(None).cast(kinds[n]).alias(n) for n in names))
+
+
+def _windowed(rows: DataFrame, keys: Sequence[str], t: str, sums: dict, latest: dict, points: DataFrame | None,
+              order: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """``series`` of the rows with a key by windows: a sum is the difference of
+    two running totals, so a row is sorted once and stays one row."""
+    by = [f"__k{i}" for i in range(len(keys))]
+    own = rows.filter(_keyed(keys)).select(
+        "*", *(F.col(k).alias(b) for k, b in zip(keys, by)), F.col(t).alias("__time"), F.lit(True).alias("__mine"),
+        *((F.lit(None).cast(kinds[n]) if v is None else v).alias(f"__v_{n}") for n, (v, _, _) in sums.items()))
+    d = own
+    if points is not None:
+        d = own.unionByName(points.filter(_keyed(keys)).select(
+            *(F.col(k).alias(b) for k, b in zip(keys, by)), F.col("t").alias("__time"),
+            *(F.col(n).alias(f"__v_{n}") for n in sums if n in points.columns)), allowMissingColumns=True)
+    total = dict(d.agg(*(F.sum(f"__v_{n}").alias(n) for n in sums)).agg(*(F.sum(n).alias(n) for n in sums)).dtypes)
+    before = Window.partitionBy(*by).orderBy("__time", *order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *(F.last(F.when(F.col("__mine") & when, F.struct(*columns)), ignorenulls=True).over(before).alias(f"__l_{n}")
+                        for n, (when, columns) in latest.items()))
+    timed = Window.partitionBy(*by).orderBy("__time")
+
+    def upto(n, b):
+        none = F.lit(0).cast(total[n])
+        run = F.sum(f"__v_{n}").over(timed.rangeBetween(Window.unboundedPreceding, b)).cast(total[n])
+        return F.when(F.col("__time").isNull(), none).otherwise(F.coalesce(run, none))
+
+    d = d.select("*", *(upto(n, high).alias(f"__u_{n}") for n, (_, _, high) in sums.items()),
+                 *(upto(n, low - 1).alias(f"__d_{n}") for n, (_, low, _) in sums.items() if low is not None))
+    return d.filter("__mine").select(
+        *rows.columns, *(F.col(f"__l_{n}").alias(n) for n in latest),
+        *((F.col(f"__u_{n}") if low is None else F.col(f"__u_{n}") - F.col(f"__d_{n}")).alias(n) for n, (_, low, _) in sums.items()))
+
+
 def series(rows: DataFrame, keys: Sequence[str], t: str, sums: dict[str, tuple[Column | None, int | None, int]] | None = None,
            latest: dict[str, tuple[Column, Sequence[str]]] | None = None, points: DataFrame | None = None,
            order: Sequence[str] = (), most: int | None = None) -> DataFrame:
@@ -88,6 +126,9 @@ def series(rows: DataFrame, keys: Sequence[str], t: str, sums: dict[str, tuple[C
                                   for n, (when, columns) in latest.items()))
     kinds = dict(rows.select(*(v.alias(n) for n, (v, _, _) in sums.items() if v is not None)).dtypes)
     kinds.update({} if points is None else {n: k for n, k in points.dtypes if n in sums})
+    if small:
+        out = _windowed(rows, keys, t, sums, latest, points, order, kinds)
+        return out.unionByName(_unkeyed(rows, keys, out, (*latest, *sums)))
     bounds = sorted({b for _, low, high in sums.values() for b in (low, high + 1) if b is not None})
     own, tie = F.struct(*rows.columns), F.struct(F.lit(0).alias("o"), *order)
     seen = {n: F.when(when, F.struct(*columns)) for n, (when, columns) in latest.items()}
@@ -111,11 +152,7 @@ def series(rows: DataFrame, keys: Sequence[str], t: str, sums: dict[str, tuple[C
     carries = {f"__s_{n}": (F.sum(n), F.sum, lambda i, b: F.coalesce(i + b, i, b)) for n in sums}
     carries |= {f"__l_{n}": (F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col("__at"))),
                              lambda c: F.last(c, ignorenulls=True), F.coalesce) for n in latest}
-    if small:
-        plain = Window.partitionBy(*keys).orderBy(*by, "__id").rowsBetween(Window.unboundedPreceding, -1)
-        out = marks.select("*", *(c.over(plain).alias(n) for n, c in folds.items()))
-    else:
-        out = _scan(_sorted(marks, keys, by, "segments"), keys, folds, carries)
+    out = _scan(_sorted(marks, keys, by, "segments"), keys, folds, carries)
     if not sums:
         out = out.filter("__own is not null").select("__own.*", *(F.col(f"__l_{n}").alias(n) for n in latest))
     else:
@@ -133,8 +170,7 @@ def series(rows: DataFrame, keys: Sequence[str], t: str, sums: dict[str, tuple[C
             return (F.coalesce(up, none) if low is None else F.coalesce(up, none) - F.coalesce(f"__d_{n}", none)).alias(n)
 
         out = one.select("__own.*", *latest, *(total(n, low) for n, (_, low, _) in sums.items()))
-    kinds = dict(out.dtypes)
-    return out.unionByName(rows.filter(~_keyed(keys)).select("*", *(F.lit(None).cast(kinds[n]).alias(n) for n in (*latest, *sums))))
+    return out.unionByName(_unkeyed(rows, keys, out, (*latest, *sums)))
 
 
 def previous(rows: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], columns: Sequence[str], prefix: str = "prev_",
