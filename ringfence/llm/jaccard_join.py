@@ -54,7 +54,8 @@ from .numbering import sorted_groups
 from .staging import bounded_batches, drop_staged, staged
 
 BUCKET_TOKENS = 1 << 18            # pool shingles that meet in a bucket, about
-PACK_TOKENS = 1 << 19              # pool shingles that a task packs at once
+CHUNK_BYTES = 512 << 10            # text bytes whose shingles are held as arrays at once
+PACK_TOKENS = 1 << 18              # pool shingles that a task packs at once
 PIVOT_ROWS = 256                   # comparisons that share one shipped pivot set
 LIST = 512                         # stars that a list compares pair by pair
 PIVOTS = 16                        # of a longer list, in its first round
@@ -90,7 +91,7 @@ def _shingles(data, offsets, width: int):
 
 def _classes(batches, width: int):
     """By chunk: (batch, shingle hashes, before each row, set sizes, classes, first row of a class in its chunk)."""
-    for chunk in ta.chunks(batches):
+    for chunk in ta.chunks(batches, limit=CHUNK_BYTES):
         g, before = _shingles(*ta.buffers(chunk.column("text")), width)
         n = np.diff(before)
         rows = np.flatnonzero(n)

@@ -42,7 +42,8 @@ from . import text_arrays as ta
 from .staging import bounded_batches, staged
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
-FLUSH_WINDOWS = 750_000
+CHUNK_BYTES = 512 << 10         # text bytes whose words and windows are held as arrays at once
+FLUSH_WINDOWS = 250_000
 BUCKET_BYTES = 2 << 20          # text bytes for each hash bucket and each part of the documents
 TASK_BYTES = 32 << 20           # text bytes for each shuffle partition
 _SPREAD = 0x9E3779B1
@@ -97,7 +98,7 @@ def _window_rows(batches, width: int, buckets: int):
         yield _packed(np.where(new, bucket, buckets + _part(doc, buckets))[keep], fp[keep], doc[keep])
 
     held, n = [], 0
-    for chunk in ta.chunks(batches):
+    for chunk in ta.chunks(batches, limit=CHUNK_BYTES):
         data, offsets = ta.buffers(chunk.column("text"))
         s, e, before = ta.words(data, offsets)
         h = ta.span_hash(data, s, e)
@@ -174,7 +175,7 @@ def _remove(batches, width: int, keep: list[str], joined: bool):
     """Rows come sorted by part, its repeated hashes before its texts."""
     waiting: dict[int, list] = {}
     hits: dict[int, _Hits] = {}
-    for chunk in ta.chunks(batches):
+    for chunk in ta.chunks(batches, limit=CHUNK_BYTES):
         parts, is_text = chunk.column("key").to_pylist(), chunk.column("hashes").is_null().to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(~is_text):
             waiting.setdefault(parts[i], []).append((chunk.column("hashes")[int(i)].as_py(), chunk.column("ids")[int(i)].as_py()))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
-_BLOCK_WORDS = 1 << 17
+_BLOCK_WORDS = 1 << 14
 _U = np.uint64
 
 
